@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from . import op6_suffix_dedup, op7_substring_dedup
+from . import op3_hyperminhash, op4_license_scan, op6_suffix_dedup, op7_substring_dedup, op10_source_mix
 
 QUERIES = {
+    "op3_hyperminhash": op3_hyperminhash.query,
+    "op4_license_scan": op4_license_scan.query,
     "op6_suffix_dedup": op6_suffix_dedup.query,
     "op7_substring_dedup": op7_substring_dedup.query,
+    "op10_source_mix": op10_source_mix.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_license_scan": op4_license_scan.ORACLE,
+    "op10_source_mix": op10_source_mix.ORACLE,
+}
