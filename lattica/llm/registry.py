@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import op3_hyperminhash, op4_license_scan, op6_suffix_dedup, op7_substring_dedup, op10_source_mix
+from . import op3_hyperminhash, op4_license_scan, op5_fingerprints, op6_suffix_dedup, op7_substring_dedup, op10_source_mix
 
 QUERIES = {
     "op3_hyperminhash": op3_hyperminhash.query,
     "op4_license_scan": op4_license_scan.query,
+    "op5_fingerprints": op5_fingerprints.query,
     "op6_suffix_dedup": op6_suffix_dedup.query,
     "op7_substring_dedup": op7_substring_dedup.query,
     "op10_source_mix": op10_source_mix.query,
