@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op3_hyperminhash, op4_license_scan, op5_fingerprints, op6_suffix_dedup, op7_substring_dedup, op10_source_mix
+from . import op3_hyperminhash, op4_license_scan, op5_fingerprints, op6_suffix_dedup, op7_substring_dedup, op9_toxicity, op10_source_mix
 
 QUERIES = {
     "op3_hyperminhash": op3_hyperminhash.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_fingerprints": op5_fingerprints.query,
     "op6_suffix_dedup": op6_suffix_dedup.query,
     "op7_substring_dedup": op7_substring_dedup.query,
+    "op9_toxicity": op9_toxicity.query,
     "op10_source_mix": op10_source_mix.query,
 }
 

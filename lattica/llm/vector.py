@@ -111,9 +111,9 @@ def blocks(column: pa.Array, limit: int | None = None) -> Iterator[tuple[int, np
         lo = hi
 
 
-def words(raw: np.ndarray, offsets: np.ndarray, codes: np.ndarray = BYTE_CODE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(raw: np.ndarray, offsets: np.ndarray, codes: np.ndarray = BYTE_CODE, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, hash, first): spans and hashes of all words; row i owns words first[i]:first[i + 1]."""
-    full = ~SPACE[raw]
+    full = ~space[raw]
     if not full.any():
         none = np.zeros(0, dtype=np.int64)
         return none, none, np.zeros(0, dtype=_U), np.zeros(len(offsets), dtype=np.int64)
