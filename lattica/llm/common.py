@@ -48,6 +48,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bits of the filter in ``mark_needed``; as a table of 64-bit words it has 2**18 rows at most.
+FILTER_BITS = 1 << 24
+
+
+def _bit() -> Column:
+    return F.pmod(F.xxhash64("_id", "_th"), F.lit(FILTER_BITS))
+
+
+def mark_needed(rows: DataFrame, needed: DataFrame) -> DataFrame:
+    """rows (with _id, _th) and ``_needed``: false only for rows that are not in ``needed``.
+
+    A Bloom filter of fixed size, broadcast, so that rows which cannot join are
+    not shuffled for a join.  It may let others pass; the join itself decides.
+    When needed rows are many the filter fills up and passes all rows.
+    """
+    bit = needed.select(_bit().alias("i")).groupBy(F.expr("i div 64").alias("_w")).agg(F.bit_or(F.expr("shiftleft(1L, int(i % 64))")).alias("_bits"))
+    marked = rows.withColumn("_i", _bit()).withColumn("_w", F.expr("_i div 64")).join(F.broadcast(bit), "_w", "left")
+    return marked.withColumn("_needed", F.coalesce(F.expr("shiftright(_bits, int(_i % 64)) & 1L = 1L"), F.lit(False))).drop("_i", "_w", "_bits")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

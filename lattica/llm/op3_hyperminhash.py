@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import vector as v
-from .common import NULL_ID, columns, cut, require, row_key
+from .common import NULL_ID, columns, cut, mark_needed, require, row_key
 from .components import roots
 
 REGISTERS = 128
@@ -122,8 +122,10 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: in
         return classes.select(F.col("node").alias(name), F.col("_id").alias(f"{name}_id"), F.col("_th").alias(f"{name}_th"), F.col("sig").alias(f"{name}_sig"))
 
     likely = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_id", "a_th", "b_id", "b_th", "a_sig", "b_sig")
-    likely = likely.mapInArrow(estimate, "a binary, b binary, a_id long, a_th long, b_id long, b_th long")
-    texts = require(docs, "doc_id", "text").select(*row_key(), "text")
+    likely = cut(likely.mapInArrow(estimate, "a binary, b binary, a_id long, a_th long, b_id long, b_th long"))
+    needed = likely.select(F.col("a_id").alias("_id"), F.col("a_th").alias("_th")).unionByName(likely.select(F.col("b_id").alias("_id"), F.col("b_th").alias("_th")))
+    # Only texts of candidates are shuffled.
+    texts = mark_needed(require(docs, "doc_id", "text").select(*row_key(), "text"), needed).filter("_needed").drop("_needed")
 
     def text_of(name: str) -> DataFrame:
         return texts.select(F.col("_id").alias(f"{name}_id"), F.col("_th").alias(f"{name}_th"), F.col("text").alias(f"{name}_text"))
