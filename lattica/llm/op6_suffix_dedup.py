@@ -40,7 +40,7 @@ INDEX_BYTES = 1 << 20
 
 
 def _ranks(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)  # ties need no order: they get one rank
     sorted_key = key[order]
     rank = np.empty(len(key), dtype=np.int64)
     rank[order] = np.cumsum(np.concatenate(([0], sorted_key[1:] != sorted_key[:-1])))
