@@ -102,7 +102,8 @@ def stretches(docs: DataFrame, kind: Windows) -> DataFrame:
 def contents(rows: DataFrame) -> DataFrame:
     """One row per content that can repeat: its copies, its first occurrence, and the contents under its key."""
     each = rows.groupBy("key", "digest").agg(F.count("*").alias("copies"), F.min(F.struct("_id", "_th", "place")).alias("rep"))
-    keys = each.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("copies").alias("rows_of_key"), F.sum(F.when(F.col("copies") == 1, 1).otherwise(0)).alias("singles")).filter("rows_of_key >= 2")
+    # ``rep`` is kept on this side too, so that both sides are one exchange, made once.
+    keys = each.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("copies").alias("rows_of_key"), F.sum(F.when(F.col("copies") == 1, 1).otherwise(0)).alias("singles"), F.max("rep").alias("_rep")).filter("rows_of_key >= 2 and _rep is not null").drop("_rep")
     return each.join(keys, "key").select("key", "digest", "copies", "kinds", "singles", "rep.*")
 
 
@@ -110,6 +111,7 @@ def probe_symbols(docs: DataFrame, probes: DataFrame, kind: Windows) -> DataFram
     """probes with the symbols of their content: raw bytes, or eight bytes of hash per word."""
     wanted = probes.select("_id", "_th", F.struct("key", "digest", "copies", "kinds", F.expr(START).alias("start"), F.expr(NWIN).alias("nwin"), F.expr(ANCHOR).alias("anchor")).alias("p")).groupBy("_id", "_th").agg(F.collect_list("p").alias("ps"))
     texts = require(docs, "doc_id", "text").select(*row_key(), "text")
+    # Rows that repeat whole (same id, same text) carry the same probes: one is enough.
     if kind.symbols == "words":
 
         def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,14 +122,13 @@ def probe_symbols(docs: DataFrame, probes: DataFrame, kind: Windows) -> DataFram
                     data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer((first * 8).astype(np.int64).tobytes()), pa.py_buffer(h.tobytes())])
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), data.cast(pa.binary()), batch.column(3).slice(lo, n)], names=["_id", "_th", "raw", "ps"])
 
-        found = texts.join(wanted, ["_id", "_th"])
+        found = texts.join(wanted, ["_id", "_th"]).dropDuplicates(["_id", "_th"])
         found = found.select("_id", "_th", "text", "ps").mapInArrow(code, found.select("_id", "_th", F.lit(b"").alias("raw"), "ps").schema)
     else:
-        found = texts.join(wanted, ["_id", "_th"]).select("_id", "_th", F.col("text").cast("binary").alias("raw"), "ps")
+        found = texts.join(wanted, ["_id", "_th"]).dropDuplicates(["_id", "_th"]).select("_id", "_th", F.col("text").cast("binary").alias("raw"), "ps")
     size = 8 if kind.symbols == "words" else 1
     pieces = F.transform("ps", lambda p: F.struct(p["key"].alias("key"), p["digest"].alias("digest"), p["copies"].alias("copies"), p["kinds"].alias("kinds"), p["start"].alias("start"), p["nwin"].alias("nwin"), p["anchor"].alias("anchor"), F.substring(F.col("raw"), p["start"] * size + 1, (p["nwin"] + kind.window - 1) * size).alias("symbols")))
-    # Rows that repeat whole (same id, same text) carry the same probes: one is enough.
-    return found.dropDuplicates(["_id", "_th"]).select("_id", "_th", F.explode(pieces).alias("p")).select("_id", "_th", "p.*")
+    return found.select("_id", "_th", F.explode(pieces).alias("p")).select("_id", "_th", "p.*")
 
 
 FLAGS = "key long, digest long, spans array<int>"
