@@ -11,7 +11,11 @@
    a. every class tries, of the least and greatest members of its bands, the
       two it shares most bands with; then members of other components, again
       the ones with most bands in common;
-   b. all remaining pairs of one band whose components differ are tried.
+   b. all remaining pairs of one band whose components differ are tried, but
+      for those that their own shingles rule out: a class with u shingles that
+      no other remaining class has shares n - u at most, so with a class of m
+      shingles its similarity is (n - u) / (m + u) at most.  Counting these is
+      linear, and settles the many members of a group that are near to nothing.
    After b each candidate pair is inside one component or was decided.
 4. Before full sets are compared, pairs with a collision-corrected Jaccard
    estimate under ``threshold - MARGIN`` fall out; the rest are verified.
@@ -70,8 +74,8 @@ def jaccard_estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip((same - COLLISION) / (1 - COLLISION), 0, 1)
 
 
-def sets_of(docs: DataFrame, shingle: int) -> DataFrame:
-    """(_id, _th, n, node, sig): per row the set size, a 128-bit digest of the set, and the registers."""
+def sets_of(docs: DataFrame, shingle: int, signed: bool = True) -> DataFrame:
+    """(_id, _th, n, node, sig): per row the set size, a 128-bit digest of the set, and (if signed) the registers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,9 +88,9 @@ def sets_of(docs: DataFrame, shingle: int) -> DataFrame:
                     for j, salt in enumerate(v.splitmix(2, 34)):
                         p = v.prefix_sums(v.mix(g ^ salt))
                         node[:, j] = v.span_hash(p, bounds[:-1], bounds[1:])
-                sig = registers(g, bounds)
+                sig = registers(g, bounds) if signed else np.zeros((n, 0), dtype=np.uint16)
                 fixed = lambda x, width: pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), n, [None, pa.py_buffer(np.ascontiguousarray(x).tobytes())]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), pa.array(size.astype(np.int64)), fixed(node, 16), fixed(sig, 2 * REGISTERS)], names=["_id", "_th", "n", "node", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), pa.array(size.astype(np.int64)), fixed(node, 16), fixed(sig, 2 * sig.shape[1])], names=["_id", "_th", "n", "node", "sig"])
 
     return require(docs, "doc_id", "text").select(*row_key(), "text").mapInArrow(run, "_id long, _th long, n long, node binary, sig binary")
 
@@ -154,6 +158,25 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: in
     return joined.mapInArrow(compare, "a binary, b binary").distinct()
 
 
+def _own_shingles(nodes: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """(node, u): how many shingles of each node no other one of ``nodes`` has."""
+    wanted = cut(nodes.join(classes.select("node", "_id", "_th"), "node"))
+    texts = mark_needed(require(docs, "doc_id", "text").select(*row_key(), "text"), wanted).filter("_needed")
+    texts = texts.join(wanted.withColumn("nid", F.xxhash64("node")), ["_id", "_th"]).select("nid", "text")
+
+    def list_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nid = batch.column(0).to_numpy()
+            for lo, raw, offsets in v.blocks(batch.column(1)):
+                g, bounds = v.shingle_sets(raw, offsets, shingle)
+                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(np.repeat(nid[lo : lo + len(offsets) - 1], np.diff(bounds)))], names=["s", "nid"])
+
+    # Several rows of one class (same id and text) list their shingles alike: min and max tell nodes apart.
+    owners = texts.mapInArrow(list_all, "s long, nid long").groupBy("s").agg(F.min("nid").alias("nid"), F.max("nid").alias("other")).filter("nid = other")
+    own = owners.groupBy("nid").agg(F.count("*").alias("u"))
+    return wanted.select("node", F.xxhash64("node").alias("nid")).join(own, "nid", "left").select("node", F.coalesce("u", F.lit(0)).alias("u"))
+
+
 def _labelled(shared: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows of shared with a component label, rows of roots)."""
     found = cut(roots(links))
@@ -190,10 +213,12 @@ def near_components(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     labelled, found = _labelled(slim, links)
     mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("key")
     rest = cut(labelled.join(mixed, "key"))
+    own = _own_shingles(rest.select("node").distinct(), classes, docs, shingle)
+    rest = cut(rest.join(own, "node"))
     x, y = rest.alias("x"), rest.alias("y")
     # Bits agree with chance (1 + J) / 2: at 0.8 that is 115 of 128, five deviations less are 98.
     bits = F.expr("bit_count(x.s0 ^ y.s0) + bit_count(x.s1 ^ y.s1)")
-    can = (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")) & (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent) & (bits <= REGISTERS * ((1 - threshold) / 2 + 0.1325))
+    can = (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")) & (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent) & ((F.col("x.n") - F.col("x.u")) * 100 >= (F.col("y.n") + F.col("x.u")) * percent) & ((F.col("y.n") - F.col("y.u")) * 100 >= (F.col("x.n") + F.col("y.u")) * percent) & (bits <= REGISTERS * ((1 - threshold) / 2 + 0.1325))
     left = x.join(y, can).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     last = cut(_verified(left, classes, docs, shingle, percent, threshold))
     links = links.unionByName(last)
@@ -203,7 +228,7 @@ def near_components(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     named = classes.join(found.select(F.col("a").alias("node"), "root"), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "_id")
     least = named.groupBy("root").agg(F.min("_id").alias("component"))
     named = named.join(least, "root").select("node", "component")
-    return rows.select("_id", "_th", "n", "node").join(named, "node", "left").select("_id", "_th", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).alias("component"))
+    return sets_of(docs, shingle, signed=False).drop("sig").join(named, "node", "left").select("_id", "_th", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).alias("component"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -219,13 +244,13 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Five-word shingles at 0.8.  Of rows that repeat whole, one stays; texts without words stay.
     """
-    found = near_components(docs)
-    first = found.filter("component is not null").groupBy("component").agg(F.min(F.struct("_id", "_th")).alias("k")).select("k._id", "k._th")
-    empty = found.filter("component is null").select("_id", "_th")
-    stays = first.unionByName(empty).distinct().withColumn("_first", F.lit(True))
-    keyed = docs.select(*columns(docs.columns), *row_key())
-    once = keyed.join(stays.drop("_first"), ["_id", "_th"], "left_semi")
-    repeated = found.groupBy("_id", "_th").agg(F.count("*").alias("k")).filter("k > 1 ").select("_id", "_th")
-    single = once.join(repeated, ["_id", "_th"], "left_anti").drop("_id", "_th")
-    several = once.join(repeated, ["_id", "_th"], "left_semi").dropDuplicates(["_id", "_th"]).drop("_id", "_th")
-    return single.unionByName(several)
+    found = cut(near_components(docs))
+    first = found.filter("component is not null").groupBy("component").agg(F.min(F.struct("_id", "_th")).alias("k")).select("k._id", "k._th").withColumn("_first", F.lit(True))
+    decided = found.groupBy("_id", "_th").agg(F.count("*").alias("_rows"), F.max("component").isNull().alias("_empty")).join(first, ["_id", "_th"], "left")
+    decided = decided.withColumn("_stays", F.col("_empty") | F.col("_first").isNotNull())
+    touched = cut(decided.filter("not _stays or _rows > 1").select("_id", "_th", "_stays"))
+    # Documents that nothing is decided about are not shuffled.
+    marked = mark_needed(docs.select(*columns(docs.columns), *row_key()), touched)
+    asked = marked.filter("_needed").join(touched, ["_id", "_th"], "left")
+    once = asked.filter("_stays").dropDuplicates(["_id", "_th"])
+    return marked.filter("not _needed").unionByName(asked.filter("_stays is null").drop("_stays")).unionByName(once.drop("_stays")).select(*columns(docs.columns))
