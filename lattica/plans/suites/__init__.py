@@ -1 +1,3 @@
 """Query suites; importing this package registers them all."""
+
+from . import likelihood  # noqa: F401
