@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats
+from . import vector as v
 from .common import columns, require, row_key
 
 #: Contract: strings of 200 bytes.
@@ -102,25 +103,47 @@ class RunLengthIndex:
         return np.maximum(np.maximum.accumulate(reach) - np.arange(n), 0)
 
 
-def _judge(length: int) -> repeats.Judge:
+def _with_partner(key: np.ndarray, anchor: np.ndarray, strings: list[bytes], side: int, gram: int) -> np.ndarray:
+    """Strings that agree with another one under their key in the ``side`` bytes before or after the anchor.
+
+    A window has ``2 * side`` bytes or more besides its anchor, so it holds all
+    of one side: strings without such a partner share no window.
+    """
+    sizes = np.array([len(s) for s in strings], dtype=np.int64)
+    base = np.cumsum(sizes) - sizes
+    prefix = v.prefix_sums(v.BYTE_CODE[np.frombuffer(b"".join(strings), dtype=np.uint8)])
+    out = np.zeros(len(strings), dtype=bool)
+    for start, fits in ((anchor - side, anchor >= side), (anchor + gram, anchor + gram + side <= sizes)):
+        at = base[fits] + start[fits]
+        h = v.mix(v.span_hash(prefix, at, at + side) ^ v.mix(key[fits].view(np.uint64)))
+        _, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
+        out[np.flatnonzero(fits)[count[inverse] > 1]] = True
+    return out
+
+
+def _judge(length: int, gram: int) -> repeats.Judge:
     def judge(cols: dict[str, np.ndarray], strings: list[bytes]) -> list[np.ndarray]:
-        index = RunLengthIndex(strings)
-        long = index.matching_statistics() >= length
-        return [long[b : b + n] for b, n in zip(index.bounds[:-1], cols["nwin"], strict=True)]
+        out = [np.zeros(n, dtype=bool) for n in cols["nwin"]]
+        some = np.flatnonzero(_with_partner(cols["key"], cols["anchor"].astype(np.int64), strings, (length - gram) // 2, gram))
+        if len(some):
+            index = RunLengthIndex([strings[i] for i in some])
+            long = index.matching_statistics() >= length
+            for b, i in zip(index.bounds[:-1], some, strict=True):
+                out[i] = long[b : b + len(out[i])]
+        return out
 
     return judge
 
 
 def repeated_bytes(docs: DataFrame, length: int = LENGTH, hot: int = HOT, anchor: int = ANCHOR) -> DataFrame:
     """(_id, _th, spans) of the rows of docs that have repeated strings."""
-    return repeats.repeated_spans(docs, repeats.Windows("bytes", length, anchor), _judge(length), first=False, hot=hot, batch_bytes=INDEX_BYTES)
+    return repeats.repeated_spans(docs, repeats.Windows("bytes", length, anchor), _judge(length, anchor), first=False, hot=hot, batch_bytes=INDEX_BYTES)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, anchor: int = ANCHOR) -> DataFrame:
     """docs (all columns) with ``_kept`` binary, ``_n_bytes``, ``_n_removed`` and ``_n_spans`` added."""
     base = docs.select(*columns(docs.columns), *row_key())
-    spans = repeated_bytes(docs, length, hot, anchor)
-    joined = base.join(spans, ["_id", "_th"], "left").drop("_id", "_th")
+    joined = repeats.with_spans(base, repeated_bytes(docs, length, hot, anchor)).select(*columns(docs.columns), "spans")
     at = joined.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -29,8 +29,8 @@ from .common import require, row_key
 
 #: Contract: windows of 20 words.
 WINDOW = 20
-#: Words of an anchor.
-ANCHOR = 4
+#: Words of an anchor: long enough that few anchors meet by chance.
+ANCHOR = 8
 #: Occurrence kinds of one anchor that one task extends; more go to window counts.
 HOT = 8192
 
@@ -80,7 +80,7 @@ RESULT = "doc_id long, n_words long, n_removed long, n_spans long, kept_sha256 s
 def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot: int = HOT, texts: bool = False) -> DataFrame:
     """One row per row of docs: counts, digest of the kept words, and with ``texts`` the kept words themselves."""
     base = require(docs, "doc_id", "text")
-    joined = base.select("doc_id", "text", *row_key()).join(repeated_words(docs, window, anchor, hot), ["_id", "_th"], "left").select("doc_id", "text", "spans")
+    joined = repeats.with_spans(base.select("doc_id", "text", *row_key()), repeated_words(docs, window, anchor, hot)).select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vector as v
-from .common import cut, require, row_key
+from .common import cut, mark_needed, require, row_key
 
 _U = np.uint64
 #: Bits of the packed value that hold the position in a block.
@@ -110,7 +110,8 @@ def contents(rows: DataFrame) -> DataFrame:
 def probe_symbols(docs: DataFrame, probes: DataFrame, kind: Windows) -> DataFrame:
     """probes with the symbols of their content: raw bytes, or eight bytes of hash per word."""
     wanted = probes.select("_id", "_th", F.struct("key", "digest", "copies", "kinds", F.expr(START).alias("start"), F.expr(NWIN).alias("nwin"), F.expr(ANCHOR).alias("anchor")).alias("p")).groupBy("_id", "_th").agg(F.collect_list("p").alias("ps"))
-    texts = require(docs, "doc_id", "text").select(*row_key(), "text")
+    wanted = cut(wanted)
+    texts = mark_needed(require(docs, "doc_id", "text").select(*row_key(), "text"), wanted).filter("_needed").drop("_needed")
     # Rows that repeat whole (same id, same text) carry the same probes: one is enough.
     if kind.symbols == "words":
 
@@ -232,7 +233,35 @@ def repeated_spans(docs: DataFrame, kind: Windows, judge: Judge, first: bool, ho
         part = part.filter("copies = 1")  # the others are whole
     pairs = F.transform(F.expr("sequence(0, size(spans) div 2 - 1)"), lambda i: F.struct((F.expr(START) + F.get("spans", i * 2)).cast("int").alias("s"), (F.expr(START) + F.get("spans", i * 2 + 1) + (kind.window - 1)).cast("int").alias("e")))
     part = part.select("_id", "_th", F.explode(pairs).alias("x")).select("_id", "_th", "x.s", "x.e")
-    return whole.unionByName(part).groupBy("_id", "_th").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    each = whole.unionByName(part).groupBy("_id", "_th").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    return each.mapInArrow(_united, each.schema)
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of each row united to maximal runs, sorted; touching ones join."""
+    for batch in batches:
+        lists = batch.column(2)
+        flat, size = lists.flatten(), pc.list_value_length(lists).to_numpy()
+        row = np.repeat(np.arange(len(size)), size) << 40
+        s, e = row + flat.field(0).to_numpy(), row + flat.field(1).to_numpy()
+        order = np.argsort(s, kind="stable")
+        s, e = s[order], np.maximum.accumulate(e[order])
+        opens = np.flatnonzero(np.concatenate(([True], s[1:] > e[:-1]))) if len(s) else np.zeros(0, dtype=np.int64)
+        closes = e[np.concatenate((opens[1:] - 1, [len(e) - 1]))] if len(s) else opens
+        r = s[opens] >> 40
+        low = (1 << 40) - 1
+        runs = pa.StructArray.from_arrays([pa.array((s[opens] & low).astype(np.int32)), pa.array((closes & low).astype(np.int32))], names=["s", "e"])
+        at = np.searchsorted(r, np.arange(len(size) + 1)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(at), runs)], names=["_id", "_th", "spans"])
+
+
+def with_spans(base: DataFrame, spans: DataFrame) -> DataFrame:
+    """base (with _id, _th) with its ``spans``; rows that have none are not shuffled."""
+    spans = cut(spans)
+    marked = mark_needed(base, spans)
+    joined = marked.filter("_needed").drop("_needed").join(spans, ["_id", "_th"], "left")
+    bare = marked.filter("not _needed").drop("_needed").withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))
+    return joined.unionByName(bare)
 
 
 def merge_spans(spans: list[dict] | None, n: int) -> tuple[np.ndarray, np.ndarray]:
