@@ -1,3 +1,3 @@
 """Query suites; importing this package registers them all."""
 
-from . import evaluation, likelihood  # noqa: F401
+from . import evaluation, likelihood, spatial  # noqa: F401
