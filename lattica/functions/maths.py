@@ -60,7 +60,7 @@ def overlap_penalty(d: Column, d_other: Column, r_max: float) -> Column:
 
 def competition_margin(mine: Column, best_other: Column, clip: float, weight: float) -> Column:
     """Clipped lead over the best competitor, 0 without one."""
-    return F.coalesce(F.least(F.greatest(mine - best_other, F.lit(-clip)), F.lit(clip)) * weight, F.lit(0.0))
+    return F.when(best_other.isNull(), F.lit(0.0)).otherwise(F.least(F.greatest(mine - best_other, F.lit(-clip)), F.lit(clip)) * weight)
 
 
 def add_reward(z_new: Column, z_old: Column, p_distance: Column, p_overlap: Column, support: Column, w: tuple[float, float, float, float, float]) -> Column:
