@@ -6,7 +6,7 @@ it.  Equal windows have equal anchors, so they meet under one anchor key.
 Neighbouring windows with the same anchor position travel as one *stretch*
 (start, number of windows), which makes about one row for w / 2 symbols.
 
-    stretches --(key, digest)--> copies per content --(key)--> contents per key
+    stretches --(in each batch)--> contents --(key)--> copies, contents per key
 
 * A content that occurs twice or more repeats in all its windows; this costs a
   count and needs no text.
@@ -99,10 +99,46 @@ def stretches(docs: DataFrame, kind: Windows) -> DataFrame:
     return require(docs, "doc_id", "text").select(*row_key(), "text").mapInArrow(run, STRETCH)
 
 
-def contents(rows: DataFrame) -> DataFrame:
-    """One row per content that can repeat: its copies, its first occurrence, and the contents under its key."""
-    each = rows.groupBy("key", "digest").agg(F.count("*").alias("copies"), F.min(F.struct("_id", "_th", "place")).alias("rep"))
-    # ``rep`` is kept on this side too, so that both sides are one exchange, made once.
+def _combined(batch: pa.RecordBatch, kind: Windows) -> pa.RecordBatch:
+    """Contents of the rows of one batch: copies and first occurrence in (_id, _th, place)."""
+    parts: list[dict[str, np.ndarray]] = []
+    for lo, raw, offsets in v.blocks(batch.column(2)):
+        s = kind.stretches(raw, offsets)
+        parts.append({"row": s["row"] + lo, "place": s["start"] << 24 | s["nwin"] << 12 | s["anchor"], "key": s["key"], "digest": s["digest"]})
+    row, place, key, digest = (np.concatenate([p[c] for p in parts]) if parts else np.zeros(0, dtype=np.int64) for c in ("row", "place", "key", "digest"))
+    ids, th = batch.column(0).to_numpy()[row], batch.column(1).to_numpy()[row]
+    order = np.argsort(v.mix(key.view(_U)) ^ digest.view(_U))
+    opens = np.ones(len(order), dtype=bool)
+    opens[1:] = (key[order[1:]] != key[order[:-1]]) | (digest[order[1:]] != digest[order[:-1]])
+    at = np.flatnonzero(opens)
+    copies = np.diff(np.concatenate((at, [len(order)])))
+    first = order[at]
+    group = np.cumsum(opens) - 1
+    several = copies[group] > 1 if len(order) else np.zeros(0, dtype=bool)
+    same, group = order[several], group[several]
+    by = np.lexsort((place[same], th[same], ids[same], group))
+    heads = np.ones(len(by), dtype=bool)
+    heads[1:] = group[by[1:]] != group[by[:-1]]
+    first[group[by[heads]]] = same[by[heads]]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (key[first], digest[first], copies.astype(np.int64), ids[first], th[first], place[first])], names=["key", "digest", "copies", "_id", "_th", "place"])
+
+
+def contents(docs: DataFrame, kind: Windows) -> DataFrame:
+    """One row per content that can repeat: its copies, its first occurrence, and the contents under its key.
+
+    Copies are combined in each batch of documents before anything is shuffled,
+    so a key that many documents share brings one row a batch.  One exchange, by
+    key, serves the contents and the sums of their keys.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield _combined(batch, kind)
+
+    rows = require(docs, "doc_id", "text").select(*row_key(), "text").mapInArrow(run, "key long, digest long, copies long, _id long, _th long, place long").repartition("key")
+    each = rows.groupBy("key", "digest").agg(F.sum("copies").alias("copies"), F.min(F.struct("_id", "_th", "place")).alias("rep"))
+    # ``rep`` is kept on this side too, so that both sides read the one exchange.
     keys = each.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("copies").alias("rows_of_key"), F.sum(F.when(F.col("copies") == 1, 1).otherwise(0)).alias("singles"), F.max("rep").alias("_rep")).filter("rows_of_key >= 2 and _rep is not null").drop("_rep")
     return each.join(keys, "key").select("key", "digest", "copies", "kinds", "singles", "rep.*")
 
@@ -215,7 +251,7 @@ def repeated_spans(docs: DataFrame, kind: Windows, judge: Judge, first: bool, ho
     first=True spares the earliest one in (doc_id, text hash, position).
     """
     rows = stretches(docs, kind)
-    known = cut(contents(rows))
+    known = cut(contents(docs, kind))
     copied = known.filter("copies >= 2").select("key", "digest", F.struct("_id", "_th", "place").alias("r"))
     whole = rows.join(copied, ["key", "digest"])
     if first:
