@@ -213,8 +213,13 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
 
 def train(pages: DataFrame) -> dict[str, float]:
     """Weights from TRAIN_PAGES pages that label their main text, the ones with the least hash."""
+    hashed = F.xxhash64("html").alias("_h")
     labelled = require(pages, "html").filter(F.col("html").rlike("(?i)<(article|main)[\\s>]") & (F.length("html") <= TRAIN_CHARS))
-    sample = labelled.orderBy(F.xxhash64("html")).limit(TRAIN_PAGES).collect()
+    # Hashes first: no task sends pages that another one's pages displace.
+    least = labelled.select(hashed).distinct().orderBy("_h").limit(TRAIN_PAGES).agg(F.max("_h")).first()[0]
+    if least is None:
+        return learn(())
+    sample = labelled.select("html", hashed).filter(F.col("_h") <= least).dropDuplicates(["_h"]).orderBy("_h").select("html").collect()
     return learn(r[0] for r in sample)
 
 
