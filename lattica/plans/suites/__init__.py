@@ -1,3 +1,3 @@
 """Query suites; importing this package registers them all."""
 
-from . import em, evaluation, likelihood, sequences, spatial, statistics  # noqa: F401
+from . import em, evaluation, likelihood, sequences, spatial, statistics, streams  # noqa: F401
