@@ -16,8 +16,21 @@ NULL_ID = -(1 << 63)
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes in one Arrow batch between Spark and Python; the session's default is eight times as much.
+BATCH_BYTES = 8 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def _bound_batches(spark: SparkSession) -> None:
+    """Lower the session's default batch size, which bounds what a task holds of long texts; a smaller one stays."""
+    now = spark.conf.get(_BATCH_SETTING, "").removesuffix("b")
+    if now.isdigit() and int(now) > BATCH_BYTES:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+
 def require(df: DataFrame, *names: str) -> DataFrame:
     """The named columns only; a clear error when one is missing."""
+    _bound_batches(df.sparkSession)
     missing = [n for n in names if n not in df.columns]
     if missing:
         raise ValueError(f"missing columns {missing}; the table has {df.columns}")
@@ -72,5 +85,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores before it when the table has such a column."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name
+
+
 def columns(names: Iterable[str]) -> list[Column]:
     return [F.col(f"`{n}`") for n in names]

@@ -65,10 +65,11 @@ def position(u: Column, a: Column) -> Column:
 
 
 def plan(docs: DataFrame) -> DataFrame:
-    """docs (all columns) with _size, _source_size, _target, _taken, _first and _second (positions of the copies)."""
+    """(row, _size, _source_size, _target, _taken, _words_1, _words_2, _first, _second): each row of docs as a struct, its
+    words, what the mix takes, in the first and second copy, and the positions of the copies."""
     require(docs, "doc_id", "text", "source")
     keyed = docs.select(
-        *columns(docs.columns),
+        F.struct(*columns(docs.columns)).alias("row"),
         F.coalesce("source", F.lit("")).alias("_s"),
         F.col("source").isNull().alias("_sn"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("_size"),
@@ -89,7 +90,7 @@ def plan(docs: DataFrame) -> DataFrame:
         middle = F.col("source_size") * copy + F.col("_at") + words(copy) / 2
         return F.when(words(copy) > 0, position(middle / F.col("_goal"), F.col("slope")))
 
-    return rows.select(*columns(docs.columns), "_size", F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), sum((words(i) for i in range(REPEAT)), F.lit(0)).alias("_taken"), words(0).alias("_words_1"), words(1).alias("_words_2"), place(0).alias("_first"), place(1).alias("_second"))
+    return rows.select("row", "_size", F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), sum((words(i) for i in range(REPEAT)), F.lit(0)).alias("_taken"), words(0).alias("_words_1"), words(1).alias("_words_2"), place(0).alias("_first"), place(1).alias("_second"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
@@ -97,14 +98,15 @@ def mix(docs: DataFrame) -> DataFrame:
 
     A column of docs with one of these two names is replaced.
     """
-    rest = [c for c in docs.columns if c not in ("position", "words")]
     copies = F.array(F.struct(F.col("_first").alias("position"), F.col("_words_1").alias("words")), F.struct(F.col("_second").alias("position"), F.col("_words_2").alias("words")))
-    return plan(docs).select(*columns(rest), F.explode(F.filter(copies, lambda c: c["words"] > 0)).alias("_c")).select(*columns(rest), "_c.position", "_c.words").orderBy("position", "doc_id")
+    taken = plan(docs).select("row", F.explode(F.filter(copies, lambda c: c["words"] > 0)).alias("copy")).orderBy("copy.position", "row.doc_id")
+    rest = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ("position", "words")]
+    return taken.select(*rest, "copy.position", "copy.words")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = require(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", "source")
-    return plan(docs).select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").cast("long").alias("taken"), F.round("_first", 9).alias("position_1"), F.round("_second", 9).alias("position_2"))
+    return plan(docs).select("row.doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").cast("long").alias("taken"), F.round("_first", 9).alias("position_1"), F.round("_second", 9).alias("position_2"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

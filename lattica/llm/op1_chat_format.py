@@ -49,9 +49,11 @@ MARKER = rf"(?i)^[\s>#*\[<|]*({_NAMES})(?:[ \t]*[\]|>*]+[ \t]*:?|[ \t]*:)\s*"
 OTHER_MARKER = 1e-7
 
 _LENGTHS, _LINES = 18, 4
+#: Log chances are whole multiples of 2**-20, held as floats: sums are exact and do not depend on how turns are cut.
+_GRAIN = float(1 << 20)
 _K = len(ROLES)
 _S = _K + 1  # and one state before the first turn
-_FLOOR = -1e9
+_FLOOR = -1e4
 
 
 def _observed(text: Column) -> list[Column]:
@@ -79,7 +81,7 @@ def held_out(conv_id: Column) -> Column:
 
 
 class Model:
-    """step[s, t]: log chance of role t after s (last s: at the start); emit[observation, t]."""
+    """step[s, t]: log chance of role t after s (last s: at the start); emit[observation, t]; both times _GRAIN."""
 
     def __init__(self, seen: list, moves: list) -> None:
         role_of = {r: i for i, r in enumerate(ROLES)}
@@ -102,6 +104,7 @@ class Model:
             step[role_of[r["before"]] if r["before"] else _K, role_of[r["role"]]] += r["n"]
         self.step = np.full((_S, _S), _FLOOR)
         self.step[:, :_K] = np.log(step / step.sum(axis=1, keepdims=True))
+        self.emit, self.step = np.rint(self.emit * _GRAIN), np.rint(self.step * _GRAIN)
 
     @staticmethod
     def code() -> Column:
@@ -126,7 +129,7 @@ def decode(step: Step, starts: np.ndarray, lengths: np.ndarray, enter: np.ndarra
     out = np.zeros(int(lengths.sum()), dtype=np.int64)
     order = np.argsort(-lengths, kind="stable")
     ranked = lengths[order]
-    delta = np.full((len(lengths), _S), _FLOOR * 1e3)
+    delta = np.full((len(lengths), _S), _FLOOR * _GRAIN * 1e3)
     delta[np.arange(len(lengths)), enter] = 0
     trail = []
     for t in range(int(ranked[0]) if len(ranked) else 0):

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vector as v
-from .common import columns, require
+from .common import columns, fresh, require
 
 WINDOW = 8
 LITERALS = 5
@@ -193,8 +193,8 @@ def _blocks(benchmark: DataFrame) -> Iterator[Benchmark]:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs (all columns) with _items (array of item ids), _coverage and _windows added."""
-    out = docs.select(*columns(docs.columns), F.array().cast("array<long>").alias("_items"), F.lit(0.0).alias("_coverage"), F.lit(0).cast("long").alias("_windows"))
+    """docs (all columns) with _items (array of item ids), _coverage and _windows; a name that docs has gets another underscore."""
+    out = docs.select(*columns(docs.columns), F.array().cast("array<long>").alias(fresh(docs, "_items")), F.lit(0.0).alias(fresh(docs, "_coverage")), F.lit(0).cast("long").alias(fresh(docs, "_windows")))
     at, schema = docs.columns.index("text"), out.schema
     width = len(docs.columns)
 
@@ -226,4 +226,4 @@ def query(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: contaminated documents go, all others stay as they are."""
     out = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return out.filter(F.size("_items") == 0).select(*columns(docs.columns))
+    return out.filter(F.size(fresh(docs, "_items")) == 0).select(*columns(docs.columns))

@@ -8,14 +8,17 @@
    candidates.  At similarity 0.8, 32 bands miss a pair with chance 5e-8.
 3. Links are looked for where they can still join two components, so groups of
    copies cost about one candidate a member, not all pairs:
-   a. every class tries, of the least and greatest members of its bands, the
-      two it shares most bands with; then members of other components, again
-      the ones with most bands in common;
-   b. all remaining pairs of one band whose components differ are tried, but
-      for those that their own shingles rule out: a class with u shingles that
-      no other remaining class has shares n - u at most, so with a class of m
-      shingles its similarity is (n - u) / (m + u) at most.  Counting these is
-      linear, and settles the many members of a group that are near to nothing.
+   a. every class tries, of the members of its bands that are nearest the
+      middle (they stand in the most crowded bands) and the least ones, the two
+      it shares most bands with; then likewise members of other components;
+   b. all remaining pairs of one band whose components differ are tried, each
+      pair in the first band it shares, but for those that rare shingles rule
+      out.  Let u be the shingles of a class that at most RARE of the remaining
+      classes have.  A class of m shingles that shares none of these has
+      n - u in common at most, and similarity (n - u) / (m + u) at most.  So
+      pairs are tried that pass this bound either way, and pairs that share a
+      rare shingle (lists of at most RARE classes).  The counts are linear, and
+      they settle the many members of a group that are near to nothing.
    After b each candidate pair is inside one component or was decided.
 4. Before full sets are compared, pairs with a collision-corrected Jaccard
    estimate under ``threshold - MARGIN`` fall out; the rest are verified.
@@ -43,6 +46,8 @@ REGISTERS = 128
 BAND = 4
 #: Five standard deviations of the estimate from 128 registers at 0.8.
 MARGIN = 0.18
+#: A shingle that so many classes have is rare among those that are left.
+RARE = 40
 #: Chance that two different minima keep the same register: 0.17 of a mantissa step (published bound).
 COLLISION = 0.1699 / (1 << 10)
 
@@ -158,23 +163,24 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: in
     return joined.mapInArrow(compare, "a binary, b binary").distinct()
 
 
-def _own_shingles(nodes: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
-    """(node, u): how many shingles of each node no other one of ``nodes`` has."""
-    wanted = cut(nodes.join(classes.select("node", "_id", "_th"), "node"))
-    texts = mark_needed(require(docs, "doc_id", "text").select(*row_key(), "text"), wanted).filter("_needed")
-    texts = texts.join(wanted.withColumn("nid", F.xxhash64("node")), ["_id", "_th"]).select("nid", "text")
+def _rare_shingles(nodes: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """(s, nid, g, n, s0, s1): the shingles of ``nodes`` (node, label, n, s0, s1) that at most RARE of them have; g stands for the label."""
+    wanted = cut(nodes.join(classes.select("node", "_id", "_th"), "node").withColumns({"nid": F.xxhash64("node"), "g": F.xxhash64("label")}).select("_id", "_th", "nid", "g", "n", "s0", "s1"))
+    texts = mark_needed(require(docs, "doc_id", "text").select(*row_key(), "text"), wanted).filter("_needed").drop("_needed")
+    # Rows that repeat whole are one class.
+    texts = texts.join(wanted, ["_id", "_th"]).dropDuplicates(["_id", "_th"]).select("text", "nid", "g", "n", "s0", "s1")
 
     def list_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nid = batch.column(0).to_numpy()
-            for lo, raw, offsets in v.blocks(batch.column(1)):
+            rest = [batch.column(i).to_numpy() for i in range(1, 6)]
+            for lo, raw, offsets in v.blocks(batch.column(0)):
                 g, bounds = v.shingle_sets(raw, offsets, shingle)
-                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(np.repeat(nid[lo : lo + len(offsets) - 1], np.diff(bounds)))], names=["s", "nid"])
+                i = lo + np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))
+                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), *(pa.array(r[i]) for r in rest)], names=["s", "nid", "g", "n", "s0", "s1"])
 
-    # Several rows of one class (same id and text) list their shingles alike: min and max tell nodes apart.
-    owners = texts.mapInArrow(list_all, "s long, nid long").groupBy("s").agg(F.min("nid").alias("nid"), F.max("nid").alias("other")).filter("nid = other")
-    own = owners.groupBy("nid").agg(F.count("*").alias("u"))
-    return wanted.select("node", F.xxhash64("node").alias("nid")).join(own, "nid", "left").select("node", F.coalesce("u", F.lit(0)).alias("u"))
+    rows = texts.mapInArrow(list_all, "s long, nid long, g long, n long, s0 long, s1 long")
+    rare = rows.groupBy("s").agg(F.count("*").alias("c")).filter(F.col("c") <= RARE).select("s")
+    return rows.join(rare, "s")
 
 
 def _labelled(shared: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -196,30 +202,45 @@ def near_components(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     rows = sets_of(docs, shingle)
     classes = cut(rows.filter("n > 0").groupBy("node").agg(F.min(F.struct("_id", "_th")).alias("r"), F.first("n").alias("n"), F.first("sig").alias("sig")).select("node", "r._id", "r._th", "n", "sig"))
     every = bands(classes)
-    busy = every.groupBy("key").agg(F.count("*").alias("k"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("k >= 2")
-    shared = cut(every.join(busy, "key").select("key", "node", "n", "s0", "s1", "lo", "hi"))
-    hubs = shared.select(F.col("node").alias("a"), F.explode(F.array("lo", "hi")).alias("b")).filter("a != b")
+    busy = every.groupBy("key").agg(F.count("*").alias("k")).filter("k >= 2")
+    rows = every.join(busy, "key").select("key", "node", "n", "s0", "s1", "k")
+    # Classes that stand in many crowded bands are near the middle of their group.
+    middle = rows.groupBy("node").agg(F.sum("k").alias("m"))
+    shared = cut(rows.drop("k").join(middle, "node"))
+    central = shared.groupBy("key").agg(F.max(F.struct("m", "node")).alias("top"), F.min("node").alias("lo"))
+    hubs = shared.join(central, "key").select(F.col("node").alias("a"), F.explode(F.array("top.node", "lo")).alias("b")).filter("a != b")
     links = cut(_verified(_best(hubs, 2), classes, docs, shingle, percent, threshold))
 
-    # Members of other components: the least and greatest label of each band show the way.
-    slim = shared.drop("lo", "hi")
-    labelled, found = _labelled(slim, links)
-    mixed = labelled.groupBy("key").agg(F.min(F.struct("label", "node")).alias("lo"), F.max(F.struct("label", "node")).alias("hi")).filter("lo.label != hi.label")
-    across = labelled.join(mixed, "key").select(F.col("node").alias("a"), F.col("label").alias("l"), F.explode(F.array("lo", "hi")).alias("h")).filter("l != h.label").select("a", F.col("h.node").alias("b"))
-    more = cut(_verified(_best(across, 1), classes, docs, shingle, percent, threshold))
+    # Members of other components: the one nearest the middle, and the least and greatest label.
+    labelled, found = _labelled(shared, links)
+    mixed = labelled.groupBy("key").agg(F.max(F.struct("m", "label", "node")).alias("t"), F.min(F.struct("label", "node")).alias("lo"), F.max(F.struct("label", "node")).alias("hi")).filter("lo.label != hi.label")
+    three = F.array(F.struct(F.col("t.label").alias("label"), F.col("t.node").alias("node")), "lo", "hi")
+    across = labelled.join(mixed, "key").select(F.col("node").alias("a"), F.col("label").alias("l"), F.explode(three).alias("h")).filter("l != h.label").select("a", F.col("h.node").alias("b"))
+    more = cut(_verified(_best(across, 2), classes, docs, shingle, percent, threshold))
     links = links.unionByName(more)
 
     # What is left: every pair of a band whose components differ, of sizes that can be similar.
-    labelled, found = _labelled(slim, links)
+    labelled, found = _labelled(shared, links)
     mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("key")
-    rest = cut(labelled.join(mixed, "key"))
-    own = _own_shingles(rest.select("node").distinct(), classes, docs, shingle)
-    rest = cut(rest.join(own, "node"))
-    x, y = rest.alias("x"), rest.alias("y")
+    rest = cut(labelled.join(mixed, "key").groupBy("node", "label", "n", "s0", "s1").agg(F.sort_array(F.collect_list("key")).alias("ks")))
+    rare = cut(_rare_shingles(rest, classes, docs, shingle))
+    counted = rare.groupBy("nid").agg(F.count("*").alias("u"))
+    rest = cut(rest.withColumn("nid", F.xxhash64("node")).join(counted, "nid", "left").withColumn("u", F.coalesce("u", F.lit(0))))
+    rows = rest.select("node", "label", "n", "s0", "s1", "u", "ks", F.explode("ks").alias("key"))
+    x, y = rows.alias("x"), rows.alias("y")
     # Bits agree with chance (1 + J) / 2: at 0.8 that is 115 of 128, five deviations less are 98.
-    bits = F.expr("bit_count(x.s0 ^ y.s0) + bit_count(x.s1 ^ y.s1)")
-    can = (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")) & (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent) & ((F.col("x.n") - F.col("x.u")) * 100 >= (F.col("y.n") + F.col("x.u")) * percent) & ((F.col("y.n") - F.col("y.u")) * 100 >= (F.col("x.n") + F.col("y.u")) * percent) & (bits <= REGISTERS * ((1 - threshold) / 2 + 0.1325))
-    left = x.join(y, can).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    bits = F.expr("bit_count(x.s0 ^ y.s0) + bit_count(x.s1 ^ y.s1)") <= REGISTERS * ((1 - threshold) / 2 + 0.1325)
+    sizes = (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent)
+    own = ((F.col("x.n") - F.col("x.u")) * 100 >= (F.col("y.n") + F.col("x.u")) * percent) & ((F.col("y.n") - F.col("y.u")) * 100 >= (F.col("x.n") + F.col("y.u")) * percent)
+    once = F.col("x.key") == F.array_min(F.array_intersect("x.ks", "y.ks"))
+    can = (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")) & sizes & own & bits & once
+    left = x.join(y, can).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    # Pairs with a rare shingle in common.
+    p, q = rare.alias("x"), rare.alias("y")
+    few = p.join(q, (F.col("x.s") == F.col("y.s")) & (F.col("x.nid") < F.col("y.nid")) & (F.col("x.g") != F.col("y.g")) & sizes & bits).select("x.nid", F.col("y.nid").alias("other")).distinct()
+    named = rest.select("nid", "node")
+    few = few.join(named.withColumnRenamed("node", "a"), "nid").join(named.select(F.col("nid").alias("other"), F.col("node").alias("b")), "other").select("a", "b")
+    left = left.unionByName(few).distinct()
     last = cut(_verified(left, classes, docs, shingle, percent, threshold))
     links = links.unionByName(last)
     if not last.isEmpty():
@@ -250,7 +271,8 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     decided = decided.withColumn("_stays", F.col("_empty") | F.col("_first").isNotNull())
     touched = cut(decided.filter("not _stays or _rows > 1").select("_id", "_th", "_stays"))
     # Documents that nothing is decided about are not shuffled.
-    marked = mark_needed(docs.select(*columns(docs.columns), *row_key()), touched)
+    marked = mark_needed(docs.select(F.struct(*columns(docs.columns)).alias("row"), *row_key()), touched)
     asked = marked.filter("_needed").join(touched, ["_id", "_th"], "left")
     once = asked.filter("_stays").dropDuplicates(["_id", "_th"])
-    return marked.filter("not _needed").unionByName(asked.filter("_stays is null").drop("_stays")).unionByName(once.drop("_stays")).select(*columns(docs.columns))
+    rest = marked.filter("not _needed").select("row").unionByName(asked.filter("_stays is null").select("row"))
+    return rest.unionByName(once.select("row")).select("row.*")

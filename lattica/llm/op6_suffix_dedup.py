@@ -141,15 +141,14 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, hot: int = HOT, anchor
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, anchor: int = ANCHOR) -> DataFrame:
-    """docs (all columns) with ``_kept`` binary, ``_n_bytes``, ``_n_removed`` and ``_n_spans`` added."""
-    base = docs.select(*columns(docs.columns), *row_key())
-    joined = repeats.with_spans(base, repeated_bytes(docs, length, hot, anchor)).select(*columns(docs.columns), "spans")
-    at = joined.columns.index("text")
+    """(row, _kept, _n_bytes, _n_removed, _n_spans): each row of docs as a struct, its remaining bytes, and counts."""
+    base = docs.select(F.struct(*columns(docs.columns)).alias("row"), *row_key())
+    joined = repeats.with_spans(base, repeated_bytes(docs, length, hot, anchor)).select("row", F.col("row.text").cast("binary").alias("text"), "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, total, lost, runs = [], [], [], []
-            for text, spans in zip(batch.column(at).cast(pa.binary()).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 text = text or b""
                 s, e = repeats.merge_spans(spans, len(text))
                 total.append(len(text))
@@ -160,16 +159,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, anchor
                     text = b"".join(view[i:j] for i, j in zip(edges[::2], edges[1::2], strict=True))
                 kept.append(text)
             extra = [pa.array(kept, type=pa.binary()), *(pa.array(x, type=pa.int64()) for x in (total, lost, runs))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *extra], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *extra], names=names)
 
-    out = joined.drop("spans").select("*", F.lit(b"").alias("_kept"), *(F.lit(0).cast("long").alias(c) for c in ("_n_bytes", "_n_removed", "_n_spans")))
+    out = joined.select("row", F.lit(b"").alias("_kept"), *(F.lit(0).cast("long").alias(c) for c in ("_n_bytes", "_n_removed", "_n_spans")))
     names = out.columns
     return joined.mapInArrow(run, out.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = require(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
-    return remove_repeats(docs).select("doc_id", F.col("_n_bytes").alias("n_bytes"), F.col("_n_removed").alias("n_removed"), F.col("_n_spans").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"))
+    return remove_repeats(docs).select("row.doc_id", F.col("_n_bytes").alias("n_bytes"), F.col("_n_removed").alias("n_removed"), F.col("_n_spans").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -183,7 +182,9 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     def decode(series):
         return series.map(lambda b: bytes(b).decode("utf-8", "ignore") if b is not None else None)
 
-    text = F.when(changed, F.pandas_udf(decode, "string")("_kept")).otherwise(F.col("text"))
-    out = out.withColumn("_text", text)
-    picked = [F.col("_text").alias(c) if c == "text" else (F.when(changed, F.length("_text").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(f"`{c}`")) for c in docs.columns]
-    return out.select(*picked)
+    text = F.when(changed, F.pandas_udf(decode, "string")("_kept")).otherwise(F.col("row.text"))
+    out = out.select("row", changed.alias("changed"), text.alias("text"))
+    picked = {c: F.col(f"row.`{c}`") for c in docs.columns} | {"text": F.col("text")}
+    if "n_chars" in picked:
+        picked["n_chars"] = F.when(F.col("changed"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return out.select(*[c.alias(n) for n, c in picked.items()])

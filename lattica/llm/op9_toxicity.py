@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vector as v
-from .common import columns, require
+from .common import columns, fresh, require
 from .levenshtein import EXACT, MISSPELLED, NONE, STEM, LexiconAutomaton
 
 #: Bound of the training sample, in rows, and of the lexicon, in entries.
@@ -185,9 +185,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs (all columns) with ``_score``, from the text alone."""
+    """docs (all columns) with ``_score`` (a name that docs has gets another underscore), from the text alone."""
     automaton, ex, weights = model.automaton, model.exceptions, model.weights
-    at, schema = docs.columns.index("text"), docs.withColumn("_score", F.lit(0.0)).schema
+    at, schema = docs.columns.index("text"), docs.withColumn(fresh(docs, "_score"), F.lit(0.0)).schema
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,4 +210,4 @@ def query(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents predicted toxic go; the model is the one of the query, fitted on these documents."""
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, model).filter(F.col("_score") < THRESHOLD).select(*columns(docs.columns))
+    return score(docs, model).filter(F.col(fresh(docs, "_score")) < THRESHOLD).select(*columns(docs.columns))
