@@ -23,7 +23,7 @@ _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 def _bound_batches(spark: SparkSession) -> None:
     """Lower the session's default batch size, which bounds what a task holds of long texts; a smaller one stays."""
-    now = spark.conf.get(_BATCH_SETTING, "").removesuffix("b")
+    now = spark.conf.get(_BATCH_SETTING).removesuffix("b")
     if now.isdigit() and int(now) > BATCH_BYTES:
         spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
 
