@@ -1,48 +1,55 @@
 """Ordered sequences: returns, advantages, moving statistics, replay of actions.
 
-A trajectory is the rows of one key in the order of a step number.  Reverse
-scans that reset are weighted sums inside segments, so windows suffice; a key's
-rows are one partition of a window, which streams with spilling.
+A trajectory is the rows of one key in the order of a step number.  Windows
+stream with spilling; reverse scans with a carried value stream too, over rows
+sorted by key and step.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def discounted_returns(df: DataFrame, key: str, step: str, reward: str, gamma: float, out: str = "ret") -> DataFrame:
-    """R_t = r_t + gamma R_(t+1): one fold over the key's rewards in reverse, as arrays."""
-    items = F.reverse(F.array_sort(F.collect_list(F.struct(F.col(step).alias("s"), F.col(reward).alias("r")))))
-    g = df.groupBy(key).agg(items.alias("_i"))
-    zero = F.struct(F.lit(0.0).alias("c"), F.array().cast(f"array<struct<s:{df.schema[step].dataType.simpleString()},v:double>>").alias("o"))
+def _reverse_scan(df: DataFrame, keys: Sequence[str], step: str, add: Column, carry: Column, out: str) -> DataFrame:
+    """df with out_t = add_t + carry_t * out_(t + 1) inside each key, linear in the rows.
+
+    Rows come sorted by key and descending step; a scan holds one number and
+    streams over batches, so a long trajectory is never a list in memory.
+    """
+    prepared = df.withColumns({"_a": add.cast("double"), "_k": carry.cast("double")})
+    names = [*df.columns, out]
+    nk, na = [prepared.columns.index(k) for k in keys], len(prepared.columns) - 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, value = None, 0.0
+        for batch in batches:
+            key = list(zip(*[batch.column(i).to_pylist() for i in nk], strict=True))
+            scanned = []
+            for k, a, c in zip(key, batch.column(na).to_pylist(), batch.column(na + 1).to_pylist(), strict=True):
+                value = a + c * value if k == last else a
+                last = k
+                scanned.append(value)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:na], pa.array(scanned, type=pa.float64())], names=names)
+
+    ordered = prepared.repartition(*keys).sortWithinPartitions(*keys, F.desc(step))
+    return ordered.mapInArrow(run, df.withColumn(out, F.lit(0.0)).schema)
 
-    def add(acc, x):
-        v = x["r"] + gamma * acc["c"]
-        return F.struct(v.alias("c"), F.concat(acc["o"], F.array(F.struct(x["s"].alias("s"), v.alias("v")))).alias("o"))
 
-    folded = g.select(key, F.explode(F.aggregate("_i", zero, add, lambda a: a["o"])).alias("_x"))
-    return df.join(folded.select(key, F.col("_x.s").alias(step), F.col("_x.v").alias(out)), [key, step])
+def discounted_returns(df: DataFrame, key: str, step: str, reward: str, gamma: float, out: str = "ret") -> DataFrame:
+    """R_t = r_t + gamma R_(t+1)."""
+    return _reverse_scan(df, [key], step, F.col(reward), F.lit(gamma), out)
 
 
 def gae(df: DataFrame, key: str, step: str, reward: str, value: str, done: str, gamma: float, lam: float, out: str = "adv") -> DataFrame:
     """Generalised advantage: delta_t + gamma lam (1 - done_t) A_(t+1); a done step cuts both value and carry."""
-    w = Window.partitionBy(key).orderBy(step)
-    nxt = F.coalesce(F.lead(value).over(w), F.lit(0.0))
+    nxt = F.coalesce(F.lead(value).over(Window.partitionBy(key).orderBy(step)), F.lit(0.0))
     live = 1.0 - F.col(done).cast("double")
-    d = df.withColumn("_d", F.col(reward) + gamma * nxt * live - F.col(value)).withColumn("_k", gamma * lam * live)
-    items = F.reverse(F.array_sort(F.collect_list(F.struct(F.col(step).alias("s"), F.col("_d").alias("d"), F.col("_k").alias("k")))))
-    g = d.groupBy(key).agg(items.alias("_i"))
-    zero = F.struct(F.lit(0.0).alias("c"), F.array().cast(f"array<struct<s:{df.schema[step].dataType.simpleString()},v:double>>").alias("o"))
-
-    def add(acc, x):
-        v = x["d"] + x["k"] * acc["c"]
-        return F.struct(v.alias("c"), F.concat(acc["o"], F.array(F.struct(x["s"].alias("s"), v.alias("v")))).alias("o"))
-
-    folded = g.select(key, F.explode(F.aggregate("_i", zero, add, lambda a: a["o"])).alias("_x"))
-    return df.join(folded.select(key, F.col("_x.s").alias(step), F.col("_x.v").alias(out)), [key, step])
+    d = df.withColumns({"_d": F.col(reward) + gamma * nxt * live - F.col(value), "_l": gamma * lam * live})
+    return _reverse_scan(d, [key], step, F.col("_d"), F.col("_l"), out).drop("_d", "_l")
 
 
 def group_advantage(df: DataFrame, key: str, step: str, reward: str, size: int, eps: float = 1e-8) -> DataFrame:
