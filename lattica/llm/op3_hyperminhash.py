@@ -46,6 +46,9 @@ REGISTERS = 128
 BAND = 4
 #: Five standard deviations of the estimate from 128 registers at 0.8.
 MARGIN = 0.18
+#: Classes in one block of those that are left, and of classes that meet a block in one task.
+BLOCK = 256
+SHARE = 4000
 #: A shingle that so many classes have is rare among those that are left.
 RARE = 40
 #: Chance that two different minima keep the same register: 0.17 of a mantissa step (published bound).
@@ -196,6 +199,79 @@ def _best(pairs: DataFrame, most: int) -> DataFrame:
     return counted.withColumn("r", rank).filter(F.col("r") <= most).select("a", "b")
 
 
+def _settle_rest(rest: DataFrame, rare: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, percent: int, threshold: float) -> DataFrame:
+    """(a, b): the links among classes of different components that are left.
+
+    Of a pair, b is the one in the smaller component.  Classes that can be b are
+    dealt into blocks of about BLOCK; a class meets a block once, with the list
+    of those of it that it is to be compared with.  So a text travels once for
+    each block and not once for each pair, and a task holds one block.
+    """
+    low = F.struct("cs", "g")
+    rows = rest.select("nid", "g", "cs", "n", "u", "s0", "s1", F.explode("ks").alias("key"))
+    ends = rows.groupBy("key").agg(F.max(low).alias("top"), F.min("n").alias("least"))
+    rows = cut(rows.join(ends, "key").withColumn("small", (low < F.col("top")) & ((F.col("n") - F.col("u")) * 100 >= (F.col("least") + F.col("u")) * percent)).drop("top", "least"))
+    blocks = max(1, -(-rows.filter("small").select("nid").distinct().count() // BLOCK))
+    block = lambda c: F.pmod(F.col(c), F.lit(blocks))
+    one = F.struct("nid", "g", "cs", "n", "u", "s0", "s1")
+    lists = rows.filter("small").groupBy("key", block("nid").alias("block")).agg(F.collect_list(one).alias("bs"))
+    # Bits agree with chance (1 + J) / 2: at 0.8 that is 115 of 128, five deviations less are 98.
+    apart = REGISTERS * ((1 - threshold) / 2 + 0.1325)
+
+    def can(b):
+        a = {c: F.col(c) for c in ("g", "cs", "n", "u", "s0", "s1")}
+        below = (b["cs"] < a["cs"]) | ((b["cs"] == a["cs"]) & (b["g"] < a["g"]))
+        sizes = (a["n"] * 100 >= b["n"] * percent) & (b["n"] * 100 >= a["n"] * percent)
+        own = ((a["n"] - a["u"]) * 100 >= (b["n"] + a["u"]) * percent) & ((b["n"] - b["u"]) * 100 >= (a["n"] + b["u"]) * percent)
+        return below & sizes & own & (F.bit_count(a["s0"].bitwiseXOR(b["s0"])) + F.bit_count(a["s1"].bitwiseXOR(b["s1"])) <= apart)
+
+    met = rows.join(lists, "key").select("nid", "block", F.transform(F.filter("bs", can), lambda b: b["nid"]).alias("bs")).filter("size(bs) > 0")
+    # Pairs with a rare shingle in common.
+    p, q = rare.alias("x"), rare.alias("y")
+    alike = (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent) & (F.expr("bit_count(x.s0 ^ y.s0) + bit_count(x.s1 ^ y.s1)") <= apart)
+    few = p.join(q, (F.col("x.s") == F.col("y.s")) & (F.col("x.nid") < F.col("y.nid")) & (F.col("x.g") != F.col("y.g")) & alike).select("x.nid", F.col("y.nid").alias("b")).distinct()
+    few = few.select("nid", block("b").alias("block"), F.array("b").alias("bs"))
+    asked = met.unionByName(few).groupBy("nid", "block").agg(F.array_distinct(F.flatten(F.collect_list("bs"))).alias("bs"))
+    # A block that many classes meet is held by several tasks.
+    shares = asked.groupBy("block").agg(F.ceil(F.count("*") / SHARE).alias("shares"))
+    asked = cut(asked.join(shares, "block"))
+    held = asked.select("block", "shares", F.explode("bs").alias("nid")).distinct().withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)))
+    visits = asked.select("block", F.pmod(F.col("nid"), F.col("shares")).alias("share"), F.lit(1).alias("side"), "nid", "bs").unionByName(held.select("block", "share", F.lit(0).alias("side"), "nid", F.array().cast("array<bigint>").alias("bs")))
+
+    named = rest.select("nid", "node").join(classes.select("node", "_id", "_th", "sig"), "node")
+    wanted = cut(named.join(visits.select("nid").distinct(), "nid", "left_semi"))
+    texts = mark_needed(require(docs, "doc_id", "text").select(*row_key(), "text"), wanted).filter("_needed").drop("_needed")
+    texts = wanted.join(texts.dropDuplicates(["_id", "_th"]), ["_id", "_th"]).select("nid", "node", "sig", "text")
+    ready = visits.join(texts, "nid").select("block", "share", "side", "node", "sig", "text", "nid", "bs").repartition("block", "share").sortWithinPartitions("block", "share", "side")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, kept = None, {}
+        for batch in batches:
+            where = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            side, node, sig, nid, bs = (batch.column(i).to_pylist() for i in (2, 3, 4, 6, 7))
+            a_out, b_out = [], []
+            for lo, raw, offsets in v.blocks(batch.column(5)):
+                g, bounds = v.shingle_sets(raw, offsets, shingle)
+                for k in range(len(offsets) - 1):
+                    i = lo + k
+                    if where[i] != now:
+                        now, kept = where[i], {}
+                    x, r = g[bounds[k] : bounds[k + 1]], np.frombuffer(sig[i], dtype=np.uint16)
+                    if side[i] == 0:
+                        kept[nid[i]] = (node[i], r, x.copy())
+                        continue
+                    others = [kept[b] for b in bs[i]]
+                    likely = np.flatnonzero(jaccard_estimate(np.stack([o[1] for o in others]), r[None, :]) >= threshold - MARGIN)
+                    for o in (others[t] for t in likely.tolist()):
+                        both = len(np.intersect1d(x, o[2], assume_unique=True))
+                        if 100 * both >= percent * (len(x) + len(o[2]) - both):
+                            a_out.append(node[i])
+                            b_out.append(o[0])
+            yield pa.RecordBatch.from_arrays([pa.array(a_out, type=pa.binary()), pa.array(b_out, type=pa.binary())], names=["a", "b"])
+
+    return ready.mapInArrow(compare, "a binary, b binary").distinct()
+
+
 def near_components(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """(_id, _th, n_shingles, component, links): one row per row of docs; component is null without shingles."""
     threshold = percent / 100
@@ -225,23 +301,10 @@ def near_components(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     rest = cut(labelled.join(mixed, "key").groupBy("node", "label", "n", "s0", "s1").agg(F.sort_array(F.collect_list("key")).alias("ks")))
     rare = cut(_rare_shingles(rest, classes, docs, shingle))
     counted = rare.groupBy("nid").agg(F.count("*").alias("u"))
-    rest = cut(rest.withColumn("nid", F.xxhash64("node")).join(counted, "nid", "left").withColumn("u", F.coalesce("u", F.lit(0))))
-    rows = rest.select("node", "label", "n", "s0", "s1", "u", "ks", F.explode("ks").alias("key"))
-    x, y = rows.alias("x"), rows.alias("y")
-    # Bits agree with chance (1 + J) / 2: at 0.8 that is 115 of 128, five deviations less are 98.
-    bits = F.expr("bit_count(x.s0 ^ y.s0) + bit_count(x.s1 ^ y.s1)") <= REGISTERS * ((1 - threshold) / 2 + 0.1325)
-    sizes = (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent)
-    own = ((F.col("x.n") - F.col("x.u")) * 100 >= (F.col("y.n") + F.col("x.u")) * percent) & ((F.col("y.n") - F.col("y.u")) * 100 >= (F.col("x.n") + F.col("y.u")) * percent)
-    once = F.col("x.key") == F.array_min(F.array_intersect("x.ks", "y.ks"))
-    can = (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")) & sizes & own & bits & once
-    left = x.join(y, can).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    # Pairs with a rare shingle in common.
-    p, q = rare.alias("x"), rare.alias("y")
-    few = p.join(q, (F.col("x.s") == F.col("y.s")) & (F.col("x.nid") < F.col("y.nid")) & (F.col("x.g") != F.col("y.g")) & sizes & bits).select("x.nid", F.col("y.nid").alias("other")).distinct()
-    named = rest.select("nid", "node")
-    few = few.join(named.withColumnRenamed("node", "a"), "nid").join(named.select(F.col("nid").alias("other"), F.col("node").alias("b")), "other").select("a", "b")
-    left = left.unionByName(few).distinct()
-    last = cut(_verified(left, classes, docs, shingle, percent, threshold))
+    sizes = rest.groupBy("label").agg(F.count("*").alias("cs"))
+    rest = rest.join(sizes, "label").withColumns({"nid": F.xxhash64("node"), "g": F.xxhash64("label")})
+    rest = cut(rest.join(counted, "nid", "left").withColumn("u", F.coalesce("u", F.lit(0))))
+    last = cut(_settle_rest(rest, rare, classes, docs, shingle, percent, threshold))
     links = links.unionByName(last)
     if not last.isEmpty():
         found = cut(roots(links))
