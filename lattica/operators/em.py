@@ -7,27 +7,13 @@ cuts its lineage with a checkpoint, which outlives lost executors.
 
 from __future__ import annotations
 
-import os
-import tempfile
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import maths
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder that spark.checkpoint.dir names; a local one only in local mode."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            named = os.path.join(tempfile.gettempdir(), "lattica-checkpoints")
-        spark.sparkContext.setCheckpointDir(named)
-    return df.checkpoint(eager=True)
+from .lineage import cut
 
 
 @dataclass(frozen=True)

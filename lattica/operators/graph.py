@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .em import cut
+from .lineage import cut
 
 
 def components(nodes: DataFrame, links: DataFrame, limit: int = 60) -> DataFrame:

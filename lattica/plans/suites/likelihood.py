@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ...functions import ids, maths
 from ...operators import likelihood as lk
 from ...operators import ranked
+from ...operators.lineage import small
 from ..bindings import Tables, ctes
 from ..catalog import register
 
@@ -24,11 +25,15 @@ def theta_of(t: Tables) -> DataFrame:
 
 @register("type_loglik_softmax", ctes("counts", "bin_types") + "," + THETA_SQL + ", sm as (select bin, k, ll, exp(ll - max(ll) over (partition by bin)) e from ll) select bin, k, round(ll, 6) as ll, round(e / sum(e) over (partition by bin), 6) as q from sm")
 def type_loglik_softmax(spark, sf_dir):
+    """The profile of each type needs no counts by bin: lines are summed by type and gene on the map side.
+
+    Its table is small, which is checked, so the second pass has one exchange, on the bin,
+    that serves the counts, the likelihood and the softmax.
+    """
     t = Tables(spark, sf_dir)
-    # One exchange on the bin serves the counts, the likelihood and the softmax.
-    line = t.raw("lineitem").select("l_orderkey", "l_partkey", "l_quantity").repartition("l_orderkey")
-    counts = line.groupBy(F.col("l_orderkey").alias("bin"), (F.col("l_partkey") % 50).alias("gene")).agg(F.sum(F.col("l_quantity").cast("long")).alias("n"))
-    theta = lk.theta(lk.reference_counts(counts, t.bin_types))
+    line = t.raw("lineitem").select(F.col("l_orderkey").alias("bin"), (F.col("l_partkey") % 50).alias("gene"), F.col("l_quantity").cast("long").alias("n"))
+    theta = small(lk.theta(lk.reference_counts(line, t.bin_types)))
+    counts = line.repartition("bin").groupBy("bin", "gene").agg(F.sum("n").alias("n"))
     return lk.with_softmax(lk.log_likelihood(counts, theta)).select("bin", "k", F.round("ll", 6).alias("ll"), F.round("q", 6).alias("q"))
 
 

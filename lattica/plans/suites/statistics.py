@@ -59,12 +59,12 @@ DRAWS, SEED = 40, 11
     f"""with d as (select c_nationkey cl, c_mktsegment k, c_acctbal v, 1.0::double w from customer), s as (select k, cl, sum(v * w) sv, sum(w) sw from d group by 1, 2), n as (select *, row_number() over (partition by k order by cl) - 1 i, count(*) over (partition by k) c from s),
 p as (select k, draw, slot, cast(floor(cast('0x' || substr(sha256('{SEED}:' || k || ':' || draw || ':' || slot), 1, 13) as bigint)::double / {16**13}.0::double * c) as integer) i from (select k, c, i slot from n), range({DRAWS}) r(draw)),
 m as (select p.k, draw, sum(sv) / sum(sw) m from p join n on n.k = p.k and n.i = p.i group by 1, 2), ci as (select k, quantile_cont(m, 0.025) lo, quantile_cont(m, 0.975) hi from m group by 1)
-select k as method, count(*) as clusters, round(sum(sv) / sum(sw), 4) as mean, round(max(lo), 4) as low, round(max(hi), 4) as high from s join ci using (k) group by k""",
+select k as method, count(*) as clusters, round(sum(sv) / sum(sw), 6) as mean, round(max(lo), 6) as low, round(max(hi), 6) as high from s join ci using (k) group by k""",
 )
 def cluster_bootstrap_ci(spark, sf_dir):
     d = Tables(spark, sf_dir).raw("customer").select(F.col("c_nationkey").alias("cl"), F.col("c_mktsegment").alias("method"), F.col("c_acctbal").alias("v"), F.lit(1.0).alias("w"))
     b = stats.cluster_bootstrap(d, "cl", "v", "w", DRAWS, SEED, ["method"])
-    return b.select("method", "clusters", *[F.round(c, 4).alias(c) for c in ("mean", "low", "high")])
+    return b.select("method", "clusters", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
 
 
 @register("quartile_strata", "with e as (select quantile_cont(c_acctbal, [0, 0.25, 0.5, 0.75, 1]) e from customer), b as (select c_acctbal v, greatest(len(list_filter(list_distinct(e), lambda x: x < c_acctbal)) - 1, 0) stratum from customer, e) select cast(stratum as integer) as stratum, count(*) as n, round(avg(v), 6) as mean, min(v) as lo, max(v) as hi from b group by 1")
