@@ -199,6 +199,26 @@ def _best(pairs: DataFrame, most: int) -> DataFrame:
     return counted.withColumn("r", rank).filter(F.col("r") <= most).select("a", "b")
 
 
+def _with_candidate(rest: DataFrame, percent: int, threshold: float) -> DataFrame:
+    """Rows of rest that have, in some band, a class of another component of like size and bits.
+
+    A band's classes are lists of about BLOCK; a class looks for one in each list and stops at the first.
+    """
+    apart = REGISTERS * ((1 - threshold) / 2 + 0.1325)
+    rows = rest.select("node", F.xxhash64("node").alias("nid"), F.xxhash64("label").alias("g"), "n", "s0", "s1", F.explode("ks").alias("key"))
+    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("lists"))
+    dealt = rows.join(sizes, "key")
+    lists = dealt.groupBy("key", F.pmod("nid", "lists").alias("list")).agg(F.collect_list(F.struct("g", "n", "s0", "s1")).alias("bs"))
+
+    def can(b):
+        a = {c: F.col(c) for c in ("g", "n", "s0", "s1")}
+        sizes = (a["n"] * 100 >= b["n"] * percent) & (b["n"] * 100 >= a["n"] * percent)
+        return (a["g"] != b["g"]) & sizes & (F.bit_count(a["s0"].bitwiseXOR(b["s0"])) + F.bit_count(a["s1"].bitwiseXOR(b["s1"])) <= apart)
+
+    hit = rows.join(lists, "key").filter(F.exists("bs", can)).select("node").distinct()
+    return rest.join(hit, "node", "left_semi")
+
+
 def _settle_rest(rest: DataFrame, rare: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, percent: int, threshold: float) -> DataFrame:
     """(a, b): the links among classes of different components that are left.
 
@@ -299,6 +319,7 @@ def near_components(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     labelled, found = _labelled(shared, links)
     mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("key")
     rest = cut(labelled.join(mixed, "key").groupBy("node", "label", "n", "s0", "s1").agg(F.sort_array(F.collect_list("key")).alias("ks")))
+    rest = cut(_with_candidate(rest, percent, threshold))
     rare = cut(_rare_shingles(rest, classes, docs, shingle))
     counted = rare.groupBy("nid").agg(F.count("*").alias("u"))
     sizes = rest.groupBy("label").agg(F.count("*").alias("cs"))
