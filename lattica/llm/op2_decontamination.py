@@ -6,7 +6,8 @@ template.  Windows of WINDOW template words of benchmark items are matched by
 hash with the windows of documents.  A match must be consistent in its slots:
 along one alignment of item and document, equal slot values of the item must
 stand for equal values in the document.  A document is contaminated by an item
-when consistent windows cover at least COVERAGE of the item's windows.
+when consistent windows cover at least COVERAGE of the item's windows, or when
+there are at least PASSAGE of them (a passage of 13 words).
 
 The benchmark is read in blocks of ITEMS items, each with a proven bound on its
 windows; a block's window hashes go to the tasks as one sorted array, and
@@ -38,6 +39,7 @@ from .common import columns, fresh, require
 WINDOW = 8
 LITERALS = 5
 COVERAGE = 0.4
+PASSAGE = 6
 #: Items in one block, and the longest text of an item that a block takes whole (longer ones stand alone).
 ITEMS = 20_000
 BLOCK_CHARS = 50_000_000
@@ -207,7 +209,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                         i = lo + r
                         cover[i] = max(cover[i], *(c for _, c, _ in found))
                         count[i] += sum(n for *_, n in found)
-                        items[i] = sorted({*items[i], *(block.ids[k] for k, c, _ in found if c >= COVERAGE and block.ids[k] is not None)})
+                        items[i] = sorted({*items[i], *(block.ids[k] for k, c, n in found if (c >= COVERAGE or n >= PASSAGE) and block.ids[k] is not None)})
                 yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(items, type=pa.list_(pa.int64())), pa.array(cover, type=pa.float64()), pa.array(count, type=pa.int64())], names=schema.names)
 
         return run

@@ -323,7 +323,11 @@ def test_op2_templates_and_slots(spark):
         (6, ""),
         (7, "If Carol has 7 apples and Dave has 9 apples then how many people do Erin and Frank know around the whole wide world"),
     ]
+    long = " ".join(f"w{i}" for i in range(80))
+    bench = bench.unionAll(spark.createDataFrame([(5, long)], "item_id long, text string"))
+    texts += [(8, "so " + " ".join(long.split()[30:43]) + " yes"), (9, "so " + " ".join(long.split()[30:40]) + " yes")]
     got = {r["doc_id"]: r["_items"] for r in op2.decontaminate(documents(spark, texts), bench).collect()}
+    assert got[8] == [5] and got[9] == []
     assert got[1] == [1] and got[2] == [1] and got[4] == [2]
     assert got[3] == got[5] == got[6] == got[7] == []
 
