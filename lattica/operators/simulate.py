@@ -140,3 +140,53 @@ def capture_probability(target: float, values: np.ndarray, steps: int = 100) ->
         lo, hi = (mid, hi) if np.minimum(1, mid * values).sum() < target else (lo, mid)
     return (lo + hi) / 2
 
+
+
+def place(sources: DataFrame, weights: DataFrame, capture: float, seed: int) -> DataFrame:
+    """(bin, gene, placed, captured): units of sources (cell, gene, n) dealt to bins by weights (cell, bin, w).
+
+    Each unit picks one bin of its cell and is captured with the given chance;
+    placed counts sum to the source counts of cells that have bins.
+    """
+    w = Window.partitionBy("cell").orderBy("bin")
+    cuts = weights.filter("w > 0").select("cell", "bin", F.sum("w").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("hi"), F.sum("w").over(Window.partitionBy("cell")).alias("t"))
+    table = cuts.groupBy("cell", "t").agg(F.array_sort(F.collect_list(F.struct("hi", "bin"))).alias("cut"))
+    u = _units(sources, "n").join(table, "cell")
+    key = [F.col(c) for c in ("cell", "gene", "i")]
+    x = hash_uniform(f"{seed}p", *key) * F.col("t")
+    hit = u.withColumn("x", x).select("gene", F.coalesce(F.element_at(F.filter("cut", lambda c: c["hi"] > F.col("x")), 1), F.element_at("cut", -1))["bin"].alias("bin"), (hash_uniform(f"{seed}c", *key) < capture).alias("seen"))
+    return hit.groupBy("bin", "gene").agg(F.count("*").alias("placed"), F.count_if("seen").alias("captured"))
+
+
+def ambient(counts: DataFrame, share: float, reach: int, seed: int) -> DataFrame:
+    """Counts (row, col, gene, n) after each unit moved with the given chance to a uniform place within ``reach``; moves off the grid stay."""
+    u = _units(counts, "n")
+    key = [F.col(c) for c in ("row", "col", "gene", "i")]
+    step = lambda s: F.floor(hash_uniform(f"{seed}{s}", *key) * (2 * reach + 1)).cast("long") - reach
+    moves = hash_uniform(f"{seed}m", *key) < share
+    u = u.withColumns({"r2": F.col("row") + F.when(moves, step("r")).otherwise(0), "c2": F.col("col") + F.when(moves, step("c")).otherwise(0)})
+    there = counts.select(F.col("row").alias("r2"), F.col("col").alias("c2")).distinct().withColumn("ok", F.lit(True))
+    j = u.join(there, ["r2", "c2"], "left")
+    at = lambda moved, own: F.when(F.col("ok"), F.col(moved)).otherwise(F.col(own))
+    return j.groupBy(at("r2", "row").alias("row"), at("c2", "col").alias("col"), "gene").agg(F.count("*").alias("n"))
+
+
+def nuclear_noise(bins: DataFrame, drop: float, least: int, claim: float, seed: int) -> DataFrame:
+    """Noisy nuclear bins of (cell, row, col): some drop (``least`` of a cell stay), free neighbours are claimed, each once, by the least cell."""
+    h = hash_uniform(f"{seed}d", F.col("cell"), F.col("row"), F.col("col"))
+    rank = F.row_number().over(Window.partitionBy("cell").orderBy(F.desc("h"), "row", "col"))
+    kept = bins.withColumn("h", h).withColumn("_r", rank).filter((F.col("h") >= drop) | (F.col("_r") <= least)).select("cell", "row", "col", F.lit(False).alias("claimed"))
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((-1, 0), (1, 0), (0, -1), (0, 1))])
+    near = bins.withColumn("s", F.explode(steps)).select("cell", (F.col("row") + F.col("s.i")).alias("row"), (F.col("col") + F.col("s.j")).alias("col"))
+    free = near.join(bins.select("row", "col"), ["row", "col"], "left_anti").groupBy("row", "col").agg(F.min("cell").alias("cell"))
+    false = free.filter(hash_uniform(f"{seed}f", F.col("row"), F.col("col")) < claim).select("cell", "row", "col", F.lit(True).alias("claimed"))
+    return kept.unionByName(false)
+
+
+def matched_sources(cells: DataFrame, sources: DataFrame) -> DataFrame:
+    """(cell, source): sources (source, type, size) matched to cells (cell, type, size) by rank of size inside the type; short pools repeat."""
+    c = cells.withColumn("k", F.row_number().over(Window.partitionBy("type").orderBy("size", "cell")) - 1)
+    s = sources.withColumn("k", F.row_number().over(Window.partitionBy("type").orderBy("size", "source")) - 1).withColumn("pool", F.count("*").over(Window.partitionBy("type")))
+    pools = s.select("type", "pool").distinct()
+    ranked = c.join(pools, "type").withColumn("k", F.pmod("k", "pool")).select("cell", "type", "k")
+    return ranked.join(s.select("type", "k", "source"), ["type", "k"]).select("cell", "source")

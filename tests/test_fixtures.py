@@ -207,3 +207,37 @@ def test_capture_probability():
     assert abs(np.minimum(1, f * np.array([1.0, 2.0, 3.0, 4.0])).sum() - 3) < 1e-9
     with pytest.raises(ValueError):
         simulate.capture_probability(9.0, np.array([1.0, 2.0]))
+
+
+def test_placement_conserves(spark):
+    src = spark.createDataFrame([(1, 0, 7), (1, 1, 3), (2, 0, 5)], "cell long, gene long, n long")
+    w = spark.createDataFrame([(1, 10, 0.5), (1, 11, 0.5), (2, 12, 1.0)], "cell long, bin long, w double")
+    got = simulate.place(src, w, 0.5, 1).agg(F.sum("placed").alias("p"), F.sum("captured").alias("c")).first()
+    assert got["p"] == 15 and 0 <= got["c"] <= 15
+
+
+def test_ambient_keeps_totals_and_noise_keeps_the_least(spark):
+    counts = spark.createDataFrame([(r, c, 0, 2) for r in range(4) for c in range(4)], "row long, col long, gene long, n long")
+    assert simulate.ambient(counts, 0.8, 2, 3).agg(F.sum("n")).first()[0] == 32
+    bins = spark.createDataFrame([(1, 0, 0), (1, 0, 1), (1, 1, 0), (2, 5, 5)], "cell long, row long, col long")
+    noisy = simulate.nuclear_noise(bins, 1.1, 1, 1.0, 2).collect()
+    assert sorted(r["cell"] for r in noisy if not r["claimed"]) == [1, 2]
+    assert len({(r["row"], r["col"]) for r in noisy}) == len(noisy)
+
+
+def test_matched_sources(spark):
+    cells = spark.createDataFrame([(1, "a", 5), (2, "a", 9), (3, "a", 7)], "cell long, type string, size long")
+    pool = spark.createDataFrame([(10, "a", 1), (11, "a", 2)], "source long, type string, size long")
+    assert sorted(tuple(r) for r in simulate.matched_sources(cells, pool).collect()) == [(1, 10), (2, 10), (3, 11)]
+
+
+def test_quality_filter_align_and_padding(spark):
+    from lattica.operators import select
+
+    counts = spark.createDataFrame([(0, 0, 1), (1, 0, 1), (1, 1, 5)], "bin long, gene long, n long")
+    assert sorted(tuple(r) for r in select.quality_filter(counts, 2, 1).collect()) == [(0, 0, 1), (1, 0, 1)]
+    targets = spark.createDataFrame([("b", 0), ("a", 1)], "k string, o int")
+    rows = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "k string, v double")
+    assert [r["v"] for r in select.align(rows, targets, "k", "o").orderBy("o").collect()] == [2.0, 1.0]
+    with pytest.raises(PySparkException):
+        select.align(rows.limit(1), targets, "k", "o").orderBy("o").collect()
