@@ -16,8 +16,8 @@ NULL_ID = -(1 << 63)
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-#: Bytes in one Arrow batch between Spark and Python; the session's default is eight times as much.
-BATCH_BYTES = 8 << 20
+#: Bytes in one Arrow batch between Spark and Python; the session's default is sixteen times as much.
+BATCH_BYTES = 4 << 20
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 

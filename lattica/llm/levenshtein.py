@@ -92,7 +92,8 @@ class LexiconAutomaton:
                 row.append(ids[nxt])
             table[ids[state]] = row
         n = len(ids)
-        self.next = np.zeros((n + 1, len(symbols) + 1), dtype=np.int32)
+        # The table goes to every worker: two bytes a state where they are enough.
+        self.next = np.zeros((n + 1, len(symbols) + 1), dtype=np.uint16 if n < 1 << 16 else np.int32)
         self.verdict = np.zeros(n + 1, dtype=np.uint8)
         for i, row in table.items():
             self.next[i] = [n if r == absorbing else r for r in row]

@@ -117,7 +117,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             size = pc.binary_length(texts.fill_null("")).to_numpy().cumsum()
             lo, n = 0, batch.num_rows
             while lo < n:
-                hi = int(np.searchsorted(size, (size[lo - 1] if lo else 0) + 8 * v.BLOCK_BYTES, side="right"))
+                hi = int(np.searchsorted(size, (size[lo - 1] if lo else 0) + 16 * v.BLOCK_BYTES, side="right"))
                 hi = max(lo + 1, min(hi, lo + _ROWS))
                 hi = lo + int((parts[lo:hi] == parts[lo]).sum())
                 some = [x if x != NULL_ID else None for x in ids.slice(lo, hi - lo).to_pylist()]

@@ -37,7 +37,7 @@ ANCHOR = 32
 #: Contents under one anchor that one index takes; more go to window counts.
 HOT = 4096
 #: Bytes of text in one index.
-INDEX_BYTES = 1 << 18
+INDEX_BYTES = 1 << 17
 
 
 def _ranks(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

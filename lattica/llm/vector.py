@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; working memory is about forty times as much.
-BLOCK_BYTES = 1 << 18
+BLOCK_BYTES = 1 << 17
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
