@@ -48,6 +48,7 @@ BAND = 4
 MARGIN = 0.18
 #: Classes in one block of those that are left, and of classes that meet a block in one task.
 BLOCK = 256
+LIST = 4096
 SHARE = 4000
 #: A shingle that so many classes have is rare among those that are left.
 RARE = 40
@@ -166,8 +167,9 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: in
     return joined.mapInArrow(compare, "a binary, b binary").distinct()
 
 
-def _rare_shingles(nodes: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
-    """(s, nid, g, n, s0, s1): the shingles of ``nodes`` (node, label, n, s0, s1) that at most RARE of them have; g stands for the label."""
+def _rare_shingles(nodes: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """Of the shingles of ``nodes`` (node, label, n, s0, s1) that at most RARE of them have:
+    (s, nid, g, n, s0, s1) those of several classes, and (nid, u) how many each class has.  g stands for the label."""
     wanted = cut(nodes.join(classes.select("node", "_id", "_th"), "node").withColumns({"nid": F.xxhash64("node"), "g": F.xxhash64("label")}).select("_id", "_th", "nid", "g", "n", "s0", "s1"))
     texts = mark_needed(require(docs, "doc_id", "text").select(*row_key(), "text"), wanted).filter("_needed").drop("_needed")
     # Rows that repeat whole are one class.
@@ -182,8 +184,11 @@ def _rare_shingles(nodes: DataFrame, classes: DataFrame, docs: DataFrame, shingl
                 yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), *(pa.array(r[i]) for r in rest)], names=["s", "nid", "g", "n", "s0", "s1"])
 
     rows = texts.mapInArrow(list_all, "s long, nid long, g long, n long, s0 long, s1 long")
-    rare = rows.groupBy("s").agg(F.count("*").alias("c")).filter(F.col("c") <= RARE).select("s")
-    return rows.join(rare, "s")
+    rare = cut(rows.groupBy("s").agg(F.count("*").alias("c"), F.min("nid").alias("nid")).filter(F.col("c") <= RARE))
+    # Most rare shingles are of one class: they are only counted.
+    shared = cut(rows.join(rare.filter("c > 1").select("s"), "s"))
+    own = rare.filter("c = 1").select("nid").unionByName(shared.select("nid")).groupBy("nid").agg(F.count("*").alias("u"))
+    return shared, own
 
 
 def _labelled(shared: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -202,11 +207,11 @@ def _best(pairs: DataFrame, most: int) -> DataFrame:
 def _with_candidate(rest: DataFrame, percent: int, threshold: float) -> DataFrame:
     """Rows of rest that have, in some band, a class of another component of like size and bits.
 
-    A band's classes are lists of about BLOCK; a class looks for one in each list and stops at the first.
+    A band's classes are lists of about LIST; a class looks for one in each list and stops at the first.
     """
     apart = REGISTERS * ((1 - threshold) / 2 + 0.1325)
     rows = rest.select("node", F.xxhash64("node").alias("nid"), F.xxhash64("label").alias("g"), "n", "s0", "s1", F.explode("ks").alias("key"))
-    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("lists"))
+    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / LIST).alias("lists"))
     dealt = rows.join(sizes, "key")
     lists = dealt.groupBy("key", F.pmod("nid", "lists").alias("list")).agg(F.collect_list(F.struct("g", "n", "s0", "s1")).alias("bs"))
 
@@ -320,8 +325,7 @@ def near_components(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("key")
     rest = cut(labelled.join(mixed, "key").groupBy("node", "label", "n", "s0", "s1").agg(F.sort_array(F.collect_list("key")).alias("ks")))
     rest = cut(_with_candidate(rest, percent, threshold))
-    rare = cut(_rare_shingles(rest, classes, docs, shingle))
-    counted = rare.groupBy("nid").agg(F.count("*").alias("u"))
+    rare, counted = _rare_shingles(rest, classes, docs, shingle)
     sizes = rest.groupBy("label").agg(F.count("*").alias("cs"))
     rest = rest.join(sizes, "label").withColumns({"nid": F.xxhash64("node"), "g": F.xxhash64("label")})
     rest = cut(rest.join(counted, "nid", "left").withColumn("u", F.coalesce("u", F.lit(0))))
