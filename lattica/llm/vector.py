@@ -9,6 +9,7 @@ the content stands, so equal text hashes equally in every task and every rerun.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -93,6 +94,23 @@ def text_array(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return column.cast(pa.large_binary()) if column.type != pa.large_binary() else column
 
 
+def _trim():
+    """The C library's call that gives freed pages back, where there is one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):
+        return lambda _: 0
+
+
+_TRIM = _trim()
+
+
+def release() -> None:
+    """Give freed memory back, so that a worker between batches holds little more than its imports."""
+    pa.default_memory_pool().release_unused()
+    _TRIM(0)
+
+
 def blocks(column: pa.Array, limit: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Blocks of whole rows with about ``limit`` bytes each; a longer row stands alone."""
     limit = limit or BLOCK_BYTES
@@ -109,6 +127,8 @@ def blocks(column: pa.Array, limit: int | None = None) -> Iterator[tuple[int, np
         hi = min(hi, n, lo + 20_000)
         yield lo, raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
         lo = hi
+    if n > 1:
+        release()
 
 
 def words(raw: np.ndarray, offsets: np.ndarray, codes: np.ndarray = BYTE_CODE, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
