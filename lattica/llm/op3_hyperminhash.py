@@ -10,7 +10,7 @@
    copies cost about one candidate a member, not all pairs:
    a. every class tries, of the members of its bands that are nearest the
       middle (they stand in the most crowded bands) and the least ones, the two
-      it shares most bands with; then likewise members of other components;
+      it shares most bands with;
    b. all remaining pairs of one band whose components differ are tried, each
       pair in the first band it shares, but for those that rare shingles rule
       out.  Let u be the shingles of a class that at most RARE of the remaining
@@ -47,7 +47,7 @@ BAND = 4
 #: Five standard deviations of the estimate from 128 registers at 0.8.
 MARGIN = 0.18
 #: Classes in one block of those that are left, and of classes that meet a block in one task.
-BLOCK = 256
+BLOCK = 1024
 LIST = 4096
 SHARE = 4000
 #: A shingle that so many classes have is rare among those that are left.
@@ -312,14 +312,6 @@ def near_components(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     hubs = shared.join(central, "key").select(F.col("node").alias("a"), F.explode(F.array("top.node", "lo")).alias("b")).filter("a != b")
     links = cut(_verified(_best(hubs, 2), classes, docs, shingle, percent, threshold))
 
-    # Members of other components: the one nearest the middle, and the least and greatest label.
-    labelled, found = _labelled(shared, links)
-    mixed = labelled.groupBy("key").agg(F.max(F.struct("m", "label", "node")).alias("t"), F.min(F.struct("label", "node")).alias("lo"), F.max(F.struct("label", "node")).alias("hi")).filter("lo.label != hi.label")
-    three = F.array(F.struct(F.col("t.label").alias("label"), F.col("t.node").alias("node")), "lo", "hi")
-    across = labelled.join(mixed, "key").select(F.col("node").alias("a"), F.col("label").alias("l"), F.explode(three).alias("h")).filter("l != h.label").select("a", F.col("h.node").alias("b"))
-    more = cut(_verified(_best(across, 2), classes, docs, shingle, percent, threshold))
-    links = links.unionByName(more)
-
     # What is left: every pair of a band whose components differ, of sizes that can be similar.
     labelled, found = _labelled(shared, links)
     mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("key")
