@@ -143,7 +143,25 @@ def competition_margin(spark, sf_dir):
 
 def _owned(t: Tables):
     o = t.owners("px").select(F.col("barcode").alias("bin"), (F.col("cell") % 4).alias("cell"))
-    return t.grid.select("bin", "row", "col").join(o, "bin").filter("row < 40")
+    return t.grid.select("bin", "row", "col").join(o, "bin")
+
+
+def _islands(o):
+    """(bin, row, col, cell, root): the eight-connected part of each bin."""
+    edges = spatial.neighbours(o, spatial.EIGHT, ["bin", "cell"], ["bin", "cell"]).filter("cell = n_cell").select(F.col("bin").alias("a"), F.col("n_bin").alias("b"))
+    roots = graph.components(o.select(F.col("bin").alias("node")), edges)
+    return o.join(roots, F.col("bin") == F.col("node")).drop("node")
+
+
+def _island_sizes(o):
+    parts = _islands(o).groupBy("cell", "root").agg(F.count("*").alias("n"))
+    return parts.groupBy("cell").agg(F.count("*").alias("islands"), F.max("n").alias("largest"))
+
+
+def _reached(o):
+    roots = _islands(o)
+    seeds = roots.groupBy("cell").agg(F.min_by("root", "bin").alias("root"))
+    return roots.join(seeds, ["cell", "root"]).groupBy("cell").agg(F.count("*").alias("reached"))
 
 
 @register(
@@ -154,12 +172,14 @@ rec as (with recursive w(bin, root) using key (bin) as (select bin, bin root fro
 select cell, count(distinct root) as islands, cast(max(n) as bigint) as largest from (select cell, root, count(*) n from rec join o using (bin) group by 1, 2) group by cell""",
 )
 def hard_islands(spark, sf_dir):
-    """Eight-connected parts of each owner."""
-    o = _owned(Tables(spark, sf_dir))
-    edges = spatial.neighbours(o, spatial.EIGHT, ["bin", "cell"], ["bin", "cell"]).filter("cell = n_cell").select(F.col("bin").alias("a"), F.col("n_bin").alias("b"))
-    roots = graph.components(o.select(F.col("bin").alias("node")), edges)
-    parts = o.join(roots, F.col("bin") == F.col("node")).groupBy("cell", "root").agg(F.count("*").alias("n"))
-    return parts.groupBy("cell").agg(F.count("*").alias("islands"), F.max("n").alias("largest"))
+    """Eight-connected parts of each owner in the first forty rows, as its SQL; the whole grid is hard_islands_whole."""
+    return _island_sizes(_owned(Tables(spark, sf_dir)).filter("row < 40"))
+
+
+@register("hard_islands_whole")
+def hard_islands_whole(spark, sf_dir):
+    """Eight-connected parts of each owner on the whole grid."""
+    return _island_sizes(_owned(Tables(spark, sf_dir)))
 
 
 @register(
@@ -169,9 +189,11 @@ rec as (with recursive w as (select bin, rw, col, cell from (select *, row_numbe
 select cell, count(*) as reached from rec group by cell""",
 )
 def seed_reachability(spark, sf_dir):
-    """Bins that the seed of a cell (its least bin) reaches through its own bins: the seed's component."""
-    o = _owned(Tables(spark, sf_dir))
-    edges = spatial.neighbours(o, spatial.EIGHT, ["bin", "cell"], ["bin", "cell"]).filter("cell = n_cell").select(F.col("bin").alias("a"), F.col("n_bin").alias("b"))
-    roots = o.join(graph.components(o.select(F.col("bin").alias("node")), edges), F.col("bin") == F.col("node"))
-    seeds = roots.groupBy("cell").agg(F.min_by("root", "bin").alias("root"))
-    return roots.join(seeds, ["cell", "root"]).groupBy("cell").agg(F.count("*").alias("reached"))
+    """Bins that the seed of a cell (its least bin) reaches in the first forty rows, as its SQL; the whole grid is seed_reachability_whole."""
+    return _reached(_owned(Tables(spark, sf_dir)).filter("row < 40"))
+
+
+@register("seed_reachability_whole")
+def seed_reachability_whole(spark, sf_dir):
+    """Bins of the whole grid that the seed of a cell (its least bin) reaches through its own bins: the seed's component."""
+    return _reached(_owned(Tables(spark, sf_dir)))
