@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut, small
+
 
 def _cell(v: Column, size: float) -> Column:
     return F.floor(v / size).cast("long")
@@ -34,14 +36,16 @@ def nearest(points: DataFrame, centers: DataFrame, keys: Sequence[str], reach: f
 
     The reach doubles for the points that found none within it, until all have
     one; a center within the reach proves the nearest.  Points that are far from
-    every center are few by then.
+    every center share few grid cells by then, so they are dealt by their keys and
+    few centers are broadcast.
     """
-    out, todo, r = None, points, reach
-    rest = [c for c in centers.columns]
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out, todo, r = None, cut(points.repartition(tasks, *keys)), reach
+    rest, centers = list(centers.columns), small(centers, 20_000)
     for _ in range(limit):
-        hit = radius_join(todo, centers, r).groupBy(*keys).agg(F.min_by(F.struct("d", *rest), F.struct("d", *tie)).alias("_m")).select(*keys, "_m.*")
+        hit = cut(radius_join(todo, centers, r).groupBy(*keys).agg(F.min_by(F.struct("d", *rest), F.struct("d", *tie)).alias("_m")).select(*keys, "_m.*"))
         out = hit if out is None else out.unionByName(hit)
-        todo = todo.join(hit.select(*keys), list(keys), "left_anti")
+        todo = cut(todo.join(hit.select(*keys), list(keys), "left_anti").repartition(tasks, *keys))
         if todo.isEmpty():
             break
         r *= 2

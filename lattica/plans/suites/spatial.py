@@ -66,12 +66,21 @@ def k_nearest_mean(spark, sf_dir):
 
 @register("nearest_center_assignment", ctes("grid", "centers") + ", g as (select * from grid where bin % 10 = 0 and y < 240), p as (select bin, cell, sqrt((g.x - c.x) * (g.x - c.x) + (g.y - c.y) * (g.y - c.y)) d from g cross join centers c) select bin, cell, round(d, 6) as d from (select *, row_number() over (partition by bin order by d, cell) rn from p) where rn = 1")
 def nearest_center_assignment(spark, sf_dir):
-    """Bins with a row below 120 and a column that ends in a ten, as the binding's bins with counts, to their nearest centre."""
+    """Every tenth bin with y < 240, as its SQL, to the nearest centre; all bins with counts are nearest_center_assignment_whole."""
     t = Tables(spark, sf_dir)
     bins = t.grid.filter("bin % 10 = 0 and y < 240").select("bin", "x", "y")
     return spatial.nearest(bins, centers(t).select("cell", "cx", "cy"), ["bin"], 16.0, [F.col("cell")]).select("bin", "cell", R6(F.col("d"), "d"))
 
 
+@register("nearest_center_assignment_whole")
+def nearest_center_assignment_whole(spark, sf_dir):
+    """Every bin with counts to its nearest centre, however far."""
+    t = Tables(spark, sf_dir)
+    counted = t.counts.groupBy("bin").agg(F.sum("n").alias("n")).filter("n > 0").select("bin")
+    bins = t.grid.select("bin", "x", "y").join(counted, "bin", "left_semi")
+    return spatial.nearest(bins, centers(t).select("cell", "cx", "cy"), ["bin"], 16.0, [F.col("cell")]).select("bin", "cell", R6(F.col("d"), "d"))
+
+
 PATCHES = "patches as (select r * 4 + c patch, c * 64.0::double x0, c * 64.0::double + 64.0 x1, r * 48.0::double y0, r * 48.0::double + 48.0 y1 from range(4) a(r), range(4) b(c))"
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 
 from lattica.plans import catalog
@@ -42,3 +43,19 @@ def test_islands_and_reach_cover_the_whole_grid(spark):
     assert {tuple(r) for r in catalog.queries()["hard_islands_whole"](spark, SF).collect()} == want
     reach = {(c, int(s.loc[c, root[min(b for b in own if own[b] == c)]])) for c, s in sizes.groupby("cell")}
     assert {tuple(r) for r in catalog.queries()["seed_reachability_whole"](spark, SF).collect()} == reach
+
+
+def test_every_bin_with_counts_gets_its_nearest_centre(spark):
+    li = pd.read_parquet(f"{SF}/lineitem.parquet", columns=["l_orderkey", "l_quantity"])
+    n = li.assign(q=li.l_quantity.astype("int64")).groupby("l_orderkey").q.sum()
+    orders = pd.read_parquet(f"{SF}/orders.parquet", columns=["o_orderkey"]).o_orderkey.to_numpy()
+    bins = np.sort(np.intersect1d(orders, n[n > 0].index))
+    assert len(bins) > 1_536 and bins.max() // 128 * 2 > 200
+    cells = np.sort(pd.read_parquet(f"{SF}/supplier.parquet", columns=["s_suppkey"]).s_suppkey.to_numpy())
+    dx = (bins % 128 * 2.0)[:, None] - (cells * 37 % 128 * 2.0 + 0.5)
+    dy = (bins // 128 * 2.0)[:, None] - (cells * 61 % 97 * 2.0 + 0.25)
+    d = np.sqrt(dx * dx + dy * dy)
+    got = catalog.queries()["nearest_center_assignment_whole"](spark, SF).toPandas().sort_values("bin")
+    assert got.bin.tolist() == bins.tolist()
+    assert got.cell.tolist() == cells[d.argmin(axis=1)].tolist()
+    assert np.allclose(got.d, d.min(axis=1), atol=1e-6)
