@@ -100,7 +100,10 @@ def smooth_field(bins: DataFrame, sigma: float, seed: int, keys: Sequence[str] =
     steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(w).alias("w")) for i, j, w in offsets])
     spread = noise.select(*keys, "v", F.explode(steps).alias("s"), "row", "col").select(*keys, (F.col("row") + F.col("s.i")).alias("row"), (F.col("col") + F.col("s.j")).alias("col"), (F.col("v") * F.col("s.w")).alias("a"), F.col("s.w").alias("w"))
     smooth = spread.groupBy(*keys, "row", "col").agg((F.sum("a") / F.sum("w")).alias("f")).join(bins.select(*keys, "row", "col"), [*keys, "row", "col"])
-    return smooth.withColumn("field", F.col("f") / F.avg("f").over(Window.partitionBy(*keys))).drop("f")
+    # Means by an aggregate: a window over a patch, or over a grid without keys, would be one task.
+    mean = smooth.groupBy(*keys).agg(F.avg("f").alias("m"))
+    both = smooth.join(mean, list(keys)) if keys else smooth.crossJoin(F.broadcast(mean))
+    return both.withColumn("field", F.col("f") / F.col("m")).drop("f", "m")
 
 
 def transport(counts: DataFrame, seed: int, p: float, sigma: float) -> DataFrame:

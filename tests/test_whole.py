@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 
@@ -59,3 +61,32 @@ def test_every_bin_with_counts_gets_its_nearest_centre(spark):
     assert got.bin.tolist() == bins.tolist()
     assert got.cell.tolist() == cells[d.argmin(axis=1)].tolist()
     assert np.allclose(got.d, d.min(axis=1), atol=1e-6)
+
+
+def test_field_is_smoothed_over_the_whole_grid(spark):
+    from pyspark.sql import functions as F
+
+    from lattica.operators.simulate import hash_uniform
+
+    orders = pd.read_parquet(f"{SF}/orders.parquet", columns=["o_orderkey"]).o_orderkey
+    at = sorted({divmod(int(b), 128) for b in orders})
+    assert at[-1][0] > 32
+    noise = spark.createDataFrame(at, "row long, col long").select("row", "col", hash_uniform(8, F.col("row"), F.col("col")).alias("v")).collect()
+    v = {(r["row"], r["col"]): r["v"] for r in noise}
+    steps = [(i, j, math.exp(-(i * i + j * j) / 4.5)) for i in range(-5, 6) for j in range(-5, 6) if i * i + j * j <= 20.25]
+    f = {}
+    for r, c in at:
+        near = [(v[r + i, c + j], w) for i, j, w in steps if (r + i, c + j) in v]
+        f[r, c] = sum(x * w for x, w in near) / sum(w for _, w in near)
+    mean = sum(f.values()) / len(f)
+    got = {(r["row"], r["col"]): r["field"] for r in catalog.queries()["smooth_depth_field"](spark, SF).collect()}
+    assert got.keys() == f.keys() and all(abs(got[k] - f[k] / mean) < 2e-6 for k in f)
+
+
+def test_transport_moves_the_counts_of_the_whole_grid(spark):
+    li = pd.read_parquet(f"{SF}/lineitem.parquet", columns=["l_orderkey", "l_partkey", "l_quantity"])
+    orders = pd.read_parquet(f"{SF}/orders.parquet", columns=["o_orderkey"]).o_orderkey
+    li = li[li.l_orderkey.isin(orders)]
+    assert li.l_orderkey.max() // 128 > 24
+    want = li.l_quantity.astype("int64").groupby(li.l_partkey % 50).sum().to_dict()
+    assert {r["gene"]: r["n"] for r in catalog.queries()["molecule_transport_whole"](spark, SF).collect()} == want
