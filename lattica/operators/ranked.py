@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each group in ``order`` (ascending structs; negate for descending)."""
@@ -25,6 +27,20 @@ def last_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Data
     return best.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
+def places(df: DataFrame, order: Column, out: str = "place") -> DataFrame:
+    """Row numbers over the whole table, from 1: rows are dealt by ranges of ``order`` and numbered in each range; no task sees all rows.
+
+    Equal values of ``order`` fall in one range, in no fixed order.
+    """
+    p = cut(df.withColumn("_k", order).repartitionByRange("_k").withColumn("_p", F.spark_partition_id()))
+    # One row for each range.
+    before = p.groupBy("_p").agg(F.count("*").alias("_n"))
+    w = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    before = before.select("_p", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_b"))
+    ranked = p.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy("_k")))
+    return ranked.join(F.broadcast(before), "_p").withColumn(out, F.col("_b") + F.col("_r")).drop("_p", "_k", "_b", "_r")
+
+
 def competition_rank(value: Column, partition: Sequence[str], descending: bool = True) -> Column:
     """Rank with gaps; null and NaN are unranked."""
     ok = value.isNotNull() & ~F.isnan(value)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ...functions import ids
 from ...operators import evaluate as ev
 from ...operators import sequences as sq
-from ...operators import simulate
+from ...operators import ranked, simulate
 from ..bindings import Tables, ctes
 from ..catalog import register
 from .spatial import R6
@@ -104,7 +104,17 @@ def first_last_per_key(spark, sf_dir):
 
 @register("normalize_ids", "with i as (select 0 o, cast(o_orderkey as varchar) t from orders where o_orderkey < 200 union all select 1, cast(o_orderkey as varchar) || '.0' from orders where o_orderkey < 200 union all select 2, '  ' || cast(o_orderkey as varchar) || ' ' from orders where o_orderkey < 200 union all select 3, '' union all select 4, 'NaN' union all select 5, '12.5') select o as form, t as raw, case when trim(t) = '' or lower(trim(t)) in ('nan', 'none', 'null') then null when regexp_matches(trim(t), '^[+-]?[0-9]+\\.0+$') then regexp_extract(trim(t), '^([+-]?[0-9]+)\\.0+$', 1) else trim(t) end as id from i".replace("\\\\", "\\"))
 def normalize_ids(spark, sf_dir):
-    o = Tables(spark, sf_dir).raw("orders").filter("o_orderkey < 200").select(F.col("o_orderkey").cast("string").alias("k"))
+    """Orders under 200, as its SQL; all orders are normalize_ids_whole."""
+    return _id_forms(spark, Tables(spark, sf_dir).raw("orders").filter("o_orderkey < 200"))
+
+
+@register("normalize_ids_whole", "with i as (select 0 o, cast(o_orderkey as varchar) t from orders union all select 1, cast(o_orderkey as varchar) || '.0' from orders union all select 2, '  ' || cast(o_orderkey as varchar) || ' ' from orders union all select 3, '' union all select 4, 'NaN' union all select 5, '12.5') select o as form, t as raw, case when trim(t) = '' or lower(trim(t)) in ('nan', 'none', 'null') then null when regexp_matches(trim(t), '^[+-]?[0-9]+\\.0+$') then regexp_extract(trim(t), '^([+-]?[0-9]+)\\.0+$', 1) else trim(t) end as id from i".replace("\\\\", "\\"))
+def normalize_ids_whole(spark, sf_dir):
+    return _id_forms(spark, Tables(spark, sf_dir).raw("orders"))
+
+
+def _id_forms(spark, orders):
+    o = orders.select(F.col("o_orderkey").cast("string").alias("k"))
     forms = o.select(F.posexplode(F.array(F.col("k"), F.concat("k", F.lit(".0")), F.concat(F.lit("  "), "k", F.lit(" ")))).alias("form", "raw"))
     odd = spark.createDataFrame([(3, ""), (4, "NaN"), (5, "12.5")], "form int, raw string")
     return forms.unionByName(odd).select("form", "raw", ids.normalize_cell_id(F.col("raw")).alias("id"))
@@ -132,10 +142,17 @@ def cell_lists_json(spark, sf_dir):
 
 @register("natural_order", "with k as (select case when c_custkey % 3 = 0 then 'c' || c_custkey else cast(c_custkey as varchar) end id from customer where c_custkey < 300) select id, row_number() over (order by not regexp_matches(id, '^[0-9]+$'), try_cast(id as bigint) nulls first, id) as place from k")
 def natural_order(spark, sf_dir):
+    """Customers under 300, as its SQL; all customers are natural_order_whole."""
     k = Tables(spark, sf_dir).raw("customer").filter("c_custkey < 300").select(F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("c"), "c_custkey")).otherwise(F.col("c_custkey").cast("string")).alias("id"))
     return k.withColumn("place", F.row_number().over(Window.orderBy(ids.natural_key(F.col("id")))))
 
 
+@register("natural_order_whole", "with k as (select case when c_custkey % 3 = 0 then 'c' || c_custkey else cast(c_custkey as varchar) end id from customer) select id, row_number() over (order by not regexp_matches(id, '^[0-9]+$'), try_cast(id as bigint) nulls first, id) as place from k")
+def natural_order_whole(spark, sf_dir):
+    k = Tables(spark, sf_dir).raw("customer").select(F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("c"), "c_custkey")).otherwise(F.col("c_custkey").cast("string")).alias("id"))
+    return ranked.places(k, ids.natural_key(F.col("id")))
+
+
 @register("markdown_table", "select n_nationkey as k, '| ' || replace(n_name, '|', '\\|') || ' | ' || printf('%.4f', n_regionkey / 3.0) || ' |' as line from nation".replace("\\\\", "\\"))
 def markdown_table(spark, sf_dir):
     n = Tables(spark, sf_dir).raw("nation")
@@ -202,9 +219,20 @@ def set_operations(spark, sf_dir):
 
 @register("union_missing_columns", "select n_nationkey as id, n_name as name, null::bigint as size from nation union all select p_partkey, null, p_size from part where p_partkey < 50")
 def union_missing_columns(spark, sf_dir):
+    """Parts under 50, as its SQL; all parts are union_missing_columns_whole."""
     t = Tables(spark, sf_dir)
+    return _nations_and_parts(t, t.raw("part").filter("p_partkey < 50"))
+
+
+@register("union_missing_columns_whole", "select n_nationkey as id, n_name as name, null::bigint as size from nation union all select p_partkey, null, p_size from part")
+def union_missing_columns_whole(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return _nations_and_parts(t, t.raw("part"))
+
+
+def _nations_and_parts(t: Tables, part):
     a = t.raw("nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"))
-    b = t.raw("part").filter("p_partkey < 50").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("long").alias("size"))
+    b = part.select(F.col("p_partkey").alias("id"), F.col("p_size").cast("long").alias("size"))
     return a.unionByName(b, allowMissingColumns=True)
 
 
@@ -225,8 +253,18 @@ def split_by_position(spark, sf_dir):
 
 @register("patch_json_bundle", ctes("pairs") + ", p as (select barcode % 16 patch, barcode, cell, px from pairs where barcode < 400) select patch, count(*) as n, cast(sum(px) as bigint) as px from p group by 1")
 def patch_json_bundle(spark, sf_dir):
+    """Barcodes under 400, as its SQL; all barcodes are patch_json_bundle_whole."""
+    return _json_bundle(Tables(spark, sf_dir).pairs.filter("barcode < 400"))
+
+
+@register("patch_json_bundle_whole", ctes("pairs") + ", p as (select barcode % 16 patch, barcode, cell, px from pairs) select patch, count(*) as n, cast(sum(px) as bigint) as px from p group by 1")
+def patch_json_bundle_whole(spark, sf_dir):
+    return _json_bundle(Tables(spark, sf_dir).pairs)
+
+
+def _json_bundle(pairs):
     """One JSON document for each patch, and its rows back from the text."""
-    p = Tables(spark, sf_dir).pairs.filter("barcode < 400").select((F.col("barcode") % 16).alias("patch"), "barcode", "cell", "px")
+    p = pairs.select((F.col("barcode") % 16).alias("patch"), "barcode", "cell", "px")
     doc = p.groupBy("patch").agg(F.to_json(F.struct(F.col("patch"), F.sort_array(F.collect_list(F.struct("barcode", "cell", "px"))).alias("bins"))).alias("doc"))
     back = doc.select("patch", F.explode(F.from_json("doc", "patch bigint, bins array<struct<barcode:bigint,cell:bigint,px:bigint>>")["bins"]).alias("b"))
     return back.groupBy("patch").agg(F.count("*").alias("n"), F.sum("b.px").alias("px"))

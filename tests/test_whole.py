@@ -90,3 +90,17 @@ def test_transport_moves_the_counts_of_the_whole_grid(spark):
     assert li.l_orderkey.max() // 128 > 24
     want = li.l_quantity.astype("int64").groupby(li.l_partkey % 50).sum().to_dict()
     assert {r["gene"]: r["n"] for r in catalog.queries()["molecule_transport_whole"](spark, SF).collect()} == want
+
+
+def test_whole_table_queries_equal_their_sql_on_larger_tables(spark):
+    import duckdb
+
+    from .compare import rows_of, rows_of_sql
+
+    con = duckdb.connect()
+    for t in ("nation", "customer", "orders", "part", "lineitem"):
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    for name in ("normalize_ids", "natural_order", "union_missing_columns", "patch_json_bundle"):
+        rows = rows_of(catalog.queries()[f"{name}_whole"](spark, SF))
+        assert rows == rows_of_sql(con, catalog.oracle_sql()[f"{name}_whole"])[1]
+        assert rows != rows_of_sql(con, catalog.oracle_sql()[name])[1]
