@@ -12,7 +12,7 @@ from ..bindings import Tables, ctes
 from ..catalog import register
 from .likelihood import THETA_SQL, theta_of
 from .spatial import NEAR, PATCHES, R6, centers, patches
-from .statistics import METHODS, V8, methods, vectors
+from .statistics import METHODS, V8, VALL, components, methods, vectors, whole_vectors
 
 
 @register("context_bins", ctes("grid") + "," + PATCHES + " select count(*) as bins, round(sum(x), 3) as sx, round(sum(y), 3) as sy from grid where exists (select 1 from patches where patch % 3 = 0 and x between x0 and x1 and y between y0 and y1)")
@@ -115,7 +115,7 @@ def projective_points(spark, sf_dir):
 
 @register("dimension_cosines", f"with {V8}, u as (select vec_id, i, e[i] x from v, range(1, 9) r(i)) select cast(a.i as integer) as a, cast(b.i as integer) as b, round(sum(a.x * b.x) / (sqrt(sum(a.x * a.x)) * sqrt(sum(b.x * b.x))), 6) as cosine from u a join u b using (vec_id) where a.i < b.i group by 1, 2")
 def dimension_cosines(spark, sf_dir):
-    """Column-wise cosines from one aggregate of products."""
+    """Column-wise cosines of the first eight components, as its SQL, from one aggregate of products; all components are dimension_cosines_whole."""
     v = vectors(Tables(spark, sf_dir))
     e = lambda i: F.col("e")[i]
     sums = v.agg(*[F.sum(e(i) * e(j)).alias(f"s{i}_{j}") for i in range(8) for j in range(i, 8)])
@@ -123,6 +123,19 @@ def dimension_cosines(spark, sf_dir):
     return sums.select(F.explode(cells).alias("x")).select("x.a", "x.b", R6(F.col("x.c"), "cosine"))
 
 
+@register("dimension_cosines_whole", f"with {VALL}, u as (select vec_id, i, e[i] x from v, unnest(range(1, len(e) + 1)) r(i)) select cast(a.i as integer) as a, cast(b.i as integer) as b, round(sum(a.x * b.x) / (sqrt(sum(a.x * a.x)) * sqrt(sum(b.x * b.x))), 6) as cosine from u a join u b using (vec_id) where a.i < b.i group by 1, 2")
+def dimension_cosines_whole(spark, sf_dir):
+    """Column-wise cosines of all components: each adds its products with all, so that no aggregate holds every pair."""
+    v = whole_vectors(Tables(spark, sf_dir))
+    size = components(v)
+    rows = v.select("e", F.posexplode("e").alias("i", "x")).groupBy("i").agg(F.array(*[F.sum(F.col("x") * F.col("e")[j]) for j in range(size)]).alias("s"))
+    pairs = rows.select("i", F.posexplode("s").alias("j", "s"))
+    norms = pairs.filter("i = j").select(F.col("i").alias("k"), F.sqrt("s").alias("l"))
+    a, b = (norms.select(F.col("k").alias(c), F.col("l").alias(f"l{c}")) for c in "ij")
+    j = pairs.filter("i < j").join(a, "i").join(b, "j")
+    return j.select((F.col("i") + 1).alias("a"), (F.col("j") + 1).alias("b"), R6(F.col("s") / (F.col("li") * F.col("lj")), "cosine"))
+
+
 @register("nearest_seed_distance", ctes("grid", "centers", "pairs") + "," + NEAR + ", s as (select cell, x, y from pairs join grid on barcode = bin where px >= 45), d as (select near.bin, near.cell, near.d, min(sqrt((g.x - s.x) ** 2 + (g.y - s.y) ** 2)) q from near join grid g on g.bin = near.bin left join s on s.cell = near.cell and (g.x - s.x) ** 2 + (g.y - s.y) ** 2 <= 400 group by 1, 2, 3) select bin, cell, round(coalesce(q, d), 6) as distance, q is not null as by_seed from d")
 def nearest_seed_distance(spark, sf_dir):
     """Distance to the nearest own seed within reach, else to the nucleus."""

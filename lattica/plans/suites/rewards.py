@@ -12,7 +12,7 @@ from ..catalog import register
 from .em import BASE, D_MAX, problem
 from .likelihood import theta_of
 from .spatial import NEAR, R6, centers, owned
-from .statistics import vectors
+from .statistics import whole_vectors
 
 
 @register("expression_confidence", ctes("counts") + ", t as (select bin, cast(sum(n) as double) t from counts group by 1) select bin, round(t / (t + 20), 6) as confidence, round(least(t / (t + 20), 1 - 1e-7) * 20 / (1 - least(t / (t + 20), 1 - 1e-7)), 4) as back from t")
@@ -113,13 +113,13 @@ def trajectory_fold(spark, sf_dir):
 
 @register("kmeans_clusters")
 def kmeans_clusters(spark, sf_dir):
-    out, _ = learn.kmeans(vectors(Tables(spark, sf_dir)), "e", 5)
+    out, _ = learn.kmeans(whole_vectors(Tables(spark, sf_dir)), "e", 5)
     return out.select("vec_id", "cluster")
 
 
 @register("pca_scores")
 def pca_scores(spark, sf_dir):
-    p = learn.pca(vectors(Tables(spark, sf_dir)), "e", 3)
+    p = learn.pca(whole_vectors(Tables(spark, sf_dir)), "e", 3)
     return p.select("vec_id", *[F.round(F.abs(F.col("scores")[i]), 6).alias(f"pc{i + 1}") for i in range(3)])
 
 

@@ -189,7 +189,21 @@ V8 = "v as (select vec_id, label, [cast(x as double) for x in embedding[1:8]] e
 
 
 def vectors(t: Tables):
-    return t.raw("embeddings").select("vec_id", "label", F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("e"))
+    """The first eight components, as V8."""
+    return whole_vectors(t).withColumn("e", F.slice("e", 1, 8))
+
+
+VALL = "v as (select vec_id, label, [cast(x as double) for x in embedding] e from embeddings)"
+
+
+def whole_vectors(t: Tables):
+    """All components of every vector."""
+    return t.raw("embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+
+
+def components(v) -> int:
+    """Length of the vectors, from the data."""
+    return v.agg(F.max(F.size("e"))).first()[0] or 0
 
 
 @register(
@@ -198,9 +212,23 @@ def vectors(t: Tables):
 l as (select v.vec_id, m.label, -0.5 * sum((e[i] - mu) * (e[i] - mu) / s + ln(s) + ln(2 * pi())) g from v cross join m group by 1, 2), z as (select vec_id, max(ln(p) + g) mx, max(ln(p) + g) + ln(sum(exp(ln(p) + g - mm))) ls from (select *, max(ln(p) + g) over (partition by vec_id) mm from l join p using (label)) group by vec_id) select vec_id, round(mx, 5) as best, round(ls, 5) as mixture from z""",
 )
 def gaussian_mixture_score(spark, sf_dir):
+    """Over the first eight components, as its SQL; all components are gaussian_mixture_score_whole."""
+    return _mixture(vectors(Tables(spark, sf_dir)), 8)
+
+
+@register(
+    "gaussian_mixture_score_whole",
+    f"""with {VALL}, m as (select label, i, avg(e[i]) mu, greatest(var_pop(e[i]), 1e-6) s from v, unnest(range(1, len(e) + 1)) r(i) group by 1, 2), p as (select label, count(*) / (select count(*) from v)::double p from v group by 1),
+l as (select v.vec_id, m.label, -0.5 * sum((e[i] - mu) * (e[i] - mu) / s + ln(s) + ln(2 * pi())) g from v cross join m group by 1, 2), z as (select vec_id, max(ln(p) + g) mx, max(ln(p) + g) + ln(sum(exp(ln(p) + g - mm))) ls from (select *, max(ln(p) + g) over (partition by vec_id) mm from l join p using (label)) group by vec_id) select vec_id, round(mx, 5) as best, round(ls, 5) as mixture from z""",
+)
+def gaussian_mixture_score_whole(spark, sf_dir):
+    v = whole_vectors(Tables(spark, sf_dir))
+    return _mixture(v, components(v))
+
+
+def _mixture(v, size: int):
     """Diagonal Gaussians by label; the best component and the log of the mixture."""
-    v = vectors(Tables(spark, sf_dir))
-    stat = v.groupBy("label").agg(F.array(*[F.avg(F.col("e")[i]) for i in range(8)]).alias("mu"), F.array(*[F.greatest(F.var_pop(F.col("e")[i]), F.lit(1e-6)) for i in range(8)]).alias("var"), F.count("*").alias("n"))
+    stat = v.groupBy("label").agg(F.array(*[F.avg(F.col("e")[i]) for i in range(size)]).alias("mu"), F.array(*[F.greatest(F.var_pop(F.col("e")[i]), F.lit(1e-6)) for i in range(size)]).alias("var"), F.count("*").alias("n"))
     stat = stat.withColumn("lp", F.ln(F.col("n") / F.sum("n").over(Window.partitionBy())))
     g = v.select("vec_id", "e").crossJoin(F.broadcast(stat)).select("vec_id", (F.col("lp") + maths.gaussian_diagonal(F.col("e"), F.col("mu"), F.col("var"))).alias("s"))
     top = g.groupBy("vec_id").agg(F.max("s").alias("best"), F.collect_list("s").alias("all"))
@@ -212,12 +240,22 @@ def gaussian_mixture_score(spark, sf_dir):
 
 @register("shape_zscore", f"with {V8}, u as (select vec_id, i, e[i] x from v, range(1, 9) r(i)), s as (select i, avg(x) mu, greatest(stddev_pop(x), 1e-8) sd from u group by 1) select vec_id, round(max(abs((x - mu) / sd)), 5) as most, round(avg(least(greatest((x - mu) / sd, -2.5), 2.5)), 5) as mean_clipped from u join s using (i) group by vec_id")
 def shape_zscore(spark, sf_dir):
-    v = vectors(Tables(spark, sf_dir))
-    s = v.agg(F.array(*[F.avg(F.col("e")[i]) for i in range(8)]).alias("mu"), F.array(*[F.greatest(F.stddev_pop(F.col("e")[i]), F.lit(1e-8)) for i in range(8)]).alias("sd"))
+    """Over the first eight components, as its SQL; all components are shape_zscore_whole."""
+    return _zscore(vectors(Tables(spark, sf_dir)), 8)
+
+
+@register("shape_zscore_whole", f"with {VALL}, u as (select vec_id, i, e[i] x from v, unnest(range(1, len(e) + 1)) r(i)), s as (select i, avg(x) mu, greatest(stddev_pop(x), 1e-8) sd from u group by 1) select vec_id, round(max(abs((x - mu) / sd)), 5) as most, round(avg(least(greatest((x - mu) / sd, -2.5), 2.5)), 5) as mean_clipped from u join s using (i) group by vec_id")
+def shape_zscore_whole(spark, sf_dir):
+    v = whole_vectors(Tables(spark, sf_dir))
+    return _zscore(v, components(v))
+
+
+def _zscore(v, size: int):
+    s = v.agg(F.array(*[F.avg(F.col("e")[i]) for i in range(size)]).alias("mu"), F.array(*[F.greatest(F.stddev_pop(F.col("e")[i]), F.lit(1e-8)) for i in range(size)]).alias("sd"))
     z = F.zip_with(F.zip_with("e", "mu", lambda x, m: x - m), "sd", lambda d, q: d / q)
     clipped = F.aggregate("z", F.lit(0.0), lambda a, x: a + F.least(F.greatest(x, F.lit(-2.5)), F.lit(2.5)))
     d = v.crossJoin(F.broadcast(s)).withColumn("z", z)
-    return d.select("vec_id", F.round(F.array_max(F.transform("z", lambda x: F.abs(x))), 5).alias("most"), F.round(clipped / 8, 5).alias("mean_clipped"))
+    return d.select("vec_id", F.round(F.array_max(F.transform("z", lambda x: F.abs(x))), 5).alias("most"), F.round(clipped / size, 5).alias("mean_clipped"))
 
 
 @register(
@@ -227,11 +265,27 @@ d as (select a.k, b.k t, (a.m[1] - b.m[1]) ** 2 + (a.m[2] - b.m[2]) ** 2 + (a.m[
 f as (select coalesce(t, c.k) f from c left join g using (k)) select cast(dense_rank() over (order by f) - 1 as integer) as cluster, count(*) as n from f group by f""",
 )
 def small_cluster_merge(spark, sf_dir):
+    """Over the first four components, as its SQL; all components are small_cluster_merge_whole."""
+    return _merged(vectors(Tables(spark, sf_dir)).withColumn("e", F.slice("e", 1, 4)), 4)
+
+
+@register(
+    "small_cluster_merge_whole",
+    f"""with {VALL}, c as (select *, label * 7 + vec_id % 7 k from v), n as (select k, count(*) n from c group by 1), q as (select quantile_cont(n, 0.5) q from n), m as (select k, i, avg(e[i]) x from c, unnest(range(1, len(e) + 1)) r(i) group by 1, 2),
+d as (select a.k, b.k t, sum((ma.x - mb.x) ** 2) d from n a, n b, q, m ma, m mb where a.n < q and b.n >= q and ma.k = a.k and mb.k = b.k and ma.i = mb.i group by 1, 2), g as (select k, t from (select *, row_number() over (partition by k order by round(d, 12), t) rn from d) where rn = 1),
+f as (select coalesce(t, c.k) f from c left join g using (k)) select cast(dense_rank() over (order by f) - 1 as integer) as cluster, count(*) as n from f group by f""",
+)
+def small_cluster_merge_whole(spark, sf_dir):
+    v = whole_vectors(Tables(spark, sf_dir))
+    return _merged(v, components(v))
+
+
+def _merged(v, size: int):
     """Clusters under the median size go to the nearest large centroid; names are made dense in order."""
     from ...operators import learn
 
-    v = vectors(Tables(spark, sf_dir)).withColumn("k", F.col("label") * 7 + F.col("vec_id") % 7).select("vec_id", "k", F.slice("e", 1, 4).alias("e"))
-    return learn.merge_small(v, "k", "e", 4).groupBy("cluster").agg(F.count("*").alias("n"))
+    k = v.withColumn("k", F.col("label") * 7 + F.col("vec_id") % 7).select("vec_id", "k", "e")
+    return learn.merge_small(k, "k", "e", size).groupBy("cluster").agg(F.count("*").alias("n"))
 
 
 @register("label_mode_percent", "select p_brand as cell, count(*) as n, sum(case when p_size > 25 then 1 else 0 end)::bigint as large, round(100.0::double * sum(case when p_size > 25 then 1 else 0 end) / count(*), 6) as percent, (select t from (select p_type t, count(*) c from part q where q.p_brand = part.p_brand group by 1) order by c desc, t limit 1) as label from part group by p_brand")

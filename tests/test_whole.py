@@ -104,3 +104,24 @@ def test_whole_table_queries_equal_their_sql_on_larger_tables(spark):
         rows = rows_of(catalog.queries()[f"{name}_whole"](spark, SF))
         assert rows == rows_of_sql(con, catalog.oracle_sql()[f"{name}_whole"])[1]
         assert rows != rows_of_sql(con, catalog.oracle_sql()[name])[1]
+
+
+def test_points_that_differ_in_late_components_only_are_told_apart(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    far = np.repeat(rng.normal(size=(5, 56)) * 50, 8, axis=0)
+    e = np.hstack([np.zeros((40, 8)), far + rng.normal(size=(40, 56))])
+    # Columns with equal values in the first eight components for all points.
+    e[:, :8] = np.arange(1, 9)
+    pd.DataFrame({"vec_id": np.arange(40), "label": np.arange(40) // 8, "embedding": [x.astype("float32") for x in e]}).to_parquet(tmp_path / "embeddings.parquet")
+    q = catalog.queries()
+    e = e.astype("float32").astype("float64")
+    clusters = q["kmeans_clusters"](spark, str(tmp_path)).toPandas().sort_values("vec_id").cluster.tolist()
+    assert len(set(clusters)) > 1
+    centred = e - e.mean(axis=0)
+    value, vector = np.linalg.eigh(np.cov(centred.T))
+    want = np.abs(e @ vector[:, ::-1][:, :3] - e.mean(axis=0) @ vector[:, ::-1][:, :3])
+    got = q["pca_scores"](spark, str(tmp_path)).toPandas().sort_values("vec_id")[["pc1", "pc2", "pc3"]].to_numpy()
+    assert value[-1] > 1 and np.allclose(got, want, atol=1e-4)
+    z = np.abs(centred / np.maximum(e.std(axis=0), 1e-8)).max(axis=1)
+    assert np.allclose(q["shape_zscore_whole"](spark, str(tmp_path)).toPandas().sort_values("vec_id").most, z, atol=1e-5)
+    assert q["dimension_cosines_whole"](spark, str(tmp_path)).count() == 64 * 63 // 2
