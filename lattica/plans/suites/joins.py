@@ -59,7 +59,17 @@ def seed_context_cells(spark, sf_dir):
 
 @register("barcode_cell_sets", ctes("claims") + " select barcode, count(distinct cell) as n, string_agg(distinct cast(cell as varchar), ',' order by cast(cell as varchar)) as cells from claims where cell < 60 group by barcode")
 def barcode_cell_sets(spark, sf_dir):
-    c = Tables(spark, sf_dir).claims.filter("cell < 60").groupBy("barcode").agg(F.sort_array(F.collect_set(F.col("cell").cast("string"))).alias("s"))
+    """Claims of cells under 60, as its SQL; all claims are barcode_cell_sets_whole."""
+    return _cell_sets(Tables(spark, sf_dir).claims.filter("cell < 60"))
+
+
+@register("barcode_cell_sets_whole", ctes("claims") + " select barcode, count(distinct cell) as n, string_agg(distinct cast(cell as varchar), ',' order by cast(cell as varchar)) as cells from claims group by barcode")
+def barcode_cell_sets_whole(spark, sf_dir):
+    return _cell_sets(Tables(spark, sf_dir).claims)
+
+
+def _cell_sets(claims):
+    c = claims.groupBy("barcode").agg(F.sort_array(F.collect_set(F.col("cell").cast("string"))).alias("s"))
     return c.select("barcode", F.size("s").cast("long").alias("n"), F.array_join("s", ",").alias("cells"))
 
 
@@ -118,9 +128,20 @@ def gene_type_moments(spark, sf_dir):
 
 @register("local_patch_cap", ctes("centers") + ", p as (select a.cell target, b.cell, a.cell <> b.cell other, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) d from centers a join centers b on (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 2500 where a.cell % 5 = 0) select target, cell, r as place from (select *, row_number() over (partition by target order by other, round(d, 9), cell) r from p) where r <= 6")
 def local_patch_cap(spark, sf_dir):
-    """The target first, then cells within reach by distance and id; at most six (the feature)."""
+    """Every fifth cell as target, as its SQL; all cells are local_patch_cap_whole."""
     t = Tables(spark, sf_dir)
-    targets = t.centers.filter("cell % 5 = 0").select(F.col("cell").alias("target"), "x", "y")
+    return _local_patch(t, t.centers.filter("cell % 5 = 0"))
+
+
+@register("local_patch_cap_whole", ctes("centers") + ", p as (select a.cell target, b.cell, a.cell <> b.cell other, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) d from centers a join centers b on (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 2500) select target, cell, r as place from (select *, row_number() over (partition by target order by other, round(d, 9), cell) r from p) where r <= 6")
+def local_patch_cap_whole(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return _local_patch(t, t.centers)
+
+
+def _local_patch(t: Tables, centres):
+    """The target first, then cells within reach by distance and id; at most six (the feature)."""
+    targets = centres.select(F.col("cell").alias("target"), "x", "y")
     p = spatial.radius_join(targets, centers(t).select("cell", "cx", "cy"), 50.0)
     w = Window.partitionBy("target").orderBy(F.col("target") != F.col("cell"), F.round("d", 9), "cell")
     return p.withColumn("place", F.row_number().over(w)).filter("place <= 6").select("target", "cell", "place")

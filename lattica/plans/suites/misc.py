@@ -93,8 +93,18 @@ def separated_points(spark, sf_dir):
 
 @register("padded_batches", "with s as (select c_nationkey k, list(c_acctbal order by c_custkey) v from customer where c_custkey % 4 = 0 group by 1), m as (select max(len(v)) m from s) select k as key, m as width, len(v) as used, round(list_sum(v), 4) as total from s, m")
 def padded_batches(spark, sf_dir):
+    """Every fourth customer, as its SQL; all customers are padded_batches_whole."""
+    return _padded(Tables(spark, sf_dir).raw("customer").filter("c_custkey % 4 = 0"))
+
+
+@register("padded_batches_whole", "with s as (select c_nationkey k, list(c_acctbal order by c_custkey) v from customer group by 1), m as (select max(len(v)) m from s) select k as key, m as width, len(v) as used, round(list_sum(v), 4) as total from s, m")
+def padded_batches_whole(spark, sf_dir):
+    return _padded(Tables(spark, sf_dir).raw("customer"))
+
+
+def _padded(customers):
     """Ragged rows padded to the longest, with a mask."""
-    c = Tables(spark, sf_dir).raw("customer").filter("c_custkey % 4 = 0").select(F.col("c_nationkey").alias("key"), "c_custkey", "c_acctbal")
+    c = customers.select(F.col("c_nationkey").alias("key"), "c_custkey", "c_acctbal")
     p = select.padded(c, "key", "c_custkey", "c_acctbal")
     total = F.aggregate(F.zip_with("values", "mask", lambda v, m: v * m), F.lit(0.0), lambda a, x: a + x)
     return p.select("key", F.size("values").cast("long").alias("width"), F.aggregate("mask", F.lit(0), lambda a, x: a + x).cast("long").alias("used"), F.round(total, 4).alias("total"))

@@ -98,9 +98,9 @@ def test_whole_table_queries_equal_their_sql_on_larger_tables(spark):
     from .compare import rows_of, rows_of_sql
 
     con = duckdb.connect()
-    for t in ("nation", "customer", "orders", "part", "lineitem"):
+    for t in ("nation", "customer", "orders", "part", "lineitem", "supplier"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
-    for name in ("normalize_ids", "natural_order", "union_missing_columns", "patch_json_bundle"):
+    for name in ("normalize_ids", "natural_order", "union_missing_columns", "patch_json_bundle", "barcode_cell_sets", "padded_batches", "local_patch_cap"):
         rows = rows_of(catalog.queries()[f"{name}_whole"](spark, SF))
         assert rows == rows_of_sql(con, catalog.oracle_sql()[f"{name}_whole"])[1]
         assert rows != rows_of_sql(con, catalog.oracle_sql()[name])[1]
