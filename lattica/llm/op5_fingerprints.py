@@ -7,8 +7,9 @@ leading zeros are kept.  The fingerprint is their hexadecimal string, so equal
 texts have equal fingerprints; the likeness of two fingerprints is the share of
 equal values, an estimate of the Jaccard similarity.
 
-``near_pairs`` joins signature bands in Spark and verifies Jaccard on full sets,
-with each band joined to the band's first member, so cost is linear in copies.
+``near_pairs`` joins signature bands in Spark and verifies Jaccard on full sets:
+each band with its first member, then what these pairs leave apart.  It is a
+function for callers; the registered query does not reach it.
 
 The edited text of a document needs the next document in id order.  Ids are cut
 into ranges at quantiles, a bounded number for each task; texts are shuffled
@@ -36,6 +37,7 @@ from pyspark.sql import functions as F
 
 from . import vector as v
 from .common import NULL_ID, cut, require
+from .components import roots
 
 PERMUTATIONS = 128
 SHINGLE = 5
@@ -133,11 +135,20 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return rows.repartition(tasks, "part").sortWithinPartitions("part", "edge", "id", "text").mapInArrow(walk, RESULT)
 
 
+_NODE = "struct<id:bigint,th:string>"
+
+
 def near_pairs(docs: DataFrame, threshold: float = 0.8, shingle: int = SHINGLE) -> DataFrame:
-    """(a, b, similarity): each document with the first member of a signature band it shares, verified on full sets.
+    """(a, b, similarity): pairs that share a signature band, verified on full sets, which connect all such pairs at the threshold.
+
+    First each document is tried with the first member of each of its bands.
+    Then members of one band that are not connected by these pairs are all tried
+    with each other, so no link between them is missed; near copies of the first
+    member are not listed pair by pair.  A band of many members that are no near
+    copies costs the square of their number.
 
-    Pairs are star-shaped within a band; together the bands connect near copies
-    without listing all pairs of a group.  a > b in the order of doc_id.
+    Rows are told apart by id and text: an id with two near texts gives a pair
+    with itself, equal rows are one.  a >= b in the order of doc_id; null is first.
     """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +158,7 @@ def near_pairs(docs: DataFrame, threshold: float = 0.8, shingle: int = SHINGLE)
             key = v.mix(sig.view(_U) + v.splitmix(PERMUTATIONS // BAND, 53)).view(np.int64)
             full = np.flatnonzero(sig[:, 0] > 0)
             i = np.repeat(full, key.shape[1])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i)), pa.array(key[full].ravel())], names=["id", "key"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i)), pa.array(key[full].ravel())], names=["n", "key"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,13 +170,25 @@ def near_pairs(docs: DataFrame, threshold: float = 0.8, shingle: int = SHINGLE)
             out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keep, type=pa.float64())], names=["a", "b", "similarity"])
             yield out.filter(pa.array([k >= threshold for k in keep], type=pa.bool_()))
 
-    base = require(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("id"), "text")
-    rows = cut(base.mapInArrow(sign, "id long, key long"))
-    hubs = rows.groupBy("key").agg(F.min("id").alias("b"))
-    pairs = rows.join(hubs, "key").filter("id > b").select(F.col("id").alias("a"), "b").distinct()
-    texts = base.groupBy("id").agg(F.min("text").alias("text"))
-    sides = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
-    return sides.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long, similarity double")
+    def verified(pairs: DataFrame) -> DataFrame:
+        sides = pairs.join(texts.select(F.col("n").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("n").alias("b"), F.col("text").alias("y")), "b")
+        return cut(sides.select("a", "b", "x", "y").mapInArrow(verify, f"a {_NODE}, b {_NODE}, similarity double"))
+
+    text = F.coalesce("text", F.lit(""))
+    node = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.sha2(text.cast("binary"), 256).alias("th"))
+    texts = require(docs, "doc_id", "text").select(node.alias("n"), text.alias("text")).groupBy("n").agg(F.first("text").alias("text"))
+    rows = cut(texts.select("n", "text").mapInArrow(sign, f"n {_NODE}, key long"))
+    hubs = rows.groupBy("key").agg(F.min("n").alias("b"))
+    tried = cut(rows.join(hubs, "key").filter("n > b").select(F.col("n").alias("a"), "b").distinct())
+    found = verified(tried)
+    # Members of a band that the hubs leave apart are tried with each other.
+    parts = rows.join(roots(found.select("a", "b")).withColumnRenamed("a", "n"), "n", "left").select("key", "n", F.coalesce("root", "n").alias("root"))
+    apart = parts.groupBy("key").agg(F.count_distinct("root").alias("m")).filter("m > 1").select("key")
+    left = cut(parts.join(apart, "key", "left_semi"))
+    others = left.select("key", F.col("n").alias("b"), F.col("root").alias("other"))
+    rest = left.join(others, "key").filter("n > b and root <> other").select(F.col("n").alias("a"), "b").distinct().join(tried, ["a", "b"], "left_anti")
+    name = lambda c: F.nullif(F.col(f"{c}.id"), F.lit(NULL_ID)).alias(c)
+    return found.unionByName(verified(rest)).select(name("a"), name("b"), "similarity")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
