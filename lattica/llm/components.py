@@ -1,7 +1,7 @@
 """Connected components by alternating large-star and small-star steps.
 
 Links stay in Spark; each step is two grouped minima and two joins on the link
-table, which is cut with a checkpoint.  Hubs with many links are no single
+table, which is written and read again.  Hubs with many links are no single
 group: minima are pre-aggregated and joins can be split.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import Scratch
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -26,14 +26,18 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).filter("a != b").distinct()
 
 
-def roots(links: DataFrame, limit: int = 60) -> DataFrame:
-    """(a, root) for every end of links (a, b), a != b; root is the least node of the component."""
-    links = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct())
+def roots(links: DataFrame, scratch: Scratch | None = None, name: str = "roots", limit: int = 60) -> DataFrame:
+    """(a, root) for every end of links (a, b), a != b; root is the least node of the component.  Written as ``name``."""
+    scratch = scratch or Scratch(links.sparkSession, "components")
+    kept = scratch.keep(f"{name}-0", links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct())
     before = None
-    for _ in range(limit):
-        links = cut(_small_star(_large_star(links)))
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            return links.select("a", F.col("b").alias("root"))
+    for i in range(1, limit + 1):
+        kept = scratch.keep(f"{name}-{i}", _small_star(_large_star(kept)))
+        scratch.drop(f"{name}-{i - 1}")
+        now = kept.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now == before or not now[0]:
+            found = scratch.keep(name, kept.select("a", F.col("b").alias("root")))
+            scratch.drop(f"{name}-{i}")
+            return found
         before = now
     raise RuntimeError(f"components did not settle in {limit} rounds")

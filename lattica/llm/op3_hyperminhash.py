@@ -2,26 +2,15 @@
 
 1. Each text becomes its set of distinct word shingles.  Texts with equal sets
    are one class (a count, no pairs); a class has REGISTERS registers, each the
-   least hash of one permutation kept as leading-zero count (6 bits) and
-   mantissa (10 bits), as a floating-point number keeps them.
+   least hash of one bucket kept as leading-zero count (6 bits) and mantissa
+   (10 bits), as a floating-point number keeps them.  Every bucket has a
+   permutation of its own: of one hash that deals shingles over buckets, short
+   texts would leave most empty.
 2. Bands of four registers are one 64-bit key; classes with a key in common are
    candidates.  At similarity 0.8, 32 bands miss a pair with chance 5e-8.
-3. Links are looked for where they can still join two components, so groups of
-   copies cost about one candidate a member, not all pairs:
-   a. every class tries, of the members of its bands that are nearest the
-      middle (they stand in the most crowded bands) and the least ones, the two
-      it shares most bands with;
-   b. all remaining pairs of one band whose components differ are tried, each
-      pair in the first band it shares, but for those that rare shingles rule
-      out.  Let u be the shingles of a class that at most RARE of the remaining
-      classes have.  A class of m shingles that shares none of these has
-      n - u in common at most, and similarity (n - u) / (m + u) at most.  So
-      pairs are tried that pass this bound either way, and pairs that share a
-      rare shingle (lists of at most RARE classes).  The counts are linear, and
-      they settle the many members of a group that are near to nothing.
-   After b each candidate pair is inside one component or was decided.
-4. Before full sets are compared, pairs with a collision-corrected Jaccard
-   estimate under ``threshold - MARGIN`` fall out; the rest are verified.
+3. ``near.py`` looks for links where they can still join two components.  Pairs
+   with a collision-corrected Jaccard estimate under ``threshold - MARGIN`` fall
+   out; the rest are verified on full sets.
 
 Edge cases: null and empty texts have no shingles, link to nothing and stay; a
 text with fewer words than a shingle is one shingle; repeated rows are one
@@ -30,28 +19,18 @@ class (rows of one doc_id stay or go together); a null doc_id sorts first.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from . import near
 from . import vector as v
-from .common import NULL_ID, columns, cut, mark_needed, require, row_key
-from .components import roots
+from .common import NULL_ID, Scratch, columns, mark_needed, row_key
 
 REGISTERS = 128
 BAND = 4
 #: Five standard deviations of the estimate from 128 registers at 0.8.
 MARGIN = 0.18
-#: Classes in one block of those that are left, and of classes that meet a block in one task.
-BLOCK = 1024
-LIST = 4096
-SHARE = 4000
-#: A shingle that so many classes have is rare among those that are left.
-RARE = 40
 #: Chance that two different minima keep the same register: 0.17 of a mantissa step (published bound).
 COLLISION = 0.1699 / (1 << 10)
 
@@ -83,253 +62,15 @@ def jaccard_estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip((same - COLLISION) / (1 - COLLISION), 0, 1)
 
 
-def sets_of(docs: DataFrame, shingle: int, signed: bool = True) -> DataFrame:
-    """(_id, _th, n, node, sig): per row the set size, a 128-bit digest of the set, and (if signed) the registers."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, raw, offsets in v.blocks(batch.column(2)):
-                n = len(offsets) - 1
-                g, bounds = v.shingle_sets(raw, offsets, shingle)
-                size = np.diff(bounds)
-                node = np.zeros((n, 2), dtype=_U)
-                with np.errstate(over="ignore"):
-                    for j, salt in enumerate(v.splitmix(2, 34)):
-                        p = v.prefix_sums(v.mix(g ^ salt))
-                        node[:, j] = v.span_hash(p, bounds[:-1], bounds[1:])
-                sig = registers(g, bounds) if signed else np.zeros((n, 0), dtype=np.uint16)
-                fixed = lambda x, width: pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), n, [None, pa.py_buffer(np.ascontiguousarray(x).tobytes())]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), pa.array(size.astype(np.int64)), fixed(node, 16), fixed(sig, 2 * sig.shape[1])], names=["_id", "_th", "n", "node", "sig"])
-
-    return require(docs, "doc_id", "text").select(*row_key(), "text").mapInArrow(run, "_id long, _th long, n long, node binary, sig binary")
-
-
-def bands(classes: DataFrame) -> DataFrame:
-    """(key, node, n, s0, s1): one row per class and band; s0 and s1 hold one bit of each register."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            m = batch.num_rows
-            if not m:
-                continue
-            sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint16).reshape(m, REGISTERS)
-            with np.errstate(over="ignore"):
-                key = v.mix(sig.view(_U) + _BAND_SEED).view(np.int64)
-            bit = np.packbits((np.ascontiguousarray(sig) & 1).astype(np.uint8), axis=1).view(np.int64)
-            i = np.repeat(np.arange(m), key.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), batch.column(0).take(pa.array(i)), batch.column(1).take(pa.array(i)), pa.array(bit[i, 0]), pa.array(bit[i, 1])], names=["key", "node", "n", "s0", "s1"])
-
-    return classes.select("node", "n", "sig").mapInArrow(run, "key long, node binary, n long, s0 long, s1 long")
-
-
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, percent: int, threshold: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets have 100 * intersection >= percent * union."""
-
-    def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS) for i in (6, 7))
-                yield batch.filter(pa.array(jaccard_estimate(x, y) >= threshold - MARGIN)).select(["a", "b", "a_id", "a_th", "b_id", "b_th"])
-
-    def side(name: str) -> DataFrame:
-        return classes.select(F.col("node").alias(name), F.col("_id").alias(f"{name}_id"), F.col("_th").alias(f"{name}_th"), F.col("sig").alias(f"{name}_sig"))
-
-    likely = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_id", "a_th", "b_id", "b_th", "a_sig", "b_sig")
-    likely = cut(likely.mapInArrow(estimate, "a binary, b binary, a_id long, a_th long, b_id long, b_th long"))
-    needed = likely.select(F.col("a_id").alias("_id"), F.col("a_th").alias("_th")).unionByName(likely.select(F.col("b_id").alias("_id"), F.col("b_th").alias("_th")))
-    # Only texts of candidates are shuffled.
-    texts = mark_needed(require(docs, "doc_id", "text").select(*row_key(), "text"), needed).filter("_needed").drop("_needed")
-
-    def text_of(name: str) -> DataFrame:
-        return texts.select(F.col("_id").alias(f"{name}_id"), F.col("_th").alias(f"{name}_th"), F.col("text").alias(f"{name}_text"))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[bytes, np.ndarray] = (b"", np.zeros(0, dtype=_U))
-        for batch in batches:
-            same = []
-            hubs = batch.column(1).to_pylist()
-            hub_texts, texts = batch.column(3), batch.column(2)
-            for lo, raw, offsets in v.blocks(texts):
-                g, bounds = v.shingle_sets(raw, offsets, shingle)
-                for i in range(len(offsets) - 1):
-                    hub = hubs[lo + i]
-                    if hub != last[0]:
-                        one = hub_texts.slice(lo + i, 1)
-                        _, r, o = next(v.blocks(one))
-                        last = (hub, v.shingle_sets(r, o, shingle)[0])
-                    x, y = g[bounds[i] : bounds[i + 1]], last[1]
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    same.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.filter(pa.array(same, type=pa.bool_())).select(["a", "b"])
-
-    # The side with few texts (hubs) is b: rows of one hub come together, its set is made once a run of rows.
-    joined = likely.join(text_of("a"), ["a_id", "a_th"]).join(text_of("b"), ["b_id", "b_th"]).select("a", "b", "a_text", "b_text")
-    return joined.mapInArrow(compare, "a binary, b binary").distinct()
-
-
-def _rare_shingles(nodes: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
-    """Of the shingles of ``nodes`` (node, label, n, s0, s1) that at most RARE of them have:
-    (s, nid, g, n, s0, s1) those of several classes, and (nid, u) how many each class has.  g stands for the label."""
-    wanted = cut(nodes.join(classes.select("node", "_id", "_th"), "node").withColumns({"nid": F.xxhash64("node"), "g": F.xxhash64("label")}).select("_id", "_th", "nid", "g", "n", "s0", "s1"))
-    texts = mark_needed(require(docs, "doc_id", "text").select(*row_key(), "text"), wanted).filter("_needed").drop("_needed")
-    # Rows that repeat whole are one class.
-    texts = texts.join(wanted, ["_id", "_th"]).dropDuplicates(["_id", "_th"]).select("text", "nid", "g", "n", "s0", "s1")
-
-    def list_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rest = [batch.column(i).to_numpy() for i in range(1, 6)]
-            for lo, raw, offsets in v.blocks(batch.column(0)):
-                g, bounds = v.shingle_sets(raw, offsets, shingle)
-                i = lo + np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))
-                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), *(pa.array(r[i]) for r in rest)], names=["s", "nid", "g", "n", "s0", "s1"])
-
-    rows = texts.mapInArrow(list_all, "s long, nid long, g long, n long, s0 long, s1 long")
-    rare = cut(rows.groupBy("s").agg(F.count("*").alias("c"), F.min("nid").alias("nid")).filter(F.col("c") <= RARE))
-    # Most rare shingles are of one class: they are only counted.
-    shared = cut(rows.join(rare.filter("c > 1").select("s"), "s"))
-    own = rare.filter("c = 1").select("nid").unionByName(shared.select("nid")).groupBy("nid").agg(F.count("*").alias("u"))
-    return shared, own
-
-
-def _labelled(shared: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows of shared with a component label, rows of roots)."""
-    found = cut(roots(links))
-    return shared.join(found.select(F.col("a").alias("node"), "root"), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root"), found
-
-
-def _best(pairs: DataFrame, most: int) -> DataFrame:
-    """For each a the ``most`` partners with the most bands in common (a choice of what to try first, not a cap)."""
-    counted = pairs.groupBy("a", "b").agg(F.count("*").alias("c"))
-    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("c"), "b"))
-    return counted.withColumn("r", rank).filter(F.col("r") <= most).select("a", "b")
-
-
-def _with_candidate(rest: DataFrame, percent: int, threshold: float) -> DataFrame:
-    """Rows of rest that have, in some band, a class of another component of like size and bits.
-
-    A band's classes are lists of about LIST; a class looks for one in each list and stops at the first.
-    """
-    apart = REGISTERS * ((1 - threshold) / 2 + 0.1325)
-    rows = rest.select("node", F.xxhash64("node").alias("nid"), F.xxhash64("label").alias("g"), "n", "s0", "s1", F.explode("ks").alias("key"))
-    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / LIST).alias("lists"))
-    dealt = rows.join(sizes, "key")
-    lists = dealt.groupBy("key", F.pmod("nid", "lists").alias("list")).agg(F.collect_list(F.struct("g", "n", "s0", "s1")).alias("bs"))
-
-    def can(b):
-        a = {c: F.col(c) for c in ("g", "n", "s0", "s1")}
-        sizes = (a["n"] * 100 >= b["n"] * percent) & (b["n"] * 100 >= a["n"] * percent)
-        return (a["g"] != b["g"]) & sizes & (F.bit_count(a["s0"].bitwiseXOR(b["s0"])) + F.bit_count(a["s1"].bitwiseXOR(b["s1"])) <= apart)
-
-    hit = rows.join(lists, "key").filter(F.exists("bs", can)).select("node").distinct()
-    return rest.join(hit, "node", "left_semi")
-
-
-def _settle_rest(rest: DataFrame, rare: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, percent: int, threshold: float) -> DataFrame:
-    """(a, b): the links among classes of different components that are left.
-
-    Of a pair, b is the one in the smaller component.  Classes that can be b are
-    dealt into blocks of about BLOCK; a class meets a block once, with the list
-    of those of it that it is to be compared with.  So a text travels once for
-    each block and not once for each pair, and a task holds one block.
-    """
-    low = F.struct("cs", "g")
-    rows = rest.select("nid", "g", "cs", "n", "u", "s0", "s1", F.explode("ks").alias("key"))
-    ends = rows.groupBy("key").agg(F.max(low).alias("top"), F.min("n").alias("least"))
-    rows = cut(rows.join(ends, "key").withColumn("small", (low < F.col("top")) & ((F.col("n") - F.col("u")) * 100 >= (F.col("least") + F.col("u")) * percent)).drop("top", "least"))
-    blocks = max(1, -(-rows.filter("small").select("nid").distinct().count() // BLOCK))
-    block = lambda c: F.pmod(F.col(c), F.lit(blocks))
-    one = F.struct("nid", "g", "cs", "n", "u", "s0", "s1")
-    lists = rows.filter("small").groupBy("key", block("nid").alias("block")).agg(F.collect_list(one).alias("bs"))
-    # Bits agree with chance (1 + J) / 2: at 0.8 that is 115 of 128, five deviations less are 98.
-    apart = REGISTERS * ((1 - threshold) / 2 + 0.1325)
-
-    def can(b):
-        a = {c: F.col(c) for c in ("g", "cs", "n", "u", "s0", "s1")}
-        below = (b["cs"] < a["cs"]) | ((b["cs"] == a["cs"]) & (b["g"] < a["g"]))
-        sizes = (a["n"] * 100 >= b["n"] * percent) & (b["n"] * 100 >= a["n"] * percent)
-        own = ((a["n"] - a["u"]) * 100 >= (b["n"] + a["u"]) * percent) & ((b["n"] - b["u"]) * 100 >= (a["n"] + b["u"]) * percent)
-        return below & sizes & own & (F.bit_count(a["s0"].bitwiseXOR(b["s0"])) + F.bit_count(a["s1"].bitwiseXOR(b["s1"])) <= apart)
-
-    met = rows.join(lists, "key").select("nid", "block", F.transform(F.filter("bs", can), lambda b: b["nid"]).alias("bs")).filter("size(bs) > 0")
-    # Pairs with a rare shingle in common.
-    p, q = rare.alias("x"), rare.alias("y")
-    alike = (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent) & (F.expr("bit_count(x.s0 ^ y.s0) + bit_count(x.s1 ^ y.s1)") <= apart)
-    few = p.join(q, (F.col("x.s") == F.col("y.s")) & (F.col("x.nid") < F.col("y.nid")) & (F.col("x.g") != F.col("y.g")) & alike).select("x.nid", F.col("y.nid").alias("b")).distinct()
-    few = few.select("nid", block("b").alias("block"), F.array("b").alias("bs"))
-    asked = met.unionByName(few).groupBy("nid", "block").agg(F.array_distinct(F.flatten(F.collect_list("bs"))).alias("bs"))
-    # A block that many classes meet is held by several tasks.
-    shares = asked.groupBy("block").agg(F.ceil(F.count("*") / SHARE).alias("shares"))
-    asked = cut(asked.join(shares, "block"))
-    held = asked.select("block", "shares", F.explode("bs").alias("nid")).distinct().withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)))
-    visits = asked.select("block", F.pmod(F.col("nid"), F.col("shares")).alias("share"), F.lit(1).alias("side"), "nid", "bs").unionByName(held.select("block", "share", F.lit(0).alias("side"), "nid", F.array().cast("array<bigint>").alias("bs")))
-
-    named = rest.select("nid", "node").join(classes.select("node", "_id", "_th", "sig"), "node")
-    wanted = cut(named.join(visits.select("nid").distinct(), "nid", "left_semi"))
-    texts = mark_needed(require(docs, "doc_id", "text").select(*row_key(), "text"), wanted).filter("_needed").drop("_needed")
-    texts = wanted.join(texts.dropDuplicates(["_id", "_th"]), ["_id", "_th"]).select("nid", "node", "sig", "text")
-    ready = visits.join(texts, "nid").select("block", "share", "side", "node", "sig", "text", "nid", "bs").repartition("block", "share").sortWithinPartitions("block", "share", "side")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, kept = None, {}
-        for batch in batches:
-            where = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-            side, node, sig, nid, bs = (batch.column(i).to_pylist() for i in (2, 3, 4, 6, 7))
-            a_out, b_out = [], []
-            for lo, raw, offsets in v.blocks(batch.column(5)):
-                g, bounds = v.shingle_sets(raw, offsets, shingle)
-                for k in range(len(offsets) - 1):
-                    i = lo + k
-                    if where[i] != now:
-                        now, kept = where[i], {}
-                    x, r = g[bounds[k] : bounds[k + 1]], np.frombuffer(sig[i], dtype=np.uint16)
-                    if side[i] == 0:
-                        kept[nid[i]] = (node[i], r, x.copy())
-                        continue
-                    others = [kept[b] for b in bs[i]]
-                    likely = np.flatnonzero(jaccard_estimate(np.stack([o[1] for o in others]), r[None, :]) >= threshold - MARGIN)
-                    for o in (others[t] for t in likely.tolist()):
-                        both = len(np.intersect1d(x, o[2], assume_unique=True))
-                        if 100 * both >= percent * (len(x) + len(o[2]) - both):
-                            a_out.append(node[i])
-                            b_out.append(o[0])
-            yield pa.RecordBatch.from_arrays([pa.array(a_out, type=pa.binary()), pa.array(b_out, type=pa.binary())], names=["a", "b"])
-
-    return ready.mapInArrow(compare, "a binary, b binary").distinct()
+def band_keys(sig: np.ndarray) -> np.ndarray:
+    """int64 [row, band]: the four registers of a band are one 64-bit word."""
+    with np.errstate(over="ignore"):
+        return v.mix(np.ascontiguousarray(sig).view(_U) + _BAND_SEED).view(np.int64)
 
 
 def near_components(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """(_id, _th, n_shingles, component, links): one row per row of docs; component is null without shingles."""
-    threshold = percent / 100
-    rows = sets_of(docs, shingle)
-    classes = cut(rows.filter("n > 0").groupBy("node").agg(F.min(F.struct("_id", "_th")).alias("r"), F.first("n").alias("n"), F.first("sig").alias("sig")).select("node", "r._id", "r._th", "n", "sig"))
-    every = bands(classes)
-    busy = every.groupBy("key").agg(F.count("*").alias("k")).filter("k >= 2")
-    rows = every.join(busy, "key").select("key", "node", "n", "s0", "s1", "k")
-    # Classes that stand in many crowded bands are near the middle of their group.
-    middle = rows.groupBy("node").agg(F.sum("k").alias("m"))
-    shared = cut(rows.drop("k").join(middle, "node"))
-    central = shared.groupBy("key").agg(F.max(F.struct("m", "node")).alias("top"), F.min("node").alias("lo"))
-    hubs = shared.join(central, "key").select(F.col("node").alias("a"), F.explode(F.array("top.node", "lo")).alias("b")).filter("a != b")
-    links = cut(_verified(_best(hubs, 2), classes, docs, shingle, percent, threshold))
-
-    # What is left: every pair of a band whose components differ, of sizes that can be similar.
-    labelled, found = _labelled(shared, links)
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("key")
-    rest = cut(labelled.join(mixed, "key").groupBy("node", "label", "n", "s0", "s1").agg(F.sort_array(F.collect_list("key")).alias("ks")))
-    rest = cut(_with_candidate(rest, percent, threshold))
-    rare, counted = _rare_shingles(rest, classes, docs, shingle)
-    sizes = rest.groupBy("label").agg(F.count("*").alias("cs"))
-    rest = rest.join(sizes, "label").withColumns({"nid": F.xxhash64("node"), "g": F.xxhash64("label")})
-    rest = cut(rest.join(counted, "nid", "left").withColumn("u", F.coalesce("u", F.lit(0))))
-    last = cut(_settle_rest(rest, rare, classes, docs, shingle, percent, threshold))
-    links = links.unionByName(last)
-    if not last.isEmpty():
-        found = cut(roots(links))
-
-    named = classes.join(found.select(F.col("a").alias("node"), "root"), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "_id")
-    least = named.groupBy("root").agg(F.min("_id").alias("component"))
-    named = named.join(least, "root").select("node", "component")
-    return sets_of(docs, shingle, signed=False).drop("sig").join(named, "node", "left").select("_id", "_th", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).alias("component"))
+    """(_id, _th, n_shingles, component): one row per row of docs; component is null without shingles."""
+    return near.near_components(docs, near.Sketch(shingle, percent, registers, band_keys, jaccard_estimate, MARGIN, REGISTERS))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -345,11 +86,11 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Five-word shingles at 0.8.  Of rows that repeat whole, one stays; texts without words stay.
     """
-    found = cut(near_components(docs))
+    found = near_components(docs)
     first = found.filter("component is not null").groupBy("component").agg(F.min(F.struct("_id", "_th")).alias("k")).select("k._id", "k._th").withColumn("_first", F.lit(True))
     decided = found.groupBy("_id", "_th").agg(F.count("*").alias("_rows"), F.max("component").isNull().alias("_empty")).join(first, ["_id", "_th"], "left")
     decided = decided.withColumn("_stays", F.col("_empty") | F.col("_first").isNotNull())
-    touched = cut(decided.filter("not _stays or _rows > 1").select("_id", "_th", "_stays"))
+    touched = Scratch(spark, "touched").keep("rows", decided.filter("not _stays or _rows > 1").select("_id", "_th", "_stays"))
     # Documents that nothing is decided about are not shuffled.
     marked = mark_needed(docs.select(F.struct(*columns(docs.columns)).alias("row"), *row_key()), touched)
     asked = marked.filter("_needed").join(touched, ["_id", "_th"], "left")
