@@ -208,7 +208,7 @@ def _left(rest: DataFrame, live: DataFrame, sketch: Sketch, scratch: Scratch) ->
     need = f"cast(ceil(n * {sketch.percent} / 100) as int)"
     able = own.withColumn("f", F.size("ts")).filter(f"f >= {need}")
     rare = F.expr(f"transform(filter(slice(ts, 1, f - {need} + 1), t -> t.c <= {RARE}), t -> t.s)")
-    able = able.select("cid", "n", "label", F.expr(f"size(filter(ts, t -> t.c > {RARE}))").alias("h"), rare.alias("rare"))
+    able = able.select("cid", "n", "label", F.expr(f"cast(size(filter(ts, t -> t.c > {RARE})) as long)").alias("h"), rare.alias("rare"))
     able = scratch.keep("able", able)
     scratch.drop("shared")
     return sets, able
