@@ -106,9 +106,9 @@ class Scratch:
             at.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-#: Bits of the filter in ``mark_needed`` for each needed row, and the least and the most in all; as a table of 64-bit words the largest has 2**20 rows.
-BITS_PER_ROW = 16
-LEAST_BITS, MOST_BITS = 1 << 18, 1 << 26
+#: Bits of the filter in ``mark_needed`` for each needed row, and the least and the most in all; as a table of 64-bit words the largest has 2**18 rows.
+BITS_PER_ROW = 8
+LEAST_BITS, MOST_BITS = 1 << 18, 1 << 24
 
 
 def mark_needed(rows: DataFrame, needed: DataFrame, *on: str) -> DataFrame:

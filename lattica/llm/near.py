@@ -53,7 +53,7 @@ TRIES = 2
 #: A shingle that so many of the classes that are left have is rare.
 RARE = 16
 #: Shingles in one block, and classes that meet a block in one task.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 SHARE = 512
 
 _U = np.uint64
@@ -225,12 +225,12 @@ def _listed(able: DataFrame, percent: int) -> DataFrame:
 def _settle(core: DataFrame, sets: DataFrame, sketch: Sketch, scratch: Scratch) -> DataFrame:
     """(a, b): links between the labels of core (key, cid, n, label, h) that are still apart."""
     percent = sketch.percent
-    sizes = core.select("cid", "label").distinct().groupBy("label").agg(F.count("*").alias("cs"))
-    rows = core.join(sizes, "label").withColumn("rank", F.struct("cs", "label"))
-    ends = rows.groupBy("key").agg(F.max("rank").alias("top"), F.min("n").alias("least"), F.count("*").alias("members"))
+    # The main component of a bucket has most of its members.
+    parts = core.groupBy("key", "label").agg(F.count("*").alias("members"), F.min("n").alias("least"))
+    ends = parts.groupBy("key").agg(F.max(F.struct("members", "label")).alias("top"), F.min("least").alias("least"), F.sum("members").alias("members"))
     # At best, the other one is no smaller than h and has all of the h.
     can = F.expr(f"100 * h >= {percent} * (n + greatest(least - h, 0))")
-    apart = rows.join(ends, "key").filter((F.col("rank") < F.col("top")) & can).select("key", "cid", "n", "members")
+    apart = core.join(ends, "key").filter((F.col("label") != F.col("top.label")) & can).select("key", "cid", "n", "members")
     homes = apart.groupBy("cid").agg(F.max(F.struct("members", "key")).alias("home"), F.first("n").alias("n")).select("cid", "home.key", "n")
     homes = scratch.keep("homes", homes.withColumnRenamed("key", "home"))
     total = homes.agg(F.sum("n")).first()[0] or 0
@@ -291,7 +291,7 @@ class _Block:
             return []
         if self.index is None:
             tokens = np.concatenate([r[3] for r in self.rows])
-            owner = np.repeat(np.arange(len(self.rows)), [len(r[3]) for r in self.rows])
+            owner = np.repeat(np.arange(len(self.rows), dtype=np.int32), [len(r[3]) for r in self.rows])
             order = np.argsort(tokens, kind="stable")
             self.index = tokens[order], owner[order], np.array([r[1] for r in self.rows]), np.array([r[2] for r in self.rows]), np.array([len(r[3]) for r in self.rows])
         tokens, owner, labels, hs, n = self.index
