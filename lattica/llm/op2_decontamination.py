@@ -2,47 +2,57 @@
 
 Words are trimmed of punctuation and folded; numbers, units and names become
 typed placeholders, so that a question with other numbers or names has the same
-template.  Windows of WINDOW template words of benchmark items are matched by
-hash with the windows of documents.  A match must be consistent in its slots:
-along one alignment of item and document, equal slot values of the item must
-stand for equal values in the document.  A document is contaminated by an item
-when consistent windows cover at least COVERAGE of the item's windows, or when
-there are at least PASSAGE of them (a passage of 13 words).
-
-The benchmark is read in blocks of ITEMS items, each with a proven bound on its
-windows; a block's window hashes go to the tasks as one sorted array, and
-documents are scanned once for each block, without a shuffle of their words.
-
-A window needs LITERALS words that are no placeholders, in items and documents
-alike; items with fewer than WINDOW words are one window of all their words.
-
-Result: one row per document: doc_id, contaminated, item_ids (sorted), coverage
-(best over its items), n_windows (matched).  Edge cases: null and empty texts
-are clean; null or empty items match nothing; repeated rows each get a row; an
-item that occurs twice counts under each of its ids; empty tables are fine;
-extra columns are ignored.
+template.  Items are matched by windows of WINDOW words (items with fewer words
+are one window of all their words), of two kinds:
+
+* template windows hold placeholders and at least LITERALS other words;
+* exact windows hold the words themselves.  Only items that have a window with
+  fewer literals use them, so that questions made of numbers are found when
+  they are copied as they stand.
+
+A template window must be consistent in its slots: along one alignment of item
+and document, equal slot values of the item stand for equal values in the
+document, and different ones for different ones.  A document is contaminated by
+an item when its windows of one kind cover at least COVERAGE of the item's
+windows of that kind, or at least PASSAGE of them (a passage of 13 words).
+Windows of one item with the same hash count once, at their first place.
+
+As tables: items with equal templates and equal patterns of slot values are one
+*class*, since a document is consistent with all or none.  Windows of classes
+and of documents are rows and meet in a hash join.  A document needs some number
+of a class's windows; so it has one of those that are left when the ones that
+most classes share are put aside, fewer than that number, and only such windows
+make candidates.  All windows of a candidate are joined and its slots checked,
+along each alignment in the order of the document.  Of the documents only
+windows that pass a Bloom filter of the classes' hashes become rows; texts are
+not shuffled.
+
+Result: one row per document: doc_id, contaminated, item_ids (sorted), and over
+these items the best coverage and the most windows (0 without any).  Edge cases:
+null and empty texts are clean; null or empty items and null item_ids match
+nothing; repeated rows each get a row; an item that occurs twice counts under
+each of its ids; empty tables are fine; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import vector as v
-from .common import columns, fresh, require
+from .common import Scratch, columns, fresh, mark_needed, require, row_key
 
 WINDOW = 8
 LITERALS = 5
 COVERAGE = 0.4
 PASSAGE = 6
-#: Items in one block, and the longest text of an item that a block takes whole (longer ones stand alone).
-ITEMS = 20_000
-BLOCK_CHARS = 50_000_000
+#: Bits of the filter of window hashes for each hash, and the most in all (8 MB).
+FILTER_RATIO, FILTER_BITS = 32, 1 << 26
 
 _U = np.uint64
 NUMBER, UNIT, NAME = (_U(x) for x in (0x1111, 0x2222, 0x3333))
@@ -107,116 +117,185 @@ def templates(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return code, value, ~(number | unit | name), np.searchsorted(row, np.arange(len(offsets)))
 
 
-def windows(code: np.ndarray, literal: np.ndarray, first: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, index of the first word) of the windows of w words with enough literals."""
+_SALT = _U(0xA5A5A5A55A5A5A5A)
+
+
+def windows(code: np.ndarray, value: np.ndarray, literal: np.ndarray, first: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(template hash, exact hash, index of the first word) of all windows of w words; the template hash is 0 without enough literals."""
     g, _, at = v.grams(code, first, w)
+    exact, _, _ = v.grams(value, first, w)
     some = np.concatenate(([0], np.cumsum(literal)))
-    good = some[at + w] - some[at] >= min(LITERALS, w)
-    return g[good], at[good]
-
-
-class Benchmark:
-    """Window hashes of a block of items, with the slot values of each item."""
-
-    def __init__(self, ids: list, texts: list[str | None]) -> None:
-        self.ids = ids
-        column = pa.array(texts, type=pa.string())
-        hashes, items, places, sizes = [], [], [], []
-        self.totals = np.zeros(len(ids), dtype=np.int64)
-        self.code: list[np.ndarray] = [np.zeros(0, dtype=_U)] * len(ids)
-        self.value, self.literal = list(self.code), [np.zeros(0, dtype=bool)] * len(ids)
-        for lo, raw, offsets in v.blocks(column):
-            code, value, literal, first = templates(raw, offsets)
-            for i in range(len(offsets) - 1):
-                a, b = int(first[i]), int(first[i + 1])
-                c, lit = code[a:b], literal[a:b]
-                self.code[lo + i], self.value[lo + i], self.literal[lo + i] = c, value[a:b], lit
-                w = min(WINDOW, b - a)
-                if not w:
-                    continue
-                h, at = windows(c, lit, np.array([0, b - a]), w)
-                self.totals[lo + i] = len(h)
-                hashes.append(h)
-                items.append(np.full(len(h), lo + i))
-                places.append(at)
-                sizes.append(np.full(len(h), w))
-        cat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, dtype=kind)
-        hashes, items, places, sizes = cat(hashes, _U), cat(items, np.int64), cat(places, np.int64), cat(sizes, np.int64)
-        order = np.argsort(hashes, kind="stable")
-        self.hashes, self.items, self.places = hashes[order], items[order], places[order]
-        self.sizes = sorted(set(sizes.tolist()))
-
-    def search(self, raw: np.ndarray, offsets: np.ndarray) -> dict[int, list[tuple[int, float, int]]]:
-        """For each row with matches: (item, coverage, windows) of its slot-consistent items."""
-        found: dict[int, list[tuple[int, float, int]]] = {}
-        if not len(self.hashes):
-            return found
-        code, value, literal, first = templates(raw, offsets)
-        hits: dict[tuple[int, int], dict[int, list[tuple[int, int, int]]]] = defaultdict(lambda: defaultdict(list))
-        for w in self.sizes:
-            h, at = windows(code, literal, first, w)
-            known = np.flatnonzero(_isin(h, self.hashes))
-            if not len(known):
-                continue
-            row = np.searchsorted(first, at[known], side="right") - 1
-            lo, hi = np.searchsorted(self.hashes, h[known], side="left"), np.searchsorted(self.hashes, h[known], side="right")
-            for r, a, x, y in zip(row.tolist(), at[known].tolist(), lo.tolist(), hi.tolist(), strict=True):
-                for k in range(x, y):
-                    # Matches on one diagonal belong to one alignment.
-                    hits[r, int(self.items[k])][a - int(self.places[k])].append((a, int(self.places[k]), w))
-        for (r, item), diagonals in hits.items():
-            covered: set[int] = set()
-            for matches in diagonals.values():
-                means: dict[int, int] = {}
-                for a, p, w in matches:
-                    slots = np.flatnonzero(~self.literal[item][p : p + w])
-                    if not np.array_equal(self.code[item][p : p + w], code[a : a + w]):
-                        continue  # a hash collision
-                    pairs = [(int(self.value[item][p + j]), int(value[a + j])) for j in slots.tolist()]
-                    if all(means.get(x, y) == y for x, y in pairs) and len(dict(pairs)) == len(set(pairs)):
-                        means.update(pairs)
-                        covered.add(p)
-            if covered:
-                found.setdefault(r, []).append((item, len(covered) / int(self.totals[item]), len(covered)))
-        return found
-
-
-def _blocks(benchmark: DataFrame) -> Iterator[Benchmark]:
-    """Blocks of at most ITEMS items and BLOCK_CHARS characters, in order of item_id; a longer item stands alone."""
-    ids, texts, size = [], [], 0
-    for r in benchmark.orderBy("item_id", "text").toLocalIterator():
-        if ids and (len(ids) >= ITEMS or size + len(r["text"] or "") > BLOCK_CHARS):
-            yield Benchmark(ids, texts)
-            ids, texts, size = [], [], 0
-        ids.append(r["item_id"])
-        texts.append(r["text"])
-        size += len(r["text"] or "")
-    yield Benchmark(ids, texts)
+    return np.where(some[at + w] - some[at] >= min(LITERALS, w), g, _U(0)), v.mix(exact ^ _SALT), at
+
+
+def _ragged(mask: np.ndarray, of: np.ndarray) -> pa.Array:
+    """One list for each row of mask: the members of ``of`` where it is set."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(mask.sum(axis=1)))).astype(np.int32)), pa.array(of[mask]))
+
+
+_ITEM = "item_id long, c1 long, c2 long, kind int, size int, total long, need long, hs array<long>, places array<int>, slots array<array<long>>"
+
+
+def _needed(total: int) -> int:
+    return max(1, min(PASSAGE, int(np.ceil(COVERAGE * total - 1e-9))))
+
+
+def item_windows(benchmark: DataFrame) -> DataFrame:
+    """For each item and kind of window a row: the class it belongs to (c1, c2) and the class's windows.
+
+    slots are numbers of the slot values in order of their first occurrence in the item.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, out = batch.column(0).to_pylist(), []
+            for lo, raw, offsets in v.blocks(batch.column(1)):
+                code, value, literal, first = templates(raw, offsets)
+                for i in range(len(offsets) - 1):
+                    a, b = int(first[i]), int(first[i + 1])
+                    w = min(WINDOW, b - a)
+                    if not w:
+                        continue
+                    c, x, lit = code[a:b], value[a:b], literal[a:b]
+                    seen: dict[int, int] = {}
+                    slot = np.array([-1 if plain else seen.setdefault(s, len(seen)) for s, plain in zip(x.tolist(), lit.tolist(), strict=True)])
+                    template, exact, at = windows(c, x, lit, np.array([0, b - a]), w)
+                    kinds = [(0, template, template != 0, [c, v.mix(slot.astype(np.int64).view(_U))])]
+                    if (template == 0).any():
+                        kinds.append((1, exact, np.ones(len(at), dtype=bool), [x]))
+                    for kind, h, good, parts in kinds:
+                        hs, pos = np.unique(h[good], return_index=True)
+                        if not len(hs):
+                            continue
+                        places = at[good][pos]
+                        whole = np.concatenate([np.array([len(c), kind], dtype=_U), *parts])
+                        key = [v.span_hash(v.prefix_sums(v.mix(whole ^ salt)), np.array([0]), np.array([len(whole)]))[0].astype(np.int64) for salt in v.splitmix(2, 21)]
+                        slots = [[int(s) for s in slot[p : p + w] if s >= 0] if kind == 0 else [] for p in places.tolist()]
+                        out.append((ids[lo + i], int(key[0]), int(key[1]), kind, w, len(hs), _needed(len(hs)), hs.view(np.int64).tolist(), places.tolist(), slots))
+            kinds = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.int64()] * 2 + [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], type=t) for k, t in enumerate(kinds)], names=[x.split()[0] for x in _ITEM.split(", ")])
+
+    items = require(benchmark, "item_id", "text").select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null")
+    return items.mapInArrow(run, _ITEM)
+
+
+def _filter_bits(hashes: DataFrame) -> np.ndarray:
+    """A Bloom filter with one hash, of bounded size: the only thing that comes to the driver."""
+    bits = min(FILTER_BITS, max(1 << 16, 1 << (FILTER_RATIO * hashes.count()).bit_length()))
+    words = hashes.select(F.expr(f"h & {bits - 1}L").alias("i")).groupBy(F.expr("i div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(i % 64))")).alias("b")).toArrow()
+    out = np.zeros(bits // 64, dtype=np.int64)
+    out[words.column("w").to_numpy()] = words.column("b").to_numpy()
+    return out
+
+
+def document_windows(docs: DataFrame, bits: np.ndarray, sizes: list[int]) -> DataFrame:
+    """(_id, _th, h, at, vals): the windows of documents that pass the filter, with the values in their slots."""
+    held = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = held.value
+        for batch in batches:
+            for lo, raw, offsets in v.blocks(batch.column(2)):
+                code, value, literal, first = templates(raw, offsets)
+                for w in sizes:
+                    template, exact, at = windows(code, value, literal, first, w)
+                    for kind, h in ((0, template), (1, exact)):
+                        i = (h & _U(len(table) * 64 - 1)).astype(np.int64)
+                        hit = np.flatnonzero(((table[i >> 6] >> (i & 63)) & 1).astype(bool) & (h != 0))
+                        if not len(hit):
+                            continue
+                        place = at[hit]
+                        row = np.searchsorted(first, place, side="right") - 1
+                        each = place[:, None] + np.arange(w)
+                        slot = ~literal[each] & (kind == 0)
+                        of = pa.array(lo + row)
+                        arrays = [batch.column(0).take(of), batch.column(1).take(of), pa.array(h[hit].view(np.int64)), pa.array((place - first[row]).astype(np.int32)), _ragged(slot, value[each].view(np.int64))]
+                        yield pa.RecordBatch.from_arrays(arrays, names=["_id", "_th", "h", "at", "vals"])
+
+    return require(docs, "doc_id", "text").select(*row_key(), "text").mapInArrow(run, "_id long, _th long, h long, at int, vals array<long>")
+
+
+class _Alignment:
+    """Slot values along one alignment."""
+
+    def __init__(self) -> None:
+        self.means: dict[int, int] = {}
+        self.back: dict[int, int] = {}
+
+    def takes(self, slots: list[int], vals: list[int]) -> bool:
+        """Whether a window agrees with those before it; if so it counts."""
+        new, back = dict(self.means), dict(self.back)
+        for x, y in zip(slots, vals, strict=True):
+            if new.setdefault(x, y) != y or back.setdefault(y, x) != x:
+                return False
+        self.means, self.back = new, back
+        return True
+
+
+def _check_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (_id, _th, cls, diagonal, place, slots, vals), in order of alignment and place, to (_id, _th, cls, windows)."""
+    key, diagonal, covered, line = None, None, set(), _Alignment()
+    out: list[tuple] = []
+
+    def pack() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], type=pa.int64()) for i in range(4)], names=["_id", "_th", "cls", "windows"])
+
+    for batch in batches:
+        a, b, c, d, place, slots, vals = (batch.column(i).to_pylist() for i in range(7))
+        for i, now in enumerate(zip(a, b, c, strict=True)):
+            if now != key:
+                if covered:
+                    out.append((*key, len(covered)))
+                key, diagonal, covered = now, None, set()
+            if d[i] != diagonal:
+                diagonal, line = d[i], _Alignment()
+            if line.takes(slots[i], vals[i]):
+                covered.add(place[i])
+        yield pack()
+        out = []
+    if covered:
+        out.append((*key, len(covered)))
+    yield pack()
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(_id, _th, items, coverage, windows): the rows of docs that hold benchmark items; a written table."""
+    t = Scratch(docs.sparkSession, "decontamination")
+    items = t.keep("items", item_windows(benchmark))
+    one = [F.first(c).alias(c) for c in ("size", "total", "need", "hs", "places", "slots")]
+    classes = t.keep("classes", items.groupBy("c1", "c2").agg(*one).withColumn("cls", F.monotonically_increasing_id()))
+    zipped = F.explode(F.arrays_zip("hs", "places", "slots")).alias("z")
+    wins = t.keep("windows", classes.select("cls", "total", "need", zipped).select("cls", "total", "need", F.col("z.hs").alias("h"), F.col("z.places").alias("place"), F.col("z.slots").alias("slots")))
+    sizes = sorted(r[0] for r in classes.select("size").distinct().collect())  # WINDOW numbers at most
+    bits = _filter_bits(wins.select("h"))
+    met = document_windows(docs, bits, sizes).dropDuplicates(["_id", "_th", "h", "at"])
+    met = t.keep("met", met)
+    # Windows that many classes share make no candidates as long as enough others are left.
+    common = wins.groupBy("h").agg(F.count("*").alias("classes"))
+    rank = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("classes"), "h"))
+    keys = wins.select("cls", "need", "h").join(common, "h").withColumn("r", rank).filter("r >= need").select("cls", "h")
+    candidates = t.keep("candidates", met.select("_id", "_th", "h").join(keys, "h").select("_id", "_th", "cls").distinct())
+    rows = candidates.join(wins.select("cls", "h", "place", "slots"), "cls").join(met, ["_id", "_th", "h"])
+    rows = rows.select("_id", "_th", "cls", F.expr("at - place").alias("diagonal"), "place", "slots", "vals")
+    rows = rows.repartition("_id", "_th", "cls").sortWithinPartitions("_id", "_th", "cls", "diagonal", "place")
+    counted = t.keep("counted", rows.mapInArrow(_check_slots, "_id long, _th long, cls long, windows long"))
+    hits = counted.join(classes.select("cls", "c1", "c2", "total", "need"), "cls").filter("windows >= need")
+    hits = hits.join(items.select("c1", "c2", "item_id"), ["c1", "c2"])
+    found = hits.groupBy("_id", "_th").agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.max(F.col("windows") / F.col("total")).alias("coverage"), F.max("windows").alias("windows"))
+    found = t.keep("found", found)
+    t.drop("items", "classes", "windows", "met", "candidates", "counted")
+    return found
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs (all columns) with _items (array of item ids), _coverage and _windows; a name that docs has gets another underscore."""
-    out = docs.select(*columns(docs.columns), F.array().cast("array<long>").alias(fresh(docs, "_items")), F.lit(0.0).alias(fresh(docs, "_coverage")), F.lit(0).cast("long").alias(fresh(docs, "_windows")))
-    at, schema = docs.columns.index("text"), out.schema
-    width = len(docs.columns)
-
-    def scan(block: Benchmark):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                items, cover, count = batch.column(width).to_pylist(), batch.column(width + 1).to_pylist(), batch.column(width + 2).to_pylist()
-                for lo, raw, offsets in v.blocks(batch.column(at)):
-                    for r, found in block.search(raw, offsets).items():
-                        i = lo + r
-                        cover[i] = max(cover[i], *(c for _, c, _ in found))
-                        count[i] += sum(n for *_, n in found)
-                        items[i] = sorted({*items[i], *(block.ids[k] for k, c, n in found if (c >= COVERAGE or n >= PASSAGE) and block.ids[k] is not None)})
-                yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(items, type=pa.list_(pa.int64())), pa.array(cover, type=pa.float64()), pa.array(count, type=pa.int64())], names=schema.names)
-
-        return run
-
-    for block in _blocks(require(benchmark, "item_id", "text")):
-        out = out.mapInArrow(scan(block), schema)
-    return out
+    found = contaminated(docs, benchmark)
+    names = [fresh(docs, n) for n in ("_items", "_coverage", "_windows")]
+    marked = mark_needed(docs.select(F.struct(*columns(docs.columns)).alias("row"), *row_key()), found)
+    hit = marked.filter("_needed").join(found, ["_id", "_th"], "left")
+    none = (F.array().cast("array<long>"), F.lit(0.0), F.lit(0).cast("long"))
+    rest = marked.filter("not _needed").select("row.*", *(x.alias(n) for x, n in zip(none, names, strict=True)))
+    return rest.unionByName(hit.select("row.*", *(F.coalesce(F.col(c), x).alias(n) for c, x, n in zip(("items", "coverage", "windows"), none, names, strict=True))))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -227,5 +306,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: contaminated documents go, all others stay as they are."""
-    out = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return out.filter(F.size(fresh(docs, "_items")) == 0).select(*columns(docs.columns))
+    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("_id", "_th")
+    marked = mark_needed(docs.select(F.struct(*columns(docs.columns)).alias("row"), *row_key()), found)
+    clean = marked.filter("_needed").join(found, ["_id", "_th"], "left_anti")
+    return marked.filter("not _needed").select("row.*").unionByName(clean.select("row.*"))
