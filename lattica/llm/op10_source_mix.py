@@ -14,6 +14,7 @@
 A source with a third of all rows is no single task: words before a document
 are the sum of whole hash bins (one row per source and bin) plus a window
 inside its bin.  Only the boundary document of a source is taken in part.
+The sources themselves, one row each, are ranked in one task.
 
 Edge cases: a null or blank text has size 0 and is taken 0 times; a null source
 is a source of its own, sorted last; ties in hash order are rows with equal id
@@ -25,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, columns, require
+from .common import WORD, Scratch, columns, fresh, require
 
 #: Contract: weights of the sorted sources, repeating, and the slope of each one's schedule.
 WEIGHTS = (3, 1, 2)
@@ -64,17 +65,23 @@ def position(u: Column, a: Column) -> Column:
     return F.when(a == 0, u).otherwise((F.sqrt((1 - a) * (1 - a) + 4 * a * u) - (1 - a)) / (2 * a))
 
 
-def plan(docs: DataFrame) -> DataFrame:
+def plan(docs: DataFrame, carried: list[str] | None = None) -> DataFrame:
     """(row, _size, _source_size, _target, _taken, _words_1, _words_2, _first, _second): each row of docs as a struct, its
-    words, what the mix takes, in the first and second copy, and the positions of the copies."""
+    words, what the mix takes, in the first and second copy, and the positions of the copies.
+
+    The struct has the columns ``carried`` (all).  Without the text the keys of all rows are few bytes each: they are
+    written once, so that texts are read and their words counted a single time, and no text is shuffled.
+    """
     require(docs, "doc_id", "text", "source")
     keyed = docs.select(
-        F.struct(*columns(docs.columns)).alias("row"),
+        F.struct(*columns(carried or docs.columns)).alias("row"),
         F.coalesce("source", F.lit("")).alias("_s"),
         F.col("source").isNull().alias("_sn"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("_size"),
         F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).cast("binary")).alias("_h"),
     ).withColumn("_bin", F.substring("_h", 1, BIN_DIGITS))
+    if carried and "text" not in carried:
+        keyed = Scratch(docs.sparkSession, "mix").keep("keys", keyed)
     bins = keyed.groupBy("_s", "_sn", "_bin").agg(F.sum("_size").alias("_size"))
     goal = targets(bins.select("_s", "_sn", "_size"))
     before = Window.partitionBy("_s", "_sn").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
@@ -96,17 +103,16 @@ def plan(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """The mix: one row per taken copy with ``position`` and ``words`` added, range-sorted by position.
 
-    A column of docs with one of these two names is replaced.
+    Where docs has a column of such a name, the added one gets an underscore before it.
     """
     copies = F.array(F.struct(F.col("_first").alias("position"), F.col("_words_1").alias("words")), F.struct(F.col("_second").alias("position"), F.col("_words_2").alias("words")))
     taken = plan(docs).select("row", F.explode(F.filter(copies, lambda c: c["words"] > 0)).alias("copy")).orderBy("copy.position", "row.doc_id")
-    rest = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ("position", "words")]
-    return taken.select(*rest, "copy.position", "copy.words")
+    return taken.select("row.*", F.col("copy.position").alias(fresh(docs, "position")), F.col("copy.words").alias(fresh(docs, "words")))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = require(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", "source")
-    return plan(docs).select("row.doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").cast("long").alias("taken"), F.round("_first", 9).alias("position_1"), F.round("_second", 9).alias("position_2"))
+    return plan(docs, ["doc_id"]).select("row.doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").cast("long").alias("taken"), F.round("_first", 9).alias("position_1"), F.round("_second", 9).alias("position_2"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
