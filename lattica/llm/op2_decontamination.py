@@ -52,7 +52,7 @@ LITERALS = 5
 COVERAGE = 0.4
 PASSAGE = 6
 #: Bits of the filter of window hashes for each hash, and the most in all (8 MB).
-FILTER_RATIO, FILTER_BITS = 32, 1 << 26
+FILTER_RATIO, FILTER_BITS = 256, 1 << 26
 
 _U = np.uint64
 NUMBER, UNIT, NAME = (_U(x) for x in (0x1111, 0x2222, 0x3333))
