@@ -345,12 +345,29 @@ def links_of(classes: DataFrame, docs: DataFrame, sketch: Sketch, scratch: Scrat
     return [first, second, third]
 
 
+def classes_of(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """(cid, node, _id, _th, n, sig): one row for each set among rows (of ``sets_of``), with the least row that has it."""
+    classes = rows.filter("n > 0").groupBy("node").agg(F.min(F.struct("_id", "_th")).alias("r"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    return scratch.keep("classes", classes.select(F.monotonically_increasing_id().alias("cid"), "node", "r._id", "r._th", "n", "sig"))
+
+
+def near_links(docs: DataFrame, sketch: Sketch) -> DataFrame:
+    """(a, b): confirmed links between the least _id of two different sets, a >= b.  They connect all near copies; copies of one set are not listed."""
+    scratch = Scratch(docs.sparkSession, "near")
+    classes = classes_of(sets_of(docs, sketch), scratch)
+    first, second, third = links_of(classes, docs, sketch, scratch)
+    links = first.unionByName(second).unionByName(third).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    side = lambda c: classes.select(F.col("cid").alias(c), F.col("_id").alias(f"{c}_id"))
+    out = cut(links.join(side("a"), "a").join(side("b"), "b").select(F.greatest("a_id", "b_id").alias("a"), F.least("a_id", "b_id").alias("b")))
+    scratch.drop()
+    return out
+
+
 def near_components(docs: DataFrame, sketch: Sketch) -> DataFrame:
     """(_id, _th, n_shingles, component): one row per row of docs; component is the least _id of those that links reach, null without shingles."""
     scratch = Scratch(docs.sparkSession, "near")
     rows = scratch.keep("rows", sets_of(docs, sketch))
-    classes = rows.filter("n > 0").groupBy("node").agg(F.min(F.struct("_id", "_th")).alias("r"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    classes = scratch.keep("classes", classes.select(F.monotonically_increasing_id().alias("cid"), "node", "r._id", "r._th", "n", "sig"))
+    classes = classes_of(rows, scratch)
     first, second, third = links_of(classes, docs, sketch, scratch)
     found = roots(first.unionByName(second).unionByName(third), scratch, "all-roots")
     named = _with_label(classes.select("cid", "node", "_id"), found)

@@ -2,25 +2,28 @@
 
 A text becomes its set of word shingles (five words; a shorter text is one
 shingle).  Each of PERMUTATIONS universal hash functions h(x) = a x + b, a odd,
-modulo 2**64, gives the least value over the set; its upper 16 bits below the
-leading zeros are kept.  The fingerprint is their hexadecimal string, so equal
-texts have equal fingerprints; the likeness of two fingerprints is the share of
-equal values, an estimate of the Jaccard similarity.
-
-``near_pairs`` joins signature bands in Spark and verifies Jaccard on full sets:
-each band with its first member, then what these pairs leave apart.  It is a
-function for callers; the registered query does not reach it.
-
-The edited text of a document needs the next document in id order.  Ids are cut
-into ranges at quantiles, a bounded number for each task; texts are shuffled
-once, by range, and sorted; a task pairs each document with the one after it.
-The first document of each range is also sent to the range before.
+modulo 2**64, gives the least value over the set; 15 bits of its mixed value are
+kept, over a set lowest bit, so that no value is 0.  The fingerprint is their
+hexadecimal string, so equal texts have equal fingerprints; the likeness of two
+fingerprints is the share of equal values, an estimate of the Jaccard similarity.
+
+Near copies are found by joining signature bands in Spark; Jaccard is verified
+on full sets (``near.py``).  ``near_id`` is the least doc_id of the documents
+that links at 0.8 or more reach.
+
+The edited text of a document needs the next document in order of doc_id and
+text hash.  Texts are shuffled once, by ranges of that order, and sorted; a task
+pairs each document with the one after it.  The last document of a range waits
+for the first of the next range: a row or two for each task.  Rows that repeat
+whole go as one row with their number, so neither a null nor a common id fills
+one range.
 
 Edge cases: a null text is empty; the fingerprint of a text without words is the
-same for all such texts, like each other by 1 and unlike all others (0).  The
-last document takes the first as its next; a single document is its own next.
-Rows of one doc_id stand in order of their text; a null doc_id sorts first.
-An empty table gives no rows; extra columns are ignored.
+same for all such texts, like each other by 1 and unlike all others (0), and its
+near_id is its own doc_id.  The last document takes the first as its next; a
+single document is its own next.  Rows of one doc_id stand in order of their
+text hash; a null doc_id sorts first.  An empty table gives no rows; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,15 +32,14 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import near
 from . import vector as v
-from .common import NULL_ID, cut, require
-from .components import roots
+from .common import NULL_ID, Scratch, mark_needed, require, row_key
 
 PERMUTATIONS = 128
 SHINGLE = 5
@@ -48,8 +50,32 @@ _A = v.splitmix(PERMUTATIONS, 51) | _U(1)
 _B = v.splitmix(PERMUTATIONS, 52)
 
 
+def sign(shingles: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """uint16 [row, permutation]; zeros for a row without shingles (others have no zero)."""
+    out = np.zeros((len(bounds) - 1, PERMUTATIONS), dtype=np.uint16)
+    full = np.flatnonzero(np.diff(bounds) > 0)
+    if not len(full):
+        return out
+    at = bounds[:-1][full]
+    with np.errstate(over="ignore"):
+        for i in range(PERMUTATIONS):
+            least = np.minimum.reduceat(shingles * _A[i] + _B[i], at)
+            out[full, i] = (v.mix(least) >> _U(48)).astype(np.uint16) | np.uint16(1)
+    return out
+
+
+def band_keys(sig: np.ndarray) -> np.ndarray:
+    """int64 [row, band]: the four values of a band are one 64-bit word."""
+    with np.errstate(over="ignore"):
+        return v.mix(np.ascontiguousarray(sig).view(_U) + v.splitmix(PERMUTATIONS // BAND, 53)).view(np.int64)
+
+
+def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a == b).mean(axis=1)
+
+
 def signatures(texts: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
-    """uint16 [text, permutation]; zeros for a text without words (others have no zero)."""
+    """uint16 [text, permutation]; zeros for a text without words."""
     out = np.zeros((len(texts), PERMUTATIONS), dtype=np.uint16)
     for lo, raw, offsets in v.blocks(pa.array(texts, type=pa.large_binary())):
         _, _, h, first = v.words(raw, offsets, v.LOWER_CODE)
@@ -59,13 +85,7 @@ def signatures(texts: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
         if len(short):
             order = np.argsort(row, kind="stable")
             g, row = g[order], row[order]
-        full, at = np.unique(row, return_index=True)
-        if not len(full):
-            continue
-        with np.errstate(over="ignore"):
-            for i in range(PERMUTATIONS):
-                least = np.minimum.reduceat(g * _A[i] + _B[i], at)
-                out[lo + full, i] = (v.mix(least) >> _U(48)).astype(np.uint16) | np.uint16(1)
+        out[lo : lo + len(offsets) - 1] = sign(g, np.searchsorted(row, np.arange(len(offsets))))
     return out
 
 
@@ -75,121 +95,123 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-_ARROW = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
-#: Id ranges for each shuffle partition.
-RANGES = 8
-#: Documents whose Python strings are held at once.
-_ROWS = 512
+#: Finished rows have no edge and stand for ``copies`` rows; the first (0) and the last (1) document of a range come with their text.
+_ROW = "_id long, _th long, copies long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double, edge int, text string"
+_ARROW = pa.schema([(n, {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64()}[t]) for n, t in (c.split() for c in _ROW.split(", "))])
+#: Documents whose Python strings are held at once, and rows that one row is repeated to in a step.
+_ROWS, _REPEAT = 512, 10_000
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=f.type) for i, f in enumerate(_ARROW)], schema=_ARROW)
+
+
+def _pairs(keys: list[tuple], texts: list[str], nexts: list[str], sigs: np.ndarray, next_sigs: np.ndarray) -> list[tuple]:
+    """Finished rows of documents (keys: _id, _th, copies) and those that follow them."""
+    made = [edited(a, b).encode() for a, b in zip(texts, nexts, strict=True)]
+    after = signatures(made)
+    near_edited, near_next = likeness(sigs, after).tolist(), likeness(sigs, next_sigs).tolist()
+    return [(*keys[i], len(texts[i]), hashlib.sha256(made[i]).digest(), sigs[i].tobytes(), after[i].tobytes(), near_edited[i], near_next[i], None, None) for i in range(len(texts))]
+
+
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (_id, _th, copies, text) of one range to rows of _ROW."""
+    held: tuple | None = None  # key, text and signature of the document that waits for its next
+    for batch in batches:
+        texts = batch.column(3)
+        size = pc.binary_length(texts.fill_null("")).to_numpy().cumsum()
+        lo, n = 0, batch.num_rows
+        while lo < n:
+            hi = int(np.searchsorted(size, (size[lo - 1] if lo else 0) + 16 * v.BLOCK_BYTES, side="right"))
+            hi = max(lo + 1, min(hi, lo + _ROWS))
+            keys = list(zip(*(batch.column(i).slice(lo, hi - lo).to_pylist() for i in range(3)), strict=True))
+            strings = [t or "" for t in texts.slice(lo, hi - lo).to_pylist()]
+            sigs = signatures([t.encode() for t in strings])
+            out = [] if held else [(*keys[0], *[None] * 6, 0, strings[0])]
+            # All but the last of equal rows are followed by their own text.
+            some = [i for i, k in enumerate(keys) if k[2] > 1]
+            if some:
+                own = [strings[i] for i in some]
+                out += _pairs([(*keys[i][:2], keys[i][2] - 1) for i in some], own, own, sigs[some], sigs[some])
+            if held:
+                keys, strings, sigs = [held[0], *keys], [held[1], *strings], np.concatenate((held[2][None, :], sigs))
+            if len(keys) > 1:
+                out += _pairs([(*k[:2], 1) for k in keys[:-1]], strings[:-1], strings[1:], sigs[:-1], sigs[1:])
+            held = (keys[-1], strings[-1], sigs[-1])
+            yield _batch(out)
+            lo = hi
+    if held:
+        yield _batch([(*held[0], *[None] * 6, 1, held[1])])
+
+
+def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (_id, _th, text, following) to finished rows."""
+    for batch in batches:
+        ids, ths, texts, nexts = (batch.column(i).to_pylist() for i in range(4))
+        sigs, after = (signatures([t.encode() for t in x]) for x in (texts, nexts))
+        yield _batch(_pairs([(i, t, 1) for i, t in zip(ids, ths, strict=True)], texts, nexts, sigs, after))
+
+
+def _hexadecimal(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.lower(F.hex(c)) for c, t in df.dtypes if t == "binary"})
 
 
-def _settle(ids: list, texts: list[str], sigs: np.ndarray) -> pa.RecordBatch:
-    """Rows of all documents but the last, each with the one that follows it."""
-    made = [edited(a, b) for a, b in zip(texts[:-1], texts[1:], strict=True)]
-    digests = [hashlib.sha256(m.encode()).hexdigest() for m in made]
-    after = signatures([m.encode() for m in made])
-    columns = [ids[:-1], [len(t) for t in texts[:-1]], digests, [s.tobytes().hex() for s in sigs[:-1]], [s.tobytes().hex() for s in after], (sigs[:-1] == after).mean(axis=1), (sigs[:-1] == sigs[1:]).mean(axis=1)]
-    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, _ARROW, strict=True)], schema=_ARROW)
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next): one row for each of docs (doc_id, text)."""
+    return _hexadecimal(_fingerprints(docs)).drop("_id", "_th")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """The fingerprint table of all rows of docs (doc_id, text): see RESULT."""
+def _fingerprints(docs: DataFrame) -> DataFrame:
+    """The table of ``fingerprints`` with _id and _th, digests and fingerprints as bytes."""
     spark = docs.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = require(docs, "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), "text")
-    probs = np.linspace(0, 1, RANGES * tasks + 1)[1:-1].tolist()
-    bounds = np.unique(np.array(base.select("id").approxQuantile("id", probs, 0.2 / (RANGES * tasks)), dtype=np.float64).astype(np.int64))
-
-    @F.pandas_udf("int")
-    def range_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, ids.to_numpy(), side="right").astype(np.int32))
-
-    base = base.withColumn("part", range_of("id"))
-    # One number for each range comes to the driver: RANGES * tasks at most.
-    firsts = sorted(map(tuple, base.groupBy("part").agg(F.min("id")).collect()))
-    before = [(p, i, firsts[k - 1][0]) for k, (p, i) in enumerate(firsts)]
-    ends = spark.createDataFrame(before, "_part int, _first long, _before int")
-    ahead = base.join(F.broadcast(ends), (F.col("part") == F.col("_part")) & (F.col("id") == F.col("_first"))).groupBy("id", "_before").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
-    rows = base.select("part", F.lit(0).alias("edge"), "id", "text").unionByName(ahead.select(F.col("_before").alias("part"), F.lit(1).alias("edge"), "id", "text"))
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []  # part, id, text and signature of the document that waits for its next
-        for batch in batches:
-            parts, ids, texts = batch.column(0).to_numpy(), batch.column(2), batch.column(3)
-            size = pc.binary_length(texts.fill_null("")).to_numpy().cumsum()
-            lo, n = 0, batch.num_rows
-            while lo < n:
-                hi = int(np.searchsorted(size, (size[lo - 1] if lo else 0) + 16 * v.BLOCK_BYTES, side="right"))
-                hi = max(lo + 1, min(hi, lo + _ROWS))
-                hi = lo + int((parts[lo:hi] == parts[lo]).sum())
-                some = [x if x != NULL_ID else None for x in ids.slice(lo, hi - lo).to_pylist()]
-                strings = [t or "" for t in texts.slice(lo, hi - lo).to_pylist()]
-                sigs = signatures([t.encode() for t in strings])
-                if held and held[0] == parts[lo]:
-                    some, strings, sigs = [held[1], *some], [held[2], *strings], np.concatenate((held[3][None, :], sigs))
-                if len(some) > 1:
-                    yield _settle(some, strings, sigs)
-                held = [parts[lo], some[-1], strings[-1], sigs[-1]]
-                lo = hi
-
-    return rows.repartition(tasks, "part").sortWithinPartitions("part", "edge", "id", "text").mapInArrow(walk, RESULT)
-
-
-_NODE = "struct<id:bigint,th:string>"
-
-
-def near_pairs(docs: DataFrame, threshold: float = 0.8, shingle: int = SHINGLE) -> DataFrame:
-    """(a, b, similarity): pairs that share a signature band, verified on full sets, which connect all such pairs at the threshold.
-
-    First each document is tried with the first member of each of its bands.
-    Then members of one band that are not connected by these pairs are all tried
-    with each other, so no link between them is missed; near copies of the first
-    member are not listed pair by pair.  A band of many members that are no near
-    copies costs the square of their number.
-
-    Rows are told apart by id and text: an id with two near texts gives a pair
-    with itself, equal rows are one.  a >= b in the order of doc_id; null is first.
+    scratch = Scratch(spark, "fingerprints")
+    base = require(docs, "doc_id", "text").select(*row_key(), "text")
+    equal = scratch.keep("equal", base.groupBy("_id", "_th").agg(F.count("*").alias("copies")).filter("copies > 1"))
+    marked = mark_needed(base, equal)
+    # Rows of equal texts and others that the filter lets pass; only these meet in a join.
+    asked = marked.filter("_needed").join(equal, ["_id", "_th"], "left")
+    once = asked.filter("copies is not null").groupBy("_id", "_th").agg(F.first("copies").alias("copies"), F.first("text").alias("text"))
+    single = marked.filter("not _needed").unionByName(asked.filter("copies is null").drop("copies")).select("_id", "_th", F.lit(1).cast("long").alias("copies"), "text")
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = single.unionByName(once).repartitionByRange(ranges, "_id", "_th").sortWithinPartitions("_id", "_th", "text")
+    rows = scratch.keep("rows", ordered.mapInArrow(_walk, _ROW))
+    scratch.drop("equal")
+    # Two rows for each range: the last document of one is followed by the first of the next.
+    edges = rows.filter("edge is not null").select("_id", "_th", "edge", "text")
+    later = Window.orderBy("_id", "_th", "edge").rowsBetween(1, Window.unboundedFollowing)
+    every = Window.orderBy("_id", "_th", "edge").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    head = F.when(F.col("edge") == 0, F.col("text"))
+    waiting = edges.withColumn("following", F.coalesce(F.first(head, ignorenulls=True).over(later), F.first(head, ignorenulls=True).over(every))).filter("edge = 1")
+    closed = waiting.select("_id", "_th", "text", "following").mapInArrow(_close, _ROW)
+    done = rows.filter("edge is null").unionByName(closed).drop("edge", "text")
+    # Rows that repeat are spread in two steps, so that no row holds a list of all.
+    many = done.filter("copies > 1").withColumn("_block", F.explode(F.expr(f"sequence(0, (copies - 1) div {_REPEAT})")))
+    many = many.withColumn("_one", F.explode(F.expr(f"sequence(1, least({_REPEAT}, copies - _block * {_REPEAT}))"))).drop("_block", "_one")
+    return done.filter("copies = 1").unionByName(many).select(F.nullif("_id", F.lit(NULL_ID)).alias("doc_id"), *[F.col(c) for c in done.columns[3:]], "_id", "_th")
+
+
+def sketch(shingle: int = SHINGLE, percent: int = 80) -> near.Sketch:
+    """Five standard deviations of the estimate from 128 values are 0.18."""
+    return near.Sketch(shingle, percent, sign, band_keys, likeness, 0.18, PERMUTATIONS)
+
+
+def near_pairs(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE) -> DataFrame:
+    """(a, b): doc_ids of pairs that share a signature band and are verified on full sets; they connect all such pairs at the threshold.
+
+    A pair stands for the least doc_ids of two different sets, a >= b; null is
+    the least.  Documents with equal sets are not listed: ``near_groups`` has them.
     """
+    links = near.near_links(docs, sketch(shingle, percent))
+    return links.select(*(F.nullif(F.col(c), F.lit(NULL_ID)).alias(c) for c in ("a", "b")))
+
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).fill_null(b"").to_pylist()
-            sig = signatures(texts, shingle)
-            key = v.mix(sig.view(_U) + v.splitmix(PERMUTATIONS // BAND, 53)).view(np.int64)
-            full = np.flatnonzero(sig[:, 0] > 0)
-            i = np.repeat(full, key.shape[1])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i)), pa.array(key[full].ravel())], names=["n", "key"])
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).cast(pa.binary()).to_pylist(), strict=True):
-                (g, gb), (h, hb) = (v.shingle_sets(np.frombuffer(t, dtype=np.uint8), np.array([0, len(t)]), shingle) for t in (x, y))
-                both = len(np.intersect1d(g, h, assume_unique=True))
-                keep.append(both / max(1, len(g) + len(h) - both))
-            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keep, type=pa.float64())], names=["a", "b", "similarity"])
-            yield out.filter(pa.array([k >= threshold for k in keep], type=pa.bool_()))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        sides = pairs.join(texts.select(F.col("n").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("n").alias("b"), F.col("text").alias("y")), "b")
-        return cut(sides.select("a", "b", "x", "y").mapInArrow(verify, f"a {_NODE}, b {_NODE}, similarity double"))
-
-    text = F.coalesce("text", F.lit(""))
-    node = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.sha2(text.cast("binary"), 256).alias("th"))
-    texts = require(docs, "doc_id", "text").select(node.alias("n"), text.alias("text")).groupBy("n").agg(F.first("text").alias("text"))
-    rows = cut(texts.select("n", "text").mapInArrow(sign, f"n {_NODE}, key long"))
-    hubs = rows.groupBy("key").agg(F.min("n").alias("b"))
-    tried = cut(rows.join(hubs, "key").filter("n > b").select(F.col("n").alias("a"), "b").distinct())
-    found = verified(tried)
-    # Members of a band that the hubs leave apart are tried with each other.
-    parts = rows.join(roots(found.select("a", "b")).withColumnRenamed("a", "n"), "n", "left").select("key", "n", F.coalesce("root", "n").alias("root"))
-    apart = parts.groupBy("key").agg(F.count_distinct("root").alias("m")).filter("m > 1").select("key")
-    left = cut(parts.join(apart, "key", "left_semi"))
-    others = left.select("key", F.col("n").alias("b"), F.col("root").alias("other"))
-    rest = left.join(others, "key").filter("n > b and root <> other").select(F.col("n").alias("a"), "b").distinct().join(tried, ["a", "b"], "left_anti")
-    name = lambda c: F.nullif(F.col(f"{c}.id"), F.lit(NULL_ID)).alias(c)
-    return found.unionByName(verified(rest)).select(name("a"), name("b"), "similarity")
+def near_groups(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE) -> DataFrame:
+    """(_id, _th, n_shingles, component): one row for each of docs; component is the least _id that links reach, null without words."""
+    return near.near_components(docs, sketch(shingle, percent))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    docs = require(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
+    groups = near_groups(docs).groupBy("_id", "_th").agg(F.min("component").alias("component"))
+    out = _fingerprints(docs).join(groups, ["_id", "_th"], "left")
+    return _hexadecimal(out).select(*[c for c in out.columns if c[0] != "_" and c != "component"], F.nullif(F.coalesce("component", "_id"), F.lit(NULL_ID)).alias("near_id"))
