@@ -312,8 +312,14 @@ class _Block:
         return out
 
 
-def links_of(classes: DataFrame, docs: DataFrame, sketch: Sketch, scratch: Scratch) -> list[DataFrame]:
-    """Tables (a, b) of confirmed links between classes (cid, _id, _th, n, sig): together they connect all that the bands and the threshold connect."""
+def _joined(found: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(a, root) of the components that links join those of found (a, root) to."""
+    return found if links.isEmpty() else roots(found.select("a", F.col("root").alias("b")).unionByName(links), scratch, name)
+
+
+def links_of(classes: DataFrame, docs: DataFrame, sketch: Sketch, scratch: Scratch) -> tuple[list[DataFrame], DataFrame]:
+    """Tables (a, b) of confirmed links between classes (cid, _id, _th, n, sig), which together connect all that the bands
+    and the threshold connect; and the components (a, root) that they make."""
     percent = sketch.percent
     busy = scratch.keep("busy", _band_keys(classes, sketch).groupBy("key").agg(F.count("*").alias("k")).filter("k >= 2"))
     member = scratch.keep("member", only_needed(_band_keys(classes, sketch), busy, "key").join(busy, "key"))
@@ -337,12 +343,12 @@ def links_of(classes: DataFrame, docs: DataFrame, sketch: Sketch, scratch: Scrat
     tried = _listed(able, percent).unionByName(_hubs(core, percent))
     second = _verified(tried, live, sketch, scratch, "second")
     scratch.drop("rest", "able", "live")
-    found = roots(first.unionByName(second), scratch, "second-roots")
+    found = _joined(found, second, scratch, "second-roots")
     still = scratch.keep("still", _mixed(_with_label(core.select("key", "cid", "n", "h"), found)))
     scratch.drop("core")
     third = _settle(still, sets, sketch, scratch)
     scratch.drop("sets", "still")
-    return [first, second, third]
+    return [first, second, third], _joined(found, third, scratch, "third-roots")
 
 
 def classes_of(rows: DataFrame, scratch: Scratch) -> DataFrame:
@@ -355,7 +361,7 @@ def near_links(docs: DataFrame, sketch: Sketch) -> DataFrame:
     """(a, b): confirmed links between the least _id of two different sets, a >= b.  They connect all near copies; copies of one set are not listed."""
     scratch = Scratch(docs.sparkSession, "near")
     classes = classes_of(sets_of(docs, sketch), scratch)
-    first, second, third = links_of(classes, docs, sketch, scratch)
+    (first, second, third), _ = links_of(classes, docs, sketch, scratch)
     links = first.unionByName(second).unionByName(third).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     side = lambda c: classes.select(F.col("cid").alias(c), F.col("_id").alias(f"{c}_id"))
     out = cut(links.join(side("a"), "a").join(side("b"), "b").select(F.greatest("a_id", "b_id").alias("a"), F.least("a_id", "b_id").alias("b")))
@@ -368,8 +374,7 @@ def near_components(docs: DataFrame, sketch: Sketch) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "near")
     rows = scratch.keep("rows", sets_of(docs, sketch))
     classes = classes_of(rows, scratch)
-    first, second, third = links_of(classes, docs, sketch, scratch)
-    found = roots(first.unionByName(second).unionByName(third), scratch, "all-roots")
+    _, found = links_of(classes, docs, sketch, scratch)
     named = _with_label(classes.select("cid", "node", "_id"), found)
     least = named.groupBy("label").agg(F.min("_id").alias("component"))
     named = named.join(least, "label").select("node", "component")
