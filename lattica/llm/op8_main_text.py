@@ -1,21 +1,29 @@
 """HTML extraction by maximum-scoring subsequence (operator 8).
 
 A page is read as a sequence of words and tags.  Words score positive, tags
-negative, and words inside boilerplate containers negative too; the weights of
-tags are log-odds of standing outside the main text, learned from pages whose
-markup labels it (an ``article`` or ``main`` element), a bounded sample.  One
-linear scan finds the contiguous region with the greatest sum.  The region is
-widened to the ``article`` or ``main`` element that holds its best part, and the
-words of boilerplate containers inside it (menus, forms, scripts, adverts,
-comments ...) fall out.
+negative; the weights of tags and of class names are log-odds of standing
+outside the main text, learned from pages whose markup labels it (an ``article``
+or ``main`` element), a bounded sample.  Boilerplate (menus, forms, scripts,
+adverts, comments ...) scores negative as well, but one stretch of it no more
+than GAP_SCORE, so that an advert does not part a text.  One linear scan finds
+the contiguous region with the greatest sum.  Where an ``article`` or ``main``
+element holds its best part, the region becomes that element.  Boilerplate
+inside the region falls out.
+
+An element is boilerplate by its tag, its role, by being hidden, or by a class
+or id all of whose parts are known, one of them a sure sign ("comments-section",
+"ad-slot", but not "share-price" or "related-work").
 
 Character references are decoded, white space inside a block becomes one space,
 blocks are trimmed and joined in page order by one newline.
 
 Edge cases: null, empty and text-free pages give an empty text; unclosed and
 stray tags are tolerated, an unclosed script or comment swallows the rest of the
-page as a browser does; repeated rows each get a row; null page_id and url pass
-through; an empty table gives no rows; extra columns are ignored.
+page as a browser does, a quote that no other one closes does not; of several
+``article`` elements those stay that the best region covers, at least the one
+with most of its words (the first of equals); of several best regions the first
+is taken; repeated rows each get a row; null page_id and url pass through; an
+empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +33,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,8 +45,10 @@ from .common import require
 TRAIN_PAGES = 400
 TRAIN_CHARS = 100_000
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+# Attributes as HTML reads them: only a value that begins with a quote ends with one.
+_ATTR = r"[^\s/>=][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)?+"
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[\s/=]|{_ATTR})*+)(?:>|\Z)", re.S)
+_ATTRIBUTE = re.compile(r"([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"'][^\s>]*+))?+)?+")
 
 # Element classes of HTML.
 RAW = {"script", "style", "template", "noscript", "textarea", "title", "iframe", "noembed", "noframes", "xmp"}
@@ -45,37 +56,60 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 BLOCK = {"address", "article", "aside", "blockquote", "body", "br", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "optgroup", "option", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 BOILERPLATE = {"nav", "footer", "aside", "form", "head", "menu", "dialog", "button", "select", "svg", "canvas", "object", "audio", "video", "label", "datalist"}
 CLOSES_P = BLOCK - {"br", "body", "html", "head", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "optgroup", "legend", "summary", "figcaption"}
-_MARK = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|banners?|sponsor(?:ed)?|promos?|promoted|nav|navbar|navigation|menus?|breadcrumbs?|sidebars?|side-?bar|footers?|site-?header|page-?header|masthead|topbar|cookies?|consent|notices?|newsletter|subscribe|signup|popup|modal|overlay|comments?|commentlist|disqus|respon(?:d|ses)|replies|share|sharing|social|related|recommended|pagination|pager|toolbar|widgets?|skip-?link|copyright|legal|login|search(?:-?form)?|hidden|visually-hidden|sr-only|screen-reader-text)(?=$|[\s_-])", re.I)
+# Words that make a class or id a sign of boilerplate, alone or with words that tell what it holds or where it stands.
+SURE = set(
+    "ad ads advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promos promoted promotion nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars footer footers "
+    "siteheader pageheader masthead topbar cookie cookies consent gdpr notice notices disclaimer newsletter subscribe subscription signup popup modal overlay comment comments commentlist disqus respond responses replies reply "
+    "share sharing social related recommended recommendations pagination pager toolbar widget widgets skiplink copyright legal login signin search searchform hidden visuallyhidden sronly screenreadertext banner banners".split()
+)
+HOLDS = set(
+    "list lists bar box block blocks area section sections wrapper wrap container link links button buttons icon icons form forms panel unit slot item items thread feed message messages dialog inner outer content body "
+    "posts articles stories topics reading news media header title group row col column img image text only reader".split()
+)
+STANDS = set("site page main top bottom left right primary secondary global post article entry blog user side mobile desktop sticky fixed inline js block component visually screen sr google facebook twitter the my".split())
+_PART = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+|\d+")
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 
 WORD_SCORE = 1.0
 BAD_WORD_SCORE = -3.0
+#: The most that one stretch of boilerplate takes from a region.
+GAP_SCORE = -20.0
 #: Used for tags that the sample does not show, and without labelled pages.
 DEFAULT_WEIGHT = -0.5
 DEFAULT_WEIGHTS = {"p": 0.0, "br": 0.0, "b": 0.0, "i": 0.0, "em": 0.0, "strong": 0.0, "h1": 0.0, "h2": 0.0, "h3": 0.0, "blockquote": 0.0, "a": -2.0, "li": -1.5, "ul": -1.5, "nav": -5.0, "footer": -5.0, "div": -1.0, "span": -0.5, "td": -1.0, "tr": -1.0, "table": -2.0}
 
 
-def _bad(name: str, attributes: str, inside_main: bool) -> bool:
-    if name in BOILERPLATE or (name == "header" and not inside_main):
-        return True
-    if not attributes:
+@lru_cache(maxsize=10_000)
+def is_sign(token: str) -> bool:
+    """Whether a class or id tells of boilerplate."""
+    parts = [x.lower() for x in _PART.findall(token)]
+    words = [x for x in parts if not x.isdigit() and x != "x"]
+    if not words:
         return False
-    for m in _ATTRIBUTE.finditer(attributes):
-        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and re.search(r"display\s*:\s*none", value, re.I)):
-            return True
-        if key == "role" and value.lower() in _ROLES:
-            return True
-        if key in ("class", "id") and name not in ("html", "body", "article", "main") and _MARK.search(value):
-            return True
-    return False
+    return "".join(words) in SURE or (any(w in SURE for w in words) and all(w in SURE or w in HOLDS or w in STANDS for w in words))
 
 
-def parse(page: str) -> Iterator[tuple[str, str, bool, int]]:
-    """(kind, value, boilerplate, main): kind is "text", "open" or "close"; main numbers the article or main element (0: none)."""
+def _bad(name: str, attributes: str, inside_main: bool) -> tuple[bool, tuple[str, ...]]:
+    """(boilerplate, classes) of an element."""
+    bad, classes = name in BOILERPLATE or (name == "header" and not inside_main), ()
+    for m in _ATTRIBUTE.finditer(attributes or ""):
+        key, value = m[1].lower(), entities.unescape(m[2] or m[3] or m[4] or "")
+        if key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and re.search(r"display\s*:\s*none", value, re.I)):
+            bad = True
+        elif key == "role":
+            bad = bad or value.lower() in _ROLES
+        elif key in ("class", "id"):
+            tokens = tuple(value.split())
+            classes += tokens
+            if name not in ("html", "body", "article", "main") and any(is_sign(t) for t in tokens):
+                bad = True
+    return bad, classes
+
+
+def parse(page: str) -> Iterator[tuple[str, str, bool, int, tuple[str, ...]]]:
+    """(kind, value, boilerplate, main, classes): kind is "text", "open" or "close"; main numbers the article or main element (0: none)."""
     stack: list[tuple[str, bool, int]] = []
     at, n, mains = 0, len(page), 0
-    low: str | None = None
 
     def state() -> tuple[bool, int]:
         return (stack[-1][1], stack[-1][2]) if stack else (False, 0)
@@ -95,7 +129,7 @@ def parse(page: str) -> Iterator[tuple[str, str, bool, int]]:
         cut = m.start() if m else n
         if cut > at:
             bad, main = state()
-            yield "text", page[at:cut], bad, main
+            yield "text", page[at:cut], bad, main, ()
         if not m:
             return
         at = m.end()
@@ -103,21 +137,19 @@ def parse(page: str) -> Iterator[tuple[str, str, bool, int]]:
         if not name:
             if m[0].startswith("<![CDATA["):
                 bad, main = state()
-                yield "text", m[0][9:].removesuffix("]]>").replace("&", "&amp;"), bad, main
+                yield "text", m[0][9:].removesuffix("]]>").replace("&", "&amp;"), bad, main, ()
             continue
         bad, main = state()
         if m[1]:
             if name == "p" and not any(s[0] == "p" for s in stack):
-                yield "open", name, bad, main  # a stray end is an empty paragraph
+                yield "open", name, bad, main, ()  # a stray end is an empty paragraph
             pop_to(name)
-            yield "close", name, bad, main
+            yield "close", name, bad, main, ()
             continue
         if name in RAW:
-            if low is None:
-                low = page.lower()
-            end = low.find(f"</{name}", at)
-            yield "open", name, True, main
-            at = n if end < 0 else (page.find(">", end) + 1 or n)
+            end = re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I).search(page, at)
+            yield "open", name, True, main, ()
+            at = n if not end else (page.find(">", end.end()) + 1 or n)
             continue
         if name in CLOSES_P:
             for i in range(len(stack) - 1, -1, -1):
@@ -137,21 +169,22 @@ def parse(page: str) -> Iterator[tuple[str, str, bool, int]]:
         if name in ("article", "main") and not bad and not main:
             mains += 1
             main = mains
-        bad = bad or _bad(name, m[3], main > 0)
-        yield "open", name, bad, main
-        if name not in VOID and not (m[3] or "").rstrip().endswith("/"):
+        own, classes = _bad(name, m[3], main > 0)
+        bad = bad or own
+        yield "open", name, bad, main, classes
+        if name not in VOID and not (m[0].endswith("/>") and name not in BLOCK):
             stack.append((name, bad, main))
 
 
 def learn(pages: Iterable[str | None]) -> dict[str, float]:
-    """Weight of each tag: log-odds of standing inside the labelled main text, at most 0."""
+    """Weight of each tag and of each class (with a point before it): log-odds of standing inside the labelled main text, at most 0."""
     inside, outside = Counter(), Counter()
     for page in pages:
-        marks = [(k, v, bad, main) for k, v, bad, main in parse(page or "") if k == "open"]
+        marks = [t for t in parse(page or "") if t[0] == "open"]
         if not any(m[3] for m in marks):
             continue
-        for _, name, bad, main in marks:
-            (inside if main and not bad else outside)[name] += 1
+        for _, name, bad, main, classes in marks:
+            (inside if main and not bad else outside).update((name, *(f".{c}" for c in classes)))
     weights = dict(DEFAULT_WEIGHTS)
     total_in, total_out = sum(inside.values()), sum(outside.values())
     if total_in and total_out:
@@ -166,23 +199,30 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
     if not page:
         return ""
     tokens = list(parse(page))
-    best = total = 0.0
+    best = total = gap = 0.0
     lo = hi = since = 0
-    for i, (kind, value, bad, _) in enumerate(tokens):
+    for i, (kind, value, bad, _, classes) in enumerate(tokens):
         if kind == "text":
-            words = len(value.split())
-            total += words * (BAD_WORD_SCORE if bad else WORD_SCORE)
+            gain = len(value.split()) * (BAD_WORD_SCORE if bad else WORD_SCORE)
         elif kind == "open":
-            total += weights.get(value, DEFAULT_WEIGHT)
+            gain = weights.get(value, DEFAULT_WEIGHT) + sum(weights.get(f".{c}", 0.0) for c in classes)
+        else:
+            gain = 0.0
+        if bad:
+            gain = max(gain, GAP_SCORE - gap)
+            gap += gain
+        elif kind == "text" and gain:
+            gap = 0.0
+        total += gain
         if total > best:
             best, lo, hi = total, since, i + 1
         if total <= 0:
-            total, since = 0.0, i + 1
+            total, since, gap = 0.0, i + 1, 0.0
     if hi == 0:
         # No region scores above zero: all text outside boilerplate.
         lo, hi = 0, len(tokens)
     held: Counter = Counter()
-    for kind, value, bad, main in tokens[lo:hi]:
+    for kind, value, bad, main, _ in tokens[lo:hi]:
         if kind == "text" and not bad:
             held[main] += len(value.split())
     if held:
@@ -196,15 +236,15 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
     now: list[str] = []
 
     def close() -> None:
-        text = " ".join(entities.unescape("".join(now)).split())
+        text = " ".join("".join(now).split())
         if text:
             blocks.append(text)
         now.clear()
 
-    for kind, value, bad, _ in tokens[lo:hi]:
+    for kind, value, bad, _, _ in tokens[lo:hi]:
         if kind == "text":
             if not bad:
-                now.append(value)
+                now.append(entities.unescape(value))
         elif value in BLOCK:
             close()
     close()

@@ -2,8 +2,11 @@
 
 1. Learning uses labelled rows with crc32(doc_id) mod 4 other than 2, at most
    TRAIN_ROWS of them, the ones with the least hash of doc_id.  Words, and stems
-   as four to seven first letters, whose document counts differ between toxic
-   and clean rows beyond chance (likelihood ratio) become the lexicon.
+   as four to seven first letters, whose counts differ between toxic and clean
+   rows beyond chance (likelihood ratio) become the lexicon.  A word counts once
+   for each text and once for each pair of neighbours, whichever is less, a stem
+   for each set of words with it that a text has: copies and near copies of one
+   text are no further evidence.
 2. Levenshtein automata of its terms, intersected with its trie, find terms and
    misspelled terms in all words of a text at once (:mod:`.levenshtein`).
 3. A window of CONTEXT words around each hit decides whether it is quoted
@@ -40,6 +43,8 @@ MAX_STEMS = 120
 #: Least likelihood-ratio statistic of a lexicon entry, and its least share of toxic rows.
 LEAST_G = 24.0
 LEAST_SHARE = 0.7
+#: The same for stems, of which a text needs two words.
+STEM_G, STEM_SHARE, STEM_TEXTS = 15.0, 0.8, 3
 THRESHOLD = 0.3
 CONTEXT = 6
 
@@ -67,7 +72,8 @@ class Model:
     stems: list[str]
 
 
-FEATURES = ("terms", "misspelled", "stems", "quoted")
+#: again: hits of stems after the first one.
+FEATURES = ("terms", "misspelled", "stems", "quoted", "again")
 
 
 def _quoted(text: bytes, start: int, end: int, before: int, after: int) -> bool:
@@ -97,6 +103,7 @@ def features(raw: np.ndarray, offsets: np.ndarray, automaton: LexiconAutomaton,
         after = int(start[b]) if b < first[r + 1] else int(offsets[r + 1])
         kind = 3 if _quoted(text, int(start[i]), int(end[i]), before, after) else (EXACT, MISSPELLED, STEM).index(verdict[i])
         out[r, kind] += 1
+    out[:, 4] = np.maximum(out[:, 2] - 1, 0)
     return np.log1p(out)
 
 
@@ -111,14 +118,15 @@ def _g(tox: float, clean: float, n1: float, n0: float) -> float:
     return 2 * out
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 50) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 0.1, steps: int = 50) -> np.ndarray:
+    """Weights of a ridge logistic model; row i stands for n[i] equal ones."""
     x = np.column_stack((np.ones(len(x)), x))
     w = np.zeros(x.shape[1])
     penalty = np.full(x.shape[1], ridge)
     penalty[0] = 1e-6
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty) + 1e-9 * np.eye(len(w)), x.T @ (y - p) - penalty * w)
+        step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + np.diag(penalty) + 1e-9 * np.eye(len(w)), x.T @ (n * (y - p)) - penalty * w)
         w += np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
@@ -133,24 +141,36 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     picked = picked.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     # TRAIN_ROWS short rows at most: a proven bound.
     sample = F.broadcast(picked.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(TRAIN_ROWS))
-    rows = require(docs, "doc_id", "text").join(sample, "doc_id").select("doc_id", "text", "toxic")
+    rows = require(docs, "doc_id", "text").join(sample, "doc_id").select("text", "toxic")
+    # Equal texts are one row; it is toxic if any of them is.
+    rows = rows.groupBy("text").agg(F.max("toxic").alias("toxic")).withColumn("doc", F.xxhash64("text"))
     totals = rows.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
     n1, n0 = float(totals[0]), float(totals[1] - totals[0])
-    empty = Model(LexiconAutomaton([], []), np.zeros(0, dtype=np.uint64), np.array([math.log((n1 + 0.5) / (n0 + 0.5)), 0, 0, 0, 0]) if n1 + n0 else np.array([-5.0, 0, 0, 0, 0]), [], [])
+    empty = Model(LexiconAutomaton([], []), np.zeros(0, dtype=np.uint64), np.array([math.log((n1 + 0.5) / (n0 + 0.5)), *[0.0] * len(FEATURES)]) if n1 + n0 else np.array([-5.0, *[0.0] * len(FEATURES)]), [], [])
     if not n1 or not n0:
         return empty
-    tokens = rows.select("toxic", F.explode(F.array_distinct(F.split(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), WORD_GAP))).alias("w")).filter("w != ''")
-    counts = tokens.groupBy("w").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
+    words = F.filter(F.split(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), WORD_GAP), lambda w: w != "")
+    near_by = F.transform(F.arrays_zip(F.col("ws").alias("w"), F.concat(F.array(F.lit("")), "ws").alias("l"), F.concat(F.slice("ws", 2, F.size("ws")), F.array(F.lit(""))).alias("r")), lambda x: F.struct(x["w"].alias("w"), F.xxhash64(x["l"], x["r"]).alias("at")))
+    tokens = rows.select("toxic", "doc", words.alias("ws")).filter("size(ws) > 0").select("toxic", "doc", F.explode(F.array_distinct(near_by)).alias("x")).select("toxic", "doc", "x.w", "x.at").filter("w is not null")
+    # For each word the texts it is in, and the pairs of neighbours it has, of each kind.
+    side = lambda key: tokens.select("w", key, "toxic").distinct().groupBy("w").agg(F.sum("toxic").alias(f"t_{key}"), F.sum(1 - F.col("toxic")).alias(f"c_{key}"))
+    counts = side("doc").join(side("at"), "w").select("w", F.least("t_doc", "t_at").alias("t"), F.least("c_doc", "c_at").alias("c"))
     counts = counts.cache()
     try:
         least = max(4.0, LEAST_G / (2 * math.log((n1 + n0) / n1)) - 1)
         words = counts.filter((F.col("t") >= least) & (F.col("t") / (F.col("t") + F.col("c")) >= LEAST_SHARE)).orderBy(F.desc("t"), "w").limit(50 * MAX_TERMS).collect()
-        stems = counts.filter("char_length(w) >= 4").select(F.explode(F.expr("transform(sequence(4, 7), n -> substring(w, 1, n))")).alias("s"), "w", "t", "c").filter("char_length(s) >= 4").distinct().groupBy("s").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.count("*").alias("k"))
-        stems = stems.filter((F.col("k") >= 4) & (F.col("t") >= 2 * least) & (F.col("t") / (F.col("t") + F.col("c")) >= 0.9)).orderBy(F.desc("t"), "s").limit(50 * MAX_STEMS).collect()
+        # A stem counts once for each set of two or more words with it in one text.
+        begins = F.explode(F.expr("transform(sequence(4, least(7, char_length(w))), n -> substring(w, 1, n))")).alias("s")
+        long = counts.filter("char_length(w) >= 4").select(begins, "t", "c").groupBy("s").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.count("*").alias("k"))
+        likely = long.filter((F.col("k") >= 4) & (F.col("t") >= 2 * STEM_TEXTS) & (F.col("t") >= F.col("c"))).orderBy(F.desc("t"), "s").limit(50 * MAX_STEMS).select("s")
+        held = tokens.filter("char_length(w) >= 4").select("doc", "toxic", "w").distinct().select("doc", "toxic", "w", begins).join(F.broadcast(likely), "s")
+        held = held.groupBy("s", "doc", "toxic").agg(F.sort_array(F.collect_set("w")).alias("ws")).filter("size(ws) >= 2").select("s", "toxic", F.xxhash64("ws").alias("h")).distinct()
+        stems = held.groupBy("s").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).filter((F.col("t") >= STEM_TEXTS) & (F.col("t") / (F.col("t") + F.col("c")) >= STEM_SHARE)).collect()
         chosen_stems: list[str] = []
-        for s in sorted((r for r in stems if _g(min(r["t"], n1), min(r["c"], n0), n1, n0) >= 2 * LEAST_G), key=lambda r: (len(r["s"]), -r["t"], r["s"])):
-            if not any(s["s"].startswith(x) for x in chosen_stems) and len(chosen_stems) < MAX_STEMS:
-                chosen_stems.append(s["s"])
+        ranked = sorted(((_g(min(r["t"], n1), min(r["c"], n0), n1, n0), r["s"]) for r in stems), key=lambda x: (-x[0], len(x[1]), x[1]))
+        for g, stem in ranked:
+            if g >= STEM_G and len(chosen_stems) < MAX_STEMS and not any(stem.startswith(x) or x.startswith(stem) for x in chosen_stems):
+                chosen_stems.append(stem)
         good = [(r["w"], _g(r["t"], r["c"], n1, n0)) for r in words]
         good = [w for w, g in sorted(good, key=lambda x: (-x[1], x[0])) if g >= LEAST_G and not any(w.startswith(x) for x in chosen_stems)][:MAX_TERMS]
         if not good and not chosen_stems:
@@ -179,9 +199,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     # Four numbers for each of TRAIN_ROWS rows at most, summed by equal values.
     table = rows.select("text", "toxic").mapInArrow(measure, ", ".join(f"{f} double" for f in FEATURES) + ", toxic int").groupBy(*FEATURES, "toxic").count().orderBy(*FEATURES, "toxic").collect()
-    x = np.repeat(np.array([[r[f] for f in FEATURES] for r in table]), [r["count"] for r in table], axis=0)
-    y = np.repeat(np.array([r["toxic"] for r in table], dtype=float), [r["count"] for r in table])
-    return Model(automaton, ex, _logistic(x, y), good, chosen_stems)
+    x = np.array([[r[f] for f in FEATURES] for r in table])
+    y, n = (np.array([r[c] for r in table], dtype=float) for c in ("toxic", "count"))
+    return Model(automaton, ex, _logistic(x, y, n), good, chosen_stems)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

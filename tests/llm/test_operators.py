@@ -375,3 +375,51 @@ def test_empty_tables(spark, name):
         "op10": lambda: op10.mix(docs),
     }[name]
     assert run().count() == 0
+
+
+def test_op8_attributes_classes_and_regions():
+    w = op8.learn(())
+    article = lambda inner: op8.extract(f"<nav><a href=x>menu</a></nav><article>{inner}</article><footer>end</footer>", w)
+    assert article("<p title=it's>Hello world don't go there</p><p>More.</p>") == "Hello world don't go there\nMore."
+    assert article("<p class=\"a>b\">One two</p><img alt='x > y'><p data-x=\"'\">three</p>") == "One two\nthree"
+    assert article('<p>Text</p><div class="share-price">Shares cost 5</div><section id="related-work">Others did this</section>') == "Text\nShares cost 5\nOthers did this"
+    for mark in ("comments", "comments-section", "post-comments", "shareButtons", "ad-slot", "ad-300x250", "cookie-notice", "site_footer", "related-posts", "side-bar", "sr-only"):
+        assert article(f'<p>Text</p><div class="x {mark}"><p>gone</p></div>') == "Text", mark
+    for mark in ("search-results", "notice-period", "header-image", "commentary", "addition", "navigator-biography", "legal-history"):
+        assert article(f'<p>Text</p><div class="{mark}"><p>stays</p></div>') == "Text\nstays", mark
+    many = " ".join(["word"] * 40)
+    parted = f'<body><div class="menu"><a href=1>a</a></div><div>{many} one.</div><div class="ad">{many} buy</div><div>{many} two.</div><div class="footer">{many}</div></body>'
+    assert op8.extract(parted, w) == f"{many} one.\n{many} two."
+    assert op8.extract("<SCRIPT>İİİ</script ><p>after</p>", w) == "after"
+    assert article("<p>R&amp;D &am<b>p;</b> caf&eacute;&#33;</p>") == "R&D &amp; café!"
+    assert article('<p>a "quoted <b class="x>y</b> end</p>').startswith('a "quoted')
+
+
+def test_op8_learns_class_names():
+    page = '<div class="teaser"><p>x y z</p></div><article><div class="story"><p>a b c</p></div></article>'
+    w = op8.learn([page] * 20)
+    assert w[".teaser"] < -1 and w[".story"] == 0
+
+
+def test_op4_knows_licence_files(spark):
+    known = dict(reversed(op4.KNOWN))
+    body = {name: text for name, text in reversed(op4.KNOWN) if len(text) > 200}
+    wrapped = lambda t: re.sub(r"(.{60,75}) ", r"\1\n", t)
+    texts = [
+        (1, "MIT License\n\nCopyright (c) 2019 Jane Doe\n\n" + body["MIT"], "MIT"),
+        (2, "The MIT License (MIT)\n\nCopyright Jane Doe 2020\n\n" + wrapped(body["MIT"]), "MIT"),
+        (3, "ISC License\n\nCopyright (c) 2004-2010 by Some Consortium\n" + body["ISC"], "ISC"),
+        (4, "BSD 3-Clause License\n\nCopyright (c) 2017, Author\nAll rights reserved.\n\n" + wrapped(body["BSD-3-Clause"]), "BSD-3-Clause"),
+        (5, "# BSD 2-Clause License\n" + body["BSD-2-Clause"], "BSD-2-Clause"),
+        (6, "Boost Software License - Version 1.0\n\n" + body["BSL-1.0"], "BSL-1.0"),
+        (7, "zlib License\n\n(C) 1995 Someone\n\n" + body["Zlib"], "Zlib"),
+        (8, wrapped(body["GPL-3.0-or-later"]), "GPL-3.0-or-later"),
+        (9, wrapped(body["Unlicense"]), "Unlicense"),
+        (10, "MIT License", None),
+        (11, "Our MIT license story\n\n" + body["MIT"], None),
+        (12, body["MIT-0"], "MIT-0"),
+    ]
+    got = {r["doc_id"]: r["license_id"] for r in op4.scan(documents(spark, [t[:2] for t in texts])).collect()}
+    assert got == {i: want for i, _, want in texts}
+    lines = op4.scan(spark.createDataFrame([(1, "x\nSPDX-License-Identifier: MPL-2.0\n"), (1, "other"), (None, "// SPDX-License-Identifier: LGPL-3.0-only"), (2, known["MPL-2.0"])], "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["notices"]) for r in lines) == [(0, ["LGPL-3.0-only"]), (1, []), (1, ["MPL-2.0"]), (2, ["MPL-2.0"])]
