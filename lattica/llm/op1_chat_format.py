@@ -11,6 +11,8 @@ cut into blocks of BLOCK; a block is reduced to one matrix, blocks of blocks
 likewise, and the best roles at block ends are handed down again.  So a
 conversation with a third of all rows is many small groups, and the result is
 that of one pass.  With short conversations there is one level and one shuffle.
+Many texts of one turn (of a null turn, say) are parted by ranges of their hash
+and become one matrix of that turn in the same way.
 
 Edge cases: null and empty texts are observations of length 0 and render an
 empty body; a null conv_id is one conversation, a null turn stands first; rows
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, cut, require
+from .common import NULL_ID, Scratch, require
 
 ROLES = ("user", "assistant", "system", "tool")
 #: Turns in one block.
@@ -195,44 +197,92 @@ def _groups(rows: DataFrame, work: Callable, schema: str, most: int = 50_000) ->
     return rows.repartition("_conv", "_block").sortWithinPartitions("_conv", "_block", "_at", "_th").mapInArrow(run, schema)
 
 
-def roles(conversations: DataFrame, model: Model, block: int = BLOCK) -> DataFrame:
-    """(_conv, _turn, _th, _state): the decoded role of every distinct turn."""
-    step, emit = model.step, model.emit
-    leaf = require(conversations, "conv_id", "turn", "text").select(*_keys(), *_observed(F.col("text"))).select("_conv", "_turn", "_th", Model.code().alias("_m")).distinct()
-    # Blocks by turn number; negative and null turns are in the first block.
-    levels = [leaf.select("_conv", F.expr(f"greatest(_turn, 0) div {block}").alias("_block"), F.col("_turn").alias("_at"), "_th", "_m")]
-
-    def matrices(cols: dict) -> Step:
-        m = cols["_m"]
-        if pa.types.is_integer(m.type):
-            code = m.to_numpy()
-            return lambda i: step[None] + emit[code[i]][:, None, :]
-        data = np.frombuffer(b"".join(m.to_pylist()), dtype=np.float64).reshape(-1, _S, _S)
-        return lambda i: data[i]
+def _matrices(model: Model, cols: dict) -> Step:
+    """The matrix of each row: of its observation _m, or _x where that is null."""
+    code = cols["_m"].fill_null(-1).to_numpy()
+    given = np.flatnonzero(code < 0)
+    out = np.zeros((len(code), _S, _S))
+    seen = code >= 0
+    out[seen] = model.step[None] + model.emit[code[seen]][:, None, :]
+    if len(given):
+        out[given] = np.frombuffer(b"".join(cols["_x"].take(pa.array(given)).to_pylist()), dtype=np.float64).reshape(-1, _S, _S)
+    return lambda i: out[i]
+
+
+def _above(at: Column, block: int) -> Column:
+    """The block of a place.  The block before the first one is part of it, so that all places come to one block in the end."""
+    found = F.floor(at / F.lit(block)).cast("long")
+    return F.when(found == -1, 0).otherwise(found)
+
+
+_ROW = ("_conv", "_block", "_at", "_th", "_m", "_x")
+
+
+def _up(leaf: DataFrame, model: Model, block: int, scratch: Scratch, name: str) -> list[DataFrame]:
+    """leaf (_ROW) and the levels above it, until each conversation is one block."""
 
     def reduce(cols: dict, starts: np.ndarray, lengths: np.ndarray) -> pa.RecordBatch:
-        p = product(matrices(cols), starts, lengths)
-        return pa.RecordBatch.from_arrays([pa.array(cols["_conv"].to_numpy()[starts]), pa.array(cols["_block"].to_numpy()[starts]), pa.array([x.tobytes() for x in p], type=pa.binary())], names=["_conv", "_at", "_m"])
+        p = product(_matrices(model, cols), starts, lengths)
+        return pa.RecordBatch.from_arrays([pa.array(cols["_conv"].to_numpy()[starts]), pa.array(cols["_block"].to_numpy()[starts]), pa.array([x.tobytes() for x in p], type=pa.binary())], names=["_conv", "_at", "_x"])
+
+    levels = [leaf]
+    while not levels[-1].groupBy("_conv").agg(F.min("_block").alias("lo"), F.max("_block").alias("hi")).filter("lo < hi").isEmpty():
+        up = scratch.keep(f"{name}-{len(levels)}", _groups(levels[-1], reduce, "_conv long, _at long, _x binary"))
+        levels.append(up.select("_conv", _above(F.col("_at"), block).alias("_block"), "_at", F.lit(0).cast("long").alias("_th"), F.lit(None).cast("int").alias("_m"), "_x"))
+    return levels
 
-    while levels[-1].agg(F.max("_block")).first()[0]:
-        up = cut(_groups(levels[-1], reduce, "_conv long, _at long, _m binary"))
-        levels.append(up.select("_conv", F.expr(f"_at div {block}").alias("_block"), "_at", F.lit(0).cast("long").alias("_th"), "_m"))
+
+def _down(levels: list[DataFrame], ends: DataFrame | None, model: Model) -> DataFrame:
+    """(_conv, _at, _th, _enter, _leave) of the rows of the lowest level, by the states (_enter, _leave) around each conversation."""
 
     def walk(cols: dict, starts: np.ndarray, lengths: np.ndarray) -> pa.RecordBatch:
         enter, leave = cols["_enter"].to_numpy()[starts], cols["_leave"].to_numpy()[starts]
-        state = decode(matrices(cols), starts, lengths, enter, leave)
+        state = decode(_matrices(model, cols), starts, lengths, enter, leave)
         came = np.concatenate(([0], state[:-1]))
         came[starts] = enter
         return pa.RecordBatch.from_arrays([*(pa.array(cols[c].to_numpy()) for c in ("_conv", "_at", "_th")), pa.array(came), pa.array(state)], names=["_conv", "_at", "_th", "_enter", "_leave"])
 
     bounds = None
     for level in reversed(levels):
-        if bounds is None:
-            rows = level.withColumns({"_enter": F.lit(_K).cast("long"), "_leave": F.lit(-1).cast("long")})
-        else:
+        if bounds is not None:
             rows = level.join(bounds.select("_conv", F.col("_at").alias("_block"), "_enter", "_leave"), ["_conv", "_block"])
+        elif ends is not None:
+            rows = level.join(ends, "_conv")
+        else:
+            rows = level.withColumns({"_enter": F.lit(_K).cast("long"), "_leave": F.lit(-1).cast("long")})
         bounds = _groups(rows, walk, "_conv long, _at long, _th long, _enter long, _leave long")
-    return bounds.select("_conv", F.col("_at").alias("_turn"), "_th", F.col("_leave").alias("_state"))
+    return bounds
+
+
+def roles(conversations: DataFrame, model: Model, block: int = BLOCK) -> DataFrame:
+    """(_conv, _turn, _th, _state): the decoded role of every distinct turn."""
+    scratch = Scratch(conversations.sparkSession, "chat")
+    seen = require(conversations, "conv_id", "turn", "text").select(*_keys(), *_observed(F.col("text"))).select("_conv", "_turn", "_th", Model.code().cast("int").alias("_m")).distinct()
+    seen = scratch.keep("seen", seen)
+    none = F.lit(None).cast("binary").alias("_x")
+    # Turns before this one share a block, as null turns do.
+    place = F.greatest("_turn", F.lit(-block * block))
+    crowded = scratch.keep("crowded", seen.groupBy("_conv", "_turn").agg(F.count("*").alias("n")).filter(F.col("n") > block))
+    if crowded.isEmpty():
+        leaf = seen.select("_conv", _above(place, block).alias("_block"), F.col("_turn").alias("_at"), "_th", "_m", none)
+        return _down(_up(leaf, model, block, scratch, "turns"), None, model).select("_conv", F.col("_at").alias("_turn"), "_th", F.col("_leave").alias("_state"))
+    # The texts of a crowded turn are a conversation of their own, in ranges of their hash.
+    marked = seen.join(crowded, ["_conv", "_turn"], "left")
+    range_of = F.floor((F.col("_th").cast("double") / F.lit(2.0**64) + 0.5) * F.ceil(F.col("n") / block)).cast("long")
+    inner = marked.filter("n is not null").select(F.xxhash64("_conv", "_turn").alias("_conv"), range_of.alias("_block"), F.lit(0).cast("long").alias("_at"), "_th", "_m", none)
+    inner_levels = _up(inner, model, block, scratch, "texts")
+    whole = _groups(inner_levels[-1], lambda cols, starts, lengths: pa.RecordBatch.from_arrays([pa.array(cols["_conv"].to_numpy()[starts]), pa.array([x.tobytes() for x in product(_matrices(model, cols), starts, lengths)], type=pa.binary())], names=["_inner", "_x"]), "_inner long, _x binary")
+    whole = scratch.keep("whole", whole)
+    one = crowded.select("_conv", "_turn", F.xxhash64("_conv", "_turn").alias("_inner")).join(whole, "_inner").select("_conv", "_turn", F.lit(0).cast("long").alias("_th"), F.lit(None).cast("int").alias("_m"), "_x")
+    rows = marked.filter("n is null").select("_conv", "_turn", "_th", "_m", none).unionByName(one)
+    leaf = rows.select("_conv", _above(place, block).alias("_block"), F.col("_turn").alias("_at"), "_th", "_m", "_x")
+    outer = scratch.keep("outer", _down(_up(leaf, model, block, scratch, "turns"), None, model))
+    # What is around a crowded turn is around its texts.
+    ends = outer.join(crowded.select("_conv", F.col("_turn").alias("_at")), ["_conv", "_at"]).select(F.xxhash64("_conv", "_at").alias("_conv"), "_enter", "_leave")
+    texts = _down(inner_levels, ends, model).select(F.col("_conv").alias("_inner"), "_th", F.col("_leave").alias("_state"))
+    texts = texts.join(crowded.select("_conv", "_turn", F.xxhash64("_conv", "_turn").alias("_inner")), "_inner").select("_conv", "_turn", "_th", "_state")
+    plain = outer.join(crowded.select("_conv", F.col("_turn").alias("_at")), ["_conv", "_at"], "left_anti")
+    return plain.select("_conv", F.col("_at").alias("_turn"), "_th", F.col("_leave").alias("_state")).unionByName(texts)
 
 
 def render(role: Column, text: Column) -> Column:

@@ -423,3 +423,32 @@ def test_op4_knows_licence_files(spark):
     assert got == {i: want for i, _, want in texts}
     lines = op4.scan(spark.createDataFrame([(1, "x\nSPDX-License-Identifier: MPL-2.0\n"), (1, "other"), (None, "// SPDX-License-Identifier: LGPL-3.0-only"), (2, known["MPL-2.0"])], "doc_id long, text string")).collect()
     assert sorted((r["doc_id"] or 0, r["notices"]) for r in lines) == [(0, ["LGPL-3.0-only"]), (1, []), (1, ["MPL-2.0"]), (2, ["MPL-2.0"])]
+
+
+def plain_viterbi(model, codes):
+    """Scores of the best path, step by step."""
+    k = len(op1.ROLES)
+    score = {k: 0.0}
+    for c in codes:
+        score = {t: max(s + model.step[p, t] for p, s in score.items()) + model.emit[c, t] for t in range(k)}
+    return max(score.values())
+
+
+@pytest.mark.parametrize("block", [3, 256])
+def test_op1_equals_plain_viterbi(spark, block):
+    rnd = random.Random(8)
+    texts = ["User: hi there?", "Assistant: fine.", "why?", "because\nof\nthis", "Tool: 42", "", None, "ok", "System: be kind", "long " * 90]
+    rows = [(c, t, None, rnd.choice(texts)) for c in range(4) for t in range(rnd.randint(1, 30))]
+    # Null, negative and very negative turns, many texts of one turn, and rows that repeat.
+    rows += [(9, None, None, f"{rnd.choice(texts)} {i}") for i in range(40)] + [(9, t, None, rnd.choice(texts)) for t in (-100000, -70000, -9, -2, -1, 0, 1, 5)] + [(9, 3, None, f"{rnd.choice(texts)} {i}") for i in range(25)]
+    rows += [(None, 1, None, "User: x"), (None, 1, None, "User: x"), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    model = op1.train(spark.read.parquet(f"{SMALL}/conversations.parquet"))
+    got = op1.roles(df, model, block)
+    seen = df.select(*op1._keys(), *op1._observed(F.col("text"))).select("_conv", "_turn", "_th", op1.Model.code().alias("m")).distinct().join(got, ["_conv", "_turn", "_th"]).collect()
+    assert len(seen) == len({(r[0], r[1], r[3]) for r in rows}) == got.count()
+    for conv in {r["_conv"] for r in seen}:
+        path = sorted((r["_turn"], r["_th"], r["m"], r["_state"]) for r in seen if r["_conv"] == conv)
+        states = [len(op1.ROLES), *(x[3] for x in path)]
+        have = sum(model.step[p, s] + model.emit[x[2], s] for p, s, x in zip(states, states[1:], path, strict=False))
+        assert have == plain_viterbi(model, [x[2] for x in path])
