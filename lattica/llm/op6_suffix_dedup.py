@@ -140,8 +140,21 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, hot: int = HOT, anchor
     return repeats.repeated_spans(docs, repeats.Windows("bytes", length, anchor), _judge(length, anchor), first=False, hot=hot, batch_bytes=INDEX_BYTES)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, anchor: int = ANCHOR) -> DataFrame:
-    """(row, _kept, _n_bytes, _n_removed, _n_spans): each row of docs as a struct, its remaining bytes, and counts."""
+def _whole_characters(text: bytes, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The parts of the runs [s, e) that are whole UTF-8 characters; a character that is cut stays."""
+    inner = (np.frombuffer(text + b"\0", dtype=np.uint8) & 0xC0) == 0x80
+    place = np.arange(len(inner))
+    after = np.minimum.accumulate(np.where(inner, len(text), place)[::-1])[::-1]
+    before = np.maximum.accumulate(np.where(inner, 0, place))
+    s, e = after[s], before[e]
+    return s[s < e], e[s < e]
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, anchor: int = ANCHOR, characters: bool = False) -> DataFrame:
+    """(row, _kept, _n_bytes, _n_removed, _n_spans): each row of docs as a struct, its remaining bytes, and counts.
+
+    With ``characters`` only whole characters are removed, so that what remains is text.
+    """
     base = docs.select(F.struct(*columns(docs.columns)).alias("row"), *row_key())
     joined = repeats.with_spans(base, repeated_bytes(docs, length, hot, anchor)).select("row", F.col("row.text").cast("binary").alias("text"), "spans")
 
@@ -151,6 +164,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, anchor
             for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 text = text or b""
                 s, e = repeats.merge_spans(spans, len(text))
+                if characters and len(s):
+                    s, e = _whole_characters(text, s, e)
                 total.append(len(text))
                 lost.append(int((e - s).sum()))
                 runs.append(len(s))
@@ -174,16 +189,11 @@ def query(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: texts without their repeated strings; rows all stay, n_chars follows the text.
 
-    A cut inside a code point leaves bytes that are no character; they are dropped.
+    Characters that a repeated string covers in part stay.
     """
-    out = remove_repeats(docs)
+    out = remove_repeats(docs, characters=True)
     changed = F.col("_n_removed") > 0
-
-    def decode(series):
-        return series.map(lambda b: bytes(b).decode("utf-8", "ignore") if b is not None else None)
-
-    text = F.when(changed, F.pandas_udf(decode, "string")("_kept")).otherwise(F.col("row.text"))
-    out = out.select("row", changed.alias("changed"), text.alias("text"))
+    out = out.select("row", changed.alias("changed"), F.when(changed, F.col("_kept").cast("string")).otherwise(F.col("row.text")).alias("text"))
     picked = {c: F.col(f"row.`{c}`") for c in docs.columns} | {"text": F.col("text")}
     if "n_chars" in picked:
         picked["n_chars"] = F.when(F.col("changed"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vector as v
-from .common import cut, mark_needed, require, row_key
+from .common import cut, mark_needed, only_needed, require, row_key
 
 _U = np.uint64
 #: Bits of the packed value that hold the position in a block.
@@ -147,7 +147,7 @@ def probe_symbols(docs: DataFrame, probes: DataFrame, kind: Windows) -> DataFram
     """probes with the symbols of their content: raw bytes, or eight bytes of hash per word."""
     wanted = probes.select("_id", "_th", F.struct("key", "digest", "copies", "kinds", F.expr(START).alias("start"), F.expr(NWIN).alias("nwin"), F.expr(ANCHOR).alias("anchor")).alias("p")).groupBy("_id", "_th").agg(F.collect_list("p").alias("ps"))
     wanted = cut(wanted)
-    texts = mark_needed(require(docs, "doc_id", "text").select(*row_key(), "text"), wanted).filter("_needed").drop("_needed")
+    texts = only_needed(require(docs, "doc_id", "text").select(*row_key(), "text"), wanted)
     # Rows that repeat whole (same id, same text) carry the same probes: one is enough.
     if kind.symbols == "words":
 
@@ -269,7 +269,8 @@ def repeated_spans(docs: DataFrame, kind: Windows, judge: Judge, first: bool, ho
         part = part.filter("copies = 1")  # the others are whole
     pairs = F.transform(F.expr("sequence(0, size(spans) div 2 - 1)"), lambda i: F.struct((F.expr(START) + F.get("spans", i * 2)).cast("int").alias("s"), (F.expr(START) + F.get("spans", i * 2 + 1) + (kind.window - 1)).cast("int").alias("e")))
     part = part.select("_id", "_th", F.explode(pairs).alias("x")).select("_id", "_th", "x.s", "x.e")
-    each = whole.unionByName(part).groupBy("_id", "_th").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    # Rows that repeat whole have the same spans: sets are combined in each task, so that they count once.
+    each = whole.unionByName(part).groupBy("_id", "_th").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
     return each.mapInArrow(_united, each.schema)
 
 

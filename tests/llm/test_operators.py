@@ -452,3 +452,26 @@ def test_op1_equals_plain_viterbi(spark, block):
         states = [len(op1.ROLES), *(x[3] for x in path)]
         have = sum(model.step[p, s] + model.emit[x[2], s] for p, s, x in zip(states, states[1:], path, strict=False))
         assert have == plain_viterbi(model, [x[2] for x in path])
+
+
+def test_op6_stage_keeps_cut_characters(spark):
+    rnd = random.Random(4)
+    shared = "".join(rnd.choice("éÖxyz ü€😀") for _ in range(150))
+    texts = [(1, "€1" + shared + "😀 a"), (2, "é2" + shared[1:] + "😂 b"), (3, "alone"), (4, None)]
+    out = {r["doc_id"]: r for r in op6.stage(spark, documents(spark, texts), "").collect()}
+    b = {i: (t or "").encode() for i, t in texts}
+    for i, t in texts:
+        if i > 2:
+            assert out[i]["text"] == t
+            continue
+        other, covered, n = b[3 - i], [False] * len(b[i]), 200
+        for k in range(len(b[i]) - n + 1):
+            if b[i][k : k + n] in other:
+                covered[k : k + n] = [True] * n
+        assert any(covered)
+        want, at = "", 0
+        for c in t:
+            size = len(c.encode())
+            want += "" if all(covered[at : at + size]) else c
+            at += size
+        assert out[i]["text"] == want and out[i]["n_chars"] == len(want)
