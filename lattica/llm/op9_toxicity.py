@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vector as v
-from .common import columns, fresh, require
+from .common import Scratch, columns, fresh, require
 from .levenshtein import EXACT, MISSPELLED, NONE, STEM, LexiconAutomaton
 
 #: Bound of the training sample, in rows, and of the lexicon, in entries.
@@ -149,21 +149,24 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     empty = Model(LexiconAutomaton([], []), np.zeros(0, dtype=np.uint64), np.array([math.log((n1 + 0.5) / (n0 + 0.5)), *[0.0] * len(FEATURES)]) if n1 + n0 else np.array([-5.0, *[0.0] * len(FEATURES)]), [], [])
     if not n1 or not n0:
         return empty
-    words = F.filter(F.split(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), WORD_GAP), lambda w: w != "")
-    near_by = F.transform(F.arrays_zip(F.col("ws").alias("w"), F.concat(F.array(F.lit("")), "ws").alias("l"), F.concat(F.slice("ws", 2, F.size("ws")), F.array(F.lit(""))).alias("r")), lambda x: F.struct(x["w"].alias("w"), F.xxhash64(x["l"], x["r"]).alias("at")))
-    tokens = rows.select("toxic", "doc", words.alias("ws")).filter("size(ws) > 0").select("toxic", "doc", F.explode(F.array_distinct(near_by)).alias("x")).select("toxic", "doc", "x.w", "x.at").filter("w is not null")
-    # For each word the texts it is in, and the pairs of neighbours it has, of each kind.
-    side = lambda key: tokens.select("w", key, "toxic").distinct().groupBy("w").agg(F.sum("toxic").alias(f"t_{key}"), F.sum(1 - F.col("toxic")).alias(f"c_{key}"))
-    counts = side("doc").join(side("at"), "w").select("w", F.least("t_doc", "t_at").alias("t"), F.least("c_doc", "c_at").alias("c"))
+    listed = rows.select("toxic", "doc", F.filter(F.split(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), WORD_GAP), lambda w: w != "").alias("ws"))
+    tokens = Scratch(docs.sparkSession, "toxicity").keep("tokens", listed.select("toxic", "doc", F.explode(F.array_distinct("ws")).alias("w")))
+    counts = tokens.groupBy("w").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
     counts = counts.cache()
     try:
         least = max(4.0, LEAST_G / (2 * math.log((n1 + n0) / n1)) - 1)
-        words = counts.filter((F.col("t") >= least) & (F.col("t") / (F.col("t") + F.col("c")) >= LEAST_SHARE)).orderBy(F.desc("t"), "w").limit(50 * MAX_TERMS).collect()
+        telling = (F.col("t") >= least) & (F.col("t") / (F.col("t") + F.col("c")) >= LEAST_SHARE)
+        likely = counts.filter(telling).orderBy(F.desc("t"), "w").limit(50 * MAX_TERMS)
+        # The pairs of neighbours that such words have, in texts of each kind.
+        zipped = F.arrays_zip(F.col("ws").alias("w"), F.concat(F.array(F.lit("")), "ws").alias("l"), F.concat(F.expr("slice(ws, 2, size(ws))"), F.array(F.lit(""))).alias("r"))
+        pairs = listed.filter("size(ws) > 0").select("toxic", F.explode(zipped).alias("x")).filter("x.w is not null").select("toxic", "x.w", F.xxhash64("x.l", "x.r").alias("at"))
+        pairs = pairs.join(F.broadcast(likely.select("w")), "w").distinct().groupBy("w").agg(F.sum("toxic").alias("t_at"), F.sum(1 - F.col("toxic")).alias("c_at"))
+        words = likely.join(pairs, "w").select("w", F.least("t", "t_at").alias("t"), F.least("c", "c_at").alias("c")).filter(telling).collect()
         # A stem counts once for each set of two or more words with it in one text.
         begins = F.explode(F.expr("transform(sequence(4, least(7, char_length(w))), n -> substring(w, 1, n))")).alias("s")
         long = counts.filter("char_length(w) >= 4").select(begins, "t", "c").groupBy("s").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.count("*").alias("k"))
-        likely = long.filter((F.col("k") >= 4) & (F.col("t") >= 2 * STEM_TEXTS) & (F.col("t") >= F.col("c"))).orderBy(F.desc("t"), "s").limit(50 * MAX_STEMS).select("s")
-        held = tokens.filter("char_length(w) >= 4").select("doc", "toxic", "w").distinct().select("doc", "toxic", "w", begins).join(F.broadcast(likely), "s")
+        stemmed = long.filter((F.col("k") >= 4) & (F.col("t") >= 2 * STEM_TEXTS) & (F.col("t") >= F.col("c"))).orderBy(F.desc("t"), "s").limit(50 * MAX_STEMS).select("s")
+        held = tokens.filter("char_length(w) >= 4").select("doc", "toxic", "w", begins).join(F.broadcast(stemmed), "s")
         held = held.groupBy("s", "doc", "toxic").agg(F.sort_array(F.collect_set("w")).alias("ws")).filter("size(ws) >= 2").select("s", "toxic", F.xxhash64("ws").alias("h")).distinct()
         stems = held.groupBy("s").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).filter((F.col("t") >= STEM_TEXTS) & (F.col("t") / (F.col("t") + F.col("c")) >= STEM_SHARE)).collect()
         chosen_stems: list[str] = []
