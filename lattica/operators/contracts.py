@@ -100,3 +100,10 @@ def assert_same_keys(tables: Sequence[DataFrame], key: str) -> None:
         other = t.select(key).distinct()
         if first.exceptAll(other).limit(1).count() or other.exceptAll(first).limit(1).count():
             raise ContractError(f"tables differ in {key}")
+
+
+def from_composition(df: DataFrame, bin: str, cell: str, share: str, tolerance: float = 1e-4) -> DataFrame:
+    """(bin, cell): the cell with the largest share of each bin, the least of equals; shares of a bin that do not sum to 1 raise."""
+    g = df.groupBy(bin).agg(F.sum(share).alias("_t"), F.max_by(cell, F.struct(F.col(share), -F.col(cell))).alias(cell))
+    wrong = F.raise_error(F.concat(F.lit("shares do not sum to 1 in bin "), F.col(bin).cast("string"))).cast(df.schema[cell].dataType)
+    return g.select(bin, F.when(F.abs(F.col("_t") - 1) <= tolerance, F.col(cell)).otherwise(wrong).alias(cell))

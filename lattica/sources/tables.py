@@ -169,7 +169,7 @@ def read_10x_h5(spark: SparkSession, path: str) -> DataFrame:
 def fingerprints(spark: SparkSession, path: str, limit: int = 8 << 20) -> DataFrame:
     """(path, size, sha256) of files: whole up to the limit, else of the first and last ``limit`` bytes."""
     f = spark.read.format("binaryFile").load(path)
-    part = F.when(F.col("length") <= limit, F.col("content")).otherwise(F.concat(F.substring("content", 1, limit), F.expr(f"substring(content, cast(length as int) - {limit} + 1, {limit})")))
+    part = F.when(F.col("length") <= limit, F.col("content")).otherwise(F.concat(F.substring("content", 1, limit), F.expr(f"substring(content, -{limit}, {limit})")))
     return f.select("path", F.col("length").alias("size"), F.sha2(part, 256).alias("sha256"))
 
 
