@@ -364,7 +364,7 @@ def near_links(docs: DataFrame, sketch: Sketch) -> DataFrame:
     (first, second, third), _ = links_of(classes, docs, sketch, scratch)
     links = first.unionByName(second).unionByName(third).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     side = lambda c: classes.select(F.col("cid").alias(c), F.col("_id").alias(f"{c}_id"))
-    out = cut(links.join(side("a"), "a").join(side("b"), "b").select(F.greatest("a_id", "b_id").alias("a"), F.least("a_id", "b_id").alias("b")))
+    out = cut(links.join(side("a"), "a").join(side("b"), "b").select(F.greatest("a_id", "b_id").alias("a"), F.least("a_id", "b_id").alias("b")).distinct())
     scratch.drop()
     return out
 
