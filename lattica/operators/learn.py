@@ -16,6 +16,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import small
+
 
 def kmeans(points: DataFrame, vector: str, k: int, seed: int = 1, rounds: int = 20) -> tuple[DataFrame, float]:
     """(points with cluster, silhouette)."""
@@ -49,12 +51,12 @@ def merge_small(points: DataFrame, key: str, vector: str, size: int) -> DataFram
     """
     c = points.groupBy(key).agg(F.count("*").alias("n"), F.array(*[F.avg(F.col(vector)[i]) for i in range(size)]).alias("m"))
     c = c.crossJoin(F.broadcast(c.agg(F.percentile("n", F.lit(0.5)).alias("q"))))
-    small, large = c.filter("n < q").select(F.col(key), "m"), c.filter("n >= q").select(F.col(key).alias("to"), F.col("m").alias("t"))
+    few, large = c.filter("n < q").select(F.col(key), "m"), c.filter("n >= q").select(F.col(key).alias("to"), F.col("m").alias("t"))
     d = F.aggregate(F.zip_with("m", "t", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    near = small.crossJoin(F.broadcast(large)).groupBy(key).agg(F.min_by("to", F.struct(F.round(d, 12), F.col("to"))).alias("to"))
-    moved = points.join(F.broadcast(near), key, "left").withColumn("_f", F.coalesce("to", key)).drop("to")
+    near = few.crossJoin(small(large)).groupBy(key).agg(F.min_by("to", F.struct(F.round(d, 12), F.col("to"))).alias("to"))
+    moved = points.join(small(near), key, "left").withColumn("_f", F.coalesce("to", key)).drop("to")
     names = moved.select("_f").distinct().withColumn("cluster", (F.row_number().over(Window.orderBy("_f")) - 1).cast("int"))
-    return moved.join(F.broadcast(names), "_f").drop("_f")
+    return moved.join(small(names), "_f").drop("_f")
 
 
 def gaussian_fit(points: DataFrame, key: str, vector: str, size: int, shrink: float = 0.1) -> list[dict]:

@@ -123,7 +123,7 @@ def quantile_cut(df: DataFrame, value: str, keys: Sequence[str], q: int = 4, out
     probs = [i / q for i in range(q + 1)]
     edges = df.groupBy(*keys).agg(F.percentile(F.col(value), F.array(*[F.lit(p) for p in probs])).alias("_e")) if keys else df.agg(F.percentile(F.col(value), F.array(*[F.lit(p) for p in probs])).alias("_e"))
     edges = edges.withColumn("_e", F.array_distinct("_e"))
-    joined = df.join(F.broadcast(edges), list(keys)) if keys else df.crossJoin(F.broadcast(edges))
+    joined = df.join(edges, list(keys)) if keys else df.crossJoin(F.broadcast(edges))
     below = F.size(F.filter("_e", lambda e: e < F.col(value)))
     return joined.withColumn(out, F.greatest(below - 1, F.lit(0))).drop("_e")
 

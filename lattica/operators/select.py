@@ -6,10 +6,11 @@ import math
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import hash_rank_key
+from .ranked import places
 from .spatial import in_rectangles
 
 
@@ -28,7 +29,7 @@ def quality_filter(counts: DataFrame, least_bins: int, least_counts: int) -> Dat
 
 def relabel(df: DataFrame, score: str, least: float, key: str) -> DataFrame:
     """Rows with enough confidence, numbered 1..n in key order."""
-    return df.filter(F.col(score) >= least).withColumn("label", F.row_number().over(Window.orderBy(key)))
+    return places(df.filter(F.col(score) >= least), F.col(key), "label")
 
 
 def align(df: DataFrame, targets: DataFrame, key: str, order: str) -> DataFrame:

@@ -55,7 +55,7 @@ def stratified(df: DataFrame, stratum: str, key: str, size: int, seed: int) -> D
     c = df.groupBy(stratum).agg(F.count("*").alias("_n"))
     q = c.withColumn("_q", F.greatest(F.lit(1), F.rint(size * F.col("_n") / F.sum("_n").over(Window.partitionBy()).cast("double")).cast("long")))
     w = Window.partitionBy(stratum).orderBy(hash_rank_key(seed, F.col(key)), key)
-    return df.withColumn("_r", F.row_number().over(w)).join(F.broadcast(q.select(stratum, "_q")), stratum).filter("_r <= _q").select(key, stratum)
+    return df.withColumn("_r", F.row_number().over(w)).join(q.select(stratum, "_q"), stratum).filter("_r <= _q").select(key, stratum)
 
 
 def exact_sample(df: DataFrame, key: str, size: int, seed: int) -> DataFrame:

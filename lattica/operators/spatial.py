@@ -42,13 +42,16 @@ def nearest(points: DataFrame, centers: DataFrame, keys: Sequence[str], reach: f
     tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     out, todo, r = None, cut(points.repartition(tasks, *keys)), reach
     rest, centers = list(centers.columns), small(centers, 20_000)
-    for _ in range(limit):
+    for _ in range(1 if centers.isEmpty() else limit):
         hit = cut(radius_join(todo, centers, r).groupBy(*keys).agg(F.min_by(F.struct("d", *rest), F.struct("d", *tie)).alias("_m")).select(*keys, "_m.*"))
         out = hit if out is None else out.unionByName(hit)
         todo = cut(todo.join(hit.select(*keys), list(keys), "left_anti").repartition(tasks, *keys))
         if todo.isEmpty():
             break
         r *= 2
+    else:
+        if not centers.isEmpty():
+            raise RuntimeError(f"points without a center within {r}")
     return out
 
 

@@ -34,7 +34,7 @@ def _steps(a: DataFrame, b: DataFrame, value: str, keys: Sequence[str]) -> DataF
     u = a.select(*keys, value, F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(b.select(*keys, value, F.lit(0).alias("a"), F.lit(1).alias("b")))
     c = u.groupBy(*keys, value).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     totals = c.groupBy(*keys).agg(F.sum("a").cast("double").alias("ta"), F.sum("b").cast("double").alias("tb"))
-    c = c.join(F.broadcast(totals), list(keys)) if keys else c.crossJoin(F.broadcast(totals))
+    c = c.join(totals, list(keys)) if keys else c.crossJoin(F.broadcast(totals))
     w = Window.partitionBy(*keys).orderBy(value)
     up = w.rowsBetween(Window.unboundedPreceding, 0)
     return c.withColumns({"fa": F.sum("a").over(up) / F.col("ta"), "fb": F.sum("b").over(up) / F.col("tb"), "gap": F.lead(value).over(w) - F.col(value)})
@@ -115,12 +115,18 @@ def largest_remainder(df: DataFrame, keys: Sequence[str], weight: str, budget: C
     return d.withColumn(out, (F.col("_f") + (F.col("_r") <= F.col("_left")).cast("long")).cast("long")).drop("_x", "_f", "_left", "_r")
 
 
+#: The most donors whose splits are listed.
+DONORS = 20
+
+
 def donor_splits(totals: dict, least: float) -> list[tuple[tuple, float]]:
-    """Splits of a handful of donors to two sides with the least share on each, best balanced first, then by name.
+    """Splits of a handful of donors (DONORS at most) to two sides with the least share on each, best balanced first, then by name.
 
     ``totals`` is a small aggregate: donors are people, and 2^n masks are listed.
     """
     names = sorted(totals)
+    if len(names) > DONORS:
+        raise ValueError(f"{len(names)} donors have too many splits to list; {DONORS} is the most")
     whole = sum(totals.values())
     out = []
     for mask in itertools.product((False, True), repeat=len(names)):

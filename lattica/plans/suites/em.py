@@ -164,36 +164,13 @@ def _reached(o):
     return roots.join(seeds, ["cell", "root"]).groupBy("cell").agg(F.count("*").alias("reached"))
 
 
-@register(
-    "hard_islands",
-    ctes("grid", "owner_px") + """, o as (select bin, "row" rw, col, cell % 4 cell from grid join owner_px on barcode = bin where "row" < 40),
-e as (select a.bin a, b.bin b from o a join o b on a.cell = b.cell and abs(a.rw - b.rw) <= 1 and abs(a.col - b.col) <= 1 and a.bin <> b.bin),
-rec as (with recursive w(bin, root) using key (bin) as (select bin, bin root from o union select e.b, min(w.root) from w join e on e.a = w.bin join recurring.w r on r.bin = e.b where w.root < r.root group by e.b) select * from w)
-select cell, count(distinct root) as islands, cast(max(n) as bigint) as largest from (select cell, root, count(*) n from rec join o using (bin) group by 1, 2) group by cell""",
-)
+@register("hard_islands")
 def hard_islands(spark, sf_dir):
-    """Eight-connected parts of each owner in the first forty rows, as its SQL; the whole grid is hard_islands_whole."""
-    return _island_sizes(_owned(Tables(spark, sf_dir)).filter("row < 40"))
-
-
-@register("hard_islands_whole")
-def hard_islands_whole(spark, sf_dir):
     """Eight-connected parts of each owner on the whole grid."""
     return _island_sizes(_owned(Tables(spark, sf_dir)))
 
 
-@register(
-    "seed_reachability",
-    ctes("grid", "owner_px") + """, o as (select bin, "row" rw, col, cell % 4 cell from grid join owner_px on barcode = bin where "row" < 40),
-rec as (with recursive w as (select bin, rw, col, cell from (select *, row_number() over (partition by cell order by bin) rn from o) where rn = 1 union select b.bin, b.rw, b.col, b.cell from w join o b on b.cell = w.cell and abs(w.rw - b.rw) <= 1 and abs(w.col - b.col) <= 1) select distinct bin, cell from w)
-select cell, count(*) as reached from rec group by cell""",
-)
+@register("seed_reachability")
 def seed_reachability(spark, sf_dir):
-    """Bins that the seed of a cell (its least bin) reaches in the first forty rows, as its SQL; the whole grid is seed_reachability_whole."""
-    return _reached(_owned(Tables(spark, sf_dir)).filter("row < 40"))
-
-
-@register("seed_reachability_whole")
-def seed_reachability_whole(spark, sf_dir):
     """Bins of the whole grid that the seed of a cell (its least bin) reaches through its own bins: the seed's component."""
     return _reached(_owned(Tables(spark, sf_dir)))

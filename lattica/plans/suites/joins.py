@@ -24,9 +24,9 @@ def matrix_positions_join(spark, sf_dir):
 
 @register("claims_matrix_index", ctes("claims") + ", ix as (select o_orderkey barcode, row_number() over (order by o_orderkey) - 1 idx from orders) select idx, count(*) as claims, min(cell) as first_cell from claims join ix using (barcode) group by idx")
 def claims_matrix_index(spark, sf_dir):
-    """Many claims to one matrix column; the dense index is made once over the key column."""
+    """Many claims to one matrix column; the dense index is made by ranges of the key."""
     t = Tables(spark, sf_dir)
-    ix = t.raw("orders").select(F.col("o_orderkey").alias("barcode")).withColumn("idx", F.row_number().over(Window.orderBy("barcode")) - 1)
+    ix = ranked.places(t.raw("orders").select(F.col("o_orderkey").alias("barcode")), F.col("barcode"), "idx").withColumn("idx", F.col("idx") - 1)
     return contracts.checked_join(t.claims, ix, ["barcode"], "inner", "many_to_one").groupBy("idx").agg(F.count("*").alias("claims"), F.min("cell").alias("first_cell"))
 
 
@@ -57,14 +57,8 @@ def seed_context_cells(spark, sf_dir):
     return spatial.radius_join(seeds, cand, 4.0).select("cell").distinct()
 
 
-@register("barcode_cell_sets", ctes("claims") + " select barcode, count(distinct cell) as n, string_agg(distinct cast(cell as varchar), ',' order by cast(cell as varchar)) as cells from claims where cell < 60 group by barcode")
+@register("barcode_cell_sets", ctes("claims") + " select barcode, count(distinct cell) as n, string_agg(distinct cast(cell as varchar), ',' order by cast(cell as varchar)) as cells from claims group by barcode")
 def barcode_cell_sets(spark, sf_dir):
-    """Claims of cells under 60, as its SQL; all claims are barcode_cell_sets_whole."""
-    return _cell_sets(Tables(spark, sf_dir).claims.filter("cell < 60"))
-
-
-@register("barcode_cell_sets_whole", ctes("claims") + " select barcode, count(distinct cell) as n, string_agg(distinct cast(cell as varchar), ',' order by cast(cell as varchar)) as cells from claims group by barcode")
-def barcode_cell_sets_whole(spark, sf_dir):
     return _cell_sets(Tables(spark, sf_dir).claims)
 
 
@@ -126,15 +120,8 @@ def gene_type_moments(spark, sf_dir):
     return a.select("gene", "type", R6(F.col("a"), "mean_a"), R6(F.col("b"), "mean_b"), R6(F.col("va") - F.col("vb"), "var_gap"))
 
 
-@register("local_patch_cap", ctes("centers") + ", p as (select a.cell target, b.cell, a.cell <> b.cell other, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) d from centers a join centers b on (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 2500 where a.cell % 5 = 0) select target, cell, r as place from (select *, row_number() over (partition by target order by other, round(d, 9), cell) r from p) where r <= 6")
+@register("local_patch_cap", ctes("centers") + ", p as (select a.cell target, b.cell, a.cell <> b.cell other, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) d from centers a join centers b on (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 2500) select target, cell, r as place from (select *, row_number() over (partition by target order by other, round(d, 9), cell) r from p) where r <= 6")
 def local_patch_cap(spark, sf_dir):
-    """Every fifth cell as target, as its SQL; all cells are local_patch_cap_whole."""
-    t = Tables(spark, sf_dir)
-    return _local_patch(t, t.centers.filter("cell % 5 = 0"))
-
-
-@register("local_patch_cap_whole", ctes("centers") + ", p as (select a.cell target, b.cell, a.cell <> b.cell other, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) d from centers a join centers b on (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 2500) select target, cell, r as place from (select *, row_number() over (partition by target order by other, round(d, 9), cell) r from p) where r <= 6")
-def local_patch_cap_whole(spark, sf_dir):
     t = Tables(spark, sf_dir)
     return _local_patch(t, t.centers)
 

@@ -175,8 +175,8 @@ def profile_block_crossfit(spark, sf_dir):
     own = t.owners("px").join(t.counts, F.col("barcode") == F.col("bin")).join(t.grid, "bin")
     own = own.select("cell", maths.block_id(F.col("x"), 64).alias("bx"), maths.block_id(F.col("y"), 64).alias("by"), "gene", F.col("n").cast("double").alias("n"))
     # Blocks are few next to the bins: number them apart and join back.
-    folds = own.select("bx", "by").distinct().withColumn("fold", F.row_number().over(Window.orderBy("by", "bx")) - 1)
-    folded = own.join(F.broadcast(folds), ["bx", "by"]).groupBy("cell", "fold", "gene").agg(F.sum("n").alias("n"))
+    folds = ranked.places(own.select("bx", "by").distinct(), F.struct("by", "bx"), "fold").withColumn("fold", F.col("fold") - 1)
+    folded = own.join(small(folds), ["bx", "by"]).groupBy("cell", "fold", "gene").agg(F.sum("n").alias("n"))
     profile = folded.groupBy("cell", "gene").agg(F.sum("n").alias("n"))
     left = lk.leave_one_out(profile, folded, keys=("fold",))
     rows = left.join(folded.groupBy("cell").agg(F.sum("n").alias("t")), "cell").join(folded.groupBy("cell", "fold").agg(F.sum("n").alias("ot")), ["cell", "fold"])

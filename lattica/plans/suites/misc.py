@@ -12,7 +12,7 @@ from ..bindings import Tables, ctes
 from ..catalog import register
 from .likelihood import THETA_SQL, theta_of
 from .spatial import NEAR, PATCHES, R6, centers, patches
-from .statistics import METHODS, V8, VALL, components, methods, vectors, whole_vectors
+from .statistics import METHODS, VALL, components, methods, whole_vectors
 
 
 @register("context_bins", ctes("grid") + "," + PATCHES + " select count(*) as bins, round(sum(x), 3) as sx, round(sum(y), 3) as sy from grid where exists (select 1 from patches where patch % 3 = 0 and x between x0 and x1 and y between y0 and y1)")
@@ -48,7 +48,7 @@ def first_seen_ids(spark, sf_dir):
     """Distinct normalised ids in the order of first occurrence."""
     li = Tables(spark, sf_dir).raw("lineitem")
     r = li.groupBy(ids.normalize_cell_id(F.col("l_suppkey").cast("double").cast("string")).alias("id")).agg(F.min(F.col("l_orderkey") * 1000 + F.col("l_linenumber")).alias("f"))
-    return r.select("id", F.row_number().over(Window.orderBy("f", "id")).alias("place"))
+    return ranked.places(r, F.struct("f", "id")).select("id", "place")
 
 
 @register("best_variant", f"with {METHODS}, s as (select method, split, score, row_number() over (partition by split order by score desc, method) rn from m) select split, method, score from s where rn = 1")
@@ -74,7 +74,7 @@ def head_and_tail(spark, sf_dir):
 @register("nulls_last_order", "with m as (select c_custkey id, case when c_custkey % 7 = 0 then null else c_acctbal end v from customer) select id, row_number() over (order by v nulls last, id) as place from m")
 def nulls_last_order(spark, sf_dir):
     c = Tables(spark, sf_dir).raw("customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 7 != 0, F.col("c_acctbal")).alias("v"))
-    return c.select("id", F.row_number().over(Window.orderBy(F.col("v").asc_nulls_last(), "id")).alias("place"))
+    return ranked.places(c, F.struct(F.col("v").isNull().alias("null"), "v", "id")).select("id", "place")
 
 
 @register("float_keyed_point", "select a as alpha, b as beta, n from (select p_size % 5 * 0.1::double a, p_size % 3 * 0.25::double b, count(*) n from part group by 1, 2) where abs(a - 0.3) <= 1e-9 and abs(b - 0.5) <= 1e-9")
@@ -91,14 +91,8 @@ def separated_points(spark, sf_dir):
     return select.separated(c, "cell", ["tile"], 12.0, 5)
 
 
-@register("padded_batches", "with s as (select c_nationkey k, list(c_acctbal order by c_custkey) v from customer where c_custkey % 4 = 0 group by 1), m as (select max(len(v)) m from s) select k as key, m as width, len(v) as used, round(list_sum(v), 4) as total from s, m")
+@register("padded_batches", "with s as (select c_nationkey k, list(c_acctbal order by c_custkey) v from customer group by 1), m as (select max(len(v)) m from s) select k as key, m as width, len(v) as used, round(list_sum(v), 4) as total from s, m")
 def padded_batches(spark, sf_dir):
-    """Every fourth customer, as its SQL; all customers are padded_batches_whole."""
-    return _padded(Tables(spark, sf_dir).raw("customer").filter("c_custkey % 4 = 0"))
-
-
-@register("padded_batches_whole", "with s as (select c_nationkey k, list(c_acctbal order by c_custkey) v from customer group by 1), m as (select max(len(v)) m from s) select k as key, m as width, len(v) as used, round(list_sum(v), 4) as total from s, m")
-def padded_batches_whole(spark, sf_dir):
     return _padded(Tables(spark, sf_dir).raw("customer"))
 
 
@@ -123,18 +117,8 @@ def projective_points(spark, sf_dir):
     return c.select("cell", R6(u, "u"), R6(v, "v"))
 
 
-@register("dimension_cosines", f"with {V8}, u as (select vec_id, i, e[i] x from v, range(1, 9) r(i)) select cast(a.i as integer) as a, cast(b.i as integer) as b, round(sum(a.x * b.x) / (sqrt(sum(a.x * a.x)) * sqrt(sum(b.x * b.x))), 6) as cosine from u a join u b using (vec_id) where a.i < b.i group by 1, 2")
+@register("dimension_cosines", f"with {VALL}, u as (select vec_id, i, e[i] x from v, unnest(range(1, len(e) + 1)) r(i)) select cast(a.i as integer) as a, cast(b.i as integer) as b, round(sum(a.x * b.x) / (sqrt(sum(a.x * a.x)) * sqrt(sum(b.x * b.x))), 6) as cosine from u a join u b using (vec_id) where a.i < b.i group by 1, 2")
 def dimension_cosines(spark, sf_dir):
-    """Column-wise cosines of the first eight components, as its SQL, from one aggregate of products; all components are dimension_cosines_whole."""
-    v = vectors(Tables(spark, sf_dir))
-    e = lambda i: F.col("e")[i]
-    sums = v.agg(*[F.sum(e(i) * e(j)).alias(f"s{i}_{j}") for i in range(8) for j in range(i, 8)])
-    cells = F.array(*[F.struct(F.lit(i + 1).alias("a"), F.lit(j + 1).alias("b"), (F.col(f"s{i}_{j}") / (F.sqrt(f"s{i}_{i}") * F.sqrt(f"s{j}_{j}"))).alias("c")) for i in range(8) for j in range(i + 1, 8)])
-    return sums.select(F.explode(cells).alias("x")).select("x.a", "x.b", R6(F.col("x.c"), "cosine"))
-
-
-@register("dimension_cosines_whole", f"with {VALL}, u as (select vec_id, i, e[i] x from v, unnest(range(1, len(e) + 1)) r(i)) select cast(a.i as integer) as a, cast(b.i as integer) as b, round(sum(a.x * b.x) / (sqrt(sum(a.x * a.x)) * sqrt(sum(b.x * b.x))), 6) as cosine from u a join u b using (vec_id) where a.i < b.i group by 1, 2")
-def dimension_cosines_whole(spark, sf_dir):
     """Column-wise cosines of all components: each adds its products with all, so that no aggregate holds every pair."""
     v = whole_vectors(Tables(spark, sf_dir))
     size = components(v)

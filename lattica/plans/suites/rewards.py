@@ -138,16 +138,8 @@ def smooth_depth_field(spark, sf_dir):
     return simulate.smooth_field(Tables(spark, sf_dir).grid.select("row", "col"), 1.5, 8).select("row", "col", F.round("field", 6).alias("field"))
 
 
-@register("molecule_transport", ctes("counts", "grid") + ', g as (select gene, cast(sum(n) as bigint) n from counts join grid using (bin) where "row" < 24 group by 1) select gene, n from g')
+@register("molecule_transport", ctes("counts", "grid") + " select gene, cast(sum(n) as bigint) as n from counts join grid using (bin) group by 1")
 def molecule_transport(spark, sf_dir):
-    """Gene totals of the first 24 rows, as its SQL, after transport; the whole grid is molecule_transport_whole."""
-    t = Tables(spark, sf_dir)
-    c = t.counts.join(t.grid.filter("row < 24"), "bin").select("row", "col", "gene", "n")
-    return simulate.transport(c, 6, 0.3, 1.0).groupBy("gene").agg(F.sum("n").alias("n"))
-
-
-@register("molecule_transport_whole", ctes("counts", "grid") + " select gene, cast(sum(n) as bigint) as n from counts join grid using (bin) group by 1")
-def molecule_transport_whole(spark, sf_dir):
     """Gene totals after the transport of all counts are those before it."""
     t = Tables(spark, sf_dir)
     c = t.counts.join(t.grid, "bin").select("row", "col", "gene", "n")

@@ -102,14 +102,8 @@ def first_last_per_key(spark, sf_dir):
     return a.join(b, "key")
 
 
-@register("normalize_ids", "with i as (select 0 o, cast(o_orderkey as varchar) t from orders where o_orderkey < 200 union all select 1, cast(o_orderkey as varchar) || '.0' from orders where o_orderkey < 200 union all select 2, '  ' || cast(o_orderkey as varchar) || ' ' from orders where o_orderkey < 200 union all select 3, '' union all select 4, 'NaN' union all select 5, '12.5') select o as form, t as raw, case when trim(t) = '' or lower(trim(t)) in ('nan', 'none', 'null') then null when regexp_matches(trim(t), '^[+-]?[0-9]+\\.0+$') then regexp_extract(trim(t), '^([+-]?[0-9]+)\\.0+$', 1) else trim(t) end as id from i".replace("\\\\", "\\"))
+@register("normalize_ids", "with i as (select 0 o, cast(o_orderkey as varchar) t from orders union all select 1, cast(o_orderkey as varchar) || '.0' from orders union all select 2, '  ' || cast(o_orderkey as varchar) || ' ' from orders union all select 3, '' union all select 4, 'NaN' union all select 5, '12.5') select o as form, t as raw, case when trim(t) = '' or lower(trim(t)) in ('nan', 'none', 'null') then null when regexp_matches(trim(t), '^[+-]?[0-9]+\\.0+$') then regexp_extract(trim(t), '^([+-]?[0-9]+)\\.0+$', 1) else trim(t) end as id from i".replace("\\\\", "\\"))
 def normalize_ids(spark, sf_dir):
-    """Orders under 200, as its SQL; all orders are normalize_ids_whole."""
-    return _id_forms(spark, Tables(spark, sf_dir).raw("orders").filter("o_orderkey < 200"))
-
-
-@register("normalize_ids_whole", "with i as (select 0 o, cast(o_orderkey as varchar) t from orders union all select 1, cast(o_orderkey as varchar) || '.0' from orders union all select 2, '  ' || cast(o_orderkey as varchar) || ' ' from orders union all select 3, '' union all select 4, 'NaN' union all select 5, '12.5') select o as form, t as raw, case when trim(t) = '' or lower(trim(t)) in ('nan', 'none', 'null') then null when regexp_matches(trim(t), '^[+-]?[0-9]+\\.0+$') then regexp_extract(trim(t), '^([+-]?[0-9]+)\\.0+$', 1) else trim(t) end as id from i".replace("\\\\", "\\"))
-def normalize_ids_whole(spark, sf_dir):
     return _id_forms(spark, Tables(spark, sf_dir).raw("orders"))
 
 
@@ -140,15 +134,8 @@ def cell_lists_json(spark, sf_dir):
     return j.select("region", "cells", F.size(ids.cell_list(F.col("cells"))).cast("long").alias("n"))
 
 
-@register("natural_order", "with k as (select case when c_custkey % 3 = 0 then 'c' || c_custkey else cast(c_custkey as varchar) end id from customer where c_custkey < 300) select id, row_number() over (order by not regexp_matches(id, '^[0-9]+$'), try_cast(id as bigint) nulls first, id) as place from k")
+@register("natural_order", "with k as (select case when c_custkey % 3 = 0 then 'c' || c_custkey else cast(c_custkey as varchar) end id from customer) select id, row_number() over (order by not regexp_matches(id, '^[0-9]+$'), try_cast(id as bigint) nulls first, id) as place from k")
 def natural_order(spark, sf_dir):
-    """Customers under 300, as its SQL; all customers are natural_order_whole."""
-    k = Tables(spark, sf_dir).raw("customer").filter("c_custkey < 300").select(F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("c"), "c_custkey")).otherwise(F.col("c_custkey").cast("string")).alias("id"))
-    return k.withColumn("place", F.row_number().over(Window.orderBy(ids.natural_key(F.col("id")))))
-
-
-@register("natural_order_whole", "with k as (select case when c_custkey % 3 = 0 then 'c' || c_custkey else cast(c_custkey as varchar) end id from customer) select id, row_number() over (order by not regexp_matches(id, '^[0-9]+$'), try_cast(id as bigint) nulls first, id) as place from k")
-def natural_order_whole(spark, sf_dir):
     k = Tables(spark, sf_dir).raw("customer").select(F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("c"), "c_custkey")).otherwise(F.col("c_custkey").cast("string")).alias("id"))
     return ranked.places(k, ids.natural_key(F.col("id")))
 
@@ -217,15 +204,8 @@ def set_operations(spark, sf_dir):
     return names.join(rows, "part", "left").select("part", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
-@register("union_missing_columns", "select n_nationkey as id, n_name as name, null::bigint as size from nation union all select p_partkey, null, p_size from part where p_partkey < 50")
+@register("union_missing_columns", "select n_nationkey as id, n_name as name, null::bigint as size from nation union all select p_partkey, null, p_size from part")
 def union_missing_columns(spark, sf_dir):
-    """Parts under 50, as its SQL; all parts are union_missing_columns_whole."""
-    t = Tables(spark, sf_dir)
-    return _nations_and_parts(t, t.raw("part").filter("p_partkey < 50"))
-
-
-@register("union_missing_columns_whole", "select n_nationkey as id, n_name as name, null::bigint as size from nation union all select p_partkey, null, p_size from part")
-def union_missing_columns_whole(spark, sf_dir):
     t = Tables(spark, sf_dir)
     return _nations_and_parts(t, t.raw("part"))
 
@@ -251,14 +231,8 @@ def split_by_position(spark, sf_dir):
     return c.select(F.col("c_custkey").alias("id"), F.when(rn <= 10, "calibration").when(rn <= 20, "validation").otherwise("test").alias("split"))
 
 
-@register("patch_json_bundle", ctes("pairs") + ", p as (select barcode % 16 patch, barcode, cell, px from pairs where barcode < 400) select patch, count(*) as n, cast(sum(px) as bigint) as px from p group by 1")
+@register("patch_json_bundle", ctes("pairs") + ", p as (select barcode % 16 patch, barcode, cell, px from pairs) select patch, count(*) as n, cast(sum(px) as bigint) as px from p group by 1")
 def patch_json_bundle(spark, sf_dir):
-    """Barcodes under 400, as its SQL; all barcodes are patch_json_bundle_whole."""
-    return _json_bundle(Tables(spark, sf_dir).pairs.filter("barcode < 400"))
-
-
-@register("patch_json_bundle_whole", ctes("pairs") + ", p as (select barcode % 16 patch, barcode, cell, px from pairs) select patch, count(*) as n, cast(sum(px) as bigint) as px from p group by 1")
-def patch_json_bundle_whole(spark, sf_dir):
     return _json_bundle(Tables(spark, sf_dir).pairs)
 
 

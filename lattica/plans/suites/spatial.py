@@ -38,13 +38,15 @@ def nearest_other_nucleus(spark, sf_dir):
     others = centers(t).select(F.col("cell").alias("other"), "cx", "cy")
     # The own centre is at distance 0: take the nearest two of other ids by doubling the reach.
     out, todo, reach = None, t.centers.select("cell", "x", "y"), 16.0
+    span = t.centers.agg((F.max("x") - F.min("x") + F.max("y") - F.min("y")).alias("s")).first()["s"] or 0.0
     while True:
         hit = spatial.radius_join(todo, others, reach, F.col("other") != F.col("cell")).groupBy("cell").agg(F.min_by(F.struct("other", "d"), F.struct("d", "other")).alias("m")).select("cell", "m.*")
         out = hit if out is None else out.unionByName(hit)
         todo = todo.join(hit.select("cell"), "cell", "left_anti")
-        reach *= 2
-        if reach > 1024 or todo.isEmpty():
+        # Beyond the extent only a single centre is left without another one.
+        if reach > span or todo.isEmpty():
             return out.select("cell", "other", R6(F.col("d"), "d"))
+        reach *= 2
 
 
 @register("typed_neighbour_weights", ctes("centers") + ", p as (select a.cell, b.type, exp(-((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) / 200.0) w from centers a join centers b on (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 900) select cell, type, round(sum(w) / sum(sum(w)) over (partition by cell), 6) as weight from p group by cell, type")
@@ -64,16 +66,8 @@ def k_nearest_mean(spark, sf_dir):
     return k.groupBy("bin").agg(F.count("*").alias("n"), R6(F.sum(F.col("radius") * w) / F.sum(w), "smoothed"))
 
 
-@register("nearest_center_assignment", ctes("grid", "centers") + ", g as (select * from grid where bin % 10 = 0 and y < 240), p as (select bin, cell, sqrt((g.x - c.x) * (g.x - c.x) + (g.y - c.y) * (g.y - c.y)) d from g cross join centers c) select bin, cell, round(d, 6) as d from (select *, row_number() over (partition by bin order by d, cell) rn from p) where rn = 1")
+@register("nearest_center_assignment")
 def nearest_center_assignment(spark, sf_dir):
-    """Every tenth bin with y < 240, as its SQL, to the nearest centre; all bins with counts are nearest_center_assignment_whole."""
-    t = Tables(spark, sf_dir)
-    bins = t.grid.filter("bin % 10 = 0 and y < 240").select("bin", "x", "y")
-    return spatial.nearest(bins, centers(t).select("cell", "cx", "cy"), ["bin"], 16.0, [F.col("cell")]).select("bin", "cell", R6(F.col("d"), "d"))
-
-
-@register("nearest_center_assignment_whole")
-def nearest_center_assignment_whole(spark, sf_dir):
     """Every bin with counts to its nearest centre, however far."""
     t = Tables(spark, sf_dir)
     counted = t.counts.groupBy("bin").agg(F.sum("n").alias("n")).filter("n > 0").select("bin")
@@ -265,4 +259,4 @@ def distance_band_summary(spark, sf_dir):
 def top_cell_order(spark, sf_dir):
     """Stable sort by mixed keys, made total by the id."""
     c = Tables(spark, sf_dir).centers
-    return c.select("cell", F.row_number().over(Window.orderBy(F.desc("type"), "x", "cell")).alias("place"))
+    return ranked.places(c, F.struct((-F.col("type")).alias("t"), "x", "cell")).select("cell", "place")

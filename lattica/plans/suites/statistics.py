@@ -185,14 +185,6 @@ def largest_remainder(spark, sf_dir):
     return stats.largest_remainder(w, ["bin"], "w", F.lit(10), ["cell"]).select("bin", "cell", "share")
 
 
-V8 = "v as (select vec_id, label, [cast(x as double) for x in embedding[1:8]] e from embeddings)"
-
-
-def vectors(t: Tables):
-    """The first eight components, as V8."""
-    return whole_vectors(t).withColumn("e", F.slice("e", 1, 8))
-
-
 VALL = "v as (select vec_id, label, [cast(x as double) for x in embedding] e from embeddings)"
 
 
@@ -208,20 +200,10 @@ def components(v) -> int:
 
 @register(
     "gaussian_mixture_score",
-    f"""with {V8}, m as (select label, i, avg(e[i]) mu, greatest(var_pop(e[i]), 1e-6) s from v, range(1, 9) r(i) group by 1, 2), p as (select label, count(*) / (select count(*) from v)::double p from v group by 1),
-l as (select v.vec_id, m.label, -0.5 * sum((e[i] - mu) * (e[i] - mu) / s + ln(s) + ln(2 * pi())) g from v cross join m group by 1, 2), z as (select vec_id, max(ln(p) + g) mx, max(ln(p) + g) + ln(sum(exp(ln(p) + g - mm))) ls from (select *, max(ln(p) + g) over (partition by vec_id) mm from l join p using (label)) group by vec_id) select vec_id, round(mx, 5) as best, round(ls, 5) as mixture from z""",
-)
-def gaussian_mixture_score(spark, sf_dir):
-    """Over the first eight components, as its SQL; all components are gaussian_mixture_score_whole."""
-    return _mixture(vectors(Tables(spark, sf_dir)), 8)
-
-
-@register(
-    "gaussian_mixture_score_whole",
     f"""with {VALL}, m as (select label, i, avg(e[i]) mu, greatest(var_pop(e[i]), 1e-6) s from v, unnest(range(1, len(e) + 1)) r(i) group by 1, 2), p as (select label, count(*) / (select count(*) from v)::double p from v group by 1),
 l as (select v.vec_id, m.label, -0.5 * sum((e[i] - mu) * (e[i] - mu) / s + ln(s) + ln(2 * pi())) g from v cross join m group by 1, 2), z as (select vec_id, max(ln(p) + g) mx, max(ln(p) + g) + ln(sum(exp(ln(p) + g - mm))) ls from (select *, max(ln(p) + g) over (partition by vec_id) mm from l join p using (label)) group by vec_id) select vec_id, round(mx, 5) as best, round(ls, 5) as mixture from z""",
 )
-def gaussian_mixture_score_whole(spark, sf_dir):
+def gaussian_mixture_score(spark, sf_dir):
     v = whole_vectors(Tables(spark, sf_dir))
     return _mixture(v, components(v))
 
@@ -238,14 +220,8 @@ def _mixture(v, size: int):
     return both.select("vec_id", F.round("b", 5).alias("best"), F.round("m", 5).alias("mixture"))
 
 
-@register("shape_zscore", f"with {V8}, u as (select vec_id, i, e[i] x from v, range(1, 9) r(i)), s as (select i, avg(x) mu, greatest(stddev_pop(x), 1e-8) sd from u group by 1) select vec_id, round(max(abs((x - mu) / sd)), 5) as most, round(avg(least(greatest((x - mu) / sd, -2.5), 2.5)), 5) as mean_clipped from u join s using (i) group by vec_id")
+@register("shape_zscore", f"with {VALL}, u as (select vec_id, i, e[i] x from v, unnest(range(1, len(e) + 1)) r(i)), s as (select i, avg(x) mu, greatest(stddev_pop(x), 1e-8) sd from u group by 1) select vec_id, round(max(abs((x - mu) / sd)), 5) as most, round(avg(least(greatest((x - mu) / sd, -2.5), 2.5)), 5) as mean_clipped from u join s using (i) group by vec_id")
 def shape_zscore(spark, sf_dir):
-    """Over the first eight components, as its SQL; all components are shape_zscore_whole."""
-    return _zscore(vectors(Tables(spark, sf_dir)), 8)
-
-
-@register("shape_zscore_whole", f"with {VALL}, u as (select vec_id, i, e[i] x from v, unnest(range(1, len(e) + 1)) r(i)), s as (select i, avg(x) mu, greatest(stddev_pop(x), 1e-8) sd from u group by 1) select vec_id, round(max(abs((x - mu) / sd)), 5) as most, round(avg(least(greatest((x - mu) / sd, -2.5), 2.5)), 5) as mean_clipped from u join s using (i) group by vec_id")
-def shape_zscore_whole(spark, sf_dir):
     v = whole_vectors(Tables(spark, sf_dir))
     return _zscore(v, components(v))
 
@@ -260,22 +236,11 @@ def _zscore(v, size: int):
 
 @register(
     "small_cluster_merge",
-    f"""with {V8}, c as (select *, label * 7 + vec_id % 7 k from v), n as (select k, count(*) n, [avg(e[1]), avg(e[2]), avg(e[3]), avg(e[4])] m from c group by 1), q as (select quantile_cont(n, 0.5) q from n),
-d as (select a.k, b.k t, (a.m[1] - b.m[1]) ** 2 + (a.m[2] - b.m[2]) ** 2 + (a.m[3] - b.m[3]) ** 2 + (a.m[4] - b.m[4]) ** 2 d from n a, n b, q where a.n < q and b.n >= q), g as (select k, t from (select *, row_number() over (partition by k order by round(d, 12), t) rn from d) where rn = 1),
-f as (select coalesce(t, c.k) f from c left join g using (k)) select cast(dense_rank() over (order by f) - 1 as integer) as cluster, count(*) as n from f group by f""",
-)
-def small_cluster_merge(spark, sf_dir):
-    """Over the first four components, as its SQL; all components are small_cluster_merge_whole."""
-    return _merged(vectors(Tables(spark, sf_dir)).withColumn("e", F.slice("e", 1, 4)), 4)
-
-
-@register(
-    "small_cluster_merge_whole",
     f"""with {VALL}, c as (select *, label * 7 + vec_id % 7 k from v), n as (select k, count(*) n from c group by 1), q as (select quantile_cont(n, 0.5) q from n), m as (select k, i, avg(e[i]) x from c, unnest(range(1, len(e) + 1)) r(i) group by 1, 2),
 d as (select a.k, b.k t, sum((ma.x - mb.x) ** 2) d from n a, n b, q, m ma, m mb where a.n < q and b.n >= q and ma.k = a.k and mb.k = b.k and ma.i = mb.i group by 1, 2), g as (select k, t from (select *, row_number() over (partition by k order by round(d, 12), t) rn from d) where rn = 1),
 f as (select coalesce(t, c.k) f from c left join g using (k)) select cast(dense_rank() over (order by f) - 1 as integer) as cluster, count(*) as n from f group by f""",
 )
-def small_cluster_merge_whole(spark, sf_dir):
+def small_cluster_merge(spark, sf_dir):
     v = whole_vectors(Tables(spark, sf_dir))
     return _merged(v, components(v))
 

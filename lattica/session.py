@@ -1,7 +1,11 @@
-"""Spark session with the settings that the engine expects."""
+"""Spark session with the settings that the engine expects, and the engine's code on executors."""
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -22,4 +26,13 @@ def session(name: str = "lattica", master: str | None = None, **conf: str) -> Sp
     } | conf
     for k, v in settings.items():
         b = b.config(k, v)
-    return b.getOrCreate()
+    return ship(b.getOrCreate())
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send the package to the executors of a cluster that do not have it; local tasks share the driver's."""
+    if not spark.sparkContext.master.startswith("local["):
+        root = Path(__file__).resolve().parent
+        with tempfile.TemporaryDirectory() as folder:
+            spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/lattica", "zip", root.parent, root.name))
+    return spark

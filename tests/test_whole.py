@@ -1,4 +1,4 @@
-"""Whole-table queries against brute force, on tables larger than the cut that their SQL namesakes have."""
+"""Queries over whole tables against brute force, on tables that reach past any strip or prefix."""
 
 from __future__ import annotations
 
@@ -42,9 +42,9 @@ def test_islands_and_reach_cover_the_whole_grid(spark):
     assert max(own) // 128 > 40
     sizes = pd.DataFrame({"cell": own, "root": root}).groupby(["cell", "root"]).size()
     want = {(c, len(s), int(s.max())) for c, s in sizes.groupby("cell")}
-    assert {tuple(r) for r in catalog.queries()["hard_islands_whole"](spark, SF).collect()} == want
+    assert {tuple(r) for r in catalog.queries()["hard_islands"](spark, SF).collect()} == want
     reach = {(c, int(s.loc[c, root[min(b for b in own if own[b] == c)]])) for c, s in sizes.groupby("cell")}
-    assert {tuple(r) for r in catalog.queries()["seed_reachability_whole"](spark, SF).collect()} == reach
+    assert {tuple(r) for r in catalog.queries()["seed_reachability"](spark, SF).collect()} == reach
 
 
 def test_every_bin_with_counts_gets_its_nearest_centre(spark):
@@ -57,7 +57,7 @@ def test_every_bin_with_counts_gets_its_nearest_centre(spark):
     dx = (bins % 128 * 2.0)[:, None] - (cells * 37 % 128 * 2.0 + 0.5)
     dy = (bins // 128 * 2.0)[:, None] - (cells * 61 % 97 * 2.0 + 0.25)
     d = np.sqrt(dx * dx + dy * dy)
-    got = catalog.queries()["nearest_center_assignment_whole"](spark, SF).toPandas().sort_values("bin")
+    got = catalog.queries()["nearest_center_assignment"](spark, SF).toPandas().sort_values("bin")
     assert got.bin.tolist() == bins.tolist()
     assert got.cell.tolist() == cells[d.argmin(axis=1)].tolist()
     assert np.allclose(got.d, d.min(axis=1), atol=1e-6)
@@ -89,7 +89,7 @@ def test_transport_moves_the_counts_of_the_whole_grid(spark):
     li = li[li.l_orderkey.isin(orders)]
     assert li.l_orderkey.max() // 128 > 24
     want = li.l_quantity.astype("int64").groupby(li.l_partkey % 50).sum().to_dict()
-    assert {r["gene"]: r["n"] for r in catalog.queries()["molecule_transport_whole"](spark, SF).collect()} == want
+    assert {r["gene"]: r["n"] for r in catalog.queries()["molecule_transport"](spark, SF).collect()} == want
 
 
 def test_whole_table_queries_equal_their_sql_on_larger_tables(spark):
@@ -101,9 +101,8 @@ def test_whole_table_queries_equal_their_sql_on_larger_tables(spark):
     for t in ("nation", "customer", "orders", "part", "lineitem", "supplier"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     for name in ("normalize_ids", "natural_order", "union_missing_columns", "patch_json_bundle", "barcode_cell_sets", "padded_batches", "local_patch_cap"):
-        rows = rows_of(catalog.queries()[f"{name}_whole"](spark, SF))
-        assert rows == rows_of_sql(con, catalog.oracle_sql()[f"{name}_whole"])[1]
-        assert rows != rows_of_sql(con, catalog.oracle_sql()[name])[1]
+        rows = rows_of(catalog.queries()[name](spark, SF))
+        assert rows == rows_of_sql(con, catalog.oracle_sql()[name])[1]
 
 
 def test_points_that_differ_in_late_components_only_are_told_apart(spark, tmp_path):
@@ -123,58 +122,5 @@ def test_points_that_differ_in_late_components_only_are_told_apart(spark, tmp_pa
     got = q["pca_scores"](spark, str(tmp_path)).toPandas().sort_values("vec_id")[["pc1", "pc2", "pc3"]].to_numpy()
     assert value[-1] > 1 and np.allclose(got, want, atol=1e-4)
     z = np.abs(centred / np.maximum(e.std(axis=0), 1e-8)).max(axis=1)
-    assert np.allclose(q["shape_zscore_whole"](spark, str(tmp_path)).toPandas().sort_values("vec_id").most, z, atol=1e-5)
-    assert q["dimension_cosines_whole"](spark, str(tmp_path)).count() == 64 * 63 // 2
-
-
-def test_near_pairs_connect_what_brute_force_connects(spark):
-    import random
-    from itertools import combinations
-
-    from lattica.llm import op5_fingerprints as op5
-
-    rnd = random.Random(3)
-    base = [f"w{i}" for i in range(300)]
-
-    def changed(words, places):
-        return [f"x{rnd.random()}" if i in places else w for i, w in enumerate(words)]
-
-    docs = []
-    for g in range(2):
-        own = [f"g{g}{w}" for w in base]
-        # Forty least ids that are under the threshold of the two near copies, and stand in every band of theirs.
-        docs += [(g * 100 + k, " ".join(changed(own, set(rnd.sample(range(300), 9))))) for k in range(40)]
-        docs += [(g * 100 + 50 + k, " ".join(changed(own, {100 * k + 50}))) for k in range(2)]
-    # One id with two near texts, and equal rows.
-    docs += [(1, docs[1][1] + " end"), docs[3], docs[3]]
-    nodes = sorted(set(docs))
-    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in nodes]
-    sig = op5.signatures([t.encode() for _, t in nodes]).reshape(len(nodes), -1, op5.BAND)
-    near = {(j, i): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i, j in combinations(range(len(nodes)), 2) if (sig[i] == sig[j]).all(axis=1).any()}
-
-    def groups(links):
-        root = {i: i for i, _ in nodes}
-
-        def top(x):
-            while root[x] != x:
-                x = root[x]
-            return x
-
-        for a, b in links:
-            root[max(top(a), top(b))] = min(top(a), top(b))
-        return {i: top(i) for i in root}
-
-    wanted = {(nodes[i][0], nodes[j][0]) for (i, j), s in near.items() if s >= 0.8}
-    star = set()
-    for band in range(sig.shape[1]):
-        first = {}
-        for i in range(len(nodes)):
-            j = first.setdefault(sig[i, band].tobytes(), i)
-            if j != i and near[i, j] >= 0.8:
-                star.add((nodes[i][0], nodes[j][0]))
-    assert groups(star) != groups(wanted)
-    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    got = op5.near_pairs(frame).collect()
-    assert groups([(r["a"], r["b"]) for r in got]) == groups(wanted)
-    assert {(r["a"], r["b"]) for r in got} <= wanted and (1, 1) in {(r["a"], r["b"]) for r in got}
-    assert len(got) == len(set(got))
+    assert np.allclose(q["shape_zscore"](spark, str(tmp_path)).toPandas().sort_values("vec_id").most, z, atol=1e-5)
+    assert q["dimension_cosines"](spark, str(tmp_path)).count() == 64 * 63 // 2
