@@ -12,8 +12,8 @@ on full sets (``near.py``).  ``near_id`` is the least doc_id of the documents
 that links at 0.8 or more reach.
 
 The edited text of a document needs the next document in order of doc_id and
-text hash.  Texts are shuffled once, by ranges of that order, and sorted; a task
-pairs each document with the one after it.  The last document of a range waits
+text hash.  Texts are shuffled once, by ranges of that order in two passes, and
+sorted; a task pairs each document with the one after it.  The last document of a range waits
 for the first of the next range: a row or two for each task.  Rows that repeat
 whole go as one row with their number, so neither a null nor a common id fills
 one range.
@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -172,16 +173,24 @@ def _fingerprints(docs: DataFrame) -> DataFrame:
     asked = marked.filter("_needed").join(equal, ["_id", "_th"], "left")
     once = asked.filter("copies is not null").groupBy("_id", "_th").agg(F.first("copies").alias("copies"), F.first("text").alias("text"))
     single = marked.filter("not _needed").unionByName(asked.filter("copies is null").drop("copies")).select("_id", "_th", F.lit(1).cast("long").alias("copies"), "text")
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = single.unionByName(once).repartitionByRange(ranges, "_id", "_th").sortWithinPartitions("_id", "_th", "text")
-    rows = scratch.keep("rows", ordered.mapInArrow(_walk, _ROW))
+    every = single.unionByName(once)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Two passes, under the median id and over it, so that only half of the texts are on disk as shuffle files at a time.
+    middle = base.approxQuantile("_id", [0.5], 0.05)
+    parts = [F.col("_id") <= int(middle[0]), F.col("_id") > int(middle[0])] if middle else [F.lit(True)]
+
+    def walked(i: int) -> DataFrame:
+        ordered = every.filter(parts[i]).repartitionByRange(tasks, "_id", "_th").sortWithinPartitions("_id", "_th", "text")
+        return scratch.keep(f"rows-{i}", ordered.mapInArrow(_walk, _ROW))
+
+    rows = reduce(DataFrame.unionByName, [walked(i) for i in range(len(parts))])
     scratch.drop("equal")
     # Two rows for each range: the last document of one is followed by the first of the next.
     edges = rows.filter("edge is not null").select("_id", "_th", "edge", "text")
     later = Window.orderBy("_id", "_th", "edge").rowsBetween(1, Window.unboundedFollowing)
-    every = Window.orderBy("_id", "_th", "edge").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    all_rows = Window.orderBy("_id", "_th", "edge").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     head = F.when(F.col("edge") == 0, F.col("text"))
-    waiting = edges.withColumn("following", F.coalesce(F.first(head, ignorenulls=True).over(later), F.first(head, ignorenulls=True).over(every))).filter("edge = 1")
+    waiting = edges.withColumn("following", F.coalesce(F.first(head, ignorenulls=True).over(later), F.first(head, ignorenulls=True).over(all_rows))).filter("edge = 1")
     closed = waiting.select("_id", "_th", "text", "following").mapInArrow(_close, _ROW)
     done = rows.filter("edge is null").unionByName(closed).drop("edge", "text")
     # Rows that repeat are spread in two steps, so that no row holds a list of all.
