@@ -85,6 +85,16 @@ def _registers(column: pa.Array, sketch: Sketch) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(-1, sketch.registers)
 
 
+def set_digests(g: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """uint64 [row, 2]: a 128-bit digest of each row's set of shingles; zeros for an empty set."""
+    out = np.zeros((len(bounds) - 1, 2), dtype=_U)
+    with np.errstate(over="ignore"):
+        for j, salt in enumerate(v.splitmix(2, 34)):
+            p = v.prefix_sums(v.mix(g ^ salt))
+            out[:, j] = v.span_hash(p, bounds[:-1], bounds[1:])
+    return out
+
+
 def sets_of(docs: DataFrame, sketch: Sketch) -> DataFrame:
     """(_id, _th, n, node, sig): per row the set size, a 128-bit digest of the set, and the registers."""
 
@@ -93,11 +103,7 @@ def sets_of(docs: DataFrame, sketch: Sketch) -> DataFrame:
             for lo, raw, offsets in v.blocks(batch.column(2)):
                 n = len(offsets) - 1
                 g, bounds = v.shingle_sets(raw, offsets, sketch.shingle)
-                node = np.zeros((n, 2), dtype=_U)
-                with np.errstate(over="ignore"):
-                    for j, salt in enumerate(v.splitmix(2, 34)):
-                        p = v.prefix_sums(v.mix(g ^ salt))
-                        node[:, j] = v.span_hash(p, bounds[:-1], bounds[1:])
+                node = set_digests(g, bounds)
                 sig = sketch.sign(g, bounds)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), pa.array(np.diff(bounds).astype(np.int64)), _fixed(node, 16), _fixed(sig, 2 * sketch.registers)], names=["_id", "_th", "n", "node", "sig"])
 
@@ -369,16 +375,20 @@ def near_links(docs: DataFrame, sketch: Sketch) -> DataFrame:
     return out
 
 
-def near_components(docs: DataFrame, sketch: Sketch) -> DataFrame:
-    """(_id, _th, n_shingles, component): one row per row of docs; component is the least _id of those that links reach, null without shingles."""
-    scratch = Scratch(docs.sparkSession, "near")
-    rows = scratch.keep("rows", sets_of(docs, sketch))
+def components_of_sets(rows: DataFrame, docs: DataFrame, sketch: Sketch, scratch: Scratch) -> DataFrame:
+    """(node, component) for each set among rows (_id, _th, n, node, sig) of docs; component is the least _id of the rows that links reach."""
     classes = classes_of(rows, scratch)
     _, found = links_of(classes, docs, sketch, scratch)
     named = _with_label(classes.select("cid", "node", "_id"), found)
     least = named.groupBy("label").agg(F.min("_id").alias("component"))
-    named = named.join(least, "label").select("node", "component")
-    out = rows.select("_id", "_th", "n", "node").join(named, "node", "left")
+    return named.join(least, "label").select("node", "component")
+
+
+def near_components(docs: DataFrame, sketch: Sketch) -> DataFrame:
+    """(_id, _th, n_shingles, component): one row per row of docs; component is the least _id of those that links reach, null without shingles."""
+    scratch = Scratch(docs.sparkSession, "near")
+    rows = scratch.keep("rows", sets_of(docs, sketch))
+    out = rows.select("_id", "_th", "n", "node").join(components_of_sets(rows, docs, sketch, scratch), "node", "left")
     out = cut(out.select("_id", "_th", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).alias("component")))
     scratch.drop()
     return out

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from . import near
 from . import vector as v
-from .common import NULL_ID, Scratch, mark_needed, require, row_key
+from .common import NULL_ID, Scratch, cut, mark_needed, require, row_key
 
 PERMUTATIONS = 128
 SHINGLE = 5
@@ -90,6 +90,17 @@ def signatures(texts: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
     return out
 
 
+def described(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sizes, digests, signatures) of the shingle sets of texts."""
+    sizes, digests = np.zeros(len(texts), dtype=np.int64), np.zeros((len(texts), 2), dtype=_U)
+    sigs = np.zeros((len(texts), PERMUTATIONS), dtype=np.uint16)
+    for lo, raw, offsets in v.blocks(pa.array(texts, type=pa.large_binary())):
+        g, bounds = v.shingle_sets(raw, offsets, SHINGLE)
+        here = slice(lo, lo + len(offsets) - 1)
+        sizes[here], digests[here], sigs[here] = np.diff(bounds), near.set_digests(g, bounds), sign(g, bounds)
+    return sizes, digests, sigs
+
+
 def edited(text: str, following: str) -> str:
     """text with its last quarter (rounded down) replaced by as many first characters of the next text."""
     k = len(text) // 4
@@ -97,7 +108,7 @@ def edited(text: str, following: str) -> str:
 
 
 #: Finished rows have no edge and stand for ``copies`` rows; the first (0) and the last (1) document of a range come with their text.
-_ROW = "_id long, _th long, copies long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double, edge int, text string"
+_ROW = "_id long, _th long, copies long, n long, node binary, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double, edge int, text string"
 _ARROW = pa.schema([(n, {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64()}[t]) for n, t in (c.split() for c in _ROW.split(", "))])
 #: Documents whose Python strings are held at once, and rows that one row is repeated to in a step.
 _ROWS, _REPEAT = 512, 10_000
@@ -108,7 +119,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _pairs(keys: list[tuple], texts: list[str], nexts: list[str], sigs: np.ndarray, next_sigs: np.ndarray) -> list[tuple]:
-    """Finished rows of documents (keys: _id, _th, copies) and those that follow them."""
+    """Finished rows of documents (keys: _id, _th, copies, size and digest of the set) and those that follow them."""
     made = [edited(a, b).encode() for a, b in zip(texts, nexts, strict=True)]
     after = signatures(made)
     near_edited, near_next = likeness(sigs, after).tolist(), likeness(sigs, next_sigs).tolist()
@@ -127,17 +138,18 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hi = max(lo + 1, min(hi, lo + _ROWS))
             keys = list(zip(*(batch.column(i).slice(lo, hi - lo).to_pylist() for i in range(3)), strict=True))
             strings = [t or "" for t in texts.slice(lo, hi - lo).to_pylist()]
-            sigs = signatures([t.encode() for t in strings])
+            sizes, digests, sigs = described([t.encode() for t in strings])
+            keys = [(*k, n_set, d.tobytes()) for k, n_set, d in zip(keys, sizes.tolist(), digests, strict=True)]
             out = [] if held else [(*keys[0], *[None] * 6, 0, strings[0])]
             # All but the last of equal rows are followed by their own text.
             some = [i for i, k in enumerate(keys) if k[2] > 1]
             if some:
                 own = [strings[i] for i in some]
-                out += _pairs([(*keys[i][:2], keys[i][2] - 1) for i in some], own, own, sigs[some], sigs[some])
+                out += _pairs([(*keys[i][:2], keys[i][2] - 1, *keys[i][3:]) for i in some], own, own, sigs[some], sigs[some])
             if held:
                 keys, strings, sigs = [held[0], *keys], [held[1], *strings], np.concatenate((held[2][None, :], sigs))
             if len(keys) > 1:
-                out += _pairs([(*k[:2], 1) for k in keys[:-1]], strings[:-1], strings[1:], sigs[:-1], sigs[1:])
+                out += _pairs([(*k[:2], 1, *k[3:]) for k in keys[:-1]], strings[:-1], strings[1:], sigs[:-1], sigs[1:])
             held = (keys[-1], strings[-1], sigs[-1])
             yield _batch(out)
             lo = hi
@@ -146,11 +158,11 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (_id, _th, text, following) to finished rows."""
+    """Rows (_id, _th, n, node, text, following) to finished rows."""
     for batch in batches:
-        ids, ths, texts, nexts = (batch.column(i).to_pylist() for i in range(4))
+        ids, ths, sizes, digests, texts, nexts = (batch.column(i).to_pylist() for i in range(6))
         sigs, after = (signatures([t.encode() for t in x]) for x in (texts, nexts))
-        yield _batch(_pairs([(i, t, 1) for i, t in zip(ids, ths, strict=True)], texts, nexts, sigs, after))
+        yield _batch(_pairs([(i, t, 1, n, d) for i, t, n, d in zip(ids, ths, sizes, digests, strict=True)], texts, nexts, sigs, after))
 
 
 def _hexadecimal(df: DataFrame) -> DataFrame:
@@ -159,11 +171,12 @@ def _hexadecimal(df: DataFrame) -> DataFrame:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next): one row for each of docs (doc_id, text)."""
-    return _hexadecimal(_fingerprints(docs)).drop("_id", "_th")
+    return _hexadecimal(_spread(_fingerprints(docs)).drop("_id", "_th", "n", "node"))
 
 
 def _fingerprints(docs: DataFrame) -> DataFrame:
-    """The table of ``fingerprints`` with _id and _th, digests and fingerprints as bytes."""
+    """(_id, _th, copies, n, node, n_chars, ...): the table of ``fingerprints`` before rows that repeat are spread, with the
+    size and the digest of each set of shingles; digests and fingerprints as bytes."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "fingerprints")
     base = require(docs, "doc_id", "text").select(*row_key(), "text")
@@ -186,17 +199,21 @@ def _fingerprints(docs: DataFrame) -> DataFrame:
     rows = reduce(DataFrame.unionByName, [walked(i) for i in range(len(parts))])
     scratch.drop("equal")
     # Two rows for each range: the last document of one is followed by the first of the next.
-    edges = rows.filter("edge is not null").select("_id", "_th", "edge", "text")
+    edges = rows.filter("edge is not null").select("_id", "_th", "n", "node", "edge", "text")
     later = Window.orderBy("_id", "_th", "edge").rowsBetween(1, Window.unboundedFollowing)
     all_rows = Window.orderBy("_id", "_th", "edge").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     head = F.when(F.col("edge") == 0, F.col("text"))
     waiting = edges.withColumn("following", F.coalesce(F.first(head, ignorenulls=True).over(later), F.first(head, ignorenulls=True).over(all_rows))).filter("edge = 1")
-    closed = waiting.select("_id", "_th", "text", "following").mapInArrow(_close, _ROW)
-    done = rows.filter("edge is null").unionByName(closed).drop("edge", "text")
-    # Rows that repeat are spread in two steps, so that no row holds a list of all.
+    closed = waiting.select("_id", "_th", "n", "node", "text", "following").mapInArrow(_close, _ROW)
+    return rows.filter("edge is null").unionByName(closed).drop("edge", "text")
+
+
+def _spread(done: DataFrame) -> DataFrame:
+    """Each row of done as many times as its ``copies`` say, which go, and its doc_id; in two steps, so that no row holds a list of all."""
     many = done.filter("copies > 1").withColumn("_block", F.explode(F.expr(f"sequence(0, (copies - 1) div {_REPEAT})")))
     many = many.withColumn("_one", F.explode(F.expr(f"sequence(1, least({_REPEAT}, copies - _block * {_REPEAT}))"))).drop("_block", "_one")
-    return done.filter("copies = 1").unionByName(many).select(F.nullif("_id", F.lit(NULL_ID)).alias("doc_id"), *[F.col(c) for c in done.columns[3:]], "_id", "_th")
+    every = done.filter("copies = 1").unionByName(many)
+    return every.select(F.nullif("_id", F.lit(NULL_ID)).alias("doc_id"), *[F.col(c) for c in done.columns if c not in ("_id", "_th", "copies")], "_id", "_th")
 
 
 def sketch(shingle: int = SHINGLE, percent: int = 80) -> near.Sketch:
@@ -219,8 +236,15 @@ def near_groups(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE) -> D
     return near.near_components(docs, sketch(shingle, percent))
 
 
+OUTPUT = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     docs = require(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
-    groups = near_groups(docs).groupBy("_id", "_th").agg(F.min("component").alias("component"))
-    out = _fingerprints(docs).join(groups, ["_id", "_th"], "left")
-    return _hexadecimal(out).select(*[c for c in out.columns if c[0] != "_" and c != "component"], F.nullif(F.coalesce("component", "_id"), F.lit(NULL_ID)).alias("near_id"))
+    done = _fingerprints(docs)
+    scratch = Scratch(spark, "near")
+    # The fingerprints serve as signatures of the sets, so texts are not signed a second time.
+    groups = cut(near.components_of_sets(done.select("_id", "_th", "n", "node", F.col("fingerprint").alias("sig")), docs, sketch(), scratch))
+    scratch.drop()
+    out = _spread(done).join(groups, "node", "left")
+    return _hexadecimal(out.select(*OUTPUT, F.nullif(F.coalesce("component", "_id"), F.lit(NULL_ID)).alias("near_id")))
