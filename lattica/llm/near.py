@@ -325,7 +325,7 @@ def _joined(found: DataFrame, links: DataFrame, scratch: Scratch, name: str) ->
 
 def links_of(classes: DataFrame, docs: DataFrame, sketch: Sketch, scratch: Scratch) -> tuple[list[DataFrame], DataFrame]:
     """Tables (a, b) of confirmed links between classes (cid, _id, _th, n, sig), which together connect all that the bands
-    and the threshold connect; and the components (a, root) that they make."""
+    and the threshold connect; and the components (a, root) that they make.  The written table of classes is deleted on the way."""
     percent = sketch.percent
     busy = scratch.keep("busy", _band_keys(classes, sketch).groupBy("key").agg(F.count("*").alias("k")).filter("k >= 2"))
     member = scratch.keep("member", only_needed(_band_keys(classes, sketch), busy, "key").join(busy, "key"))
@@ -335,7 +335,7 @@ def links_of(classes: DataFrame, docs: DataFrame, sketch: Sketch, scratch: Scrat
     # Of the texts only those of such classes are shuffled, once; rows that repeat whole are one class.
     texts = only_needed(require(docs, "doc_id", "text").select(*row_key(), "text"), live).dropDuplicates(["_id", "_th"])
     live = scratch.keep("live", live.join(texts, ["_id", "_th"]).select("cid", "n", "score", "sig", "text"))
-    scratch.drop("busy", "named")
+    scratch.drop("busy", "named", "classes")
     member = member.select("key", "cid", "n")
     first = _verified(_hubs(member.join(middle, "cid").withColumn("label", F.col("cid")), percent), live, sketch, scratch, "first")
     found = roots(first, scratch, "first-roots")
@@ -367,9 +367,10 @@ def near_links(docs: DataFrame, sketch: Sketch) -> DataFrame:
     """(a, b): confirmed links between the least _id of two different sets, a >= b.  They connect all near copies; copies of one set are not listed."""
     scratch = Scratch(docs.sparkSession, "near")
     classes = classes_of(sets_of(docs, sketch), scratch)
+    named = scratch.keep("ids", classes.select("cid", "_id"))
     (first, second, third), _ = links_of(classes, docs, sketch, scratch)
     links = first.unionByName(second).unionByName(third).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    side = lambda c: classes.select(F.col("cid").alias(c), F.col("_id").alias(f"{c}_id"))
+    side = lambda c: named.select(F.col("cid").alias(c), F.col("_id").alias(f"{c}_id"))
     out = cut(links.join(side("a"), "a").join(side("b"), "b").select(F.greatest("a_id", "b_id").alias("a"), F.least("a_id", "b_id").alias("b")).distinct())
     scratch.drop()
     return out
@@ -378,8 +379,10 @@ def near_links(docs: DataFrame, sketch: Sketch) -> DataFrame:
 def components_of_sets(rows: DataFrame, docs: DataFrame, sketch: Sketch, scratch: Scratch) -> DataFrame:
     """(node, component) for each set among rows (_id, _th, n, node, sig) of docs; component is the least _id of the rows that links reach."""
     classes = classes_of(rows, scratch)
+    # What is needed at the end, without the registers.
+    named = scratch.keep("nodes", classes.select("cid", "node", "_id"))
     _, found = links_of(classes, docs, sketch, scratch)
-    named = _with_label(classes.select("cid", "node", "_id"), found)
+    named = _with_label(named, found)
     least = named.groupBy("label").agg(F.min("_id").alias("component"))
     return named.join(least, "label").select("node", "component")
 
