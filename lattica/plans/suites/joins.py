@@ -38,11 +38,11 @@ def annotation_first_kept(spark, sf_dir):
     return t.raw("supplier").select(F.col("s_suppkey").alias("cell")).join(first, "cell", "left")
 
 
-@register("gene_overlap_order", "with a as (select p_brand g, min(p_partkey) i from part where p_partkey % 2 = 0 group by 1), b as (select p_brand g, min(p_partkey) j from part where p_size > 20 group by 1) select g as gene, i as left_index, j as right_index, row_number() over (order by i) - 1 as place from a join b using (g)")
+@register("gene_overlap_order", "with a as (select p_brand g, min(p_partkey) i from part group by 1), b as (select p_brand g, min(p_partkey) j from part where p_size > 20 group by 1) select g as gene, i as left_index, j as right_index, row_number() over (order by i) - 1 as place from a join b using (g)")
 def gene_overlap_order(spark, sf_dir):
     """Shared names with the first index on either side; the left order is kept."""
     p = Tables(spark, sf_dir).raw("part")
-    a = p.filter("p_partkey % 2 = 0").groupBy(F.col("p_brand").alias("gene")).agg(F.min("p_partkey").alias("left_index"))
+    a = p.groupBy(F.col("p_brand").alias("gene")).agg(F.min("p_partkey").alias("left_index"))
     b = p.filter("p_size > 20").groupBy(F.col("p_brand").alias("gene")).agg(F.min("p_partkey").alias("right_index"))
     return a.join(b, "gene").withColumn("place", F.row_number().over(Window.orderBy("left_index")) - 1)
 
@@ -100,11 +100,11 @@ def same_bin_competitors(spark, sf_dir):
     return j.groupBy("barcode", "cell").agg(F.count_if(near).alias("rivals"), F.coalesce(F.max(F.when(near, F.col("o_px"))), F.lit(0)).alias("best_rival"))
 
 
-@register("zero_filled_overlap", ctes("owner_px", "owner_price") + ", g as (select cell, count(*) n from owner_px group by 1), h as (select cell, count(*) n from owner_price where barcode % 3 = 0 group by 1) select s_suppkey as cell, coalesce(g.n, 0) as gt, coalesce(h.n, 0) as generated, least(coalesce(g.n, 0), coalesce(h.n, 0)) as shared from supplier left join g on g.cell = s_suppkey left join h on h.cell = s_suppkey")
+@register("zero_filled_overlap", ctes("owner_px", "owner_price") + ", g as (select cell, count(*) n from owner_px group by 1), h as (select cell, count(*) n from owner_price group by 1) select s_suppkey as cell, coalesce(g.n, 0) as gt, coalesce(h.n, 0) as generated, least(coalesce(g.n, 0), coalesce(h.n, 0)) as shared from supplier left join g on g.cell = s_suppkey left join h on h.cell = s_suppkey")
 def zero_filled_overlap(spark, sf_dir):
     t = Tables(spark, sf_dir)
     g = t.owners("px").groupBy("cell").agg(F.count("*").alias("gt"))
-    h = t.owners("price").filter("barcode % 3 = 0").groupBy("cell").agg(F.count("*").alias("generated"))
+    h = t.owners("price").groupBy("cell").agg(F.count("*").alias("generated"))
     j = g.join(t.raw("supplier").select(F.col("s_suppkey").alias("cell")), "cell", "right").join(h, "cell", "left").fillna(0, ["gt", "generated"])
     return j.withColumn("shared", F.least("gt", "generated"))
 

@@ -15,11 +15,11 @@ from .spatial import NEAR, PATCHES, R6, centers, patches
 from .statistics import METHODS, VALL, components, methods, whole_vectors
 
 
-@register("context_bins", ctes("grid") + "," + PATCHES + " select count(*) as bins, round(sum(x), 3) as sx, round(sum(y), 3) as sy from grid where exists (select 1 from patches where patch % 3 = 0 and x between x0 and x1 and y between y0 and y1)")
+@register("context_bins", ctes("grid") + "," + PATCHES + " select count(*) as bins, round(sum(x), 3) as sx, round(sum(y), 3) as sy from grid where exists (select 1 from patches where x between x0 and x1 and y between y0 and y1)")
 def context_bins(spark, sf_dir):
     """A bin stays when it is inside at least one patch."""
     g = Tables(spark, sf_dir).grid.select("bin", "x", "y")
-    kept = select.in_any_rectangle(g, patches(spark).filter("patch % 3 = 0"), "patch", 64.0, ["bin"])
+    kept = select.in_any_rectangle(g, patches(spark), "patch", 64.0, ["bin"])
     return kept.agg(F.count("*").alias("bins"), F.round(F.sum("x"), 3).alias("sx"), F.round(F.sum("y"), 3).alias("sy"))
 
 
@@ -182,11 +182,11 @@ def two_value_pivot(spark, sf_dir):
     return p.select("split", F.col("BUILDING_m").alias("b_max"), zero("BUILDING_n").alias("b_n"), F.col("HOUSEHOLD_m").alias("h_max"), zero("HOUSEHOLD_n").alias("h_n"))
 
 
-@register("neighbour_ring", ctes("grid", "owner_px") + ', o as (select "row" rw, col from grid join owner_px on barcode = bin where cell % 9 = 0) select count(*) as ring from (select distinct rw + i rw, col + j col from o, (select unnest([-1, 0, 1]) i), (select unnest([-1, 0, 1]) j) except select rw, col from o)')
+@register("neighbour_ring", ctes("grid", "owner_px") + ', o as (select "row" rw, col from grid join owner_px on barcode = bin) select count(*) as ring from (select distinct rw + i rw, col + j col from o, (select unnest([-1, 0, 1]) i), (select unnest([-1, 0, 1]) j) except select rw, col from o)')
 def neighbour_ring(spark, sf_dir):
     """Coordinates next to a set and not in it."""
     t = Tables(spark, sf_dir)
-    o = t.grid.join(t.owners("px").filter("cell % 9 = 0").select(F.col("barcode").alias("bin")), "bin").select("row", "col")
+    o = t.grid.join(t.owners("px").select(F.col("barcode").alias("bin")), "bin").select("row", "col")
     steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in spatial.EIGHT])
     near = o.withColumn("s", F.explode(steps)).select((F.col("row") + F.col("s.i")).alias("row"), (F.col("col") + F.col("s.j")).alias("col")).distinct()
     return near.join(o, ["row", "col"], "left_anti").agg(F.count("*").alias("ring"))

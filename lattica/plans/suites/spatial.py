@@ -219,19 +219,19 @@ def parse_barcodes(spark, sf_dir):
     return g.select("bin", "barcode", row.alias("row"), col.alias("col"), ids.notebook_bin(F.col("barcode"))[0].alias("nb_x"))
 
 
-@register("crop_region", ctes("grid", "owner_px") + ', k as (select g.* from grid g join owner_px on barcode = bin where cell % 2 = 0), b as (select min("row") r0, max("row") + 1 r1, min(col) c0, max(col) + 1 c1 from k where "row" >= 10 and col between 16 and 95) select bin, "row" - r0 as crop_row, col - c0 as crop_col from k, b where "row" >= r0 and "row" < r1 and col >= c0 and col < c1')
+@register("crop_region", ctes("grid", "owner_px") + ', k as (select g.* from grid g join owner_px on barcode = bin), b as (select min("row") r0, max("row") + 1 r1, min(col) c0, max(col) + 1 c1 from k where "row" >= 10 and col between 16 and 95) select bin, "row" - r0 as crop_row, col - c0 as crop_col from k, b where "row" >= r0 and "row" < r1 and col >= c0 and col < c1')
 def crop_region(spark, sf_dir):
     """Half-open box around selected in-tissue bins; rows move to crop coordinates."""
     t = Tables(spark, sf_dir)
-    k = t.grid.join(t.owners("px").filter("cell % 2 = 0").select(F.col("barcode").alias("bin")), "bin")
+    k = t.grid.join(t.owners("px").select(F.col("barcode").alias("bin")), "bin")
     b = k.filter("row >= 10 and col between 16 and 95").agg(F.min("row").alias("r0"), (F.max("row") + 1).alias("r1"), F.min("col").alias("c0"), (F.max("col") + 1).alias("c1"))
     return k.crossJoin(F.broadcast(b)).filter("row >= r0 and row < r1 and col >= c0 and col < c1").select("bin", (F.col("row") - F.col("r0")).alias("crop_row"), (F.col("col") - F.col("c0")).alias("crop_col"))
 
 
-@register("grid_step_and_runs", ctes("grid", "owner_px") + ', o as (select "row" rw, col from grid join owner_px on barcode = bin where cell % 3 = 0), s as (select rw, col, case when col - lag(col) over (partition by rw order by col) = 1 then 0 else 1 end n from o) select rw as row, cast(sum(n) as bigint) as runs, count(*) as bins from s group by rw')
+@register("grid_step_and_runs", ctes("grid", "owner_px") + ', o as (select "row" rw, col from grid join owner_px on barcode = bin), s as (select rw, col, case when col - lag(col) over (partition by rw order by col) = 1 then 0 else 1 end n from o) select rw as row, cast(sum(n) as bigint) as runs, count(*) as bins from s group by rw')
 def grid_step_and_runs(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    o = t.grid.join(t.owners("px").filter("cell % 3 = 0").select(F.col("barcode").alias("bin")), "bin").select("row", "col")
+    o = t.grid.join(t.owners("px").select(F.col("barcode").alias("bin")), "bin").select("row", "col")
     return ranked.runs(o, ["row"], "col").groupBy("row").agg(F.max("run").cast("long").alias("runs"), F.count("*").alias("bins"))
 
 
