@@ -47,11 +47,11 @@ def gene_overlap_order(spark, sf_dir):
     return a.join(b, "gene").withColumn("place", F.row_number().over(Window.orderBy("left_index")) - 1)
 
 
-@register("seed_context_cells", ctes("grid", "centers", "pairs") + "," + NEAR + ", cand as (select distinct bin from near where cell % 10 = 0), seeds as (select cell, x, y from pairs join grid on barcode = bin where px >= 40), c as (select x, y from cand join grid using (bin)) select distinct s.cell as cell from seeds s join c on c.x between s.x - 4 and s.x + 4 and c.y between s.y - 4 and s.y + 4 where (s.x - c.x) ** 2 + (s.y - c.y) ** 2 <= 16")
+@register("seed_context_cells", ctes("grid", "centers", "pairs") + "," + NEAR + ", cand as (select distinct bin from near), seeds as (select cell, x, y from pairs join grid on barcode = bin where px >= 40), c as (select x, y from cand join grid using (bin)) select distinct s.cell as cell from seeds s join c on c.x between s.x - 4 and s.x + 4 and c.y between s.y - 4 and s.y + 4 where (s.x - c.x) ** 2 + (s.y - c.y) ** 2 <= 16")
 def seed_context_cells(spark, sf_dir):
     """Cells with a nuclear bin within reach of a candidate bin."""
     t = Tables(spark, sf_dir)
-    near = spatial.radius_join(t.grid.select("bin", "x", "y"), centers(t), 20.0).filter("cell % 10 = 0").select("bin").distinct()
+    near = spatial.radius_join(t.grid.select("bin", "x", "y"), centers(t), 20.0).select("bin").distinct()
     cand = near.join(t.grid, "bin").select(F.col("x").alias("cx"), F.col("y").alias("cy"))
     seeds = t.pairs.filter("px >= 40").join(t.grid, F.col("barcode") == F.col("bin")).select("cell", "x", "y")
     return spatial.radius_join(seeds, cand, 4.0).select("cell").distinct()
