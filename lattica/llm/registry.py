@@ -13,6 +13,8 @@ from . import (
     op8_main_text,
     op9_toxicity,
     op10_source_mix,
+    op11_ranked_search,
+    op13_shards,
 )
 
 QUERIES = {
@@ -26,10 +28,14 @@ QUERIES = {
     "op8_main_text": op8_main_text.query,
     "op9_toxicity": op9_toxicity.query,
     "op10_source_mix": op10_source_mix.query,
+    "op11_ranked_search": op11_ranked_search.query,
+    "op13_shards": op13_shards.query,
 }
 
 #: The others are tested against brute force, exact round trips or held-out accuracy.
 ORACLES: dict[str, str] = {
     "op4_license_scan": op4_license_scan.ORACLE,
     "op10_source_mix": op10_source_mix.ORACLE,
+    "op11_ranked_search": op11_ranked_search.ORACLE,
+    "op13_shards": op13_shards.ORACLE,
 }
