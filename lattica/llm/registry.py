@@ -14,6 +14,7 @@ from . import (
     op9_toxicity,
     op10_source_mix,
     op11_ranked_search,
+    op12_spelling,
     op13_shards,
 )
 
@@ -29,6 +30,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity.query,
     "op10_source_mix": op10_source_mix.query,
     "op11_ranked_search": op11_ranked_search.query,
+    "op12_spelling": op12_spelling.query,
     "op13_shards": op13_shards.query,
 }
 
@@ -37,5 +39,6 @@ ORACLES: dict[str, str] = {
     "op4_license_scan": op4_license_scan.ORACLE,
     "op10_source_mix": op10_source_mix.ORACLE,
     "op11_ranked_search": op11_ranked_search.ORACLE,
+    "op12_spelling": op12_spelling.ORACLE,
     "op13_shards": op13_shards.ORACLE,
 }
