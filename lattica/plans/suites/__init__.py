@@ -1,3 +1,3 @@
 """Query suites; importing this package registers them all."""
 
-from . import em, evaluation, joins, likelihood, misc, online, profiles, rewards, sequences, spatial, statistics, streams  # noqa: F401
+from . import em, evaluation, joins, likelihood, misc, online, polygons, profiles, rewards, sequences, spatial, statistics, streams  # noqa: F401
