@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import hash_rank_key
+from .lineage import cut
 from .ranked import places
-from .spatial import in_rectangles
+from .spatial import in_rectangles, radius_join
 
 
 def in_any_rectangle(points: DataFrame, rectangles: DataFrame, key: str, tile: float, ids: Sequence[str]) -> DataFrame:
@@ -40,22 +41,25 @@ def align(df: DataFrame, targets: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def separated(df: DataFrame, key: str, group: Sequence[str], distance: float, seed: int) -> DataFrame:
-    """Greedy choice in hash order: a point stays when none that stayed is within the distance.
+    """Greedy choice in hash order: a point (key, x, y) stays when none of its group that stayed is nearer than the distance.
 
-    Sequential inside a group; groups are tiles or patches of bounded size.
+    Exactly the points of that sequential rule, found in rounds over pairs of
+    near points: a point without an undecided earlier neighbour stays, and what is
+    near it goes.  Ranks are random, so rounds are few, and no group is one task.
     """
-    schema = df.schema
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple[float, float]] = []
-        rows = []
-        for i, r in enumerate(pdf.sort_values(["_h", key]).itertuples(index=False)):
-            if all(math.hypot(r.x - a, r.y - b) >= distance for a, b in kept):
-                kept.append((r.x, r.y))
-                rows.append(i)
-        return pdf.sort_values(["_h", key]).iloc[rows].drop(columns="_h")
-
-    return df.withColumn("_h", hash_rank_key(seed, F.col(key))).groupBy(*group).applyInPandas(run, schema)
+    ranked = df.select(*group, F.col(key).alias("_k"), "x", "y", hash_rank_key(seed, F.col(key)).alias("_h"))
+    later = ranked.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_k").alias("_k2"), F.col("_h").alias("_h2"), F.col("x").alias("cx"), F.col("y").alias("cy"))
+    same = [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)]
+    before = (F.col("_h") < F.col("_h2")) | ((F.col("_h") == F.col("_h2")) & (F.col("_k") < F.col("_k2")))
+    pairs = cut(radius_join(ranked, later, distance, reduce(and_, same, before & (F.col("d") < distance))).select(F.col("_k").alias("a"), F.col("_k2").alias("b")))
+    gone = []
+    while not pairs.isEmpty():
+        free = pairs.select("a").distinct().join(pairs.select(F.col("b").alias("a")), "a", "left_anti")
+        lost = cut(pairs.join(free, "a", "left_semi").select("b").distinct())
+        gone.append(lost)
+        pairs = cut(pairs.join(lost, "b", "left_anti").join(lost.select(F.col("b").alias("a")), "a", "left_anti").select("a", "b"))
+    dropped = reduce(DataFrame.unionByName, gone) if gone else pairs.select("b")
+    return df.join(dropped.select(F.col("b").alias(key)), key, "left_anti").select(*df.columns)
 
 
 def close_to(columns: dict[str, float], tolerance: float = 1e-9) -> Column:

@@ -84,7 +84,18 @@ def float_keyed_point(spark, sf_dir):
     return g.filter(select.close_to({"alpha": 0.3, "beta": 0.5}))
 
 
-@register("separated_points")
+#: The rule as it is said, one point after the other: a row for each tile and step, with the points that stayed.
+SEPARATED = ctes("centers").replace("with ", "with recursive ", 1) + """,
+ranked as (select cell, x, y, floor(x / 64) tile, row_number() over (partition by floor(x / 64) order by sha256('5:' || cell), cell) r from centers),
+walk as (select tile, cast(0 as bigint) r, cast([] as struct(cell bigint, x double, y double)[]) kept from (select distinct tile from ranked)
+  union all select walk.tile, ranked.r, case when len(list_filter(kept, lambda k: sqrt((k.x - ranked.x) ** 2 + (k.y - ranked.y) ** 2) < 12)) = 0
+    then list_append(kept, {'cell': cast(ranked.cell as bigint), 'x': ranked.x, 'y': ranked.y}) else kept end
+  from walk join ranked on ranked.tile = walk.tile and ranked.r = walk.r + 1),
+ends as (select tile, unnest(arg_max(kept, r)) k from walk group by tile)
+select k.cell as cell, k.x as x, k.y as y, cast(tile as bigint) as tile from ends"""
+
+
+@register("separated_points", SEPARATED)
 def separated_points(spark, sf_dir):
     """Greedy spatially separated centres in each tile."""
     c = Tables(spark, sf_dir).centers.select("cell", "x", "y", F.floor(F.col("x") / 64).alias("tile"))
