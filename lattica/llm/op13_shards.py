@@ -103,7 +103,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     many = given.alias("g").join(placed.filter("_copies > 1 and _copy = 0").alias("p"), key, "left_semi")
     many = many.groupBy("row", *_KEY).agg(F.count("*").alias("_rows"))
     many = many.withColumn("_from", _before("_rows", list(_KEY), ["row"])).withColumn("_block", F.explode(F.expr(f"sequence(0, (_rows - 1) div {_REPEAT})")))
-    many = many.withColumn("_copy", F.col("_from") + F.explode(F.expr(f"sequence(_block * {_REPEAT}, least(_rows, (_block + 1) * {_REPEAT}) - 1)")))
+    many = many.withColumn("_copy", F.explode(F.expr(f"sequence(_from + _block * {_REPEAT}, _from + least(_rows, (_block + 1) * {_REPEAT}) - 1)")))
     many = many.alias("g").join(placed.filter("_copies > 1").alias("p"), [*key, F.col("g._copy") == F.col("p._copy")]).select(*out)
     return one.unionByName(many).select("row.*", F.col("shard").alias(names[0]), F.col("slot").alias(names[1]))
 
