@@ -44,16 +44,23 @@ def sources(bins: DataFrame, cells: DataFrame, rate: float, seed: int, area: flo
 
 
 def _poisson(mean, u):
-    """Poisson by inversion of the draw u, up to twelve deviations over the mean."""
-    most = F.ceil(mean + 12 * F.sqrt(mean) + 12).cast("int")
-    start = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("c"), F.lit(0).cast("long").alias("k"), F.lit(False).alias("done"))
+    """Poisson by inversion of the draw u, from twelve deviations below the mean (0 for small means) to twelve above it.
+
+    The first chance is taken by its logarithm, with Stirling's series for the
+    factorial, so that large means do not underflow.
+    """
+    low = F.when(mean < 500, F.lit(0.0)).otherwise(F.floor(mean - 12 * F.sqrt(mean)).cast("double"))
+    most = F.ceil(mean + 12 * F.sqrt(mean) + 12).cast("long")
+    factorial = low * F.ln(low) - low + F.ln(2 * math.pi * low) / 2 + 1 / (12 * low) - 1 / (360 * low * low * low)
+    first = F.exp(F.when(low > 0, low * F.ln(mean) - mean - factorial).otherwise(-mean))
+    start = F.struct(first.alias("p"), first.alias("c"), low.cast("long").alias("k"), F.lit(False).alias("done"))
 
     def step(a, i):
         stop = a["done"] | (u <= a["c"])
         p = F.when(stop, a["p"]).otherwise(a["p"] * mean / i)
         return F.struct(p.alias("p"), F.when(stop, a["c"]).otherwise(a["c"] + p).alias("c"), F.when(stop, a["k"]).otherwise(a["k"] + 1).alias("k"), stop.alias("done"))
 
-    return F.when(mean <= 0, F.lit(0).cast("long")).otherwise(F.aggregate(F.sequence(F.lit(1), most), start, step, lambda a: a["k"]))
+    return F.when(mean <= 0, F.lit(0).cast("long")).otherwise(F.aggregate(F.sequence(low.cast("long") + 1, most), start, step, lambda a: a["k"]))
 
 
 def spread(bins: DataFrame, found: DataFrame, profiles: DataFrame, seed: int, sigma: float = 8.0, tile: float = 128.0) -> DataFrame:

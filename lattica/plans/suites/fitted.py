@@ -9,11 +9,11 @@ from ..bindings import Tables, ctes
 from ..catalog import register
 
 #: A projective map of the grid; three bins of ten are far off it.
-MAP = (3.6513, -0.0517, 500.0137, 0.0253, 3.6497, 700.0171, 1e-5, -2e-5, 1.0)
+MAP = (3.65131713, -0.05172931, 500.01373517, 0.02531937, 3.64973119, 700.01719373, 1e-5, -2e-5, 1.0)
 _U, _V, _W = (f"({MAP[i]}::double * x + {MAP[i + 1]}::double * y + {MAP[i + 2]}::double)" for i in (0, 3, 6))
 
 
-@register("homography_fit", ctes("grid") + f" select bin, round({_U} / {_W}, 3) as u, round({_V} / {_W}, 3) as v from grid")
+@register("homography_fit", ctes("grid") + f" select bin, round({_U} / {_W}, 2) as u, round({_V} / {_W}, 2) as v from grid")
 def homography_fit(spark, sf_dir):
     """The map that most bins follow, applied to all."""
     from ...functions.maths import projective
@@ -24,7 +24,7 @@ def homography_fit(spark, sf_dir):
     seen = g.withColumns({"u": u + F.when(off, 40 + F.col("bin") % 50).otherwise(0), "v": v - F.when(off, 25 + F.col("bin") % 31).otherwise(0)})
     h = fits.homography(seen, "x", "y", "u", "v", robust=True, tolerance=1e-3)
     u, v = projective(F.col("x"), F.col("y"), tuple(float(a) for a in h.ravel()))
-    return g.select("bin", F.round(u, 3).alias("u"), F.round(v, 3).alias("v"))
+    return g.select("bin", F.round(u, 2).alias("u"), F.round(v, 2).alias("v"))
 
 
 @register(

@@ -82,3 +82,21 @@ def test_shape_changes_equal_a_new_cell(spark):
             assert r["n"] == 0
     fixed = moments.corrections(moments.changes(actions, bins).withColumn("cached", F.col("compactness_gain") - 0.5), "compactness_gain", "cached", F.lit(2.0), F.lit(4.0))
     assert {round(r["correction"], 9) for r in fixed.filter("n > 0").collect()} == {0.25}
+
+
+def test_poisson_draws_of_large_means(spark):
+    import math
+
+    from lattica.operators.background import _poisson
+
+    def quantile(mean, u):
+        total, k = 0.0, -1
+        while total < u:
+            k += 1
+            total += math.exp(k * math.log(mean) - mean - math.lgamma(k + 1))
+        return k
+
+    rows = [(m, u) for m in (0.0, 0.5, 30.0, 499.9, 500.0, 745.0, 746.0, 800.0, 1000.0, 20_000.0) for u in (0.001, 0.1, 0.5, 0.9, 0.999)]
+    got = spark.createDataFrame(rows, "m double, u double").select("m", "u", _poisson(F.col("m"), F.col("u")).alias("k")).collect()
+    for r in got:
+        assert abs(r["k"] - (quantile(r["m"], r["u"]) if r["m"] else 0)) <= (1 if r["m"] > 1e4 else 0), r
