@@ -80,6 +80,35 @@ def owner_at(actions: DataFrame, keys: Sequence[str], item: str, step: str, upto
     return actions.filter(F.col(step) <= upto).groupBy(*keys, item).agg(F.max_by(owner, step).alias(owner), F.max(step).alias("since"))
 
 
+def key_frames(actions: DataFrame, keys: Sequence[str], item: str, step: str, owner: str, every: int) -> DataFrame:
+    """(keys, frame, item, owner, since): the whole state of each sequence after steps ``every``, 2 ``every``, .. to its end.
+
+    An action counts from the first frame at or after it; a change fills the frames
+    up to the next change of its item.
+    """
+    frame = F.ceil(F.col(step) / every).cast("long")
+    changes = actions.groupBy(*keys, item, frame.alias("_from")).agg(F.max_by(owner, step).alias(owner), F.max(step).alias("since"))
+    ends = actions.groupBy(*keys).agg(F.max(frame).alias("_end"))
+    until = F.coalesce(F.lead("_from").over(Window.partitionBy(*keys, item).orderBy("_from")) - 1, F.col("_end"))
+    filled = changes.join(ends, list(keys)).withColumn("_until", until).withColumn("frame", F.explode(F.sequence("_from", "_until")))
+    return filled.select(*keys, "frame", item, owner, "since")
+
+
+def seek(frames: DataFrame, actions: DataFrame, requests: DataFrame, keys: Sequence[str], item: str, step: str, owner: str, every: int) -> DataFrame:
+    """(keys, at, item, owner, since): the state of a sequence after each asked step (keys, at): its last key frame and the few actions since.
+
+    Both joins are on the frame's number, so no sequence is folded from its start;
+    frames are made once, for any number of requests.  Beyond the last frame the
+    last frame holds; steps start at 1.
+    """
+    last = frames.groupBy(*keys).agg(F.max("frame").alias("_last"))
+    asked = requests.select(*keys, "at").distinct().withColumn("_f", F.expr(f"at div {every}")).join(last, list(keys), "left")
+    base = asked.withColumn("frame", F.least("_f", "_last")).join(frames, [*keys, "frame"]).select(*keys, "at", item, owner, "since")
+    late = actions.select(*keys, item, F.col(step).alias("since"), owner, (F.ceil(F.col(step) / every).cast("long") - 1).alias("_f"))
+    since = asked.select(*keys, "at", "_f").join(late, [*keys, "_f"]).filter("since <= at").select(*keys, "at", item, owner, "since")
+    return base.unionByName(since).groupBy(*keys, "at", item).agg(F.max_by(owner, "since").alias(owner), F.max("since").alias("since"))
+
+
 def on_grid(df: DataFrame, key: str, x: str, y: str, points: int) -> DataFrame:
     """(key, g, v): linear interpolation of each key's series at g / (points - 1) of its range of x (0..1)."""
     w = Window.partitionBy(key).orderBy(x)

@@ -59,6 +59,22 @@ def owner_replay_at_step(spark, sf_dir):
     return sq.owner_at(a, ["traj"], "item", "step", 30, "owner")
 
 
+@register(
+    "seek_replay",
+    ctes("steps")
+    + """, a as (select traj, k % 10 item, step, case when kind = 'error' then -1 else k end owner from steps where kind <> 'view'),
+h as (select s.traj, s.step at_, item, arg_max(owner, a.step) owner from steps s join a on a.traj = s.traj and a.step <= s.step group by 1, 2, 3)
+select traj, at_ as step, count(*) filter (owner >= 0) as owned, cast(sum((item + 1) * (owner + 2)) as bigint) as mark from h group by 1, 2""",
+)
+def seek_replay(spark, sf_dir):
+    """The owners after every step of every trajectory, from key frames eight steps apart."""
+    s = Tables(spark, sf_dir).steps
+    a = s.filter("kind <> 'view'").select("traj", (F.col("k") % 10).alias("item"), "step", F.when(F.col("kind") == "error", F.lit(-1).cast("long")).otherwise(F.col("k")).alias("owner"))
+    frames = sq.key_frames(a, ["traj"], "item", "step", "owner", 8)
+    held = sq.seek(frames, a, s.select("traj", F.col("step").alias("at")), ["traj"], "item", "step", "owner", 8)
+    return held.groupBy("traj", F.col("at").alias("step")).agg(F.count_if(F.col("owner") >= 0).alias("owned"), F.sum(F.expr("(item + 1) * (owner + 2)")).alias("mark"))
+
+
 @register(
     "evolution_grid",
     ctes("steps")
