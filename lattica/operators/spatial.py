@@ -61,6 +61,21 @@ def k_nearest(points: DataFrame, centers: DataFrame, keys: Sequence[str], reach:
     return radius_join(points, centers, reach).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def typed_weights(points: DataFrame, centers: DataFrame, keys: Sequence[str], scale: float, tie: Sequence[Column]) -> DataFrame:
+    """(keys, type, weight): shares of the types of centers (.., type, cx, cy) within three scales of each point, by a Gaussian of the distance.
+
+    A point without a center that near has the type of its nearest one alone;
+    without any center there are no rows.
+    """
+    near = radius_join(points, centers.select("type", "cx", "cy"), 3 * scale)
+    sums = cut(near.groupBy(*keys, "type").agg(F.sum(F.exp(-F.col("d") * F.col("d") / (2 * scale * scale))).alias("_w")))
+    whole = sums.groupBy(*keys).agg(F.sum("_w").alias("_all"))
+    shares = sums.join(whole, list(keys)).select(*keys, "type", (F.col("_w") / F.col("_all")).alias("weight"))
+    far = points.join(whole.select(*keys), list(keys), "left_anti")
+    lone = nearest(far, centers, keys, 6 * scale, tie)
+    return shares if lone is None else shares.unionByName(lone.select(*keys, "type", F.lit(1.0).alias("weight")))
+
+
 def in_rectangles(points: DataFrame, rectangles: DataFrame, key: str, tile: float) -> DataFrame:
     """Points (x, y) inside closed rectangles (key, x0, x1, y0, y1), by tiles that the rectangles touch."""
     tiles = rectangles.withColumn("_tx", F.explode(F.sequence(_cell(F.col("x0"), tile), _cell(F.col("x1"), tile)))).withColumn("_ty", F.explode(F.sequence(_cell(F.col("y0"), tile), _cell(F.col("y1"), tile))))

@@ -58,6 +58,24 @@ def typed_neighbour_weights(spark, sf_dir):
     return w.select(F.col("c").alias("cell"), "type", R6(ranked.normalized(F.col("w"), ["c"]), "weight"))
 
 
+@register(
+    "local_type_shares",
+    ctes("grid", "centers")
+    + """, blocks as (select "row" // 8 br, col // 8 bc, avg(x) x, avg(y) y from grid group by 1, 2),
+d as (select br, bc, type, cell, (b.x - c.x) ** 2 + (b.y - c.y) ** 2 d2 from blocks b, centers c),
+n as (select br, bc, type, sum(exp(-d2 / 32)) w from d where d2 <= 144 group by 1, 2, 3),
+s as (select br, bc, type, w / sum(w) over (partition by br, bc) share from n),
+f as (select br, bc, type, 1.0::double share from (select *, row_number() over (partition by br, bc order by round(sqrt(d2), 9), cell) k from d) where k = 1 and (br, bc) not in (select (br, bc) from n))
+select br, bc, type, round(share, 6) as share from (select * from s union all select * from f)""",
+)
+def local_type_shares(spark, sf_dir):
+    """Types around blocks of 8 x 8 bins; blocks without a near centre take the type of the nearest."""
+    t = Tables(spark, sf_dir)
+    b = t.grid.groupBy(F.expr("row div 8").alias("br"), F.expr("col div 8").alias("bc")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+    w = spatial.typed_weights(b, centers(t), ["br", "bc"], 4.0, [F.col("cell")])
+    return w.select("br", "bc", "type", R6(F.col("weight"), "share"))
+
+
 @register("k_nearest_mean", ctes("grid", "centers") + "," + NEAR + ", k as (select *, row_number() over (partition by bin order by d, cell) rn from near) select bin, count(*) as n, round(sum(radius * exp(-d * d / 128.0)) / sum(exp(-d * d / 128.0)), 6) as smoothed from k where rn <= 3 group by bin")
 def k_nearest_mean(spark, sf_dir):
     t = Tables(spark, sf_dir)
