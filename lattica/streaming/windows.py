@@ -28,13 +28,17 @@ def _folder(spark: SparkSession, name: str) -> str:
     return f"{named}/{name}-{uuid.uuid4().hex}"
 
 
-def read_events(spark: SparkSession, path: str, time: str = "ts") -> DataFrame:
-    """A file stream of parquet events (a folder or one file) with a usable event time."""
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """A file stream of parquet rows (a folder or one file)."""
     schema = spark.read.parquet(path).schema
     folder, _, file = path.rpartition("/")
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 16)
-    stream = reader.option("pathGlobFilter", file).parquet(folder) if "." in file else reader.parquet(path)
-    return stream.withColumn(time, F.col(time).cast("timestamp"))
+    return reader.option("pathGlobFilter", file).parquet(folder) if "." in file else reader.parquet(path)
+
+
+def read_events(spark: SparkSession, path: str, time: str = "ts") -> DataFrame:
+    """A file stream of parquet events (a folder or one file) with a usable event time."""
+    return read_files(spark, path).withColumn(time, F.col(time).cast("timestamp"))
 
 
 def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
