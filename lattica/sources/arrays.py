@@ -26,7 +26,7 @@ import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 FORMAT = "array_rows"
@@ -194,38 +194,43 @@ class ArrayReader(DataSourceReader):
         return pa.RecordBatch.from_arrays([pa.array([shard] * len(row), pa.string()), pa.array(row, pa.int64()), pa.array(place, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values.ravel()))], names=["shard", "row", "place", "values"])
 
 
-class RaggedWriter(DataSourceWriter):
+class RaggedWriter(DataSourceArrowWriter):
     """Rows (chunk, id, values), sorted by chunk and id: a shard for each chunk, with the ids, the splits and the values."""
 
     def __init__(self, path: str) -> None:
         self.path, self.run = path.rstrip("/"), uuid.uuid4().hex[:12]
 
-    def write(self, rows: Iterator) -> Shards:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Shards:
         fs, root = pyarrow.fs.FileSystem.from_uri(self.path)
         names: list[str] = []
-        held: list[tuple[int, list[float]]] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         chunk = None
 
         def flush() -> None:
             if not held:
                 return
-            ids, first = np.unique(np.array([h[0] for h in held], dtype=np.int64), return_index=True)
-            if (np.diff([h[0] for h in held]) < 0).any():
+            every, values = (np.concatenate(x) for x in zip(*held))
+            if (np.diff(every) < 0).any():
                 raise ValueError("rows must be sorted by id")
+            ids, first = np.unique(every, return_index=True)
             name = f"{self.run}-{chunk:08d}-{uuid.uuid4().hex[:8]}"
             fs.create_dir(f"{root}/{name}", recursive=True)
-            arrays = {"ids": ids, "splits": np.append(first, len(held)).astype(np.int64), "values": np.array([h[1] for h in held], dtype=np.float64)}
-            for key, values in arrays.items():
+            for key, array in (("ids", ids), ("splits", np.append(first, len(every)).astype(np.int64)), ("values", values)):
                 with fs.open_output_stream(f"{root}/{name}/{key}.npy") as out:
-                    np.lib.format.write_array(out, values, allow_pickle=False)
+                    np.lib.format.write_array(out, array, allow_pickle=False)
             names.append(name)
             held.clear()
 
-        for r in rows:
-            if r[0] != chunk:
-                flush()
-                chunk = r[0]
-            held.append((r[1], r[2]))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            of, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            values = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+            for run in np.split(np.arange(len(ids)), np.flatnonzero(np.diff(of)) + 1):
+                if int(of[run[0]]) != chunk:
+                    flush()
+                    chunk = int(of[run[0]])
+                held.append((ids[run], values[run]))
         flush()
         return Shards(names)
 
