@@ -3,14 +3,19 @@
 Words are trimmed of punctuation and folded; numbers, units and names become
 typed placeholders, so that a question with other numbers or names has the same
 template.  Items are matched by windows of WINDOW words (items with fewer words
-are one window of all their words), of two kinds:
+are one window of all their words), of three kinds:
 
 * template windows hold placeholders and at least LITERALS other words;
 * exact windows hold the words themselves.  Only items that have a window with
   fewer literals use them, so that questions made of numbers are found when
-  they are copied as they stand.
-
-A template window must be consistent in its slots: along one alignment of item
+  they are copied as they stand;
+* stretches run from a literal to the LITERALS-th literal from there, over
+  however many slots lie between, and count when they are at least WINDOW words
+  long.  Items in which at most half of the windows hold enough literals use
+  them, so that questions full of numbers are found with other numbers, too.  An
+  item with fewer literals takes all of them, but no fewer than FEWEST.
+
+A template window or stretch must be consistent in its slots: along one alignment of item
 and document, equal slot values of the item stand for equal values in the
 document, and different ones for different ones.  A document is contaminated by
 an item when its windows of one kind cover at least COVERAGE of the item's
@@ -49,6 +54,7 @@ from .common import Scratch, columns, fresh, mark_needed, require, row_key
 
 WINDOW = 8
 LITERALS = 5
+FEWEST = 3
 COVERAGE = 0.4
 PASSAGE = 6
 #: Bits of the filter of window hashes for each hash, and the most in all (8 MB).
@@ -117,7 +123,7 @@ def templates(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return code, value, ~(number | unit | name), np.searchsorted(row, np.arange(len(offsets)))
 
 
-_SALT = _U(0xA5A5A5A55A5A5A5A)
+_SALT, _STRETCH = _U(0xA5A5A5A55A5A5A5A), _U(0x3C3C3C3CC3C3C3C3)
 
 
 def windows(code: np.ndarray, value: np.ndarray, literal: np.ndarray, first: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,9 +134,23 @@ def windows(code: np.ndarray, value: np.ndarray, literal: np.ndarray, first: np.
     return np.where(some[at + w] - some[at] >= min(LITERALS, w), g, _U(0)), v.mix(exact ^ _SALT), at
 
 
-def _ragged(mask: np.ndarray, of: np.ndarray) -> pa.Array:
-    """One list for each row of mask: the members of ``of`` where it is set."""
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(mask.sum(axis=1)))).astype(np.int32)), pa.array(of[mask]))
+def stretches(code: np.ndarray, literal: np.ndarray, first: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(template hash, first word, word after the last) of every run of at least WINDOW words from a literal to the q-th literal from there."""
+    at = np.flatnonzero(literal)
+    start, end = at[: max(0, len(at) - q + 1)], at[q - 1 :] + 1
+    row = np.searchsorted(first, start, side="right")
+    good = (row == np.searchsorted(first, end - 1, side="right")) & (end - start >= WINDOW)
+    start, end = start[good], end[good]
+    return v.mix(v.span_hash(v.prefix_sums(v.mix(code)), start, end) ^ _STRETCH), start, end
+
+
+def _slot_values(literal: np.ndarray, value: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """For each span the values of its slots."""
+    size = end - start
+    ends = np.concatenate(([0], np.cumsum(size)))
+    each = np.repeat(start - ends[:-1], size) + np.arange(ends[-1])
+    slot = ~literal[each]
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(slot)))[ends].astype(np.int32)), pa.array(value[each[slot]].view(np.int64)))
 
 
 _ITEM = "item_id long, c1 long, c2 long, kind int, size int, total long, need long, hs array<long>, places array<int>, slots array<array<long>>"
@@ -143,7 +163,8 @@ def _needed(total: int) -> int:
 def item_windows(benchmark: DataFrame) -> DataFrame:
     """For each item and kind of window a row: the class it belongs to (c1, c2) and the class's windows.
 
-    slots are numbers of the slot values in order of their first occurrence in the item.
+    slots are numbers of the slot values in order of their first occurrence in the item; size is the words of a window, or
+    the literals of a stretch below zero.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,18 +181,22 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
                     seen: dict[int, int] = {}
                     slot = np.array([-1 if plain else seen.setdefault(s, len(seen)) for s, plain in zip(x.tolist(), lit.tolist(), strict=True)])
                     template, exact, at = windows(c, x, lit, np.array([0, b - a]), w)
-                    kinds = [(0, template, template != 0, [c, v.mix(slot.astype(np.int64).view(_U))])]
-                    if (template == 0).any():
-                        kinds.append((1, exact, np.ones(len(at), dtype=bool), [x]))
-                    for kind, h, good, parts in kinds:
-                        hs, pos = np.unique(h[good], return_index=True)
+                    by_slot, poor = [c, v.mix(slot.astype(np.int64).view(_U))], template == 0
+                    kinds = [(0, w, template[~poor], at[~poor], at[~poor] + w, by_slot)]
+                    if poor.any():
+                        kinds.append((1, w, exact, at, at + w, [x]))
+                    q = min(LITERALS, int(lit.sum()))
+                    if 2 * poor.sum() >= len(poor) and q >= FEWEST:
+                        kinds.append((2, -q, *stretches(c, lit, np.array([0, b - a]), q), by_slot))
+                    for kind, size, h, starts, ends, parts in kinds:
+                        hs, pos = np.unique(h, return_index=True)
                         if not len(hs):
                             continue
-                        places = at[good][pos]
+                        places = starts[pos]
                         whole = np.concatenate([np.array([len(c), kind], dtype=_U), *parts])
                         key = [v.span_hash(v.prefix_sums(v.mix(whole ^ salt)), np.array([0]), np.array([len(whole)]))[0].astype(np.int64) for salt in v.splitmix(2, 21)]
-                        slots = [[int(s) for s in slot[p : p + w] if s >= 0] if kind == 0 else [] for p in places.tolist()]
-                        out.append((ids[lo + i], int(key[0]), int(key[1]), kind, w, len(hs), _needed(len(hs)), hs.view(np.int64).tolist(), places.tolist(), slots))
+                        slots = [[int(s) for s in slot[p:e] if s >= 0] if kind != 1 else [] for p, e in zip(places.tolist(), ends[pos].tolist(), strict=True)]
+                        out.append((ids[lo + i], int(key[0]), int(key[1]), kind, size, len(hs), _needed(len(hs)), hs.view(np.int64).tolist(), places.tolist(), slots))
             kinds = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.int64()] * 2 + [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], type=t) for k, t in enumerate(kinds)], names=[x.split()[0] for x in _ITEM.split(", ")])
 
@@ -198,18 +223,23 @@ def document_windows(docs: DataFrame, bits: np.ndarray, sizes: list[int]) -> Dat
             for lo, raw, offsets in v.blocks(batch.column(2)):
                 code, value, literal, first = templates(raw, offsets)
                 for w in sizes:
-                    template, exact, at = windows(code, value, literal, first, w)
-                    for kind, h in ((0, template), (1, exact)):
+                    if w < 0:
+                        h, start, end = stretches(code, literal, first, -w)
+                        found = [(h, start, lambda i, s=start, e=end: _slot_values(literal, value, s[i], e[i]))]
+                    else:
+                        template, exact, at = windows(code, value, literal, first, w)
+                        inside = lambda i, at=at, w=w: _slot_values(literal, value, at[i], at[i] + w)
+                        bare = lambda i: pa.ListArray.from_arrays(pa.array(np.zeros(len(i) + 1, dtype=np.int32)), pa.array([], pa.int64()))
+                        found = [(template, at, inside), (exact, at, bare)]
+                    for h, at, values in found:
                         i = (h & _U(len(table) * 64 - 1)).astype(np.int64)
                         hit = np.flatnonzero(((table[i >> 6] >> (i & 63)) & 1).astype(bool) & (h != 0))
                         if not len(hit):
                             continue
                         place = at[hit]
                         row = np.searchsorted(first, place, side="right") - 1
-                        each = place[:, None] + np.arange(w)
-                        slot = ~literal[each] & (kind == 0)
                         of = pa.array(lo + row)
-                        arrays = [batch.column(0).take(of), batch.column(1).take(of), pa.array(h[hit].view(np.int64)), pa.array((place - first[row]).astype(np.int32)), _ragged(slot, value[each].view(np.int64))]
+                        arrays = [batch.column(0).take(of), batch.column(1).take(of), pa.array(h[hit].view(np.int64)), pa.array((place - first[row]).astype(np.int32)), values(hit)]
                         yield pa.RecordBatch.from_arrays(arrays, names=["_id", "_th", "h", "at", "vals"])
 
     return require(docs, "doc_id", "text").select(*row_key(), "text").mapInArrow(run, "_id long, _th long, h long, at int, vals array<long>")
@@ -266,7 +296,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     classes = t.keep("classes", items.groupBy("c1", "c2").agg(*one).withColumn("cls", F.monotonically_increasing_id()))
     zipped = F.explode(F.arrays_zip("hs", "places", "slots")).alias("z")
     wins = t.keep("windows", classes.select("cls", "total", "need", zipped).select("cls", "total", "need", F.col("z.hs").alias("h"), F.col("z.places").alias("place"), F.col("z.slots").alias("slots")))
-    sizes = sorted(r[0] for r in classes.select("size").distinct().collect())  # WINDOW numbers at most
+    sizes = sorted(r[0] for r in classes.select("size").distinct().collect())  # WINDOW numbers at most, and one for each number of literals
     bits = _filter_bits(wins.select("h"))
     met = document_windows(docs, bits, sizes).dropDuplicates(["_id", "_th", "h", "at"])
     met = t.keep("met", met)

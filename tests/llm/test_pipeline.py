@@ -84,6 +84,31 @@ def contaminated(doc, item):
                     found.add(p)
         if len(found) >= min(6, int(np.ceil(0.4 * len(first) - 1e-9))) and found:
             return True
+    # Stretches, where at most half of the windows have enough literals.
+    plain = [i for i, (k, _) in enumerate(t) if k is None]
+    q = min(5, len(plain))
+    if 2 * sum(k is None for k, _ in want) >= len(want) and q >= 3:
+
+        def runs(words):
+            lits = [i for i, (k, _) in enumerate(words) if k is None]
+            return [(a, z + 1, tuple(k or v for k, v in words[a : z + 1])) for a, z in zip(lits, lits[q - 1 :]) if z + 1 - a >= 8]
+
+        first = {}
+        for a, z, key in runs(t):
+            first.setdefault(key, (a, z))
+        found, lines = set(), {}
+        for a, _, key in runs(d):
+            if key in first:
+                lines.setdefault(a - first[key][0], []).append((*first[key], a))
+        for rows in lines.values():
+            means, back = {}, {}
+            for p, e, a in sorted(rows):
+                new, old = dict(means), dict(back)
+                if all(new.setdefault(t[p + j][1], d[a + j][1]) == d[a + j][1] and old.setdefault(d[a + j][1], t[p + j][1]) == t[p + j][1] for j in range(e - p) if t[p + j][0]):
+                    means, back = new, old
+                    found.add(p)
+        if found and len(found) >= min(6, int(np.ceil(0.4 * len(first) - 1e-9))):
+            return True
     if any(k is None for k, _ in want):
         exact = {e for _, e in want}
         if len(exact & {e for _, e in have}) >= max(1, min(6, int(np.ceil(0.4 * len(exact) - 1e-9)))):
@@ -132,6 +157,42 @@ def test_op2_finds_questions_made_of_numbers(spark):
     assert all(i in got[i] for i in range(40))
 
 
+def test_op2_finds_slot_rich_questions_with_other_values(spark):
+    """The two questions of the review, and generated ones of which over half are slots; other templates stay clean."""
+    rnd = random.Random(8)
+    asked = ["A train moves 60 km in 2 hours, how far in 5 hours?", "Was Alice 12 or 13 years old in 1999?"]
+    changed = ["A train moves 80 km in 3 hours, how far in 7 hours?", "Was Bob 14 or 15 years old in 2001?"]
+    odd = ["A train moves 80 km in 3 hours, how near in 7 hours?", "Was Bob 14 and 15 years old in 2001?"]
+    verbs = "buys sells packs lends finds weighs ships paints counts stacks trades mixes".split()
+    things = "apples boxes stones lamps cards coins books bricks ropes jars seeds bolts".split()
+
+    def question():
+        parts = [f"how {rnd.choice(verbs)}"]
+        for _ in range(rnd.randint(3, 6)):
+            parts.append(f"{rnd.choice(['Alice', 'Bob', 'Carol'])} {rnd.randint(2, 99)} or {rnd.randint(100, 999)} {rnd.choice(['km', 'kg', 'dollars'])} {rnd.choice(things)}")
+        return " ".join(parts)
+
+    def other(text):
+        means = {}
+        fresh = iter(rnd.sample(range(1000, 9000), 60))
+        for w in text.split():
+            if w.isdigit() or w in ("Alice", "Bob", "Carol"):
+                means.setdefault(w, str(next(fresh)) if w.isdigit() else {"Alice": "Erin", "Bob": "Frank", "Carol": "Grace"}[w])
+        return " ".join(means.get(w, w) for w in text.split())
+
+    made = [question() for _ in range(60)]
+    items = asked + made
+    docs = [(i, f"some words before it. {t} and some words after") for i, t in enumerate(changed + [other(t) for t in made])]
+    docs += [(1000 + i, f"some words before it. {t} and some words after") for i, t in enumerate(odd)]
+    docs += [(2000 + i, question()) for i in range(200)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["_items"] for r in op2.decontaminate(frame, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    assert 0 in got[0] and 1 in got[1] and not got[1000] and not got[1001]
+    recall = sum(i in got[i] for i in range(2, 62)) / 60
+    assert recall >= 0.9, recall
+    assert sum(bool(got[2000 + i]) for i in range(200)) <= 4
+
+
 def test_op5_equals_brute_force(spark):
     rnd = random.Random(9)
     texts = [(i * 3, " ".join(rnd.choice("ab cd éf gh ij".split()) for _ in range(rnd.randint(0, 40)))) for i in range(40)]
