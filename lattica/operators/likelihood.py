@@ -44,6 +44,29 @@ def with_softmax(ll: DataFrame) -> DataFrame:
     return e.withColumn("q", F.col("_e") / F.sum("_e").over(w)).drop("_e")
 
 
+#: Types that are columns of one aggregate; with more the long form is the better plan.
+WIDE_TYPES = 64
+
+
+def likelihood_softmax(counts: DataFrame, theta_table: DataFrame) -> DataFrame:
+    """(bin, k, ll, q) as ``with_softmax(log_likelihood(..))``, of counts (bin, gene, n) whose rows may repeat.
+
+    The sum over genes is linear, so with few types a bin is one row with a sum for each of them: one exchange, combined
+    before it, and a softmax without a window.  theta_table is read twice; hand over one that is kept.
+    """
+    kinds = sorted(r[0] for r in theta_table.filter("k is not null").select("k").distinct().limit(WIDE_TYPES + 1).collect())
+    if not 1 < len(kinds) <= WIDE_TYPES:
+        return with_softmax(log_likelihood(counts.groupBy("bin", "gene").agg(F.sum("n").alias("n")), theta_table))
+    logs = theta_table.groupBy("gene").agg(*[F.max(F.when(F.col("k") == k, F.ln("theta"))).alias(f"_l{i}") for i, k in enumerate(kinds)])
+    sums = counts.join(logs, "gene").groupBy("bin").agg(F.sum("n").alias("_n"), *[F.sum(F.col("n") * F.col(f"_l{i}")).alias(f"_s{i}") for i in range(len(kinds))])
+    lls = sums.select("bin", *[(F.col(f"_s{i}") / F.col("_n")).alias(f"_s{i}") for i in range(len(kinds))])
+    most = F.greatest(*[F.col(f"_s{i}") for i in range(len(kinds))])
+    powers = lls.select("*", *[F.exp(F.col(f"_s{i}") - most).alias(f"_e{i}") for i in range(len(kinds))])
+    total = sum((F.col(f"_e{i}") for i in range(len(kinds))), F.lit(0.0))
+    rows = [F.struct(F.lit(k).alias("k"), F.col(f"_s{i}").alias("ll"), (F.col(f"_e{i}") / total).alias("q")) for i, k in enumerate(kinds)]
+    return powers.select("bin", F.inline(F.array(*rows)))
+
+
 def cell_profile(membership: DataFrame, counts: DataFrame, strength: float) -> tuple[DataFrame, DataFrame]:
     """((cell, gene, n), (cell, total, prior, reliability)) of cells that own bins with a weight.
 

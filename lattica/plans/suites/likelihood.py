@@ -27,14 +27,13 @@ def theta_of(t: Tables) -> DataFrame:
 def type_loglik_softmax(spark, sf_dir):
     """The profile of each type needs no counts by bin: lines are summed by type and gene on the map side.
 
-    Its table is small, which is checked, so the second pass has one exchange, on the bin,
-    that serves the counts, the likelihood and the softmax.
+    Its table is small, which is checked, so the second pass has one exchange, of the sums of
+    each bin; a bin is one row until the softmax is known.
     """
     t = Tables(spark, sf_dir)
     line = t.raw("lineitem").select(F.col("l_orderkey").alias("bin"), (F.col("l_partkey") % 50).alias("gene"), F.col("l_quantity").cast("long").alias("n"))
     theta = small(lk.theta(lk.reference_counts(line, t.bin_types)))
-    counts = line.repartition("bin").groupBy("bin", "gene").agg(F.sum("n").alias("n"))
-    return lk.with_softmax(lk.log_likelihood(counts, theta)).select("bin", "k", F.round("ll", 6).alias("ll"), F.round("q", 6).alias("q"))
+    return lk.likelihood_softmax(line, theta).select("bin", "k", F.round("ll", 6).alias("ll"), F.round("q", 6).alias("q"))
 
 
 @register("loglik_with_empty_bins", ctes("counts", "bin_types") + "," + THETA_SQL + ", bins as (select o_orderkey bin from orders), g as (select bin, k from bins cross join (select distinct k from theta)) select k, count(*) as n_bins, sum(case when ll is null then 1 else 0 end)::bigint as n_empty, round(avg(coalesce(ll, 0)), 6) as mean_ll from g left join ll using (bin, k) group by k")
