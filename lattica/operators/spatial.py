@@ -31,28 +31,54 @@ def radius_join(points: DataFrame, centers: DataFrame, reach: float, extra: Colu
     return joined.filter(extra) if extra is not None else joined
 
 
-def nearest(points: DataFrame, centers: DataFrame, keys: Sequence[str], reach: float, tie: Sequence[Column], limit: int = 64) -> DataFrame:
-    """For each point the nearest center, whatever its distance.
+def places(centers: DataFrame, tie: Sequence[Column]) -> DataFrame:
+    """Of the centers at one place, the first in the order of ``tie``: the others are never the nearest."""
+    rest = [c for c in centers.columns if c not in ("cx", "cy")]
+    kept = centers.filter("cx is not null and cy is not null").groupBy("cx", "cy")
+    return kept.agg(F.min_by(F.struct(*rest), F.struct(*tie)).alias("_m")).select("cx", "cy", "_m.*") if rest else kept.agg(F.lit(1).alias("_m")).drop("_m")
 
-    The reach doubles for the points that found none within it, until all have
-    one; a center within the reach proves the nearest.  Points that are far from
-    every center share few grid cells by then, so they are dealt by their keys and
-    few centers are broadcast.
+
+def nearest(points: DataFrame, centers: DataFrame, keys: Sequence[str], reach: float, tie: Sequence[Column]) -> DataFrame:
+    """For each point the nearest center, whatever its distance; of equals the first in the order of ``tie``, columns of the centers.
+
+    Tiles of the points, a fourth of the side from level to level down to the
+    reach, keep the centers that can be the nearest of a point in them: those that
+    the one nearest the tile's middle does not beat at all four corners.  A far
+    tile keeps few, so no point meets the centers of a whole region.
     """
-    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out, todo, r = None, cut(points.repartition(tasks, *keys)), reach
-    rest, centers = list(centers.columns), small(centers, 20_000)
-    for _ in range(1 if centers.isEmpty() else limit):
-        hit = cut(radius_join(todo, centers, r).groupBy(*keys).agg(F.min_by(F.struct("d", *rest), F.struct("d", *tie)).alias("_m")).select(*keys, "_m.*"))
-        out = hit if out is None else out.unionByName(hit)
-        todo = cut(todo.join(hit.select(*keys), list(keys), "left_anti").repartition(tasks, *keys))
-        if todo.isEmpty():
-            break
-        r *= 2
-    else:
-        if not centers.isEmpty():
-            raise RuntimeError(f"points without a center within {r}")
-    return out
+    if bad := points.filter("x is null or y is null or isnan(x) or isnan(y)").limit(1).collect():
+        raise RuntimeError(f"a point without a place: {bad[0]}")
+    rest = list(centers.columns)
+    left = places(centers, tie).select(*rest)
+    tiled = points.withColumns({"_gx": _cell(F.col("x"), reach), "_gy": _cell(F.col("y"), reach)})
+    leaves = cut(tiled.select("_gx", "_gy").distinct())
+    span = leaves.agg((F.max("_gx") - F.min("_gx")).alias("w"), (F.max("_gy") - F.min("_gy")).alias("h")).first()
+    level = 0
+    while 4**level <= max(span["w"] or 0, span["h"] or 0):
+        level += 1
+    while level >= 0:
+        size = 4**level
+        tiles = leaves.select((F.floor(F.col("_gx") / size)).alias("_tx"), F.floor(F.col("_gy") / size).alias("_ty")).distinct()
+        if "_tx" in left.columns:
+            inner = tiles.select("*", F.floor(F.col("_tx") / 4).alias("_ux"), F.floor(F.col("_ty") / 4).alias("_uy"))
+            met = left.withColumnsRenamed({"_tx": "_ux", "_ty": "_uy"}).join(small(inner), ["_ux", "_uy"]).drop("_ux", "_uy")
+        else:
+            met = left.crossJoin(small(tiles))
+        left = cut(_not_beaten(cut(met), reach * size))
+        level -= 1
+    leaf = left.withColumnsRenamed({"_tx": "_gx", "_ty": "_gy"})
+    dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
+    d = tiled.select(*keys, "x", "y", "_gx", "_gy").join(leaf, ["_gx", "_gy"]).withColumn("d", F.sqrt(dx * dx + dy * dy))
+    return cut(d.groupBy(*keys).agg(F.min_by(F.struct("d", *rest), F.struct("d", *tie)).alias("_m")).select(*keys, "_m.*"))
+
+
+def _not_beaten(met: DataFrame, side: float) -> DataFrame:
+    """Rows (_tx, _ty, cx, cy, ..) but those that their tile's middlemost center beats at each corner of the tile, by more than rounding."""
+    far = lambda i, j, x, y: ((F.col("_tx") + i) * side - F.col(x)) * ((F.col("_tx") + i) * side - F.col(x)) + ((F.col("_ty") + j) * side - F.col(y)) * ((F.col("_ty") + j) * side - F.col(y))
+    best = met.groupBy("_tx", "_ty").agg(F.min(F.struct(far(0.5, 0.5, "cx", "cy").alias("d"), F.col("cx").alias("x"), F.col("cy").alias("y"))).alias("_b"))
+    both = met.join(small(best), ["_tx", "_ty"])
+    near = [far(i, j, "cx", "cy") <= far(i, j, "_b.x", "_b.y") * (1 + 1e-12) for i in (0, 1) for j in (0, 1)]
+    return both.filter(near[0] | near[1] | near[2] | near[3]).drop("_b")
 
 
 def k_nearest(points: DataFrame, centers: DataFrame, keys: Sequence[str], reach: float, k: int, tie: Sequence[Column]) -> DataFrame:
@@ -73,7 +99,7 @@ def typed_weights(points: DataFrame, centers: DataFrame, keys: Sequence[str], sc
     shares = sums.join(whole, list(keys)).select(*keys, "type", (F.col("_w") / F.col("_all")).alias("weight"))
     far = points.join(whole.select(*keys), list(keys), "left_anti")
     lone = nearest(far, centers, keys, 6 * scale, tie)
-    return shares if lone is None else shares.unionByName(lone.select(*keys, "type", F.lit(1.0).alias("weight")))
+    return shares.unionByName(lone.select(*keys, "type", F.lit(1.0).alias("weight")))
 
 
 def in_rectangles(points: DataFrame, rectangles: DataFrame, key: str, tile: float) -> DataFrame:
