@@ -30,8 +30,9 @@ def sources(bins: DataFrame, cells: DataFrame, rate: float, seed: int, area: flo
     chosen = b.join(n, ["tx", "ty"]).withColumn("_r", F.row_number().over(Window.partitionBy("tx", "ty").orderBy(draw("centre"), "source"))).filter("_r <= _k")
     chosen = chosen.withColumn("_mean", rate * F.col("_n") / F.col("_k")).select("tx", "ty", "source", "x", "y", "_mean")
     centers = cells.select("type", F.col("x").alias("cx"), F.col("y").alias("cy"), F.col("cell").alias("_cell"))
-    near = spatial.radius_join(chosen, centers, reach)
-    weight = F.exp(-(F.col("d") * F.col("d")) / (2 * width * width))
+    # Cells of one type at one place count as often as they are there.
+    near = spatial.radius_join(chosen, centers.groupBy("type", "cx", "cy").agg(F.count("*").alias("_m")), reach)
+    weight = F.col("_m") * F.exp(-(F.col("d") * F.col("d")) / (2 * width * width))
     by_type = near.groupBy("source", "type").agg(F.sum(weight).alias("w"))
     types = by_type.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("type", "w"))).alias("ts"))
     far = chosen.join(types.select("source"), "source", "left_anti")

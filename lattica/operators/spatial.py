@@ -93,8 +93,10 @@ def typed_weights(points: DataFrame, centers: DataFrame, keys: Sequence[str], sc
     A point without a center that near has the type of its nearest one alone;
     without any center there are no rows.
     """
-    near = radius_join(points, centers.select("type", "cx", "cy"), 3 * scale)
-    sums = cut(near.groupBy(*keys, "type").agg(F.sum(F.exp(-F.col("d") * F.col("d") / (2 * scale * scale))).alias("_w")))
+    # Centers of one type at one place count as often as they are there.
+    placed = centers.groupBy("type", "cx", "cy").agg(F.count("*").alias("_n"))
+    near = radius_join(points, placed, 3 * scale)
+    sums = cut(near.groupBy(*keys, "type").agg(F.sum(F.col("_n") * F.exp(-F.col("d") * F.col("d") / (2 * scale * scale))).alias("_w")))
     whole = sums.groupBy(*keys).agg(F.sum("_w").alias("_all"))
     shares = sums.join(whole, list(keys)).select(*keys, "type", (F.col("_w") / F.col("_all")).alias("weight"))
     far = points.join(whole.select(*keys), list(keys), "left_anti")
