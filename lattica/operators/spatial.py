@@ -87,6 +87,27 @@ def k_nearest(points: DataFrame, centers: DataFrame, keys: Sequence[str], reach:
     return radius_join(points, centers, reach).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def nearest_few(points: DataFrame, centers: DataFrame, keys: Sequence[str], reach: float, k: int, tie: str) -> DataFrame:
+    """(keys, near): the k first centers within the reach by distance (nine digits), then ``tie``, as an array of ``tie``.
+
+    The reach doubles from a sixteenth for points that have found fewer than k, and
+    a place gives its k first centers, so crowded centers do not multiply.
+    """
+    order = F.row_number().over(Window.partitionBy("cx", "cy").orderBy(tie))
+    first = cut(centers.select("cx", "cy", tie).withColumn("_r", order).filter(F.col("_r") <= k).drop("_r"))
+    out, todo = None, cut(points)
+    w = Window.partitionBy(*keys).orderBy(F.round("d", 9), tie)
+    for step in range(5):
+        r = reach / 2 ** (4 - step)
+        ranked = radius_join(todo, first, r).select(*keys, "d", tie).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
+        found = ranked.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("_r", tie))), lambda c: c[tie]).alias("near"), F.max("d").alias("_d"))
+        # What lies beyond the reach may still share nine digits with what lies on its rim.
+        done = cut(found.filter((F.size("near") == k) & (F.col("_d") <= r - 1e-6)) if step < 4 else found).drop("_d")
+        out = done if out is None else out.unionByName(done)
+        todo = todo.join(done.select(*keys), list(keys), "left_anti")
+    return out
+
+
 def typed_weights(points: DataFrame, centers: DataFrame, keys: Sequence[str], scale: float, tie: Sequence[Column]) -> DataFrame:
     """(keys, type, weight): shares of the types of centers (.., type, cx, cy) within three scales of each point, by a Gaussian of the distance.
 

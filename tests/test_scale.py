@@ -38,3 +38,30 @@ def test_far_tiles_keep_few_centers(spark):
 
 def test_nearest_without_centers_has_no_rows(spark):
     assert spatial.nearest(_points(spark, 5), _centers(spark, 0), ["id"], 4.0, [F.col("cell")]).count() == 0
+
+
+def test_local_patch_of_crowded_places(spark):
+    """60 centers at each of a few places: six rows for each target, by distance and id, and no join of all with all."""
+    centers = spark.range(540).select(F.col("id").alias("cell"), (F.col("id") % 9 * 3.0).alias("cx"), F.lit(0.25).alias("cy"))
+    points = spark.range(12).select("id", (F.col("id") * 2.5).alias("x"), F.lit(0.0).alias("y"))
+    rows = [(c["cell"], c["cx"]) for c in centers.collect()]
+    for r in spatial.nearest_few(points, centers, ["id", "x", "y"], 50.0, 6, "cell").collect():
+        inside = sorted((round(math.hypot(r["x"] - x, 0.25), 9), cell) for cell, x in rows if math.hypot(r["x"] - x, 0.25) <= 50)
+        assert r["near"] == [cell for _, cell in inside[:6]]
+
+
+def test_rarefy_shuffles_no_unit_and_ranks_large_rows(spark, monkeypatch):
+    import hashlib
+
+    from lattica.operators import simulate
+
+    data = [(b, g, (b * 7 + g * 5) % 9 + (300 if b == 3 else 0)) for b in range(6) for g in range(4)]
+    counts = spark.createDataFrame(data, "bin long, gene long, n long")
+    want = {}
+    for b in range(6):
+        units = sorted((hashlib.sha256(f"9:{b}:{g}:{i}".encode()).hexdigest(), g) for x, g, n in data if x == b for i in range(n))
+        if len(units) >= 12:
+            for _, g in units[:12]:
+                want[b, g] = want.get((b, g), 0) + 1
+    monkeypatch.setattr(simulate, "ARRAY_UNITS", 100)
+    assert {(r["bin"], r["gene"]): r["n"] for r in simulate.rarefy(counts, "bin", "gene", "n", 12, 9).collect()} == want
