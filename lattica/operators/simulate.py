@@ -30,13 +30,23 @@ def thin(counts: DataFrame, keys: Sequence[str], n: str, p: float | Column, seed
     return counts.select(*keys, n, F.when(F.col(n) > 0, F.size(hits)).otherwise(0).cast("long").alias(out))
 
 
+#: A row of up to this many counts is drawn from in one array.
+ARRAY_UNITS = 50_000
+
+
 def rarefy(counts: DataFrame, row: str, gene: str, n: str, budget: int, seed: int) -> DataFrame:
-    """Exactly ``budget`` counts of each row that has them, without replacement: the least unit hashes."""
-    total = counts.groupBy(row).agg(F.sum(n).alias("_t")).filter(F.col("_t") >= budget).select(row)
-    u = _units(counts.join(total, row, "left_semi").select(row, gene, n), n)
-    h = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(row).cast("string"), F.col(gene).cast("string"), F.col("i").cast("string")), 256)
-    r = u.withColumn("_r", F.row_number().over(Window.partitionBy(row).orderBy(h, gene, "i"))).filter(F.col("_r") <= budget)
-    return r.groupBy(row, gene).agg(F.count("*").alias(n))
+    """Exactly ``budget`` counts of each row that has them, without replacement: the least unit hashes.
+
+    A row's units are made, hashed and cut to the budget where its genes meet, so
+    none is shuffled; rows of very many counts are ranked unit by unit.
+    """
+    hashed = lambda g, i: F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(row).cast("string"), g.cast("string"), i.cast("string")), 256)
+    rows = counts.filter(F.col(n) > 0).groupBy(row).agg(F.sum(n).alias("_t"), F.collect_list(F.struct(F.col(gene).alias("g"), F.col(n).alias("n"))).alias("_g")).filter(F.col("_t") >= budget)
+    units = F.flatten(F.transform("_g", lambda g: F.transform(F.sequence(F.lit(0).cast("long"), g["n"].cast("long") - 1), lambda i: F.struct(hashed(g["g"], i).alias("h"), g["g"].alias("g"), i.alias("i")))))
+    drawn = rows.filter(F.col("_t") <= ARRAY_UNITS).select(row, F.explode(F.slice(F.sort_array(units), 1, budget)["g"]).alias(gene))
+    large = rows.filter(F.col("_t") > ARRAY_UNITS).select(row, F.explode("_g").alias("_g")).select(row, F.col("_g.g").alias(gene), F.col("_g.n").alias(n))
+    ranked = _units(large, n).withColumn("_r", F.row_number().over(Window.partitionBy(row).orderBy(hashed(F.col(gene), F.col("i")), gene, "i"))).filter(F.col("_r") <= budget)
+    return drawn.unionByName(ranked.select(row, gene)).groupBy(row, gene).agg(F.count("*").alias(n))
 
 
 def multinomial(counts: DataFrame, row: str, gene: str, n: str, budget: int, seed: int) -> DataFrame:
