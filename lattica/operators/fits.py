@@ -22,6 +22,27 @@ def _residual(h: np.ndarray, x: Column, y: Column, u: Column, v: Column) -> Colu
     return F.hypot(px - u, py - v)
 
 
+#: Rows that a robust fit starts from, and its trials of four of them.
+START_ROWS, START_TRIALS = 2000, 400
+
+
+def _of_four(few: np.ndarray, shift: list[tuple[float, float]], matrix) -> np.ndarray | None:
+    """Of the projective maps through four of the rows (x, y, u, v), the one with the least median residual; only a start, all rows judge it."""
+    if len(few) < 8:
+        return None
+    x, y, u, v = (((few[:, i] - m) / s) for i, (m, s) in enumerate(shift))
+    at = np.stack([np.random.default_rng(i).choice(len(few), 4, replace=False) for i in range(START_TRIALS)])
+    a, b, p, q, one = x[at], y[at], u[at], v[at], np.ones(at.shape)
+    lines = np.concatenate([np.stack((a, b, one, 0 * a, 0 * a, 0 * a, -p * a, -p * b, -p), -1), np.stack((0 * a, 0 * a, 0 * a, a, b, one, -q * a, -q * b, -q), -1)], 1)
+    maps = np.linalg.svd(lines)[2][:, -1].reshape(-1, 3, 3)
+    with np.errstate(all="ignore"):
+        to = maps @ np.stack((x, y, np.ones_like(x)))
+        miss = np.hypot((to[:, 0] / to[:, 2] - u) * shift[2][1], (to[:, 1] / to[:, 2] - v) * shift[3][1])
+        best = np.linalg.inv(matrix("u", "v")) @ maps[np.argmin(np.nan_to_num(np.median(miss, 1), nan=np.inf))] @ matrix("x", "y")
+        best = best / best[2, 2]
+    return best if np.isfinite(best).all() else None
+
+
 def homography(points: DataFrame, x: str, y: str, u: str, v: str, robust: bool = False, tolerance: float | None = None, rounds: int = 30) -> np.ndarray:
     """The 3 x 3 projective matrix, last number 1, that takes (x, y) to (u, v) with least algebraic error.
 
@@ -79,8 +100,14 @@ def homography(points: DataFrame, x: str, y: str, u: str, v: str, robust: bool =
     counts = F.lit(True)
     if robust:
         least = 1e-9 * max(shift["u"][1], shift["v"][1])
-        # Affine rounds first: an early projective fit may bend the plane to please wrong points.
-        for affine in (True, False):
+        # Where four rows of a few fit better than the affine map, the rounds start there; else affine rounds come first,
+        # as an early projective fit may bend the plane to please wrong points.
+        middle_of = lambda m: rows.agg(F.percentile_approx(_residual(m, *columns), 0.5, 10_000)).first()[0]
+        few = rows.orderBy(F.xxhash64(*columns), *columns).limit(START_ROWS).collect()
+        start = _of_four(np.array(few, dtype=float), [shift[c] for c in names], matrix)
+        projective_start = start is not None and middle_of(start) < middle_of(h)
+        h = start if projective_start else h
+        for affine in (False,) if projective_start else (True, False):
             for _ in range(rounds):
                 r = _residual(h, *columns)
                 middle = max(rows.agg(F.percentile_approx(r, 0.5, 10_000)).first()[0], least)
