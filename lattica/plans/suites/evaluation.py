@@ -183,7 +183,10 @@ def gt_rows_by_patch(spark, sf_dir):
 def drop_one_counterfactual(spark, sf_dir):
     """Components to rows with stack, then the decision with each part taken out."""
     li = Tables(spark, sf_dir).raw("lineitem")
-    c = li.groupBy("l_orderkey").agg(F.round(F.sum("l_extendedprice") / 1000, 3).alias("price"), F.round(F.sum("l_quantity"), 3).alias("qty"), F.round(F.sum(F.col("l_discount") * 100), 3).alias("disc"))
+    # Sums of decimals do not hang on the order of rows, so no tie of the third digit falls now up, now down.
+    exact = lambda v: F.sum(v.cast("decimal(20,6)")).cast("double")
+    digits = lambda v: F.signum(v) * F.floor(F.abs(v) * 1000 + 0.5) / 1000
+    c = li.groupBy("l_orderkey").agg(digits(exact(F.col("l_extendedprice")) / 1000).alias("price"), digits(exact(F.col("l_quantity"))).alias("qty"), digits(exact(F.col("l_discount") * 100)).alias("disc"))
     u = c.selectExpr("price + qty - disc as reward", "stack(3, 'price', price, 'qty', qty, 'disc', -disc) as (component, v)")
     return u.groupBy("component").agg(F.count("*").alias("cases"), F.count_if(F.col("reward") > 100).alias("accepted"), F.count_if(F.col("reward") - F.col("v") > 100).alias("accepted_without"), F.round(F.avg("v"), 4).alias("mean_part"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 from pyspark.sql import functions as F
 
@@ -65,3 +66,35 @@ def test_rarefy_shuffles_no_unit_and_ranks_large_rows(spark, monkeypatch):
                 want[b, g] = want.get((b, g), 0) + 1
     monkeypatch.setattr(simulate, "ARRAY_UNITS", 100)
     assert {(r["bin"], r["gene"]): r["n"] for r in simulate.rarefy(counts, "bin", "gene", "n", 12, 9).collect()} == want
+
+
+def test_drop_one_sums_do_not_hang_on_the_order_of_rows(spark, tmp_path):
+    from itertools import permutations
+
+    from lattica.plans import catalog
+
+    third = lambda values: math.floor((((values[0] + values[1]) + values[2]) + values[3]) / 1000 * 1000 + 0.5)
+    draw = random.Random(0)
+    trials = (tuple(draw.randint(90_000, 10_000_000) / 100 for _ in range(4)) for _ in range(100_000))
+    prices = next(p for p in trials if round(sum(p) * 100) % 100 == 50 and len({third(q) for q in permutations(p)}) > 1)
+    seen = set()
+    for i, order in enumerate(sorted(permutations(prices))):
+        rows = spark.createDataFrame([(1, p, 1.0, 0.0) for p in order], "l_orderkey long, l_extendedprice double, l_quantity double, l_discount double")
+        rows.coalesce(1).write.parquet(f"{tmp_path}/{i}/lineitem.parquet")
+        done = catalog.queries()["drop_one_counterfactual"](spark, f"{tmp_path}/{i}").filter("component = 'price'").first()
+        seen.add(done["mean_part"])
+    assert len(seen) == 1
+
+
+def test_projective_fit_of_a_deep_plane(spark):
+    """Wrong points all lie to one side and the map is far from affine: rounds from an affine start bend the plane."""
+    from lattica.functions.maths import projective
+    from lattica.operators import fits
+    from lattica.plans.suites.fitted import MAP
+
+    g = spark.range(4000).select("id", (F.col("id") % 16 * 16.0).alias("x"), (F.expr("id div 16") * 56.0).alias("y"))
+    u, v = projective(F.col("x"), F.col("y"), MAP)
+    off = F.col("id") % 10 < 3
+    seen = g.withColumns({"u": u + F.when(off, 40 + F.col("id") % 50).otherwise(0), "v": v - F.when(off, 25 + F.col("id") % 31).otherwise(0)})
+    h = fits.homography(seen, "x", "y", "u", "v", robust=True, tolerance=1e-3)
+    assert abs(h.ravel() - MAP).max() < 1e-4
