@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ...functions import maths
 from ...operators import em, graph, spatial
 from ...operators import likelihood as lk
+from ...operators.lineage import cut, small
 from ..bindings import Tables, ctes
 from ..catalog import register
 from .likelihood import THETA_SQL, theta_of
@@ -61,9 +62,15 @@ def spatial_prior(spark, sf_dir):
     return p.select("bin", "cell", R6(F.col("pi"), "pi"), R6(F.col("r"), "r"))
 
 
+def of_candidates(t: Tables, pairs):
+    """The counts of bins with candidates: no other bin's take part in a round.  Computed once, as each step of a round reads them."""
+    return cut(t.counts.join(small(pairs.select("bin").distinct()), "bin", "left_semi"))
+
+
 def two_rounds(t: Tables):
-    ll = lk.log_likelihood(t.counts, theta_of(t))
-    done, _ = em.run(problem(t), ll, kinds(t), SETTINGS, rounds=2, tolerance=-1.0)
+    pairs = cut(problem(t))
+    ll = cut(lk.log_likelihood(of_candidates(t, pairs), theta_of(t)))
+    done, _ = em.run(pairs, ll, kinds(t), SETTINGS, rounds=2, tolerance=-1.0)
     return done
 
 

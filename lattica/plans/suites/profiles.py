@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ...operators import background, em, outline, profiles
 from ...operators import likelihood as lk
+from ...operators.lineage import cut
 from ..bindings import Tables, ctes
 from ..catalog import register
-from .em import BASE, SETTINGS, kinds, problem
+from .em import BASE, SETTINGS, kinds, of_candidates, problem
 from .likelihood import theta_of
 
 PROFILES = profiles.Profiles()
@@ -43,9 +44,10 @@ ROUNDS_SQL = BASE + TRUST_SQL + _profile_round(0) + _profile_round(1)
 
 
 def _rounds(t: Tables, n: int, p: profiles.Profiles = PROFILES, fixed=None):
-    theta, pairs = theta_of(t), problem(t)
-    trust = profiles.reliability(pairs, t.counts, TRUST)
-    return profiles.run(pairs, t.counts, lk.log_likelihood(t.counts, theta), theta, kinds(t), trust, SETTINGS, p, n, fixed)
+    theta, pairs = cut(theta_of(t)), cut(problem(t))
+    counts = of_candidates(t, pairs)
+    trust = profiles.reliability(pairs, counts, TRUST)
+    return profiles.run(pairs, counts, cut(lk.log_likelihood(counts, theta)), theta, kinds(t), trust, SETTINGS, p, n, fixed)
 
 
 @register("em_profile_rounds", ROUNDS_SQL + " select bin, cell, round(r, 5) as r from p2")

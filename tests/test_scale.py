@@ -98,3 +98,14 @@ def test_projective_fit_of_a_deep_plane(spark):
     seen = g.withColumns({"u": u + F.when(off, 40 + F.col("id") % 50).otherwise(0), "v": v - F.when(off, 25 + F.col("id") % 31).otherwise(0)})
     h = fits.homography(seen, "x", "y", "u", "v", robust=True, tolerance=1e-3)
     assert abs(h.ravel() - MAP).max() < 1e-4
+
+
+def test_rounds_read_counts_of_candidate_bins_only(spark):
+    from lattica.plans.bindings import Tables
+    from lattica.plans.suites import em
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    pairs = em.problem(t).filter("bin < 300")
+    kept = em.of_candidates(t, pairs)
+    assert kept.join(pairs, "bin", "left_anti").count() == 0
+    assert kept.count() == t.counts.join(pairs, "bin", "left_semi").count() > 0
