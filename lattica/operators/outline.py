@@ -6,11 +6,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .batches import map_groups
+from .footprints import triangulations
+
 
 def triangulate(points: np.ndarray) -> np.ndarray:
     """Delaunay triangles (index triples) of distinct points, by insertion: each point re-triangulates the hole of circles that hold it.
 
-    Collinear points have none.
+    Collinear points have none.  One call for one group, point by point: ``triangulations`` does the work of queries.
     """
     n = len(points)
     if n < 3:
@@ -34,41 +37,40 @@ def triangulate(points: np.ndarray) -> np.ndarray:
     return tri[(tri < n).all(axis=1)]
 
 
-def alpha_triangles(xy: np.ndarray, alpha: float) -> np.ndarray:
-    """[triangle, corner, axis]: the triangles with circumradius 1 / alpha or less."""
-    points = np.unique(np.asarray(xy, dtype=np.float64), axis=0)
-    if len(points) < 4:
-        return np.zeros((0, 3, 2))
-    t = points[triangulate(points)]
-    if not len(t):
-        return t.reshape(0, 3, 2)
-    a, b, c = (np.linalg.norm(t[:, i] - t[:, j], axis=1) for i, j in ((0, 1), (1, 2), (2, 0)))
-    u, v = t[:, 1] - t[:, 0], t[:, 2] - t[:, 0]
-    double = np.abs(u[:, 0] * v[:, 1] - u[:, 1] * v[:, 0])
-    solid = double > 1e-9
-    return t[solid][(a * b * c)[solid] / (2 * double[solid]) <= 1 / alpha]
+def _outer(corners: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(length, group) of the sides that one triangle of a group has alone."""
+    sides = np.concatenate([np.hstack((corners[:, i], corners[:, j])) for i, j in ((0, 1), (1, 2), (2, 0))])
+    swap = (sides[:, 0] > sides[:, 2]) | ((sides[:, 0] == sides[:, 2]) & (sides[:, 1] > sides[:, 3]))
+    sides[swap] = sides[swap][:, [2, 3, 0, 1]]
+    home = np.tile(home, 3)
+    order = np.lexsort((*sides.T, home))
+    sides, home = sides[order], home[order]
+    same = np.zeros(len(sides) + 1, dtype=bool)
+    same[1:-1] = (sides[1:] == sides[:-1]).all(1) & (home[1:] == home[:-1])
+    once = ~(same[1:] | same[:-1])
+    return np.hypot(sides[once, 0] - sides[once, 2], sides[once, 1] - sides[once, 3]), home[once]
 
 
 def alpha_areas(bins: DataFrame, alpha: float = 0.05) -> DataFrame:
     """(cell, points, triangles, area, rim): the alpha shape of each cell's points (cell, x, y); a cell is one group of bounded size.
 
-    area is that of the triangles, rim the length of their outer edges; a shape
-    grown by a margin has about area + rim * margin more.
+    Cells of fewer than four points have no triangles.  area is that of the
+    triangles, rim the length of their outer edges; a shape grown by a margin has
+    about area + rim * margin more.
     """
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        t = alpha_triangles(pdf[["x", "y"]].to_numpy(), alpha)
+    def run(pdf: pd.DataFrame, first: np.ndarray) -> pd.DataFrame:
+        n = len(first)
+        group = np.repeat(np.arange(n), np.diff(np.append(first, len(pdf))))
+        given = pd.DataFrame({"g": group, "x": pdf["x"].to_numpy(np.float64), "y": pdf["y"].to_numpy(np.float64)}).drop_duplicates()
+        given = given[np.bincount(given["g"], minlength=n)[given["g"]] > 3]
+        which, dense = np.unique(given["g"].to_numpy(), return_inverse=True)
+        t, _, home = triangulations(given[["x", "y"]].to_numpy(), dense, 1 / alpha)
+        home = which[home] if len(which) else home
         u, v = t[:, 1] - t[:, 0], t[:, 2] - t[:, 0]
-        area = float(np.abs(u[:, 0] * v[:, 1] - u[:, 1] * v[:, 0]).sum() / 2)
-        rim = 0.0
-        if len(t):
-            edges = np.concatenate([t[:, [0, 1]], t[:, [1, 2]], t[:, [2, 0]]])
-            swap = (edges[:, 0, 0] > edges[:, 1, 0]) | ((edges[:, 0, 0] == edges[:, 1, 0]) & (edges[:, 0, 1] > edges[:, 1, 1]))
-            edges[swap] = edges[swap][:, ::-1]
-            flat, count = np.unique(edges.reshape(-1, 4), axis=0, return_counts=True)
-            outer = flat[count == 1]
-            rim = float(np.hypot(outer[:, 0] - outer[:, 2], outer[:, 1] - outer[:, 3]).sum())
-        return pd.DataFrame([(key[0], len(pdf), len(t), area, rim)], columns=["cell", "points", "triangles", "area", "rim"])
+        area = np.bincount(home, np.abs(u[:, 0] * v[:, 1] - u[:, 1] * v[:, 0]) / 2, minlength=n)
+        length, side = _outer(t, home)
+        return pd.DataFrame({"cell": pdf["cell"].to_numpy()[first], "points": np.bincount(group, minlength=n), "triangles": np.bincount(home, minlength=n), "area": area, "rim": np.bincount(side, length, minlength=n)})
 
     kind = bins.schema["cell"].dataType.simpleString()
-    return bins.groupBy("cell").applyInPandas(run, f"cell {kind}, points long, triangles long, area double, rim double")
+    return map_groups(bins.select("cell", "x", "y"), ["cell"], run, f"cell {kind}, points long, triangles long, area double, rim double")
