@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from . import spatial
 from .contracts import ContractError, assert_non_null, assert_unique
+from .lineage import cut
 
 
 def sources(bins: DataFrame, cells: DataFrame, rate: float, seed: int, area: float = 64.0, tile: float = 128.0, reach: float = 72.0, width: float = 24.0) -> DataFrame:
@@ -70,6 +71,7 @@ def spread(bins: DataFrame, found: DataFrame, profiles: DataFrame, seed: int, si
     profiles: (type, gene, c).  A tile is one group of a bounded number of bins;
     every budget is dealt whole.  A type without a profile raises.
     """
+    found = cut(found)  # read by the check and by the deal
     genes = profiles.filter("c > 0").groupBy("type").agg(F.array_sort(F.collect_list(F.struct("gene", "c"))).alias("gs"))
     lost = found.join(genes, "type", "left_anti").limit(1).collect()
     if lost:
@@ -78,20 +80,22 @@ def spread(bins: DataFrame, found: DataFrame, profiles: DataFrame, seed: int, si
     given = found.join(genes, "type").select("tx", "ty", "source", F.col("x").alias("sx"), F.col("y").alias("sy"), "budget", F.transform("gs", lambda g: g["gene"]).alias("genes"), F.transform("gs", lambda g: g["c"].cast("double")).alias("cs"))
 
     def run(key: tuple, here: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        xy, ids, parts = here[["hx", "hy"]].to_numpy(), here["bin"].to_numpy(), []
+        here = here.sort_values("bin")
+        xy, ids, where, what = here[["hx", "hy"]].to_numpy(), here["bin"].to_numpy(), [], []
         for r in own.sort_values("source").itertuples():
             rng = np.random.default_rng([seed, int(r.source) & 0xFFFFFFFF])
             d2 = ((xy - (r.sx, r.sy)) ** 2).sum(axis=1)
             local = np.flatnonzero(d2 <= 9 * sigma * sigma)
-            local = local[np.argsort(ids[local])]
             w, c = np.exp(-d2[local] / (2 * sigma * sigma)), np.asarray(r.cs)
-            where = ids[rng.choice(local, r.budget, p=w / w.sum())]
-            what = np.asarray(r.genes)[rng.choice(len(c), r.budget, p=c / c.sum())]
-            parts.append(pd.DataFrame({"bin": where, "gene": what}))
-        if not parts:
-            return pd.DataFrame({"bin": [], "gene": [], "n": []}).astype("int64")
-        return pd.concat(parts).value_counts(["bin", "gene"]).rename("n").reset_index()
-
+            where.append(ids[rng.choice(local, r.budget, p=w / w.sum())])
+            what.append(np.asarray(r.genes)[rng.choice(len(c), r.budget, p=c / c.sum())])
+        none = np.zeros(0, dtype=np.int64)
+        out = pd.DataFrame({"bin": np.concatenate([none, *where]), "gene": np.concatenate([none, *what])})
+        return out.groupby(["bin", "gene"], sort=False).size().rename("n").reset_index()
+
+    # Few bytes are much work here, so tiles are dealt to a stated number of tasks and not packed by size.
+    tasks = int(bins.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tiled, given = (df.repartition(tasks, "tx", "ty") for df in (tiled, given))
     return tiled.groupBy("tx", "ty").cogroup(given.groupBy("tx", "ty")).applyInPandas(run, "bin long, gene long, n long")
 
 
