@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 #: Rows that a call waits for; it holds these and the group that passes them.
 ROWS = 40_000
@@ -18,7 +19,7 @@ def starts(pdf: pd.DataFrame, keys: Sequence[str]) -> np.ndarray:
     new[:1] = True
     for k in keys:
         v = pdf[k].to_numpy()
-        new[1:] |= v[1:] != v[:-1]
+        new[1:] |= (v[1:] != v[:-1]) & ~(pd.isna(v[1:]) & pd.isna(v[:-1]))
     return np.flatnonzero(new)
 
 
@@ -40,8 +41,8 @@ def whole_groups(frames: Iterator[pd.DataFrame], keys: Sequence[str], rows: int
         yield pd.concat(held, ignore_index=True)
 
 
-def map_groups(df: DataFrame, keys: Sequence[str], run: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
-    """``run(rows, first rows of the groups)`` over whole groups, which must have keys without nulls.
+def map_groups(df: DataFrame, keys: Sequence[str], run: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], schema: str | StructType) -> DataFrame:
+    """``run(rows, first rows of the groups)`` over whole groups; null keys are a group.
 
     Few bytes are much work here, so groups are dealt to a stated number of tasks and not packed by size.
     """
