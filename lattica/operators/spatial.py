@@ -82,9 +82,52 @@ def _not_beaten(met: DataFrame, side: float) -> DataFrame:
 
 
 def k_nearest(points: DataFrame, centers: DataFrame, keys: Sequence[str], reach: float, k: int, tie: Sequence[Column]) -> DataFrame:
-    """The k nearest centers within the reach, ranked."""
+    """The k nearest centers within the reach, ranked by distance, then ``tie``, columns of the centers; a place gives its k first, so crowded centers do not multiply."""
+    order = F.row_number().over(Window.partitionBy("cx", "cy").orderBy(*tie))
+    first = centers.withColumn("_p", order).filter(F.col("_p") <= k).drop("_p")
     w = Window.partitionBy(*keys).orderBy("d", *tie)
-    return radius_join(points, centers, reach).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return radius_join(points, first, reach).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def nearest_other(centers: DataFrame, key: str, reach: float) -> DataFrame:
+    """(key, other, d): the nearest center (key, cx, cy) of another key, of equals the least; none for a lone center.
+
+    Centers that share their place are each other's; only centers alone at their
+    place look around, by doubled reach, and a place shows them its least key.
+    """
+    at = cut(centers.filter("cx is not null and cy is not null").groupBy("cx", "cy").agg(F.min(key).alias("_a"), F.max(key).alias("_z")))
+    crowded = centers.join(at.filter("_a <> _z"), ["cx", "cy"])
+    rest = crowded.filter(F.col(key) != F.col("_a")).select(key, F.col("_a").alias("other"), "cx", "cy")
+    first = rest.groupBy("cx", "cy").agg(F.min(key).alias("other"), F.min("other").alias(key)).select(key, "other")
+    out = rest.select(key, "other").unionByName(first).withColumn("d", F.lit(0.0))
+    todo = at.filter("_a = _z").select(F.col("_a").alias(key), F.col("cx").alias("x"), F.col("cy").alias("y"))
+    others = at.select(F.col("_a").alias("other"), "cx", "cy")
+    span = at.agg((F.max("cx") - F.min("cx") + F.max("cy") - F.min("cy")).alias("s")).first()["s"] or 0.0
+    while True:
+        # Beyond the extent only a single centre is left without another one.
+        if todo.isEmpty() or reach > 2 * span:
+            return out
+        hit = cut(radius_join(todo, others, reach, F.col("other") != F.col(key)).groupBy(key).agg(F.min_by(F.struct("other", "d"), F.struct("d", "other")).alias("m")).select(key, "m.*"))
+        out = out.unionByName(hit)
+        todo = todo.join(hit.select(key), key, "left_anti")
+        reach *= 2
+
+
+def with_other_distance(points: DataFrame, centers: DataFrame, keys: Sequence[str], key: str, reach: float) -> DataFrame:
+    """(keys, key, d, other): centers (key, cx, cy) within the reach of each point and the least distance there of another key, null without one.
+
+    The two least distances of a point come from its near places, so what is
+    joined and ranked does not grow with the centers at a place; these join last.
+    """
+    keys = list(keys)
+    at = centers.groupBy("cx", "cy").agg(F.min(key).alias("_a"), F.count("*").alias("_n"))
+    near = cut(radius_join(points, at, reach).select(*keys, "cx", "cy", "d", "_a", "_n"))
+    ends = near.groupBy(*keys).agg(F.min(F.struct("d", "_a", "_n")).alias("_m"))
+    second = near.join(ends.select(*keys, F.col("_m._a").alias("_b")), keys).filter("_a <> _b").groupBy(*keys).agg(F.min("d").alias("_s"))
+    ends = ends.join(second, keys, "left")
+    two = ends.select(*keys, F.col("_m._a").alias("_first"), F.col("_m.d").alias("_d1"), F.when(F.col("_m._n") > 1, F.col("_m.d")).otherwise(F.col("_s")).alias("_d2"))
+    each = near.select(*keys, "cx", "cy", "d").join(two, keys).join(centers.select(key, "cx", "cy"), ["cx", "cy"])
+    return each.select(*keys, key, "d", F.when(F.col(key) == F.col("_first"), F.col("_d2")).otherwise(F.col("_d1")).alias("other"))
 
 
 def nearest_few(points: DataFrame, centers: DataFrame, keys: Sequence[str], reach: float, k: int, tie: str) -> DataFrame:

@@ -26,11 +26,8 @@ def expression_confidence(spark, sf_dir):
 def add_reward_terms(spark, sf_dir):
     """Distance and overlap penalties; the best other distance comes from the two least of a bin."""
     t = Tables(spark, sf_dir)
-    p = spatial.radius_join(t.grid.select("bin", "x", "y"), centers(t), 20.0).select("bin", "cell", "d")
-    first = p.groupBy("bin").agg(F.min(F.struct("d", "cell")).alias("m1"))
-    second = p.join(first, "bin").filter("cell <> m1.cell").groupBy("bin").agg(F.min("d").alias("m2"))
-    j = p.join(first, "bin").join(second, "bin", "left")
-    other = F.coalesce(F.when(F.col("cell") == F.col("m1.cell"), F.col("m2")).otherwise(F.col("m1.d")), F.lit(20.0))
+    j = spatial.with_other_distance(t.grid.select("bin", "x", "y"), centers(t).select("cell", "cx", "cy"), ["bin"], "cell", 20.0)
+    other = F.coalesce("other", F.lit(20.0))
     pd_, po = maths.distance_penalty(F.col("d"), 20.0), maths.overlap_penalty(F.col("d"), other, 20.0)
     reward = maths.add_reward(F.lit(1.0), F.lit(0.0), pd_, po, F.lit(0.0), (1.0, 0.5, 0.25, 0.0, 0.0))
     return j.select("bin", "cell", R6(pd_, "p_distance"), R6(po, "p_overlap"), R6(reward, "reward"))

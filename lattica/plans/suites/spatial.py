@@ -35,18 +35,7 @@ def episode_candidate_summary(spark, sf_dir):
 @register("nearest_other_nucleus", ctes("centers") + ", p as (select a.cell, b.cell other, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) d from centers a join centers b on a.cell <> b.cell) select cell, other, round(d, 6) as d from (select *, row_number() over (partition by cell order by d, other) rn from p) where rn = 1")
 def nearest_other_nucleus(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    others = centers(t).select(F.col("cell").alias("other"), "cx", "cy")
-    # The own centre is at distance 0: take the nearest two of other ids by doubling the reach.
-    out, todo, reach = None, t.centers.select("cell", "x", "y"), 16.0
-    span = t.centers.agg((F.max("x") - F.min("x") + F.max("y") - F.min("y")).alias("s")).first()["s"] or 0.0
-    while True:
-        hit = spatial.radius_join(todo, others, reach, F.col("other") != F.col("cell")).groupBy("cell").agg(F.min_by(F.struct("other", "d"), F.struct("d", "other")).alias("m")).select("cell", "m.*")
-        out = hit if out is None else out.unionByName(hit)
-        todo = todo.join(hit.select("cell"), "cell", "left_anti")
-        # Beyond the extent only a single centre is left without another one.
-        if reach > span or todo.isEmpty():
-            return out.select("cell", "other", R6(F.col("d"), "d"))
-        reach *= 2
+    return spatial.nearest_other(centers(t).select("cell", "cx", "cy"), "cell", 16.0).select("cell", "other", R6(F.col("d"), "d"))
 
 
 @register("typed_neighbour_weights", ctes("centers") + ", p as (select a.cell, b.type, exp(-((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) / 200.0) w from centers a join centers b on (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 900) select cell, type, round(sum(w) / sum(sum(w)) over (partition by cell), 6) as weight from p group by cell, type")
