@@ -176,12 +176,16 @@ def in_rectangles(points: DataFrame, rectangles: DataFrame, key: str, tile: floa
     return p.join(tiles, ["_tx", "_ty"]).filter(inside).select(key, *points.columns)
 
 
-def rectangle_overlaps(a: DataFrame, b: DataFrame, tile: float) -> DataFrame:
-    """Pairs (a, b) of closed rectangles that touch: a (a, ax0, ax1, ay0, ay1), b likewise."""
+def rectangle_overlaps(a: DataFrame, b: DataFrame, tile: float, tasks: int | None = None) -> DataFrame:
+    """Pairs (a, b) of closed rectangles that touch: a (a, ax0, ax1, ay0, ay1), b likewise.
+
+    ``tasks``: tiles are dealt to that many tasks and not packed by size, for pairs that are much work each.
+    """
 
     def tiles(df: DataFrame, n: str) -> DataFrame:
         t = df.withColumn("_tx", F.explode(F.sequence(_cell(F.col(f"{n}x0"), tile), _cell(F.col(f"{n}x1"), tile))))
-        return t.withColumn("_ty", F.explode(F.sequence(_cell(F.col(f"{n}y0"), tile), _cell(F.col(f"{n}y1"), tile))))
+        t = t.withColumn("_ty", F.explode(F.sequence(_cell(F.col(f"{n}y0"), tile), _cell(F.col(f"{n}y1"), tile))))
+        return t.repartition(tasks, "_tx", "_ty") if tasks else t
 
     c = F.col
     meet = (c("ax0") <= c("bx1")) & (c("bx0") <= c("ax1")) & (c("ay0") <= c("by1")) & (c("by0") <= c("ay1"))

@@ -74,3 +74,23 @@ def test_sources_are_found_once_for_all_their_counts(spark):
     counts = background.spread(bins, found, spark.createDataFrame([(1, 4, 2), (1, 5, 1)], "type long, gene long, c long"), 3).collect()
     assert sum(r["n"] for r in counts) == 25 and {r["gene"] for r in counts} <= {4, 5}
     assert seen.value == 3
+
+
+def test_pieces_of_regions_share_what_the_whole_regions_share(spark, monkeypatch):
+    from lattica.operators import polygons as pg
+
+    def ring(n, x, y, r):
+        return [{"x": x + r * (1 + k % 2 / 3) * math.cos(2 * math.pi * k / n), "y": y + r * (1 + k % 2 / 3) * math.sin(2 * math.pi * k / n)} for k in range(n)]
+
+    schema = "{0} long, ring array<struct<x:double,y:double>>"
+    a = pg.regions(spark.createDataFrame([(1, ring(120, 3, 4, 30)), (2, ring(7, -20, 0, 9))], schema.format("a")), "a")
+    b = pg.regions(spark.createDataFrame([(1, ring(90, 13, 9, 25)), (2, ring(6, 9, -8, 11)), (3, ring(5, 900, 0, 3))], schema.format("b")), "b")
+    found = []
+    for most in (64, 1000, 3):
+        monkeypatch.setattr(pg, "PIECE", most)
+        found.append({(r["a"], r["b"]): r["common"] for r in pg.overlaps(a, b, 16.0).collect()})
+    for one in found[1:]:
+        assert one.keys() == found[0].keys() and all(one[k] == pytest.approx(found[0][k], abs=1e-9) for k in one)
+    copies = spark.createDataFrame([(1, 1), (1, 7), (2, 2), (3, 3)], "of long, member long")
+    pairs = {(r["a"], r["b"]) for r in pg.expanded(pg.overlaps(a, b, 16.0), copies).collect()}
+    assert pairs == {(x, y) for p, q in found[0] for x in {1: (1, 7)}.get(p, (p,)) for y in {1: (1, 7)}.get(q, (q,))}
