@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,9 +20,14 @@ class Weights:
     shape: float = 0.0
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def softmax(a: Column) -> Column:
-    e = F.transform(a, lambda x: F.exp(x - F.array_max(a)))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
+    share = lambda e: once(F.aggregate(e, F.lit(0.0), lambda s, y: s + y), lambda all_: F.transform(e, lambda x: x / all_))
+    return once(a, lambda v: once(F.array_max(v), lambda top: once(F.transform(v, lambda x: F.exp(x - top)), share)))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -38,12 +44,16 @@ def type_arrays(ll: DataFrame) -> DataFrame:
     return ll.groupBy("bin").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "ll"))), lambda s: s["ll"]).alias("lls"))
 
 
-def cell_states(members: DataFrame, ll: DataFrame) -> DataFrame:
-    """(cell, scores, weighted, expr): of the bins (bin, cell, conf) of each cell the sums of ll and of conf ll by type, and of conf."""
-    by_type = members.join(ll, "bin").groupBy("cell", "k").agg(F.sum("ll").alias("s"), F.sum(F.col("ll") * F.col("conf")).alias("w"))
-    arrays = by_type.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("k", "s", "w"))).alias("a"))
-    total = members.groupBy("cell").agg(F.sum("conf").alias("expr"))
-    return arrays.join(total, "cell").select("cell", F.transform("a", lambda x: x["s"]).alias("scores"), F.transform("a", lambda x: x["w"]).alias("weighted"), "expr")
+def cell_states(members: DataFrame, ll: DataFrame | None = None) -> DataFrame:
+    """(cell, scores, weighted, expr): of the bins (bin, cell, conf, lls) of each cell the sums of lls and of conf lls by type, and of conf.
+
+    lls may come as likelihoods (bin, k, ll) instead.
+    """
+    if ll is not None:
+        members = members.join(type_arrays(ll), "bin")
+    by_type = members.select("cell", "conf", F.posexplode("lls").alias("k", "ll")).groupBy("cell", "k").agg(F.sum("ll").alias("s"), F.sum(F.col("ll") * F.col("conf")).alias("w"), F.sum("conf").alias("c"))
+    arrays = by_type.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("k", "s", "w"))).alias("a"), F.max("c").alias("expr"))
+    return arrays.select("cell", F.transform("a", lambda x: x["s"]).alias("scores"), F.transform("a", lambda x: x["w"]).alias("weighted"), "expr")
 
 
 def global_delta(w: Weights, remove: bool = False) -> Column:
@@ -54,21 +64,25 @@ def global_delta(w: Weights, remove: bool = False) -> Column:
     """
     sign = -1.0 if remove else 1.0
     lls, conf, expr, weighted = F.col("lls"), F.col("conf"), F.col("expr"), F.col("weighted")
-    now, then = softmax(F.col("scores")), softmax(F.zip_with("scores", lls, lambda s, x: s + sign * x))
     mass = F.greatest(expr - conf, F.lit(0.0)) if remove else expr + conf
-    gain = F.array_max(then) * mass - F.array_max(now) * expr
-    old = dot(then, F.zip_with(weighted, lls, lambda a, x: a + sign * x * conf)) - dot(now, weighted)
-    return w.gain * gain + w.old * old - sign * F.col("penalty") + sign * w.support * 2 * F.col("support") + w.shape * F.col("shape")
+    change = lambda then, now: w.gain * (F.array_max(then) * mass - F.array_max(now) * expr) + w.old * (dot(then, F.zip_with(weighted, lls, lambda a, x: a + sign * x * conf)) - dot(now, weighted))
+    moved = once(softmax(F.zip_with("scores", lls, lambda s, x: s + sign * x)), lambda then: once(softmax(F.col("scores")), lambda now: change(then, now)))
+    return moved - sign * F.col("penalty") + sign * w.support * 2 * F.col("support") + w.shape * F.col("shape")
+
 
+def stop_delta(rewards: DataFrame, cells: DataFrame | None = None, stat: str = "max", k: int = 3) -> DataFrame:
+    """(cell, delta): the best of the eligible rewards (cell, reward) left, or the mean of the k best; 0 for a cell without any.
 
-def stop_delta(rewards: DataFrame, cells: DataFrame, stat: str = "max", k: int = 3) -> DataFrame:
-    """(cell, delta): the best of the eligible rewards (cell, reward) left, or the mean of the k best; 0 for a cell without any."""
+    A null reward names its cell alone, so one table without ``cells`` can hold all of them.
+    """
     if stat not in ("max", "topk_mean"):
         raise ValueError(f"unknown statistic {stat}")
     n = 1 if stat == "max" else max(1, k)
-    rank = F.row_number().over(Window.partitionBy("cell").orderBy(F.desc("reward")))
-    top = rewards.withColumn("_r", rank).filter(F.col("_r") <= n).groupBy("cell").agg(F.avg("reward").alias("delta"))
-    return cells.select("cell").distinct().join(top, "cell", "left").select("cell", F.coalesce("delta", F.lit(0.0)).alias("delta"))
+    rank = F.row_number().over(Window.partitionBy("cell").orderBy(F.desc_nulls_last("reward")))
+    top = rewards.select("cell", "reward").withColumn("_r", rank).filter(F.col("_r") <= n).groupBy("cell").agg(F.avg("reward").alias("delta"))
+    if cells is not None:
+        top = cells.select("cell").distinct().join(top, "cell", "left")
+    return top.select("cell", F.coalesce("delta", F.lit(0.0)).alias("delta"))
 
 
 def stop_reward(delta: Column, rate: float) -> Column:
