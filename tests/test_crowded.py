@@ -94,3 +94,23 @@ def test_pieces_of_regions_share_what_the_whole_regions_share(spark, monkeypatch
     copies = spark.createDataFrame([(1, 1), (1, 7), (2, 2), (3, 3)], "of long, member long")
     pairs = {(r["a"], r["b"]) for r in pg.expanded(pg.overlaps(a, b, 16.0), copies).collect()}
     assert pairs == {(x, y) for p, q in found[0] for x in {1: (1, 7)}.get(p, (p,)) for y in {1: (1, 7)}.get(q, (q,))}
+
+
+def test_audit_finds_uses_that_are_far_apart(spark, tmp_path):
+    from lattica.plans import catalog
+
+    spark.createDataFrame([(0,), (128 * 20_000,), (5,)], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    lines = [(0, 1, 50.0, 1.0), (128 * 20_000, 1, 50.0, 1.0), (5, 2, 50.0, 1.0)]
+    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long, l_quantity double, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r["cell"]: (r["uses"], r["least_distance"]) for r in catalog.queries()["assignment_audit"](spark, str(tmp_path)).collect()}
+    assert got == {1: (2, 40_000.0), 2: (1, None)}
+
+
+def test_cells_without_rewards_are_named_by_nulls(spark):
+    from lattica.operators import online
+
+    rewards = spark.createDataFrame([(1, 1.0), (1, 5.0), (1, None), (1, 0.0), (1, 3.0), (2, None)], "cell long, reward double")
+    assert {tuple(r) for r in online.stop_delta(rewards, None, "topk_mean", 3).collect()} == {(1, 3.0), (2, 0.0)}
+    s = spark.createDataFrame([([1.0, 2.0, 0.5],)], "a array<double>").select(online.softmax(F.col("a"))).first()[0]
+    e = np.exp(np.array([1.0, 2.0, 0.5]) - 2)
+    assert np.allclose(s, e / e.sum())
