@@ -8,10 +8,12 @@ it says it conserves.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,21 +118,98 @@ def smooth_field(bins: DataFrame, sigma: float, seed: int, keys: Sequence[str] =
     return both.withColumn("field", F.col("f") / F.col("m")).drop("f", "m")
 
 
+#: Least side of a tile of ``_carried``, in places, and units that are drawn at once in it.
+TILE, UNITS = 128, 1 << 20
+
+
+def stream_start(seed: int | str, *key: Column) -> Column:
+    """Where the draws of a row start: the first 64 bits of its seeded SHA-256, as a long."""
+    digest = F.sha2(F.concat_ws(":", F.lit(str(seed)), *[k.cast("string") for k in key]), 256)
+    return F.conv(F.substring(digest, 1, 16), 16, -10).cast("long")
+
+
+def stream_draw(start: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """Uniform draws in [0, 1): the numbered outputs of SplitMix64 from the start."""
+    z = start.view(np.uint64) + (number.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53
+
+
+def _carried(counts: DataFrame, seed: int, p: float, reach: int, offset: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """Counts (row, col, gene, n) after each unit moved with chance p by ``offset`` of two draws, at most ``reach`` on either axis.
+
+    Units that would leave the grid stay, as do those without a place.  A tile draws for its own rows and for those
+    within reach of it, and keeps what ends in it: no unit is a row, and each (row, col, gene) comes from one tile.  Unit
+    i of a row has the draws 3 i to 3 i + 2 of its stream, so a row drawn for two tiles moves the same in both.
+    """
+    side = max(TILE, 8 * reach)
+    wide, units = side + 2 * reach, UNITS
+    names = ["row", "col", "gene", "n"]
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        at = [k.as_py() for k in key]
+        if None in at:
+            return t.filter(pc.greater(t["n"], 0)).group_by(names[:3]).aggregate([("n", "sum")]).rename_columns(names)
+        top, left = (k * side - reach for k in at)
+        n, start = t["n"].to_numpy(), t["_start"].to_numpy()
+        r, c = t["row"].to_numpy() - top, t["col"].to_numpy() - left
+        own = lambda r, c: (r >= reach) & (r < side + reach) & (c >= reach) & (c < side + reach)
+        inside = own(r, c)
+        if not inside.any():
+            return t.select(names).slice(0, 0)
+        there = np.zeros((wide, wide), dtype=bool)
+        there[r, c] = True
+        genes = t["gene"].combine_chunks().dictionary_encode()
+        none = len(genes.dictionary)
+        g = genes.indices.cast("int64").fill_null(none).to_numpy()
+        code = lambda r, c, g: (r * wide + c) * (none + 1) + g
+        ends, gone = np.cumsum(n), np.zeros_like(n)
+        keys, sums = [], []
+        for lo in range(0, int(ends[-1]), units):
+            u = np.arange(lo, min(lo + units, int(ends[-1])))
+            k = np.searchsorted(ends, u, "right")
+            i = 3 * (u - (ends[k] - n[k]))
+            moves = stream_draw(start[k], i) < p
+            k, i = k[moves], i[moves]
+            dr, dc = offset(stream_draw(start[k], i + 1), stream_draw(start[k], i + 2))
+            r2, c2 = r[k] + dr, c[k] + dc
+            # Only rows of other tiles reach beyond what is here, and they do not end in this one.
+            ok = ((dr != 0) | (dc != 0)) & (r2 >= 0) & (r2 < wide) & (c2 >= 0) & (c2 < wide)
+            ok[ok] = there[r2[ok], c2[ok]]
+            gone += np.bincount(k[ok], minlength=len(n))
+            ok &= own(r2, c2)
+            some, times = np.unique(code(r2[ok], c2[ok], g[k[ok]]), return_counts=True)
+            keys.append(some)
+            sums.append(times)
+        keys.append(code(r, c, g)[inside])
+        sums.append((n - gone)[inside])
+        some, which = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.zeros(len(some), dtype=np.int64)
+        np.add.at(total, which, np.concatenate(sums))
+        some, total = some[total > 0], total[total > 0]
+        place, g = np.divmod(some, none + 1)
+        return pa.table([place // wide + top, place % wide + left, genes.dictionary.take(pa.array(g, mask=g == none)), total], names=names)
+
+    rows = counts.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "gene", F.greatest(F.coalesce(F.col("n").cast("long"), F.lit(0)), F.lit(0)).alias("n"), stream_start(seed, F.col("row"), F.col("col"), F.col("gene")).alias("_start"))
+    # Rows without a place have no tile.
+    tiles = lambda c: F.explode_outer(F.when(F.col("row").isNotNull() & F.col("col").isNotNull(), F.array_distinct(F.array(*[F.floor((F.col(c) + d) / side) for d in (-reach, 0, reach)]))))
+    dealt = rows.withColumn("_r", tiles("row")).withColumn("_c", tiles("col"))
+    return dealt.groupBy("_r", "_c").applyInArrow(run, f"row long, col long, gene {counts.schema['gene'].dataType.simpleString()}, n long")
+
+
 def transport(counts: DataFrame, seed: int, p: float, sigma: float) -> DataFrame:
     """Counts (row, col, gene, n) after each unit moved with chance p by a rounded Gaussian offset; units that would leave the grid stay.
 
-    Gene totals are conserved: every unit is one row until it is counted again.
+    Gene totals are conserved.  Offsets end at 8.3 sigma, where the least draw is cut.
     """
-    u = _units(counts, "n")
-    key = [F.col(c) for c in ("row", "col", "gene", "i")]
-    r = F.sqrt(-2 * F.ln(F.greatest(hash_uniform(f"{seed}a", *key), F.lit(1e-15)))) * sigma
-    angle = 2 * math.pi * hash_uniform(f"{seed}b", *key)
-    moves = hash_uniform(f"{seed}c", *key) < p
-    u = u.withColumns({"r2": F.col("row") + F.when(moves, F.rint(r * F.cos(angle)).cast("long")).otherwise(0), "c2": F.col("col") + F.when(moves, F.rint(r * F.sin(angle)).cast("long")).otherwise(0)})
-    there = counts.select(F.col("row").alias("r2"), F.col("col").alias("c2")).distinct().withColumn("ok", F.lit(True))
-    j = u.join(there, ["r2", "c2"], "left")
-    at = lambda moved, own: F.when(F.col("ok"), F.col(moved)).otherwise(F.col(own))
-    return j.groupBy(at("r2", "row").alias("row"), at("c2", "col").alias("col"), "gene").agg(F.count("*").alias("n"))
+    far = lambda u: np.sqrt(-2 * np.log(np.maximum(u, 1e-15))) * sigma
+
+    def offset(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        r, angle = far(u), 2 * math.pi * v
+        return np.rint(r * np.cos(angle)).astype(np.int64), np.rint(r * np.sin(angle)).astype(np.int64)
+
+    return _carried(counts, seed, p, int(np.rint(far(0.0))), offset)
 
 
 def soft_choice(df: DataFrame, keys: Sequence[str], item: str, weight: str, seed: int, greedy: bool = False) -> DataFrame:
@@ -173,15 +252,8 @@ def place(sources: DataFrame, weights: DataFrame, capture: float, seed: int) ->
 
 def ambient(counts: DataFrame, share: float, reach: int, seed: int) -> DataFrame:
     """Counts (row, col, gene, n) after each unit moved with the given chance to a uniform place within ``reach``; moves off the grid stay."""
-    u = _units(counts, "n")
-    key = [F.col(c) for c in ("row", "col", "gene", "i")]
-    step = lambda s: F.floor(hash_uniform(f"{seed}{s}", *key) * (2 * reach + 1)).cast("long") - reach
-    moves = hash_uniform(f"{seed}m", *key) < share
-    u = u.withColumns({"r2": F.col("row") + F.when(moves, step("r")).otherwise(0), "c2": F.col("col") + F.when(moves, step("c")).otherwise(0)})
-    there = counts.select(F.col("row").alias("r2"), F.col("col").alias("c2")).distinct().withColumn("ok", F.lit(True))
-    j = u.join(there, ["r2", "c2"], "left")
-    at = lambda moved, own: F.when(F.col("ok"), F.col(moved)).otherwise(F.col(own))
-    return j.groupBy(at("r2", "row").alias("row"), at("c2", "col").alias("col"), "gene").agg(F.count("*").alias("n"))
+    step = lambda u: np.floor(u * (2 * reach + 1)).astype(np.int64) - reach
+    return _carried(counts, seed, share, reach, lambda u, v: (step(u), step(v)))
 
 
 def nuclear_noise(bins: DataFrame, drop: float, least: int, claim: float, seed: int) -> DataFrame:
