@@ -73,7 +73,8 @@ def _patch():
 def board(t: Tables):
     """(bins, claims) of all patches at the start."""
     at = t.grid.select(_patch(), "bin", "row", "col")
-    claims = t.pairs.select(F.col("barcode").alias("bin"), (F.col("cell") % CELLS).alias("cell"), "px").join(at, "bin").groupBy("patch", "bin", "cell").agg((F.sum("px") - 24).cast("double").alias("worth"))
+    # Bins meet their places before the sum, so one exchange by bin serves the join, the sum and the best claim.
+    claims = t.claims.select(F.col("barcode").alias("bin"), (F.col("cell") % CELLS).alias("cell"), "px").join(at, "bin").groupBy("patch", "bin", "cell").agg((F.sum("px") - 24).cast("double").alias("worth"))
     top = claims.groupBy("bin").agg(F.max_by("cell", F.struct(F.col("worth"), -F.col("cell"))).alias("top"))
     target = F.col("bin") % 24 == 5
     cell = F.when(((F.col("bin") + F.col("row")) % 8 == 0) | (target & (F.expr("row div 16") % 3 == 0)), F.col("top"))
@@ -81,17 +82,17 @@ def board(t: Tables):
     return bins, claims
 
 
-def requests(t: Tables, lines):
-    """What cells ask for: (patch, step, n, cell, bin) of lines, which may be a stream; n is counted from the table."""
+def asked(t: Tables, lines):
+    """What cells ask for: (patch, step, cell, bin) of lines, which may be a stream."""
+    asks = lines.select(F.col("l_orderkey").alias("bin"), (F.col("l_suppkey") % CELLS).alias("cell")).join(t.grid.select("bin", _patch()), "bin")
+    again = F.explode(F.array(*map(F.lit, AGAIN))).alias("_j")
+    return asks.select("patch", "cell", "bin", again).withColumn("step", 1 + (F.col("bin") * 7 + F.col("cell") * 3 + F.col("_j")) % STEPS).drop("_j")
 
-    def placed(rows):
-        cell = F.col("l_suppkey") % CELLS
-        asked = rows.select(F.col("l_orderkey").alias("bin"), cell.alias("cell"), F.explode(F.array(*map(F.lit, AGAIN))).alias("_j"))
-        asked = asked.withColumn("step", 1 + (F.col("bin") * 7 + F.col("cell") * 3 + F.col("_j")) % STEPS).drop("_j")
-        return asked.join(t.grid.select("bin", _patch()), "bin")
 
-    sizes = placed(t.raw("lineitem")).groupBy("patch", "step").agg(F.count("*").alias("n"))
-    return placed(lines).join(sizes, ["patch", "step"])
+def requests(t: Tables, lines):
+    """What cells ask for, with the number n of rows of the step, counted from the table."""
+    sizes = asked(t, t.raw("lineitem")).groupBy("patch", "step").agg(F.count("*").alias("n"))
+    return asked(t, lines).join(sizes, ["patch", "step"])
 
 
 _LEGAL_SQL = _BOARD + "," + _legal("bn") + " select patch, bin, cell, nullif(old, -1) as old, old >= 0 as replace, round(reward, 6) as reward from la"
@@ -118,8 +119,8 @@ def joint_steps_query(spark, sf_dir):
 
 @register("joint_owners", _STEPS_SQL + " select patch, bin, cell from (select patch, bin, arg_max(cell, step) cell from r group by 1, 2) where cell >= 0")
 def joint_owners_query(spark, sf_dir):
-    """Owners after the joint steps: the same operator over the table in one batch, its changes over the owners at the start."""
+    """Owners after the joint steps: the board of the stream over the whole table, a patch with all its requests in one group."""
     t = Tables(spark, sf_dir)
     bins, claims = board(t)
-    steps = joint.in_batch(joint.joint_steps(requests(t, t.raw("lineitem")), bins, claims, RULES))
-    return joint.owners_after(bins, steps)
+    whole = asked(t, t.raw("lineitem")).withColumn("n", F.lit(None))
+    return joint.joint_owners(whole, bins, claims, RULES)

@@ -1,15 +1,19 @@
 """Joint steps of all cells of a patch as a stateful operator: one transaction for each step, in batch and as a stream.
 
-The state of a patch lies in the state store: its bins with their owners, the claims of its cells, requests of steps
-that are not complete, and its progress.  A patch is a rectangle of bounded size, so its state is, too.
+The state of a patch of a stream lies in the state store: its bins with their owners, the claims of its cells,
+requests of steps that are not complete, and its progress.  In a batch all requests of a patch are there at once, so they
+meet its bins and claims in one group and nothing is stored.  A patch is a rectangle of bounded size, so its state is, too.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -18,6 +22,8 @@ from ..operators.legal import Rules, scale_of
 from ..operators.lineage import cut
 
 OUT = "patch long, step long, phase string, outcome string, applied long, masked long, reward double, ended string, changes array<struct<bin:long,cell:long>>"
+OWNERS = "patch long, bin long, cell long"
+STEPS = pa.schema([("patch", "int64"), ("step", "int64"), ("phase", "string"), ("outcome", "string"), ("applied", "int64"), ("masked", "int64"), ("reward", "float64"), ("ended", "string"), ("changes", pa.list_(pa.struct([("bin", pa.int64()), ("cell", pa.int64())])))])
 AROUND = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if (i, j) != (0, 0)]
 STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -34,10 +40,15 @@ class Board:
         self.allowed = {b for b, v in bins.items() if v[4]}
         self.owner = {b: v[2] for b, v in bins.items() if v[2] is not None}
         self.scale = scale_of(rules.scale, len({c for _, c in claims}), len(self.target))
+        self.around: dict[int, list[int]] = {}
+        self.wanted = [(b, c) for b, c in claims if b in self.target]
 
     def near(self, bin: int, cell: int) -> int:
-        r, c = self.place[bin]
-        return sum(self.owner.get(self.at.get((r + i, c + j))) == cell for i, j in AROUND)
+        if bin not in self.around:
+            r, c = self.place[bin]
+            self.around[bin] = [b for i, j in AROUND if (b := self.at.get((r + i, c + j))) is not None]
+        owner = self.owner.get
+        return [owner(b) for b in self.around[bin]].count(cell)
 
     def filled(self) -> bool:
         return all(b in self.owner for b in self.target)
@@ -51,16 +62,18 @@ class Board:
 
     def legal(self, bin: int, cell: int, filled: bool, held: set[int]) -> bool:
         old = self.owner.get(bin)
-        if (bin, cell) not in self.claims or bin not in self.place or old == cell or (cell in held and not self.near(bin, cell)):
+        if (bin, cell) not in self.claims or bin not in self.place or old == cell:
             return False
-        if old is None:
-            return not self.rules.replace_only if filled else bin in self.target
-        pays = (self.worth(bin, cell) - self.worth(bin, old)) / self.scale > self.rules.eps
-        return bin in self.allowed and (filled or bin in self.target) and pays
+        # What looks at neighbours comes last.
+        if not filled and bin not in self.target or (self.rules.replace_only and filled if old is None else bin not in self.allowed):
+            return False
+        if cell in held and not self.near(bin, cell):
+            return False
+        return old is None or (self.worth(bin, cell) - self.worth(bin, old)) / self.scale > self.rules.eps
 
     def can_add(self) -> bool:
         held = self.held()
-        return any(b in self.target and b not in self.owner and b in self.place and (c not in held or self.near(b, c)) for b, c in self.claims)
+        return any(b not in self.owner and (c not in held or self.near(b, c)) for b, c in self.wanted)
 
     def move(self, bin: int, cell: int | None) -> float:
         """Change the owner; what the objective gains."""
@@ -95,6 +108,16 @@ class Board:
         ended = None if filled or self.filled() or self.can_add() else "truncated"
         return phase, "applied", len(moves), masked, reward, ended, sorted(moves.items())
 
+    def play(self, take: Callable[[int], list[tuple[int, int]] | None], at: int, strict: bool) -> tuple[list[tuple], int, str | None]:
+        """(rows, next step, how it ended) of the steps from ``at`` on; ``take`` gives the sorted requests (cell, bin) of one that is complete."""
+        out, ended = [], None
+        while not ended and (asked := take(at)) is not None:
+            phase, outcome, applied, masked, reward, ended, changes = self.step(asked, strict)
+            ended = ended or ("truncated" if at >= self.rules.most else None)
+            out.append((at, phase, outcome, applied, masked, reward, ended, [{"bin": b, "cell": c} for b, c in changes]))
+            at += 1
+        return out, at, ended
+
 
 class JointSteps(StatefulProcessor):
     """Applies complete steps in their order; requests of later steps wait in the state."""
@@ -103,17 +126,22 @@ class JointSteps(StatefulProcessor):
         self.rules, self.strict = rules, strict
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.bins = handle.getMapState("bins", "bin long", "row long, col long, cell long, target boolean, allowed boolean")
-        self.claims = handle.getMapState("claims", "bin long, cell long", "worth double")
+        # Lists, since a board is read and written whole: a map would ask the store row by row.
+        self.bins = handle.getListState("bins", "bin long, row long, col long, cell long, target boolean, allowed boolean")
+        self.claims = handle.getListState("claims", "bin long, cell long, worth double")
         self.waiting = handle.getListState("waiting", "step long, n long, cell long, bin long")
         self.progress = handle.getValueState("progress", "next long, ended string")
 
     def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues) -> None:
+        bins, claims = [], []
         for r in initialState.itertuples():
             if pd.isna(r.worth):
-                self.bins.updateValue((int(r.bin),), (int(r.row), int(r.col), None if pd.isna(r.cell) else int(r.cell), bool(r.target), bool(r.allowed)))
+                bins.append((int(r.bin), int(r.row), int(r.col), None if pd.isna(r.cell) else int(r.cell), bool(r.target), bool(r.allowed)))
             else:
-                self.claims.updateValue((int(r.bin), int(r.cell)), (float(r.worth),))
+                claims.append((int(r.bin), int(r.cell), float(r.worth)))
+        for state, rows in ((self.bins, bins), (self.claims, claims)):
+            if rows:
+                state.appendList(rows)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         at, ended = self.progress.get() if self.progress.exists() else (1, None)
@@ -124,40 +152,92 @@ class JointSteps(StatefulProcessor):
         by_step: dict[int, list[tuple]] = defaultdict(list)
         for step, n, cell, bin in waiting:
             by_step[step].append((n, cell, bin))
-        bins = {k[0]: tuple(v) for k, v in self.bins.iterator()}
-        board = Board(bins, {tuple(k): v[0] for k, v in self.claims.iterator()}, self.rules)
-        out = []
-        while not ended and at in by_step and len(by_step[at]) >= by_step[at][0][0]:
-            asked = sorted((cell, bin) for _, cell, bin in by_step.pop(at) if cell is not None and bin is not None)
-            phase, outcome, applied, masked, reward, ended, changes = board.step(asked, self.strict)
-            ended = ended or ("truncated" if at >= self.rules.most else None)
-            out.append((key[0], at, phase, outcome, applied, masked, reward, ended, [{"bin": b, "cell": c} for b, c in changes]))
-            at += 1
-        for b, (row, col, cell, target, allowed) in bins.items():
-            if board.owner.get(b) != cell:
-                self.bins.updateValue((b,), (row, col, board.owner.get(b), target, allowed))
+        bins, claims = ([tuple(r) for r in state.get()] if state.exists() else [] for state in (self.bins, self.claims))
+        board = Board({b: tuple(v) for b, *v in bins}, {(b, c): w for b, c, w in claims}, self.rules)
+
+        def take(at: int) -> list[tuple[int, int]] | None:
+            if at not in by_step or len(by_step[at]) < (by_step[at][0][0] or 0):
+                return None
+            return sorted((cell, bin) for _, cell, bin in by_step.pop(at) if cell is not None and bin is not None)
+
+        out, at, ended = board.play(take, at, self.strict)
+        if any(r[-1] for r in out):
+            self.bins.put([(b, row, col, board.owner.get(b), target, allowed) for b, row, col, _, target, allowed in bins])
         left = [] if ended else [(s, *r) for s, rs in by_step.items() if s >= at for r in rs]
         self.waiting.put(left) if left else self.waiting.clear()
         self.progress.update((at, ended))
         if out:
-            yield pd.DataFrame(out, columns=["patch", "step", "phase", "outcome", "applied", "masked", "reward", "ended", "changes"])
+            yield pd.DataFrame([(key[0], *r) for r in out], columns=["patch", "step", "phase", "outcome", "applied", "masked", "reward", "ended", "changes"])
 
 
 def joint_steps(requests: DataFrame, bins: DataFrame, claims: DataFrame, rules: Rules, strict: bool = False) -> DataFrame:
     """One row for each step of a patch that was applied, refused or rolled back; requests may be a stream.
 
     requests: (patch, step, n, cell, bin), steps from 1, n the number of rows of the step, so that a step is known to be
-    complete in whatever order its rows come; a null cell or bin abstains.  bins and claims as in ``legal_actions``, with
+    complete in whatever order its rows come (null: what is there is the step, as in a batch); a null cell or bin abstains.  bins and claims as in ``legal_actions``, with
     unique keys: the state at the start.  All requests of a step are judged on the state before it.  Of two for one bin
     the lower cell's stands; the other, and those that are not legal, are masked (``strict`` raises).  Before all targets
     are owned a step always stands; after that one that pays eps or less is rolled back whole and ends the patch.  Steps
-    after the end are ignored.  The session must keep state in RocksDB (``rocks``).
+    after the end are ignored.  For a stream the session must keep state in RocksDB (``rocks``).
     """
+    rows, start = _sides(requests, bins, claims)
+    if not requests.isStreaming:
+        return _groups(rows, start, rules, strict, OUT)
+    return rows.groupBy("patch").transformWithStateInPandas(JointSteps(rules, strict), OUT, "Append", "None", start.groupBy("patch"))
+
+
+def joint_owners(requests: DataFrame, bins: DataFrame, claims: DataFrame, rules: Rules, strict: bool = False) -> DataFrame:
+    """(patch, bin, cell): owners once the steps of a batch are done, of patches without requests those at the start."""
+    return _groups(*_sides(requests, bins, claims), rules, strict, OWNERS)
+
+
+def _sides(requests: DataFrame, bins: DataFrame, claims: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(requests, bins and claims in one table) with the types that the steps need."""
     none = "cast(null as {})"
     start = bins.selectExpr("patch", "bin", "row", "col", "cell", "coalesce(target, false) as target", "coalesce(allowed, false) as allowed", none.format("double") + " as worth")
     start = start.unionByName(claims.selectExpr("patch", "bin", "cell", "cast(worth as double) as worth"), allowMissingColumns=True)
-    rows = requests.selectExpr("cast(patch as long) as patch", "cast(step as long) as step", "cast(n as long) as n", "cast(cell as long) as cell", "cast(bin as long) as bin")
-    return rows.groupBy("patch").transformWithStateInPandas(JointSteps(rules, strict), OUT, "Append", "None", start.groupBy("patch"))
+    return requests.selectExpr("cast(patch as long) as patch", "cast(step as long) as step", "cast(n as long) as n", "cast(cell as long) as cell", "cast(bin as long) as bin"), start
+
+
+def _groups(rows: DataFrame, start: DataFrame, rules: Rules, strict: bool, schema: str) -> DataFrame:
+    """Steps or owners of patches whose requests are all there."""
+
+    def run(key: tuple, asked: pa.Table, start: pa.Table) -> pa.Table:
+        patch, board, take = key[0].as_py(), _board(start, rules), _taken(asked)
+        out, _, _ = board.play(take, 1, strict)
+        if schema == OUT:
+            columns = list(zip(*out, strict=True)) or [()] * 8
+            return pa.Table.from_arrays([pa.array(v, t) for v, t in zip([[patch] * len(out), *columns], STEPS.types, strict=True)], schema=STEPS)
+        return pa.table({"patch": pa.array([patch] * len(board.owner), "int64"), "bin": pa.array(board.owner.keys(), "int64"), "cell": pa.array(board.owner.values(), "int64")})
+
+    return rows.groupBy("patch").cogroup(start.groupBy("patch")).applyInArrow(run, schema)
+
+
+def _board(start: pa.Table, rules: Rules) -> Board:
+    """The board of a patch from the rows of its bins and, where there is a worth, of its claims."""
+    claimed = start["worth"].is_valid()
+    c, b = start.filter(claimed), start.filter(pc.invert(claimed))
+    claims = dict(zip(zip(*(c[n].to_numpy().tolist() for n in ("bin", "cell")), strict=True), c["worth"].to_numpy().tolist(), strict=True))
+    owner = np.where(b["cell"].is_valid().to_numpy(), b["cell"].fill_null(0).to_numpy(), None).tolist()
+    row, col, target, allowed = (b[n].to_numpy().tolist() for n in ("row", "col", "target", "allowed"))
+    return Board(dict(zip(b["bin"].to_numpy().tolist(), zip(row, col, owner, target, allowed, strict=True), strict=True)), claims, rules)
+
+
+def _taken(asked: pa.Table) -> Callable[[int], list[tuple[int, int]] | None]:
+    """The requests of a step of one patch, as ``Board.play`` takes them, from all its rows."""
+    step, n, cell, bin = (asked[c].fill_null(0).to_numpy() for c in ("step", "n", "cell", "bin"))
+    real = pc.and_(asked["cell"].is_valid(), asked["bin"].is_valid()).to_numpy()
+    order = np.lexsort((bin, cell, step))
+    step, n, cell, bin, real = (x[order] for x in (step, n, cell, bin, real))
+
+    def take(at: int) -> list[tuple[int, int]] | None:
+        lo, hi = np.searchsorted(step, [at, at + 1])
+        if lo == hi or hi - lo < n[lo]:
+            return None
+        some = real[lo:hi]
+        return list(zip(cell[lo:hi][some].tolist(), bin[lo:hi][some].tolist(), strict=True))
+
+    return take
 
 
 def owners_after(bins: DataFrame, steps: DataFrame) -> DataFrame:
@@ -168,9 +248,8 @@ def owners_after(bins: DataFrame, steps: DataFrame) -> DataFrame:
 
 
 def in_batch(steps: DataFrame) -> DataFrame:
-    """The steps of a batch, run now with their state in RocksDB and kept as a checkpoint."""
-    with rocks(steps.sparkSession):
-        return cut(steps)
+    """The steps of a batch, run now and kept as a checkpoint."""
+    return cut(steps)
 
 
 class rocks:

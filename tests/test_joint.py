@@ -93,3 +93,69 @@ def test_scales(spark):
             assert got == scale_of(mode, cells, targets)
     with pytest.raises(ValueError):
         Rules(scale="other")
+
+
+def _patches(patches: int):
+    """Bins, claims and requests of small patches with large ids, holes, nulls and bins without an owner."""
+    import random
+
+    rnd, far = random.Random(5), 1 << 50
+    bins, claims, asked = [], [], []
+    for p in range(patches):
+        at = [(r, c) for r in range(5) for c in range(5) if rnd.random() < 0.9]
+        ids = {place: far + p * 100 + k for k, place in enumerate(at)}
+        bins += [(p, b, r, c, rnd.choice((None, None, None, 0, 1, 2)), rnd.random() < 0.2, rnd.random() < 0.8) for (r, c), b in ids.items()]
+        pairs = [(b, c) for b in ids.values() for c in range(4) if rnd.random() < 0.7] + [(far - 1, 0)]
+        claims += [(p, b, c, float(rnd.randint(-6, 9))) for b, c in pairs]
+        for step in range(1, 1 if p == 3 else 8):
+            rows = [rnd.choice(pairs) for _ in range(rnd.randint(1, 25))] + [(None, 1), (far + p * 100, None)]
+            asked += [(p, step, len(rows) + (p == 4 and step == 3), c, b) for b, c in rows]
+    return bins, claims, asked
+
+
+def test_a_batch_needs_no_store_and_is_the_stream(spark, tmp_path):
+    bins, claims, asked = _patches(12)
+    bins, claims = spark.createDataFrame(bins, BINS), spark.createDataFrame(claims, CLAIMS)
+    rows, rules = spark.createDataFrame(asked, REQUESTS), Rules(eps=0.5, support=4.0, scale="mean_patch_cells", most=6)
+    steps = joint.joint_steps(rows, bins, claims, rules)
+    assert "TransformWithState" not in steps._jdf.queryExecution().optimizedPlan().toString()
+    steps = joint.in_batch(steps)
+    got = sorted(map(tuple, steps.collect()), key=lambda r: r[:2])
+    assert max(r[1] for r in got if r[0] == 4) == 2  # the third step of patch 4 is not complete
+    assert {r[3] for r in got} >= {"applied", "rollback"}
+    rows.write.parquet(f"{tmp_path}/asked")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/asked")
+    with joint.rocks(spark):
+        out = st.run_available(joint.joint_steps(stream, bins, claims, rules))
+    assert sorted(map(tuple, out.collect()), key=lambda r: r[:2]) == got
+    owners = {tuple(r) for r in joint.joint_owners(rows, bins, claims, rules).collect()}
+    assert owners == {tuple(r) for r in joint.owners_after(bins, steps).collect()}
+    assert {r[0] for r in owners} == set(range(12))  # patch 3 asks for nothing
+    # Without n, what is there is the step.
+    whole = joint.joint_steps(rows.selectExpr("patch", "step", "null as n", "cell", "bin"), bins, claims, rules).collect()
+    assert sorted((tuple(r) for r in whole if r.patch != 4), key=lambda r: r[:2]) == [r for r in got if r[0] != 4]
+    assert max(r.step for r in whole if r.patch == 4) > 2
+
+
+def test_legal_is_the_rule_as_it_is_written(spark):
+    bins, claims, asked = _patches(30)
+    for replace_only in (False, True):
+        rules = Rules(eps=0.5, support=4.0, replace_only=replace_only)
+        for p in range(30):
+            b = joint.Board({r[1]: r[2:] for r in bins if r[0] == p}, {(r[1], r[2]): r[3] for r in claims if r[0] == p}, rules)
+            held = b.held()
+
+            def plain(bin, cell, filled, b=b, held=held, rules=rules):
+                old = b.owner.get(bin)
+                if (bin, cell) not in b.claims or bin not in b.place or old == cell or (cell in held and not b.near(bin, cell)):
+                    return False
+                if old is None:
+                    return not rules.replace_only if filled else bin in b.target
+                pays = (b.worth(bin, cell) - b.worth(bin, old)) / b.scale > rules.eps
+                return bin in b.allowed and (filled or bin in b.target) and pays
+
+            for q, _, _, cell, bin in asked:
+                for filled in (False, True):
+                    if q == p and bin is not None and cell is not None:
+                        assert b.legal(bin, cell, filled, held) == plain(bin, cell, filled)
+            assert b.can_add() == any(t in b.target and t not in b.owner and t in b.place and (c not in held or b.near(t, c)) for t, c in b.claims)
