@@ -18,6 +18,9 @@
    which links double their length.
 
 Only the table of bigrams is broadcast: letters are 90, bigrams at most 8100.
+All other joins are merged.  Spark takes the size of a written table from its
+compressed file and does not count what an explode multiplies, so it would send
+rows many times its broadcast limit through the driver.
 
 Edge cases: a null text has no words; an empty table, or one whose words are all
 short or rare, gives an empty result; a null doc_id counts as an empty string in
@@ -117,17 +120,17 @@ def near_words(words: DataFrame) -> DataFrame:
     long = keyed(rare, 1, _halves(size, F.left(word, middle), F.substring(word, middle + 2, size)), F.col("size") - 1, F.col("at"))
     one = same.unionByName(short).select("key", F.col("word").alias("a"), F.col("n").alias("n_a"))
     other = same.unionByName(long).select("key", F.col("word").alias("b"), F.col("n").alias("n_b"))
-    found = one.join(other, "key").filter("length(a) < length(b) or (length(a) = length(b) and a < b)").filter("levenshtein(a, b, 1) = 1")
+    found = one.join(other.hint("merge"), "key").filter("length(a) < length(b) or (length(a) = length(b) and a < b)").filter("levenshtein(a, b, 1) = 1")
     return found.select("a", "n_a", "b", "n_b").distinct()
 
 
 def roots(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(word, root) from (word, form): the end of each word's links.  Rounds double the length of links."""
     now, i = scratch.keep("links-0", links.select("word", F.col("form").alias("root"))), 0
-    while now.join(now.select(F.col("word").alias("root")), "root", "left_semi").limit(1).count():
+    while now.join(now.select(F.col("word").alias("root")).hint("merge"), "root", "left_semi").limit(1).count():
         further = now.select(F.col("word").alias("root"), F.col("root").alias("next"))
         i += 1
-        now = scratch.keep(f"links-{i}", now.join(further, "root", "left").select("word", F.coalesce("next", "root").alias("root")))
+        now = scratch.keep(f"links-{i}", now.join(further.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root")))
     return now
 
 
@@ -138,10 +141,10 @@ def spelling_groups(docs: DataFrame, letters: int = LETTERS, occurrences: int =
     pairs = near_words(words).select(F.explode(F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("o"), F.col("n_b").alias("on")), F.struct(F.col("b").alias("word"), F.col("a").alias("o"), F.col("n_a").alias("on")))).alias("p"))
     best = pairs.select("p.*").groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("on")).alias("m"), "o")).alias("best"))
     to = F.when(-F.col("best.m") >= F.col("n") * times, F.col("best"))
-    known = words.join(best, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), to["o"].alias("form"), (-to["m"]).alias("form_n"))
+    known = words.join(best.hint("merge"), "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), to["o"].alias("form"), (-to["m"]).alias("form_n"))
     known = scratch.keep("forms", known)
     ends = roots(known.filter("form is not null"), scratch)
-    return known.join(ends, "word", "left").withColumn("root", F.coalesce("root", "word"))
+    return known.join(ends.hint("merge"), "word", "left").withColumn("root", F.coalesce("root", "word"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

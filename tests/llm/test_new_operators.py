@@ -176,6 +176,22 @@ def test_spelling_of_empty_tables(spark, texts):
         assert op12.spelling_groups(d).count() == 0
 
 
+def test_spelling_broadcasts_bigrams_only(spark, tmp_path, monkeypatch):
+    """The planner takes a written table for its compressed size, so exploded words would go through the driver."""
+    from lattica.llm.common import Scratch
+
+    plans, keep = [], Scratch.keep
+    plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(Scratch, "keep", lambda self, name, df: (plan(df), keep(self, name, df))[1])
+    spark.createDataFrame([(f"word{chr(97 + i)}s", 5 + 40 * i) for i in range(20)], "word string, n long").write.parquet(str(tmp_path / "words"))
+    plan(op12.near_words(spark.read.parquet(str(tmp_path / "words"))))
+    plan(op12.spelling_groups(documents(spark, [(i, f"letter{chr(97 + i % 3)} " * (1 + 9 * (i % 3)), "s") for i in range(30)])))
+    op12.roots(spark.createDataFrame([(str(i), str(i + 1)) for i in range(9)], "word string, form string"), Scratch(spark, "test"))
+    joins = {j for p in plans for j in re.findall(r"(\w+Join) \[(\w+)#", p)}
+    assert joins >= {("SortMergeJoin", "key"), ("SortMergeJoin", "word"), ("SortMergeJoin", "root")}
+    assert {k for j, k in joins if j != "SortMergeJoin"} == {"gram"}
+
+
 @pytest.mark.parametrize("shards", [24, 7])
 def test_shards_hold_the_mixture(spark, texts, shards):
     docs = documents(spark, texts)
