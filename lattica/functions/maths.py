@@ -97,9 +97,10 @@ def inverse_affine(x: Column, y: Column, m: tuple[float, float, float, float, fl
 
 
 def projective(x: Column, y: Column, h: tuple[float, ...]) -> tuple[Column, Column]:
-    """Homography with nine numbers, row by row."""
+    """Homography with nine numbers, row by row; on the horizon, where w is 0, infinite by the sign of the numerator as doubles divide."""
     w = h[6] * x + h[7] * y + h[8]
-    return (h[0] * x + h[1] * y + h[2]) / w, (h[3] * x + h[4] * y + h[5]) / w
+    over = lambda a: F.when(w == 0, a * float("inf")).otherwise(F.try_divide(a, w))
+    return over(h[0] * x + h[1] * y + h[2]), over(h[3] * x + h[4] * y + h[5])
 
 
 def soften(nuclear: Column, cyto: Column, membrane: Column, prior: tuple[float, float, float], strength: float) -> tuple[Column, ...]:

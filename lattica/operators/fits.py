@@ -7,10 +7,11 @@ nine unknowns or as many as features, whatever the number of rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,9 +20,35 @@ from ..functions.maths import LN_2PI, projective
 
 def _residual(h: np.ndarray, x: Column, y: Column, u: Column, v: Column) -> Column:
     px, py = projective(x, y, tuple(float(a) for a in h.ravel()))
-    return F.hypot(px - u, py - v)
+    return F.nanvl(F.hypot(px - u, py - v), F.lit(math.inf))
 
 
+def _project(h: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(u, v, divisor) of ``projective``, digit by digit the same."""
+    h = h.ravel()
+    w = h[6] * x + h[7] * y + h[8]
+    return (h[0] * x + h[1] * y + h[2]) / w, (h[3] * x + h[4] * y + h[5]) / w, w
+
+
+def _over(rows: DataFrame, size: int, part: Callable[..., np.ndarray], combine: Callable = F.sum) -> np.ndarray:
+    """``size`` numbers of all rows (x, y, u, v): those that ``part`` gives for the arrays of a batch, combined.
+
+    In arrays, since as many sums of such terms are one Java method too long to be compiled.
+    """
+    names = [f"s{i}" for i in range(size)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            with np.errstate(all="ignore"):
+                found = part(*(c.to_numpy(zero_copy_only=False) for c in batch.columns))
+            yield pa.RecordBatch.from_arrays([pa.array([float(n)]) for n in found], names=names)
+
+    done = rows.mapInArrow(run, ", ".join(f"{n} double" for n in names))
+    return np.array(list(done.agg(*[combine(n) for n in names]).first()), dtype=float)
+
+
+#: Spreads from the middle beyond which (u, v) weigh as if they were there.
+FAR = 10.0
 #: Rows that a robust fit starts from, and its trials of four of them.
 START_ROWS, START_TRIALS = 2000, 400
 
@@ -49,27 +76,32 @@ def homography(points: DataFrame, x: str, y: str, u: str, v: str, robust: bool =
     ``robust``: rounds of weights that fall with the residual against its median,
     then a fit to the rows within three deviations; up to some 40 % of rows may be
     wrong.  Beyond ``tolerance`` for the largest residual (of the rows that count)
-    the fit raises.  Rows with nulls do not count; fewer than four points raise.
+    the fit raises.  Rows with nulls or infinite numbers do not count; fewer than four points raise.
+
+    The horizon of the map, where its divisor is 0, may cross the points.  Near it (u, v) have no bound and the rounding
+    of the divisor is all there is in the residuals: places and scales are quantiles, rows over FAR spreads out weigh
+    less in the sums, those near the horizon less in the steps, and the tolerance leaves out what rounding can do.
     """
     rows = points.select(*[F.col(c).cast("double").alias(n) for c, n in ((x, "x"), (y, "y"), (u, "u"), (v, "v"))]).dropna()
     names = ("x", "y", "u", "v")
-    scale = rows.agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m{c}") for c in names], *[F.stddev_pop(c).alias(f"s{c}") for c in names]).first()
+    rows = rows.filter(" and ".join(f"abs({c}) < double('infinity')" for c in names))
+    scale = rows.agg(F.count("*").alias("n"), *[F.percentile_approx(c, [0.1, 0.5, 0.9], 10_000).alias(f"q{c}") for c in names], *[F.stddev_pop(c).alias(f"s{c}") for c in names]).first()
     if scale["n"] < 4:
         raise ValueError("a projective transform needs four points")
-    shift = {c: (scale[f"m{c}"], max(scale[f"s{c}"], 1e-12)) for c in names}
-    normal = {c: (F.col(c) - shift[c][0]) / shift[c][1] for c in names}
+    shift = {c: (q[1], max((q[2] - q[0]) / 2 or scale[f"s{c}"], 1e-12)) for c in names for q in (scale[f"q{c}"],)}
     matrix = lambda a, b: np.array([[1 / shift[a][1], 0, -shift[a][0] / shift[a][1]], [0, 1 / shift[b][1], -shift[b][0] / shift[b][1]], [0, 0, 1]])
-    base = (normal["x"], normal["y"], F.lit(1.0))
-    products = [base[i] * base[j] for i in range(3) for j in range(i, 3)]
-    factors = (F.lit(1.0), normal["u"], normal["v"], normal["u"] * normal["u"] + normal["v"] * normal["v"])
+    normal = lambda c, values: (values - shift[c][0]) / shift[c][1]
     columns = tuple(F.col(c) for c in names)
+    inner = lambda h: matrix("u", "v") @ h @ np.linalg.inv(matrix("x", "y"))
+
+    def solve(weight: Callable[..., np.ndarray], affine: bool = False) -> np.ndarray:
+        def part(x: np.ndarray, y: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+            p, q, by = normal("u", u), normal("v", v), weight(x, y, u, v)
+            far = 1 / np.maximum(1, np.hypot(p, q) / FAR)
+            p, q, base = p * far, q * far, np.stack((normal("x", x), normal("y", y), np.ones_like(x)))
+            return np.stack([(base * (by * f)) @ base.T for f in (far * far, far * p, far * q, p * p + q * q)]).ravel()
 
-    def solve(weight: Column, affine: bool = False) -> np.ndarray:
-        sums = np.array(list(rows.agg(*[F.sum(weight * f * p) for f in factors for p in products]).first()), dtype=float).reshape(4, 6)
-        blocks = np.zeros((4, 3, 3))
-        blocks[:, *np.triu_indices(3)] = sums
-        blocks += np.triu(blocks, 1).transpose(0, 2, 1)
-        one, by_u, by_v, both = blocks
+        one, by_u, by_v, both = _over(rows, 36, part).reshape(4, 3, 3)
         zero = np.zeros((3, 3))
         if affine:
             h = np.vstack((np.linalg.lstsq(one, np.stack((by_u[2], by_v[2]), 1), rcond=1e-12)[0].T, [0.0, 0.0, 1.0]))
@@ -78,52 +110,80 @@ def homography(points: DataFrame, x: str, y: str, u: str, v: str, robust: bool =
         h = np.linalg.inv(matrix("u", "v")) @ h @ matrix("x", "y")
         return h / h[2, 2]
 
-    def refine(h: np.ndarray, weight: Column) -> np.ndarray:
-        g = matrix("u", "v") @ h @ np.linalg.inv(matrix("x", "y"))
-        g = g / g[2, 2]
-        a, b, _ = base
-        w = float(g[2, 0]) * a + float(g[2, 1]) * b + 1
-        u, v = ((float(r[0]) * a + float(r[1]) * b + float(r[2])) / w for r in g[:2])
-        at = rows.select(weight.alias("q"), (1 / w).alias("i"), (a / w).alias("a"), (b / w).alias("b"), u.alias("pu"), v.alias("pv"), (normal["u"] - u).alias("ru"), (normal["v"] - v).alias("rv"))
-        zero = F.lit(0.0)
-        slopes = [[F.col("a"), F.col("b"), F.col("i"), zero, zero, zero, -F.col("a") * F.col("pu"), -F.col("b") * F.col("pu")], [zero, zero, zero, F.col("a"), F.col("b"), F.col("i"), -F.col("a") * F.col("pv"), -F.col("b") * F.col("pv")]]
-        square = [F.sum(F.col("q") * (slopes[0][i] * slopes[0][j] + slopes[1][i] * slopes[1][j])) for i in range(8) for j in range(i, 8)]
-        gradient = [F.sum(F.col("q") * (slopes[0][i] * F.col("ru") + slopes[1][i] * F.col("rv"))) for i in range(8)]
-        sums = np.array(list(at.agg(*square, *gradient).first()), dtype=float)
-        m = np.zeros((8, 8))
-        m[np.triu_indices(8)] = sums[:36]
-        g = g + np.append(np.linalg.lstsq(m + np.triu(m, 1).T, sums[36:], rcond=1e-14)[0], 0.0).reshape(3, 3)
-        h = np.linalg.inv(matrix("u", "v")) @ g @ matrix("x", "y")
+    def miss(h: np.ndarray) -> Callable[..., np.ndarray]:
+        """The residuals of h."""
+
+        def of(x: np.ndarray, y: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+            pu, pv, _ = _project(h, x, y)
+            return np.nan_to_num(np.hypot(pu - u, pv - v), nan=np.inf, posinf=np.inf)
+
+        return of
+
+    def refine(h: np.ndarray, counts: Callable[..., np.ndarray]) -> np.ndarray:
+        """A step on the residuals of h itself, so that only its last digits round; near the horizon they count less, as rounding grows there by the square of the divisor."""
+        g = inner(h)
+
+        def part(x: np.ndarray, y: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+            pu, pv, divisor = _project(h, x, y)
+            some = counts(x, y, u, v) & (divisor != 0)
+            x, y, u, v, pu, pv = (c[some] for c in (x, y, u, v, pu, pv))
+            base = np.stack((normal("x", x), normal("y", y), np.ones_like(x)))
+            w = g[2] @ base
+            base, near, zero = base / w, np.minimum(1, (w / np.abs(g[2]).max()) ** 2), np.zeros_like(base)
+            slopes = np.hstack((np.concatenate((base, zero, -base * normal("u", pu))) * near, np.concatenate((zero, base, -base * normal("v", pv))) * near))
+            short = np.concatenate(((u - pu) / shift["u"][1] * near, (v - pv) / shift["v"][1] * near))
+            return np.concatenate(((slopes @ slopes.T).ravel(), slopes @ short))
+
+        sums = _over(rows, 90, part)
+        # A map is the same times any number, so its largest entry stays.
+        free, step = np.flatnonzero(np.arange(9) != np.abs(g).argmax()), np.zeros(9)
+        step[free] = np.linalg.lstsq(sums[:81].reshape(9, 9)[np.ix_(free, free)], sums[81:][free], rcond=1e-14)[0]
+        h = h + np.linalg.inv(matrix("u", "v")) @ step.reshape(3, 3) @ matrix("x", "y")
         return h / h[2, 2]
 
-    h = solve(F.lit(1.0), robust)
-    counts = F.lit(True)
+    least = 1e-9 * max(shift["u"][1], shift["v"][1])
+
+    def middle_of(h: np.ndarray) -> float:
+        return rows.agg(F.percentile_approx(_residual(h, *columns), 0.5, 10_000)).first()[0]
+
+    def within(h: np.ndarray) -> Callable[..., np.ndarray]:
+        """Whether rows are within three deviations of h."""
+        far = 3 * 1.4826 * max(middle_of(h), least) + 1e3 * least
+        return lambda *row: miss(h)(*row) <= far
+
+    h = solve(lambda x, *_: np.ones_like(x), robust)
+    counts = lambda x, *_: np.ones(len(x), dtype=bool)
     if robust:
-        least = 1e-9 * max(shift["u"][1], shift["v"][1])
         # Where four rows of a few fit better than the affine map, the rounds start there; else affine rounds come first,
         # as an early projective fit may bend the plane to please wrong points.
-        middle_of = lambda m: rows.agg(F.percentile_approx(_residual(m, *columns), 0.5, 10_000)).first()[0]
         few = rows.orderBy(F.xxhash64(*columns), *columns).limit(START_ROWS).collect()
         start = _of_four(np.array(few, dtype=float), [shift[c] for c in names], matrix)
         projective_start = start is not None and middle_of(start) < middle_of(h)
         h = start if projective_start else h
         for affine in (False,) if projective_start else (True, False):
             for _ in range(rounds):
-                r = _residual(h, *columns)
-                middle = max(rows.agg(F.percentile_approx(r, 0.5, 10_000)).first()[0], least)
-                before, h = h, solve(1 / (1 + (r / middle) * (r / middle)), affine)
-                if np.abs(h - before).max() <= (1e-4 if affine else 1e-10) * np.abs(h).max():
+                before, middle = h, max(middle_of(h), least)
+                h = solve(lambda *row, h=h, middle=middle: 1 / (1 + (miss(h)(*row) / middle) ** 2), affine)
+                if np.abs(inner(h - before)).max() <= (1e-4 if affine else 1e-10) * np.abs(inner(h)).max():
                     break
-        r = _residual(h, *columns)
-        middle = max(rows.agg(F.percentile_approx(r, 0.5, 10_000)).first()[0], least)
-        counts = r <= 3 * 1.4826 * middle + 1e3 * least
-        h = solve(F.when(counts, 1.0).otherwise(0.0))
-    # Two steps on the residuals themselves: sums of squares of coordinates leave half of the digits.
-    for _ in range(2):
-        h = refine(h, F.when(counts, 1.0).otherwise(0.0))
+        counts = within(h)
+        h = solve(lambda *row, counts=counts: counts(*row).astype(float))
+    # Steps on the residuals themselves: sums of squares of coordinates leave half of the digits.
+    for i in range(4):
+        h = refine(h, counts)
+        if robust and i == 1:
+            counts = within(h)
     if tolerance is not None:
-        worst = rows.filter(counts).agg(F.max(_residual(h, *columns))).first()[0]
-        if worst is None or not worst <= tolerance:
+
+        def beyond(x: np.ndarray, y: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+            """The largest residual that counts, less what rounding of the divisor may make of it."""
+            pu, pv, w = _project(h, x, y)
+            rounding = 2e-15 * np.hypot(pu, pv) * (np.abs(h[2, 0] * x) + np.abs(h[2, 1] * y) + 1) / np.abs(w)
+            over = np.where(counts(x, y, u, v) & (w != 0), miss(h)(x, y, u, v) - rounding, 0.0)
+            return np.array([over.max(initial=0.0)])
+
+        worst = _over(rows, 1, beyond, F.max)[0]
+        if not worst <= tolerance:
             raise ValueError(f"points are not one projective transform: residual {worst}")
     return h
 

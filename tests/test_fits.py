@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lattica.functions.maths import projective
 from lattica.operators import fits, moments
 
 MATRIX = np.array([[7.3, -0.1, 500], [0.05, 7.3, 700], [1e-4, -2e-4, 1]])
@@ -33,6 +34,28 @@ def test_homography_recovers_the_matrix(spark, share):
         fits.homography(points.limit(3), "a", "b", "p", "q")
 
 
+@pytest.mark.parametrize("share", [0.0, 0.3])
+def test_homography_whose_horizon_crosses_the_points(spark, share):
+    rng = np.random.default_rng(5)
+    x, y = np.meshgrid(np.arange(0, 256, 16.0), np.arange(0, 100_000, 250.0))
+    xy, a = np.stack((x, y), -1).reshape(-1, 2), (3.65, -0.05, 500.0, 0.025, 3.65, 700.0, 0.0, -2.0**-15, 1.0)
+    w = xy @ a[6:8] + 1
+    w[np.abs(xy[:, 1] - 32_750) < 1] = 0  # a row of points on the horizon itself
+    xy[w == 0, 1] = 2.0**15
+    with np.errstate(divide="ignore"):
+        uv = np.stack((xy @ a[:2] + a[2], xy @ a[3:5] + a[5]), -1) / w[:, None]
+    seen = spark.createDataFrame([tuple(map(float, r)) for r in xy], "x double, y double")
+    got = np.array(seen.select(*projective(F.col("x"), F.col("y"), a)).collect())
+    assert (w == 0).sum() == 16 and np.isinf(got[w == 0]).all()
+    np.testing.assert_allclose(got, uv, rtol=1e-9)
+    off = uv.copy()
+    wrong = rng.random(len(xy)) < share
+    off[wrong] += rng.normal(0, 20, (wrong.sum(), 2)) + 60
+    points = spark.createDataFrame([tuple(map(float, r)) for r in np.hstack((xy, off))], "x double, y double, u double, v double")
+    h = fits.homography(points, "x", "y", "u", "v", robust=share > 0, tolerance=1e-3)
+    np.testing.assert_allclose(h.ravel(), a, rtol=1e-9, atol=1e-13)
+
+
 def test_full_gaussians_equal_numpy(spark):
     rng = np.random.default_rng(8)
     data = {"big": rng.normal(1e4, 1, (60, 4)) @ rng.normal(0, 1, (4, 4)), "small": rng.normal(5, 2, (3, 4)), "one": rng.normal(0, 1, (1, 4)), "flat": np.ones((9, 4))}
