@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.maths import gaussian_kernel
 from .lineage import cut, small
 
 
@@ -20,11 +21,16 @@ def _cell(v: Column, size: float) -> Column:
     return F.floor(v / size).cast("long")
 
 
-def radius_join(points: DataFrame, centers: DataFrame, reach: float, extra: Column | None = None) -> DataFrame:
-    """Pairs of points (.., x, y) and centers (.., cx, cy) with distance d <= reach, each center copied to nine grid cells."""
+def radius_join(points: DataFrame, centers: DataFrame, reach: float, extra: Column | None = None, tasks: int | None = None) -> DataFrame:
+    """Pairs of points (.., x, y) and centers (.., cx, cy) with distance d <= reach, each center copied to nine grid cells.
+
+    ``tasks``: grid cells are dealt to that many tasks and not packed by size, for few rows with many pairs.
+    """
     p = points.withColumns({"_gx": _cell(F.col("x"), reach), "_gy": _cell(F.col("y"), reach)})
     near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     c = centers.withColumn("_o", F.explode(near)).withColumns({"_gx": _cell(F.col("cx"), reach) + F.col("_o.i"), "_gy": _cell(F.col("cy"), reach) + F.col("_o.j")}).drop("_o")
+    if tasks:
+        p, c = (df.repartition(tasks, "_gx", "_gy") for df in (p, c))
     dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
     d2 = dx * dx + dy * dy
     joined = p.join(c, ["_gx", "_gy"]).filter(d2 <= reach * reach).withColumn("d", F.sqrt(d2)).drop("_gx", "_gy")
@@ -168,6 +174,18 @@ def typed_weights(points: DataFrame, centers: DataFrame, keys: Sequence[str], sc
     return shares.unionByName(lone.select(*keys, "type", F.lit(1.0).alias("weight")))
 
 
+def typed_sums(centers: DataFrame, key: str, scale: float) -> DataFrame:
+    """(key, type, w): sums of a Gaussian of the distance over the centers (key, type, cx, cy) of a type within three scales of each center, itself too.
+
+    Pairs are of places, so what is joined does not grow with the centers at a place; these join last.
+    """
+    placed = cut(centers.filter("cx is not null and cy is not null").groupBy("type", "cx", "cy").agg(F.count("*").alias("_n")))
+    spots = placed.select(F.col("cx").alias("x"), F.col("cy").alias("y")).distinct()
+    near = radius_join(spots, placed, 3 * scale, tasks=int(centers.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sums = near.groupBy(F.col("x").alias("cx"), F.col("y").alias("cy"), "type").agg(F.sum(F.col("_n") * gaussian_kernel(F.col("d") * F.col("d"), scale)).alias("w"))
+    return centers.select(key, "cx", "cy").join(sums, ["cx", "cy"]).groupBy(key, "type").agg(F.sum("w").alias("w"))
+
+
 def in_rectangles(points: DataFrame, rectangles: DataFrame, key: str, tile: float) -> DataFrame:
     """Points (x, y) inside closed rectangles (key, x0, x1, y0, y1), by tiles that the rectangles touch."""
     tiles = rectangles.withColumn("_tx", F.explode(F.sequence(_cell(F.col("x0"), tile), _cell(F.col("x1"), tile)))).withColumn("_ty", F.explode(F.sequence(_cell(F.col("y0"), tile), _cell(F.col("y1"), tile))))

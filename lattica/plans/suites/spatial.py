@@ -41,10 +41,8 @@ def nearest_other_nucleus(spark, sf_dir):
 @register("typed_neighbour_weights", ctes("centers") + ", p as (select a.cell, b.type, exp(-((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) / 200.0) w from centers a join centers b on (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 900) select cell, type, round(sum(w) / sum(sum(w)) over (partition by cell), 6) as weight from p group by cell, type")
 def typed_neighbour_weights(spark, sf_dir):
     """Gaussian weights by type of all centres within three scales; a centre is its own fallback."""
-    t = Tables(spark, sf_dir)
-    p = spatial.radius_join(t.centers.select(F.col("cell").alias("c"), "x", "y"), centers(t), 30.0)
-    w = p.groupBy("c", "type").agg(F.sum(maths.gaussian_kernel(F.col("d") * F.col("d"), 10.0)).alias("w"))
-    return w.select(F.col("c").alias("cell"), "type", R6(ranked.normalized(F.col("w"), ["c"]), "weight"))
+    w = spatial.typed_sums(centers(Tables(spark, sf_dir)), "cell", 10.0)
+    return w.select("cell", "type", R6(ranked.normalized(F.col("w"), ["cell"]), "weight"))
 
 
 @register(

@@ -114,3 +114,20 @@ def test_cells_without_rewards_are_named_by_nulls(spark):
     s = spark.createDataFrame([([1.0, 2.0, 0.5],)], "a array<double>").select(online.softmax(F.col("a"))).first()[0]
     e = np.exp(np.array([1.0, 2.0, 0.5]) - 2)
     assert np.allclose(s, e / e.sum())
+
+
+def test_typed_neighbour_weights_pair_places(spark, tmp_path, monkeypatch):
+    import duckdb
+
+    from lattica.plans import catalog
+
+    # Keys 128 * 97 apart share their place.
+    spark.range(2000).selectExpr("id % 5 + (id div 5) * 12416 as s_suppkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    pairs, join = [], spatial.radius_join
+    monkeypatch.setattr(spatial, "radius_join", lambda *a, **b: (pairs.append(join(*a, **b)), pairs[-1])[1])
+    got = catalog.queries()["typed_neighbour_weights"](spark, str(tmp_path)).select("cell", "type", "weight").collect()
+    duck = duckdb.connect()
+    duck.execute(f"create view supplier as select * from '{tmp_path}/supplier.parquet/*.parquet'")
+    want = duck.execute(f"select cell, type, weight from ({catalog.oracle_sql()['typed_neighbour_weights']})").fetchall()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) >= 2000
+    assert sum(p.count() for p in pairs) <= 25
