@@ -82,17 +82,30 @@ def board(t: Tables):
     return bins, claims
 
 
+def _asks(t: Tables, lines):
+    """(patch, cell, bin) of lines, which may be a stream; each is asked again at several steps."""
+    return lines.select(F.col("l_orderkey").alias("bin"), (F.col("l_suppkey") % CELLS).alias("cell")).join(t.grid.select("bin", _patch()), "bin").select("patch", "cell", "bin")
+
+
+def _step(again):
+    return 1 + (F.col("bin") * 7 + F.col("cell") * 3 + again) % STEPS
+
+
 def asked(t: Tables, lines):
     """What cells ask for: (patch, step, cell, bin) of lines, which may be a stream."""
-    asks = lines.select(F.col("l_orderkey").alias("bin"), (F.col("l_suppkey") % CELLS).alias("cell")).join(t.grid.select("bin", _patch()), "bin")
     again = F.explode(F.array(*map(F.lit, AGAIN))).alias("_j")
-    return asks.select("patch", "cell", "bin", again).withColumn("step", 1 + (F.col("bin") * 7 + F.col("cell") * 3 + F.col("_j")) % STEPS).drop("_j")
+    return _asks(t, lines).select("patch", "cell", "bin", again).withColumn("step", _step(F.col("_j"))).drop("_j")
 
 
 def requests(t: Tables, lines):
-    """What cells ask for, with the number n of rows of the step, counted from the table."""
-    sizes = asked(t, t.raw("lineitem")).groupBy("patch", "step").agg(F.count("*").alias("n"))
-    return asked(t, lines).join(sizes, ["patch", "step"])
+    """What cells ask for, with the number n of rows of the step, counted from the table.
+
+    A patch has one row of counts and its lines meet it before they are copied to their steps, so all is dealt by patch once.
+    """
+    counts = [F.sum(sum((_step(F.lit(j)) == s).cast("long") for j in AGAIN)) for s in range(1, STEPS + 1)]
+    sizes = _asks(t, t.raw("lineitem")).groupBy("patch").agg(F.array(*counts).alias("_sizes"))
+    met = _asks(t, lines).join(sizes, "patch").withColumn("step", F.explode(F.array(*[_step(F.lit(j)) for j in AGAIN])))
+    return met.select("patch", "step", "cell", "bin", F.get("_sizes", (F.col("step") - 1).cast("int")).alias("n"))
 
 
 _LEGAL_SQL = _BOARD + "," + _legal("bn") + " select patch, bin, cell, nullif(old, -1) as old, old >= 0 as replace, round(reward, 6) as reward from la"

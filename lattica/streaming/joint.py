@@ -7,7 +7,6 @@ meet its bins and claims in one group and nothing is stored.  A patch is a recta
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,6 +23,8 @@ from ..operators.lineage import cut
 OUT = "patch long, step long, phase string, outcome string, applied long, masked long, reward double, ended string, changes array<struct<bin:long,cell:long>>"
 OWNERS = "patch long, bin long, cell long"
 STEPS = pa.schema([("patch", "int64"), ("step", "int64"), ("phase", "string"), ("outcome", "string"), ("applied", "int64"), ("masked", "int64"), ("reward", "float64"), ("ended", "string"), ("changes", pa.list_(pa.struct([("bin", pa.int64()), ("cell", pa.int64())])))])
+START = pa.schema([("bin", "int64"), ("row", "int64"), ("col", "int64"), ("cell", "int64"), ("target", "bool"), ("allowed", "bool"), ("worth", "float64")])
+ASKED = pa.schema([("step", "int64"), ("n", "int64"), ("cell", "int64"), ("bin", "int64")])
 AROUND = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if (i, j) != (0, 0)]
 STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -126,50 +127,58 @@ class JointSteps(StatefulProcessor):
         self.rules, self.strict = rules, strict
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        # Lists, since a board is read and written whole: a map would ask the store row by row.
-        self.bins = handle.getListState("bins", "bin long, row long, col long, cell long, target boolean, allowed boolean")
-        self.claims = handle.getListState("claims", "bin long, cell long, worth double")
-        self.waiting = handle.getListState("waiting", "step long, n long, cell long, bin long")
+        # Tables as Arrow streams, since a board is read whole: rows of their own would pass the store one by one.
+        self.start = handle.getListState("start", "rows binary")
+        self.owners = handle.getValueState("owners", "rows binary")
+        self.waiting = handle.getValueState("waiting", "rows binary")
         self.progress = handle.getValueState("progress", "next long, ended string")
 
     def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues) -> None:
-        bins, claims = [], []
-        for r in initialState.itertuples():
-            if pd.isna(r.worth):
-                bins.append((int(r.bin), int(r.row), int(r.col), None if pd.isna(r.cell) else int(r.cell), bool(r.target), bool(r.allowed)))
-            else:
-                claims.append((int(r.bin), int(r.cell), float(r.worth)))
-        for state, rows in ((self.bins, bins), (self.claims, claims)):
-            if rows:
-                state.appendList(rows)
+        self.start.appendValue((_packed(_table(initialState, START)),))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         at, ended = self.progress.get() if self.progress.exists() else (1, None)
-        fresh = [tuple(None if pd.isna(x) else int(x) for x in r) for pdf in rows for r in pdf[["step", "n", "cell", "bin"]].itertuples(index=False)]
+        asked = [_table(pdf, ASKED) for pdf in rows]
         if ended:
             return
-        waiting = (list(self.waiting.get()) if self.waiting.exists() else []) + fresh
-        by_step: dict[int, list[tuple]] = defaultdict(list)
-        for step, n, cell, bin in waiting:
-            by_step[step].append((n, cell, bin))
-        bins, claims = ([tuple(r) for r in state.get()] if state.exists() else [] for state in (self.bins, self.claims))
-        board = Board({b: tuple(v) for b, *v in bins}, {(b, c): w for b, c, w in claims}, self.rules)
-
-        def take(at: int) -> list[tuple[int, int]] | None:
-            if at not in by_step or len(by_step[at]) < (by_step[at][0][0] or 0):
-                return None
-            return sorted((cell, bin) for _, cell, bin in by_step.pop(at) if cell is not None and bin is not None)
-
-        out, at, ended = board.play(take, at, self.strict)
-        if any(r[-1] for r in out):
-            self.bins.put([(b, row, col, board.owner.get(b), target, allowed) for b, row, col, _, target, allowed in bins])
-        left = [] if ended else [(s, *r) for s, rs in by_step.items() if s >= at for r in rs]
-        self.waiting.put(left) if left else self.waiting.clear()
-        self.progress.update((at, ended))
+        if self.waiting.exists():
+            asked.append(_unpacked(self.waiting.get()[0]))
+        asked = pa.concat_tables(asked) if asked else ASKED.empty_table()
+        take, out = _taken(asked), []
+        if take(at) is not None:
+            board = _board(pa.concat_tables([START.empty_table(), *(_unpacked(r[0]) for r in self.start.get())]) if self.start.exists() else START.empty_table(), self.rules)
+            if self.owners.exists():
+                now = _unpacked(self.owners.get()[0])
+                board.owner = dict(zip(*(now[n].to_numpy().tolist() for n in ("bin", "cell")), strict=True))
+            out, at, ended = board.play(take, at, self.strict)
+            if any(r[-1] for r in out):
+                self.owners.update((_packed(pa.table({n: pa.array(v, "int64") for n, v in (("bin", board.owner.keys()), ("cell", board.owner.values()))})),))
+            self.progress.update((at, ended))
+        left = asked.slice(0, 0) if ended else asked.filter(pc.greater_equal(asked["step"], at))
+        if len(left):
+            self.waiting.update((_packed(left),))
+        elif self.waiting.exists():
+            self.waiting.clear()
         if out:
             yield pd.DataFrame([(key[0], *r) for r in out], columns=["patch", "step", "phase", "outcome", "applied", "masked", "reward", "ended", "changes"])
 
 
+def _table(pdf: pd.DataFrame, schema: pa.Schema) -> pa.Table:
+    """The columns of a schema; what pandas holds as doubles for want of nulls becomes whole again."""
+    return pa.Table.from_arrays([pa.array(pdf[f.name], f.type, from_pandas=True) for f in schema], schema=schema)
+
+
+def _packed(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(rows: bytes) -> pa.Table:
+    return pa.ipc.open_stream(pa.py_buffer(rows)).read_all()
+
+
 def joint_steps(requests: DataFrame, bins: DataFrame, claims: DataFrame, rules: Rules, strict: bool = False) -> DataFrame:
     """One row for each step of a patch that was applied, refused or rolled back; requests may be a stream.
 
