@@ -132,13 +132,18 @@ class JointSteps(StatefulProcessor):
         self.owners = handle.getValueState("owners", "rows binary")
         self.waiting = handle.getValueState("waiting", "rows binary")
         self.progress = handle.getValueState("progress", "next long, ended string")
+        self.fresh: tuple = (None, None)
 
     def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues) -> None:
-        self.start.appendValue((_packed(_table(initialState, START)),))
+        pieces = self.fresh[1] if self.fresh[0] == key else []
+        # The first requests come right after it, so they need not ask the store for it.
+        self.fresh = key, [*pieces, *initialState["rows"]]
+        for rows in initialState["rows"]:
+            self.start.appendValue((rows,))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         at, ended = self.progress.get() if self.progress.exists() else (1, None)
-        asked = [_table(pdf, ASKED) for pdf in rows]
+        asked = [_unpacked(r) for pdf in rows for r in pdf["rows"]]
         if ended:
             return
         if self.waiting.exists():
@@ -146,7 +151,8 @@ class JointSteps(StatefulProcessor):
         asked = pa.concat_tables(asked) if asked else ASKED.empty_table()
         take, out = _taken(asked), []
         if take(at) is not None:
-            board = _board(pa.concat_tables([START.empty_table(), *(_unpacked(r[0]) for r in self.start.get())]) if self.start.exists() else START.empty_table(), self.rules)
+            pieces = self.fresh[1] if self.fresh[0] == key else [r[0] for r in self.start.get()] if self.start.exists() else []
+            board = _board(pa.concat_tables([START.empty_table(), *map(_unpacked, pieces)]), self.rules)
             if self.owners.exists():
                 now = _unpacked(self.owners.get()[0])
                 board.owner = dict(zip(*(now[n].to_numpy().tolist() for n in ("bin", "cell")), strict=True))
@@ -163,11 +169,6 @@ class JointSteps(StatefulProcessor):
             yield pd.DataFrame([(key[0], *r) for r in out], columns=["patch", "step", "phase", "outcome", "applied", "masked", "reward", "ended", "changes"])
 
 
-def _table(pdf: pd.DataFrame, schema: pa.Schema) -> pa.Table:
-    """The columns of a schema; what pandas holds as doubles for want of nulls becomes whole again."""
-    return pa.Table.from_arrays([pa.array(pdf[f.name], f.type, from_pandas=True) for f in schema], schema=schema)
-
-
 def _packed(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as out:
@@ -179,6 +180,34 @@ def _unpacked(rows: bytes) -> pa.Table:
     return pa.ipc.open_stream(pa.py_buffer(rows)).read_all()
 
 
+#: Rows that are cut into patches at a time.
+HELD = 100_000
+
+
+def _pieces(rows: DataFrame, schema: pa.Schema) -> DataFrame:
+    """(patch, rows): the rows of a patch that come together as an Arrow stream; what comes sorted by patch is few pieces."""
+
+    def cuts(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).combine_chunks()
+        codes = pc.dictionary_encode(table["patch"], null_encoding="encode").combine_chunks().indices.to_numpy()
+        order = np.argsort(codes, kind="stable")
+        table, ends = table.take(order), np.flatnonzero(np.diff(codes[order], append=-1)) + 1
+        plain, begins = table.select(schema.names).cast(schema).combine_chunks(), np.r_[0, ends[:-1]]
+        return pa.RecordBatch.from_arrays([table["patch"].take(begins).combine_chunks(), pa.array([_packed(plain.slice(i, j - i)) for i, j in zip(begins, ends)], "binary")], names=["patch", "rows"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held += [batch] if len(batch) else []
+            if sum(map(len, held)) >= HELD:
+                yield cuts(held)
+                held = []
+        if held:
+            yield cuts(held)
+
+    return rows.mapInArrow(run, "patch long, rows binary")
+
+
 def joint_steps(requests: DataFrame, bins: DataFrame, claims: DataFrame, rules: Rules, strict: bool = False) -> DataFrame:
     """One row for each step of a patch that was applied, refused or rolled back; requests may be a stream.
 
@@ -192,7 +221,8 @@ def joint_steps(requests: DataFrame, bins: DataFrame, claims: DataFrame, rules:
     rows, start = _sides(requests, bins, claims)
     if not requests.isStreaming:
         return _groups(rows, start, rules, strict, OUT)
-    return rows.groupBy("patch").transformWithStateInPandas(JointSteps(rules, strict), OUT, "Append", "None", start.groupBy("patch"))
+    start = _pieces(start.withColumn("patch", F.col("patch").cast("long")).repartition("patch").sortWithinPartitions("patch"), START)
+    return _pieces(rows, ASKED).groupBy("patch").transformWithStateInPandas(JointSteps(rules, strict), OUT, "Append", "None", start.groupBy("patch"))
 
 
 def joint_owners(requests: DataFrame, bins: DataFrame, claims: DataFrame, rules: Rules, strict: bool = False) -> DataFrame:

@@ -159,3 +159,44 @@ def test_legal_is_the_rule_as_it_is_written(spark):
                     if q == p and bin is not None and cell is not None:
                         assert b.legal(bin, cell, filled, held) == plain(bin, cell, filled)
             assert b.can_add() == any(t in b.target and t not in b.owner and t in b.place and (c not in held or b.near(t, c)) for t, c in b.claims)
+
+
+def test_a_stream_of_pieces_keeps_ids_that_doubles_round(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    far = (1 << 60) + 1
+    bins, claims, asked = _patches(8)
+    bins, claims = (spark.createDataFrame(r, s).withColumn("bin", F.col("bin") + far) for r, s in ((bins, BINS), (claims, CLAIMS)))
+    rows, rules = spark.createDataFrame(asked, REQUESTS).withColumn("bin", F.col("bin") + far), Rules(eps=0.5, support=4.0, most=6)
+    want = sorted(map(tuple, joint.joint_steps(rows, bins, claims, rules).collect()), key=lambda r: r[:2])
+    assert {c.bin % 2 for r in want for c in r[-1]} == {0, 1}
+    rows.write.parquet(f"{tmp_path}/asked")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/asked")
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    # A patch comes in many pieces.
+    monkeypatch.setattr(joint, "HELD", 1)
+    spark.conf.set(batch, 7)
+    try:
+        with joint.rocks(spark):
+            out = st.run_available(joint.joint_steps(stream, bins, claims, rules))
+    finally:
+        spark.conf.set(batch, before)
+    assert sorted(map(tuple, out.collect()), key=lambda r: r[:2]) == want
+
+
+def test_requests_are_dealt_by_patch_only(spark):
+    import re
+    from collections import Counter
+
+    from lattica.plans.bindings import Tables
+    from lattica.plans.suites import joint as suite
+
+    from .conftest import SMALL
+
+    t = Tables(spark, SMALL)
+    asked = suite.requests(t, t.raw("lineitem"))
+    rows = [(r.patch, r.step, r.n) for r in asked.collect()]
+    assert all(n == count for (_, _, n), count in Counter(rows).items())
+    assert sorted(r[:2] for r in rows) == sorted(map(tuple, suite.asked(t, t.raw("lineitem")).select("patch", "step").collect()))
+    assert not re.search(r"hashpartitioning\(patch#\d+L?, step", asked._jdf.queryExecution().executedPlan().toString())
